@@ -1,4 +1,4 @@
-"""The queries of the training-data operators."""
+"""The queries of the training-data operators, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm import simhash
+from watchlake.llm import chat, decontaminate, licenses, lm, media, mixing, simhash
 from watchlake.llm.common import table
 
 
@@ -16,5 +16,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
+    "op4_mixing": mixing.op4_mixing,
+    "op6_media": media.op6_media,
+    "op8_licenses": licenses.op8_licenses,
+    "op9_lm": lm.op9_lm,
+    "op10_chat": chat.op10_chat,
+}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.OP3_SQL, "op10_chat": chat.OP10_SQL}
