@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm import chat, decontaminate, licenses, lm, media, mixing, simhash
+from watchlake.llm import chat, decontaminate, html, licenses, lm, media, mixing, quality, simhash, toxicity
 from watchlake.llm.common import table
 
 
@@ -18,9 +18,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html": html.op2_html,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_mixing": mixing.op4_mixing,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_media": media.op6_media,
+    "op7_quality": quality.op7_quality,
     "op8_licenses": licenses.op8_licenses,
     "op9_lm": lm.op9_lm,
     "op10_chat": chat.op10_chat,
