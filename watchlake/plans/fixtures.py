@@ -59,7 +59,7 @@ SELECT l_orderkey AS path,
 _HEALTH = "SELECT event_id AS n, ts, user_id % 3 AS host, CASE event_type WHEN 'error' THEN 'offline' ELSE 'ok' END AS status FROM {events}"
 _STAGE = "SELECT concat(l_returnflag, l_linestatus, CAST(l_linenumber AS STRING)) AS stage, CAST(l_quantity AS DOUBLE)/1000 AS seconds, 1 AS n FROM {lineitem}"
 _PRESENCE = """
-SELECT user_id AS video, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS frame,
+SELECT user_id AS video, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS frame,
        CASE WHEN event_type IN ('click','view') THEN 0.9D ELSE 0.1D END AS max_person_conf FROM {events}"""
 _QUEUE = "SELECT event_id AS n, CAST(ts AS DATE) AS day, CASE WHEN event_type IN ('click','view','signup') THEN 1 ELSE -1 END AS step FROM {events}"
 _BURST = "SELECT event_id AS n, event_type AS key, CAST(ts AS DATE) AS day, CAST(floor($EPOCH) AS BIGINT) AS at FROM {events}"
