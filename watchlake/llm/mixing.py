@@ -130,8 +130,9 @@ def mix(
     rows = materialize(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sizes = materialize(sizes, "source_sizes")
-    targets = source_targets(sizes.select("source", "source_size"), weights, share, most)
-    plan = sizes.select("source", "n").join(targets, sizes["source"].eqNullSafe(targets["source"])).select(sizes["source"], "n", "source_size", "target")
+    targets = source_targets(sizes.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "to_source")
+    same = F.col("source").eqNullSafe(F.col("to_source"))
+    plan = sizes.select("source", "n").join(targets, same).select("source", "n", "source_size", "target")
     levels = 1
     most_rows = sizes.agg(F.max("n")).first()[0] or 0
     while fan_in ** (levels - 1) * bucket_rows < most_rows:
