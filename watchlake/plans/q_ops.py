@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchlake.functions.ranks import numbered
 from watchlake.operators import media as M
 from watchlake.operators import ops as O
 from watchlake.plans.fixtures import cte, view
@@ -75,12 +76,9 @@ def st09(spark: SparkSession, d: str) -> DataFrame:
     return O.recovery_list(m, done, F.lit("1997-06-01 00:00:00").cast("timestamp"), F.lit("1998-08-02 00:00:00").cast("timestamp")).select("path")
 
 
-@query("T08_work_list_order", _LIST + " SELECT path, row_number() OVER (ORDER BY mday, path) AS pos FROM fx_listing WHERE id % 50 = 0")
+@query("T08_work_list_order", _LIST + " SELECT path, row_number() OVER (ORDER BY mday, path) AS pos FROM fx_listing")
 def t08(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = media(spark, d).where("id % 50 = 0")  # a sparse work list, so that its numbering is cheap
-    return rows.select("path", F.row_number().over(Window.orderBy("mday", "path")).cast("long").alias("pos"))
+    return numbered(media(spark, d), "pos", F.col("mday"), F.col("path")).select("path", "pos")
 
 
 @query("X05_retention", _LIST + """, f AS (SELECT DISTINCT path[1:10] AS folder FROM fx_listing) SELECT path AS name, 'video' AS kind FROM fx_listing WHERE mday < DATE '1998-08-02' - 900
@@ -94,11 +92,11 @@ def x05(spark: SparkSession, d: str) -> DataFrame:
     return old.select(F.col("path").alias("name"), F.lit("video").alias("kind")).unionAll(empty.select("folder", F.lit("folder")))
 
 
-@query("S07_daily_files", _LIST + ", p AS (SELECT strftime(mday, '%Y%m%d') AS day, id FROM fx_listing WHERE id % 4 = 0) SELECT day || '/clip_' || CAST(id AS VARCHAR) || '.mp4' AS path, day FROM p")
+@query("S07_daily_files", _LIST + ", p AS (SELECT strftime(mday, '%Y%m%d') AS day, id FROM fx_listing WHERE id % 4 < 3) SELECT day || '/clip_' || CAST(id AS VARCHAR) || '.mp4' AS path, day FROM p")
 def s07(spark: SparkSession, d: str) -> DataFrame:
     day = F.date_format("mday", "yyyyMMdd")
-    m = media(spark, d).where("id % 4 < 2")
-    path = F.when(F.col("id") % 4 == 0, F.concat(day, F.lit("/clip_"), F.col("id").cast("string"), F.lit(".mp4"))).otherwise(F.concat(F.lit("x/"), day, F.lit(".mp4")))
+    m = media(spark, d)
+    path = F.when(F.col("id") % 4 < 3, F.concat(day, F.lit("/clip_"), F.col("id").cast("string"), F.lit(".mp4"))).otherwise(F.concat(F.lit("x/"), day, F.lit(".mp4")))
     return listing.daily_files(m.select(path.alias("path"))).select("path", "day")
 
 
@@ -274,6 +272,16 @@ def p32(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("n"), F.to_json(F.struct(F.col("event_type").alias("status"), (F.col("event_id") % 3).alias("persons"), F.size(crops).alias("crops"))).alias("json"))
 
 
+@query("S08_recursive_listing", "SELECT strftime(ts, '%Y-%m-%d') AS day, 1 AS folders FROM events GROUP BY 1")
+def s08(spark: SparkSession, d: str) -> DataFrame:
+    """The events are written into a folder a day, and the folders' files are listed without their contents."""
+    root = store.DayStore.temporary(spark).path
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    e.repartition("day").write.partitionBy("day").parquet(root)
+    found = listing.list_files(spark, root, "*.parquet").where("length > 0")
+    return found.groupBy(F.regexp_extract("path", r"day=([0-9-]+)/", 1).alias("day")).agg(F.count_distinct(F.regexp_extract("path", "^(.*)/", 1)).cast("int").alias("folders"))
+
+
 # ---- media
 def _media_files(spark: SparkSession, d: str) -> DataFrame:
     m = media(spark, d)

@@ -219,13 +219,13 @@ def w06(spark: SparkSession, d: str) -> DataFrame:
     return K.highlights(det(spark, d))
 
 
-@query("W07_track_trust", f"""{_D}, t1 AS (SELECT *, row_number() OVER w AS n, sqrt((cx - first_value(cx) OVER w) ** 2 + (cy - first_value(cy) OVER w) ** 2) AS drift, avg(conf) OVER w AS mean FROM fx_det WHERE cx % 7 < 6 WINDOW w AS (PARTITION BY video, track_id ORDER BY frame)),
+@query("W07_track_trust", f"""{_D}, t1 AS (SELECT *, row_number() OVER w AS n, sqrt((cx - first_value(cx) OVER w) ** 2 + (cy - first_value(cy) OVER w) ** 2) AS drift, avg(conf) OVER w AS mean FROM fx_det WINDOW w AS (PARTITION BY video, track_id ORDER BY frame)),
 t2 AS (SELECT *, max(drift) OVER (PARTITION BY video, track_id ORDER BY frame) AS far FROM t1)
 SELECT video, track_id, frame, CASE WHEN bool_or(n >= 20 AND far <= 900 AND mean < 0.8) OVER w THEN 'suppressed' WHEN bool_or(far > 900 OR (n >= 20 AND mean >= 0.8)) OVER w THEN 'trusted' ELSE 'probation' END AS state FROM t2 WINDOW w AS (PARTITION BY video, track_id ORDER BY frame)""")
 def w07(spark: SparkSession, d: str) -> DataFrame:
     from watchlake.params import TrustParams
 
-    return K.trust(det(spark, d).where("cx % 7 < 6"), TrustParams(drift_px=900.0))
+    return K.trust(det(spark, d), TrustParams(drift_px=900.0))
 
 
 _NET = _D + """, cr AS (SELECT video, track_id, frame, cy, lag(cy) OVER (PARTITION BY video, track_id ORDER BY frame) AS p FROM fx_det),
