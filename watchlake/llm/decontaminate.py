@@ -94,7 +94,8 @@ def contained_items(
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that contain an item; documents with a null id go only with the null id's group."""
-    bad = contained_items(docs, items, **options).select(F.col("doc_id").alias("bad_id")).distinct()
+    # written first, so that the planner knows its size: texts move only if the ids are too many to broadcast
+    bad = materialize(contained_items(docs, items, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
 
 
