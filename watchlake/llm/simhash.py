@@ -248,7 +248,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
 
     Rows that repeat a doc_id count as one document. Rows without a doc_id can't be told apart and stay.
     """
-    found = near_duplicates(docs, radius=radius)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    found = materialize(near_duplicates(docs, radius=radius), "found").where("doc_id IS NOT NULL")
+    # both lists are written first, so that the planner knows their sizes: texts move only where they are long
+    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    twice = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    if twice.limit(1).count():
+        known = known.join(twice, "doc_id", "left_anti").unionByName(known.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
