@@ -169,19 +169,25 @@ def mix(
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with (size, source_size, target, copies, taken) beside their own columns.
 
-    Own columns that have such a name are kept and the new ones get an underscore. Rows are joined by doc_id:
-    ids that repeat are numbered within the id, so that each row gets one decision.
+    Own columns that have such a name are kept and the new ones get an underscore. Texts move once, to their decisions.
     """
     found = mix(docs, **options)
     names = {c: free_name(docs.columns, c) for c in ("size", "source_size", "target", "copies", "taken")}
-    key, nth = free_name(docs.columns, "mix_key"), free_name(docs.columns, "mix_nth")
-    w = Window.partitionBy(key)
-    row = F.xxhash64("doc_id", "source", "size")
-    found = found.select(row.alias(key), *(F.col(c).alias(n) for c, n in names.items()))
-    found = found.withColumn(nth, F.row_number().over(w.orderBy(names["copies"]))).where(F.col(names["copies"]) > 0)
+    key, nth, other = (free_name(docs.columns, c) for c in ("mix_key", "mix_nth", "mix_other"))
+    found = materialize(found.select(F.xxhash64("doc_id", "source", "size").alias(key), *(F.col(c).alias(n) for c, n in names.items())), "mixed")
+    twice = materialize(found.groupBy(key).count().where("count > 1").select(F.col(key).alias(other)), "twice")
     own = docs.withColumn(key, F.xxhash64("doc_id", "source", n_words(F.col("text"))))
-    own = own.withColumn(nth, F.row_number().over(w.orderBy(key)))
-    return own.join(found, [key, nth]).select(*docs.columns, *names.values())
+    taken = lambda rows: rows.where(F.col(names["copies"]) > 0)
+    out = [*docs.columns, *names.values()]
+    if not twice.limit(1).count():
+        return own.join(taken(found), key).select(*out)
+    # rows that are alike in id, source and size are numbered, so that each gets one decision; few are
+    repeats = F.col(key) == F.col(other)
+    w = Window.partitionBy(key)
+    single = own.join(twice, repeats, "left_anti").join(taken(found.join(twice, repeats, "left_anti")), key).select(*out)
+    again = own.join(twice, repeats, "left_semi").withColumn(nth, F.row_number().over(w.orderBy(key)))
+    theirs = found.join(twice, repeats, "left_semi").withColumn(nth, F.row_number().over(w.orderBy(names["copies"])))
+    return single.unionByName(again.join(taken(theirs), [key, nth]).select(*out))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
