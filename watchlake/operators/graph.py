@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchlake.functions.shared import shared_path
+
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the folder that ``spark.checkpoint.dir`` names and read back: a cut of its lineage."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="watchlake-")
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = shared_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchlake.functions.shared import shared_path
+
 
 class DayStore:
     """Statistics by day as Parquet; writing a day replaces it, and reading leaves out days that are too old."""
@@ -17,8 +16,7 @@ class DayStore:
 
     @classmethod
     def temporary(cls, spark: SparkSession, keep_days: int = 90) -> DayStore:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="watchlake-")
-        return cls(spark, f"{root.rstrip('/')}/day-store-{uuid.uuid4().hex}", keep_days)
+        return cls(spark, shared_path(spark, "day-store"), keep_days)
 
     def write(self, rows: DataFrame) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(self.path)
