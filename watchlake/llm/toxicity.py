@@ -224,8 +224,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, trees:
     if not 0 < pos < n:
         return ToxicityModel(Extractor(both), None, None, (pos + 1) / (n + 2))
     crossed = [with_features(sample.where(f"lot % 2 = {h}"), Extractor(lex), "features") for h, lex in ((0, second), (1, first))]
-    rows = crossed[0].unionByName(crossed[1]).select(array_to_vector("features").alias("features"), "label", "lot").repartition(4)
-    rows = materialize(rows, "toxic-features")
+    # the bounded sample's numbers, in one order whatever the partitions were: reruns grow the same trees
+    rows = crossed[0].unionByName(crossed[1]).select("features", "label", "lot").repartition(1).sortWithinPartitions("lot", "label", "features")
+    rows = materialize(rows.withColumn("features", array_to_vector("features")), "toxic-features")
     fitted = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=5, minInstancesPerNode=2)
     model = fitted.fit(rows.where("lot < 75"))
     held = model.transform(rows.where("lot >= 75")).select(vector_to_array("rawPrediction")[1].alias("m"), "label").toPandas()
