@@ -108,3 +108,47 @@ def test_documents(spark, sf_dir):
     got = entry.op1_simhash(spark, sf_dir).collect()
     assert sorted((r["doc_id"], r["component_id"]) for r in got) == sorted(want)
     assert {r["doc_id"]: r["fingerprint"] for r in got} == {r["doc_id"]: f"{brute_fingerprint(r['text']):016x}" for r in docs}
+
+
+def brute_sets(text):
+    ws = "".join(" " if c in WHITE else c.lower() if "A" <= c <= "Z" else c for c in text or "").split(" ")
+    ws = [w for w in ws if w]
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def brute_stage(rows):
+    """Distinct (doc_id, text) rows that stay at Jaccard 0.8: the least id of each component."""
+    rows = sorted(set(rows), key=lambda r: r[0])
+    sets, root = [brute_sets(t) for _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {rows[i] for i in range(len(rows)) if find(i) == i}
+
+
+def test_stage_equals_brute_force_at_four_fifths(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(0, 3000)}"
+    line = " the same line that closes many pages of the same site"
+    rows = []
+    for g in range(25):
+        base = [word() for _ in range(rng.integers(3, 150))]
+        for _ in range(8):
+            text = list(base)
+            for at in rng.integers(0, len(base), rng.integers(0, 1 + len(base) // 25)):
+                text[at] = word()
+            rows.append((len(rows), " ".join(text) + line * int(g % 2)))
+    rows += [(len(rows), None), (len(rows) + 1, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    assert got == {d for d, _ in brute_stage(rows)}
+    near = {c for d, c in brute_components([(d, brute_fingerprint(t)) for d, t in rows])}
+    assert got != near  # op1's four bits are another rule

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from watchlake.llm.common import free_name, materialize
 from watchlake.llm.graph import components
+from watchlake.llm.jaccard import similar_rows
 
 BITS = 64
 
@@ -243,16 +244,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one with the least doc_id.
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the least doc_id, then text hash.
 
-    Rows that repeat a doc_id count as one document. Rows without a doc_id can't be told apart and stay.
+    Near copies share at least 0.8 of their five-word shingles (Jaccard, compared exactly); groups are what such
+    pairs connect. op1's fingerprints and radius are its query's own. Rows that repeat id and text count as one
+    document; other texts of a repeated id are documents of their own. Rows without a doc_id are held against each
+    other alone: one of each group stays.
     """
-    found = materialize(near_duplicates(docs, radius=radius), "found").where("doc_id IS NOT NULL")
+    ids, roots = similar_rows(docs)
+    by_fp = ids.groupBy("fp", F.isnull("doc_id").alias("no_id")).agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    named = by_fp.join(roots, by_fp["fp"] == roots["node"], "left")
+    stay = named.groupBy(F.coalesce("root", "fp").alias("root"), "no_id").agg(F.min("least").alias("least"))
+    stay = materialize(stay.select(F.col("least.doc_id").alias("i"), F.col("least.text_key").alias("k")), "stay")
+    same = lambda x, y: x["doc_id"].eqNullSafe(y["i"]) & (x["text_key"] == y["k"])
     # both lists are written first, so that the planner knows their sizes: texts move only where they are long
-    gone = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    twice = materialize(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    counted = ids.groupBy("doc_id", "text_key").count()
+    counted = materialize(counted.join(stay.withColumn("stays", F.lit(True)), same(counted, stay), "left").select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "count", F.coalesce("stays", F.lit(False)).alias("stays")), "found")
+    gone = materialize(counted.where("NOT stays").select("i", "k"), "gone")
+    twice = materialize(counted.where("stays AND count > 1").select("i", "k"), "twice")
+    key = free_name(docs.columns, "text_key")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    match = lambda y: rows["doc_id"].eqNullSafe(y["i"]) & (rows[key] == y["k"])
+    known = rows.join(gone, match(gone), "left_anti")
     if twice.limit(1).count():
-        known = known.join(twice, "doc_id", "left_anti").unionByName(known.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+        known = known.join(twice, match(twice), "left_anti").unionByName(known.join(twice, match(twice), "left_semi").dropDuplicates(["doc_id", key]))
+    return known.select(*docs.columns)
