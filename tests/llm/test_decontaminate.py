@@ -60,3 +60,10 @@ def test_query(spark, sf_dir):
     get = lambda t, c: [(r[c], r["text"]) for r in spark.read.parquet(f"{sf_dir}/{t}.parquet").collect()]
     want = brute(get("documents", "doc_id"), get("benchmark", "item_id"))
     assert rows_of(D.op3_decontaminate(spark, sf_dir)) == want and want
+
+
+def test_other_texts_of_the_id_stay(spark):
+    docs = [(None, ITEM), (None, "clean one"), (None, None), (1, ITEM), (1, "clean two"), (2, "clean three")]
+    d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id long, text string, text_key int")
+    kept = D.decontaminate(d, spark.createDataFrame([(1, ITEM)], "item_id long, text string"))
+    assert kept.columns == d.columns and sorted(((r[0], r[1]) for r in kept.collect()), key=str) == sorted((r for r in docs if r[1] != ITEM), key=str)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import LOWER, UPPER, ascii_lower, materialize, table
+from watchlake.llm.common import LOWER, UPPER, ascii_lower, free_name, materialize, table
 
 WIDTH, THRESHOLD = 5, 0.8
 
@@ -61,21 +61,21 @@ def _held(rows: DataFrame, widths: list[int], keep: list[str]) -> DataFrame:
     return w.select(*keep, F.size("ws").alias("n_words"), F.explode(each).alias("shingle"))
 
 
-def contained_items(
+def contained_pairs(
     docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, broadcast_rows: int = 500_000
 ) -> DataFrame:
-    """(doc_id, item_id, item_shingles, matched, containment): one row per document and item that it contains.
+    """(doc_id, text_key, item_key, item_id, m, matched): one row per text of a document and item that it contains.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text; other columns aren't read. Null and empty texts
     contain nothing and are contained nowhere. Repeated rows of either side count once. Documents with a null
-    id are found too, under the null id. Texts that share an id are measured apart and reported once, by the
-    better one. Item shingles are broadcast only up to ``broadcast_rows`` counted rows, else joined by shuffle.
+    id are found too, under the null id. Texts that share an id are measured and reported apart, by
+    text_key. Item shingles are broadcast only up to ``broadcast_rows`` counted rows, else joined by shuffle.
     """
     index = materialize(sketched(item_shingles(items, width), threshold), "items")
     n, widths = index.count(), sorted(r["width"] for r in index.select("width").distinct().collect())
-    out = docs.select("doc_id").limit(0).join(items.select("item_id").limit(0))
     if not n:
-        return out.selectExpr("doc_id", "item_id", "0 AS item_shingles", "0L AS matched", "0D AS containment")
+        out = docs.select("doc_id").limit(0).join(items.select("item_id").limit(0))
+        return out.selectExpr("doc_id", "0L AS text_key", "0L AS item_key", "item_id", "0 AS m", "0L AS matched")
     near = (lambda df: F.broadcast(df)) if n <= broadcast_rows else (lambda df: df)
     rows = docs.select("doc_id", "text")
     sketch = index.where("in_sketch").select("item_key", "shingle", "need")
@@ -87,16 +87,27 @@ def contained_items(
     pairs = hits.groupBy("doc_id", "text_key", "item_key", "item_id", "m").agg(F.count_distinct("shingle").alias("matched"))
     pairs = pairs.where(F.col("matched") >= threshold * F.col("m") - 1e-9)
     c = candidates.select(F.col("doc_id").alias("c_id"), F.col("item_key").alias("c_key"))
-    pairs = pairs.join(c, pairs["doc_id"].eqNullSafe(c["c_id"]) & (pairs["item_key"] == c["c_key"]), "left_semi")
+    return pairs.join(c, pairs["doc_id"].eqNullSafe(c["c_id"]) & (pairs["item_key"] == c["c_key"]), "left_semi")
+
+
+def contained_items(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, item_shingles, matched, containment): one row per document and item that it contains.
+
+    Texts that share an id are reported once, by the better one; the rest is as in ``contained_pairs``.
+    """
+    pairs = contained_pairs(docs, items, **options)
     best = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("matched") / F.col("m"), "m", "matched")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.m").alias("item_shingles"), F.col("b.matched").alias("matched"), F.col("b.col1").alias("containment"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that contain an item; documents with a null id go only with the null id's group."""
-    # written first, so that the planner knows its size: texts move only if the ids are too many to broadcast
-    bad = materialize(contained_items(docs, items, **options).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+    """``docs`` without the rows whose text contains an item; other texts of the same (or no) id stay."""
+    # written first, so that the planner knows its size: texts move only if the keys are too many to broadcast
+    bad = contained_pairs(docs, items, **options).select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    bad = materialize(bad, "contaminated")
+    key = free_name(docs.columns, "text_key")
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    return rows.join(bad, rows["doc_id"].eqNullSafe(bad["bad_id"]) & (rows[key] == bad["bad_key"]), "left_anti").select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
