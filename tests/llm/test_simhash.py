@@ -152,3 +152,11 @@ def test_stage_equals_brute_force_at_four_fifths(spark):
     assert got == {d for d, _ in brute_stage(rows)}
     near = {c for d, c in brute_components([(d, brute_fingerprint(t)) for d, t in rows])}
     assert got != near  # op1's four bits are another rule
+
+
+def test_stage_decides_by_row(spark):
+    """Of a repeated id only the text that is a copy goes, and every group keeps one row."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, c + " z"), (None, c + " z"), (None, "other words")]
+    got = [tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (4, c), (None, c + " z"), (None, "other words")], key=str)
