@@ -25,6 +25,25 @@ def test_pages(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ["class='content has-sidebar'", "class='overflow-hidden prose'", "class='post no-comments'", "class='page-with-sidebar'", "class='entry-social-wrap'",
+     "title='a hidden gem'", "data-hidden=false", "data-id='nav'", "data-x=' class=ad '", "lang=en data-role=menu"],
+)
+def test_marks_of_other_things_cut_nothing(attributes):
+    assert main_text(f"<div {attributes}><p>{LONG}</p><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("attributes", ["class='x ad'", "id=nav", "hidden", "class=y hidden=''", "HIDDEN", "class='site-footer'", "class='relatedPosts'", "style='display: none'"])
+def test_marks_cut(attributes):
+    assert main_text(f"<article><p>{LONG}</p><p>{LONG}</p><div {attributes}><p>{LONG}</p></div></article>") == f"{LONG}\n{LONG}"
+
+
+def test_addresses_are_no_marks():
+    page = "<article><p>see <a href='/the-hidden-lake'>the lake</a> and <a href='/x?id=comments&class=ad'>x</a> <a href=/role=nav>y</a></p></article>"
+    assert main_text(page) == "see the lake and x y"
+
+
 def test_densities_follow_their_definition():
     page = Page(f"<body><div id=x><p>{LONG}</p><p>{LONG}</p></div><div><a href=1>link</a><a href=2>other</a></div></body>")
     dense, sums, body = page.densities()

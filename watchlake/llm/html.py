@@ -42,32 +42,53 @@ CUT_WORDS = frozenset(
     "replies reply widget toolbar masthead copyright login search skip complementary contentinfo navigation hidden outbrain taboola".split()
 )
 KEEP = frozenset("html body article main".split())
+# What a class says after these words is about the page's state or layout, not about the element.
+STATE = frozenset("has no not without with overflow".split())
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
 
 
-def _is_cut(tag: str, attributes: str, in_article: bool) -> bool:
+def _mark(value: str) -> int:
+    """2 if one of the names is a mark, 1 if a part of a compound name is, 0 otherwise."""
+    found = 0
+    for name in value.split():
+        if name.lower() in CUT_WORDS:
+            return 2
+        for piece in PIECES.findall(name):
+            if piece.lower() in STATE:
+                break
+            if piece.lower() in CUT_WORDS:
+                found = 1
+    return found
+
+
+def _is_cut(tag: str, attributes: str, in_article: bool) -> int:
+    """2 for an element that is no article, 1 if only a part of a compound name says so, 0 otherwise."""
     if tag in CUT:
-        return True
+        return 2
     if tag == "header" and not in_article:
-        return True
+        return 2
     if not attributes or tag in KEEP:
-        return False
+        return 0
+    found, seen = 0, set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
+        if name in seen:  # the first of a repeated attribute counts
+            continue
+        seen.add(name)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "style" and "display:none" in value.lower().replace(" ", ""):
-            return True
-        if name in ("class", "id", "role") and any(w.lower() in CUT_WORDS for w in PIECES.findall(value)):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role"):
+            found = max(found, _mark(value))
+    return found
 
 
 class Page:
@@ -75,6 +96,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.cut, self.first = ["#root"], [-1], [False], [0]
+        self.maybe = [False]  # whether only a part of a compound name marks a node
         self.article = [False]  # whether a node is, or is in, an article or main element
         self.events: list[tuple[int, str | None]] = []
         self.last: list[int] = [0]  # end of a node's events
@@ -101,6 +123,19 @@ class Page:
             elif tag in VOID or attributes.endswith("/") and tag not in BLOCK:
                 self._pop(stack, len(stack) - 1)
         self._pop(stack, 0)
+        if any(self.maybe):
+            self._settle()
+
+    def _settle(self) -> None:
+        """Cut the nodes that part of a name marks, unless they hold most of the page's text."""
+        chars = [0] * len(self.tag)
+        for i, text in self.events:
+            if text is not None:
+                chars[i] += len(SPACE.sub(" ", text.strip()))
+        for i in range(len(self.tag) - 1, 0, -1):
+            chars[self.parent[i]] += chars[i]
+        for i in range(1, len(self.tag)):
+            self.cut[i] = self.cut[i] or self.cut[self.parent[i]] or self.maybe[i] and 2 * chars[i] <= chars[0]
 
     def _text(self, stack: list[int], text: str) -> None:
         if text and not self.cut[stack[-1]]:
@@ -118,7 +153,9 @@ class Page:
         up, i = stack[-1], len(self.tag)
         self.tag.append(tag)
         self.parent.append(up)
-        self.cut.append(self.cut[up] or _is_cut(tag, attributes, self.article[up]))
+        cut = _is_cut(tag, attributes, self.article[up])
+        self.cut.append(self.cut[up] or cut == 2)
+        self.maybe.append(cut == 1)
         self.article.append(self.article[up] or tag in ("article", "main"))
         if tag in BLOCK:
             self.events.append((up, None))
