@@ -12,9 +12,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +39,6 @@ LETTERS = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 NEAR = 5  # words
-MOST_UNITS = 5000  # of a lexicon
 FEATURES = (
     "hits max_weight sum_weight distinct_hits insults near_second second capitals all_caps punctuation exclamations obfuscated "
     "obfuscated_hits log_words long_runs"
@@ -61,67 +60,93 @@ def plain(token: str) -> tuple[str, bool]:
     return NOT_LETTERS.sub("", core.lower().translate(LEET)), "'" not in core and "’" not in core and "-" not in core
 
 
+class Tokens(dict):
+    """Token -> its row in a table of numbers about tokens. Tokens of equal numbers share a row, those that hit have their own."""
+
+    COLUMNS = "weight hit insult second hidden hidden_hit caps upper signs exclamations long_runs letters".split()
+
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon, self.heads = lexicon, {u[:4] for u in lexicon}
+        self.rows: dict[tuple, int] = {}
+        self.table = np.zeros((len(self.COLUMNS), 0))
+
+    def __missing__(self, token: str) -> int:
+        size = len(token)
+        signs = 0 if token.isalpha() else 1 if token[-1] in ".,;:" and token[:-1].isalpha() else -1
+        word = token[:-1] if signs == 1 else token
+        if signs >= 0 and word.islower():  # most tokens: a word in small letters, with a sign after it or not
+            hides = caps = False
+            upper = exclamations = 0
+        else:
+            word, hides = plain(token)
+            caps = size > 1 and token.isupper() and token.isalpha()
+            upper, signs, exclamations = size - len(UPPER_RUN.sub("", token)), size - len(SIGNS.sub("", token)), token.count("!")
+        weight = max((self.lexicon.get(u, 0.0) for u in units(word)), default=0.0) if word[:4] in self.heads else 0.0
+        insult = word in INSULTS
+        hit = bool(weight or insult)
+        runs = len(LONG_RUN.findall(token)) if len(set(token)) <= size - 3 else 0
+        numbers = (weight, hit, insult, word in SECOND_PERSON, hides, hides and hit, caps, upper, signs, exclamations, runs, size)
+        self[token] = at = self.rows.setdefault((*numbers, token if hit else None), len(self.rows))
+        return at
+
+    def numbers(self) -> np.ndarray:
+        if len(self.rows) > self.table.shape[1]:
+            fresh = [x[:-1] for x in islice(self.rows, self.table.shape[1], None)]
+            self.table = np.hstack([self.table, np.array(fresh, float).T])
+        return self.table
+
+
 class Extractor:
-    """Features of texts under a lexicon (unit -> weight). Tokens seen before are looked up."""
+    """Features of texts under a lexicon (unit -> weight). A token is looked at once and then read from a table."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.seen = lexicon, {}
+        self.lexicon, self.tokens = lexicon, Tokens(lexicon)
 
     def __getstate__(self):
-        return {"lexicon": self.lexicon, "seen": {}}
-
-    def _token(self, token: str) -> tuple:
-        if (got := self.seen.get(token)) is None:
-            word, hidden = plain(token)
-            weight = max((self.lexicon.get(u, 0.0) for u in units(word)), default=0.0) if word else 0.0
-            caps = len(token) > 1 and token.isupper() and token.isalpha()
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            got = self.seen[token] = (weight, word in INSULTS, word in SECOND_PERSON, hidden, caps)
-        return got
+        return {"lexicon": self.lexicon}
+
+    def __setstate__(self, state):
+        self.__init__(state["lexicon"])
 
     def __call__(self, text: str | None) -> list[float]:
-        text = text or ""
-        tokens = text.split()
-        n = max(1, len(tokens))
-        hits = weights = insults = second = hidden = caps = hidden_hits = distinct = 0.0
-        most, hit_tokens, you = 0.0, set(), set()
-        for token, k in Counter(tokens).items():
-            weight, insult, to_you, hides, shouts = self._token(token)
-            if weight or insult:
-                hits += k
-                distinct += 1
-                weights += weight * k
-                most = max(most, weight)
-                hit_tokens.add(token)
-                insults += k * insult
-                hidden_hits += k * hides
-            if to_you:
-                second += k
-                you.add(token)
-            hidden += k * hides
-            caps += k * shouts
-        near = 0
-        if hit_tokens and you:
-            last, where = -NEAR - 1, []
-            for i, t in enumerate(tokens):
-                if t in you:
-                    near += sum(1 for h in where if i - h <= NEAR)
-                    where, last = [], i
-                elif t in hit_tokens:
-                    if i - last <= NEAR:
-                        near += 1
-                    else:
-                        where.append(i)
-        chars = max(1, len(text))
-        letters = max(1, sum(map(len, tokens)))
-        upper = len(UPPER_RUN.sub("", text))
-        signs = len(SIGNS.sub("", text))
-        return [
-            hits / n, most, weights / n, min(distinct, 30.0), insults / n, near / max(1.0, hits), second / n, 1 - upper / chars if text else 0.0,
-            caps / n, 1 - signs / chars if text else 0.0, text.count("!") / n, hidden / n, hidden_hits / n, math.log1p(len(tokens)),
-            len(LONG_RUN.findall(text)) / letters,
-        ]
+        return self.many([text])[0].tolist()
+
+    def many(self, texts: list[str | None]) -> np.ndarray:
+        """A row of features for each text; texts without words have zeros."""
+        out = np.zeros((len(texts), len(FEATURES)))
+        split = [(t or "").split() for t in texts]
+        full = np.flatnonzero([len(ws) > 0 for ws in split])
+        if not len(full):
+            return out
+        if len(self.tokens) > 200_000:  # bounds memory; tokens come back as they are seen
+            self.tokens = Tokens(self.lexicon)
+        sizes = np.array([len(split[i]) for i in full], np.int64)
+        at = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        columns = dict(zip(Tokens.COLUMNS, self.tokens.numbers()))
+        starts = np.cumsum(sizes) - sizes
+        total = {c: np.add.reduceat(v[at], starts) for c, v in columns.items()}
+        doc = np.repeat(np.arange(len(full)), sizes)
+        hit, you = columns["hit"][at] > 0, columns["second"][at] > 0
+        distinct = np.bincount(np.unique(doc[hit] * len(self.tokens.rows) + at[hit]) // len(self.tokens.rows), minlength=len(full))
+        near = np.bincount(doc[_beside(np.flatnonzero(hit & ~you), np.flatnonzero(you), doc)], minlength=len(full))
+        n, chars = sizes.astype(float), np.array([len(texts[i]) for i in full], float)
+        out[full] = np.column_stack([
+            total["hit"] / n, np.maximum.reduceat(columns["weight"][at], starts), total["weight"] / n, distinct, total["insult"] / n,
+            near / np.maximum(1.0, total["hit"]), total["second"] / n, total["upper"] / chars, total["caps"] / n, total["signs"] / chars,
+            total["exclamations"] / n, total["hidden"] / n, total["hidden_hit"] / n, np.log1p(n), total["long_runs"] / total["letters"],
+        ])
+        return out
+
+
+def _beside(hits: np.ndarray, yous: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The places in ``hits`` with one of ``yous`` in the same text within ``NEAR`` words before or after."""
+    if not len(yous):
+        return hits[:0]
+    k = np.searchsorted(yous, hits)
+    ok = np.zeros(len(hits), bool)
+    for other in (yous[np.maximum(k - 1, 0)], yous[np.minimum(k, len(yous) - 1)]):
+        ok |= (np.abs(other - hits) <= NEAR) & (doc[other] == doc[hits])
+    return hits[ok]
 
 
 UPPER_RUN = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
@@ -129,40 +154,55 @@ SIGNS = re.compile(r"[!-/:-@\[-`{-~]+")
 LONG_RUN = re.compile(r"([^\W\d_])\1{3,}")
 
 
-def lexicon_counts(sample: DataFrame) -> DataFrame:
+def lexicon_counts(sample: DataFrame, flush: int = 500_000) -> DataFrame:
     """(unit, pos0, neg0, pos1, neg1): documents of either half of the sample that hold a unit, by label."""
+    names = ("pos0", "neg0", "pos1", "neg1")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                counts: list[Counter] = [Counter() for _ in range(4)]
-                for text, label, lot in pdf.iloc[at : at + 500].itertuples(index=False):
-                    words = {plain(t)[0] for t in set((text or "").split())} - {""}
-                    counts[2 * (lot % 2) + (label < 0.5)].update({u for w in words for u in units(w)})
-                every = sorted(set().union(*counts))
-                yield pd.DataFrame({"unit": every} | {c: [x[u] for u in every] for c, x in zip(("pos0", "neg0", "pos1", "neg1"), counts)})
+    def rows(counts: list[Counter]) -> pa.RecordBatch:
+        every = list(set().union(*counts))
+        made = [pa.array([x[u] for u in every], pa.int64()) for x in counts]
+        return pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *made], names=["unit", *names])
 
-    some = sample.select("text", "label", "lot").mapInPandas(run, "unit string, pos0 long, neg0 long, pos1 long, neg1 long")
-    return some.groupBy("unit").agg(*(F.sum(c).alias(c) for c in ("pos0", "neg0", "pos1", "neg1")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: list[Counter] = [Counter() for _ in names]
+        known: dict[str, list[str]] = {}
+        for b in batches:
+            for text, label, lot in zip(*(c.to_pylist() for c in b.columns)):
+                held: set[str] = set()
+                for token in set((text or "").split()):
+                    if (got := known.get(token)) is None:
+                        word = plain(token)[0]
+                        got = known[token] = units(word) if word else []
+                    held.update(got)
+                counts[2 * (lot % 2) + (label < 0.5)].update(held)
+                if max(len(known), *map(len, counts)) > flush:  # bounds memory: counts are added up after the shuffle
+                    yield rows(counts)
+                    counts = [Counter() for _ in names]
+                    known.clear()
+        yield rows(counts)
+
+    some = sample.select("text", "label", "lot").mapInArrow(run, "unit string, pos0 long, neg0 long, pos1 long, neg1 long")
+    return some.groupBy("unit").agg(*(F.sum(c).alias(c) for c in names))
 
 
 def lexicons(sample: DataFrame, least: float = 0.8, sureness: float = 2.2) -> list[dict[str, float]]:
-    """Lexicons of half 0, of half 1 and of both: units by the lower bound of their log odds, the top ``MOST_UNITS``."""
-    found = lexicon_counts(sample)
+    """Lexicons of half 0, of half 1 and of both: all units whose log odds have a lower bound above ``least``.
+
+    The sample is bounded, and so is what can pass the bound.
+    """
     sizes = sample.groupBy().agg(*(F.count_if(F.expr(f"lot % 2 = {h} AND label {'>=' if y else '<'} 0.5")) for h in (0, 1) for y in (1, 0))).first()
-    sizes = [float(x) for x in sizes]
-    top = None
-    for k, (pos, neg, p, n) in enumerate(
-        [("pos0", "neg0", sizes[0], sizes[1]), ("pos1", "neg1", sizes[2], sizes[3]), ("pos0 + pos1", "neg0 + neg1", sizes[0] + sizes[2], sizes[1] + sizes[3])]
-    ):
-        weight = F.expr(
-            f"log(({pos} + 0.5) / {p + 1}) - log(({neg} + 0.5) / {n + 1}) - {sureness} * sqrt(1 / ({pos} + 0.5) + 1 / ({neg} + 0.5))"
-        )
-        rows = found.select("unit", weight.alias("w"), F.lit(k).alias("k")).where(F.col("w") > least).orderBy(F.desc("w"), "unit").limit(MOST_UNITS)
-        top = rows if top is None else top.unionAll(rows)
-    out = [{}, {}, {}]
-    for r in top.collect():
-        out[r["k"]][r["unit"]] = r["w"]
+    p0, n0, p1, n1 = (float(x) for x in sizes)
+
+    def weight(pos: str, neg: str, p: float, n: float) -> Column:
+        return F.expr(f"log(({pos} + 0.5) / {p + 1}) - log(({neg} + 0.5) / {n + 1}) - {sureness} * sqrt(1 / ({pos} + 0.5) + 1 / ({neg} + 0.5))")
+
+    sides = [("pos0", "neg0", p0, n0), ("pos1", "neg1", p1, n1), ("pos0 + pos1", "neg0 + neg1", p0 + p1, n0 + n1)]
+    found = lexicon_counts(sample).select("unit", *(weight(*side).alias(f"w{k}") for k, side in enumerate(sides)))
+    out: list[dict[str, float]] = [{}, {}, {}]
+    for r in found.where(" OR ".join(f"w{k} > {least}" for k in range(3))).collect():
+        for k, lexicon in enumerate(out):
+            if r[f"w{k}"] > least:
+                lexicon[r["unit"]] = r[f"w{k}"]
     return out
 
 
@@ -175,7 +215,8 @@ def with_features(docs: DataFrame, extractor: Extractor, name: str, text: str =
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 b = whole.slice(start, 512)
-                made = pa.array([extractor(t.as_py()) for t in b.column(at)], pa.list_(pa.float64()))
+                x = extractor.many(b.column(at).to_pylist())
+                made = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, made], names=names)
 
     return docs.mapInArrow(run, schema)
@@ -188,9 +229,15 @@ class ToxicityModel:
         self.extractor, self.trees, self.isotonic, self.constant = extractor, trees, isotonic, constant
 
     def score(self, docs: DataFrame, name: str = "score", text: str = "text") -> DataFrame:
-        """``docs`` and the score of each row; null and empty texts are scored as texts without words."""
+        """``docs`` and the score of each row.
+
+        Null and empty texts are scored as texts without words; a text of any length is read whole. Repeated rows and
+        equal texts score alike. An empty table stays empty. A column called ``name`` is replaced; other columns may
+        have any names, as the columns made on the way take free ones.
+        """
         from pyspark.ml.functions import array_to_vector, vector_to_array
 
+        docs = docs.drop(name)
         if self.constant is not None:
             return docs.withColumn(name, F.lit(self.constant))
         features = free_name([*docs.columns, name], "toxicity_features")
@@ -214,7 +261,13 @@ def between(x: Column, xs: list[float], ys: list[float]) -> Column:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, trees: int = 24, depth: int = 3) -> ToxicityModel:
-    """Learn from the labelled sample of ``docs``: trees on three quarters, the calibration on the rest."""
+    """Learn from the labelled sample of ``docs``: trees on three quarters, the calibration on the rest.
+
+    Null ids, null labels and labels without a document are left out; null and empty texts are texts without words.
+    Repeated ids take the larger label, and each of their rows is learned from. If the sample is empty or has one class
+    only, the model is a constant: the share of toxic rows with one row of each class added. Only doc_id and text of
+    ``docs`` and doc_id and toxic of ``labels`` are read, whatever other columns there are.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
@@ -234,7 +287,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, bound: int = BOUND, trees:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more."""
+    """``docs`` without the rows that score ``threshold`` or more, with their own columns.
+
+    Rows of null or repeated ids are judged by their own texts; null and empty texts score as texts without words. An
+    empty table gives an empty result; without usable labels all rows score alike, and 0.5 or more drops them all.
+    """
     name = free_name(docs.columns, "toxicity_score")
     return fit_toxicity(docs, labels).score(docs, name).where(F.col(name) < threshold).select(*docs.columns)
 
