@@ -165,23 +165,153 @@ def test_polygon_edges(spark):
 
 def test_entities(spark):
     box = lambda x, y: (x - 20.0, y - 60.0, x + 20.0, y + 60.0)
-    r = entities.Resolver(25.0, 1, 810.0)
-    assert r.frame(1, [(1, box(100, 700)), (2, box(500, 700))]) == [0, 1]
-    assert r.frame(2, [(1, box(102, 700)), (9, box(101, 700))]) == [0, None]  # a duplicate of an accepted one
-    assert r.frame(3, [(9, box(104, 700))]) == [0]  # a new track over the old box
-    assert r.frame(200, [(1, box(104, 700))]) == [2]  # too long ago
-    assert r.frame(201, [(5, box(104, 700)), (6, box(106, 760))]) == [2, 3]
+    ids = lambda r, f, people: [got and got[0] for got in r.frame(f, [(t, 0.9, b) for t, b in people])]
+    at_once = TrustParams(drift_px=-1.0)
+    r = entities.Resolver(25.0, 1, 810.0, trust=at_once)
+    assert ids(r, 1, [(1, box(100, 700)), (2, box(500, 700))]) == [0, 1]
+    assert ids(r, 2, [(1, box(102, 700)), (9, box(101, 700))]) == [0, None]  # a duplicate of an accepted one
+    assert ids(r, 3, [(9, box(104, 700))]) == [0]  # a new track over the old box
+    assert ids(r, 200, [(1, box(104, 700))]) == [2]  # too long ago
+    assert ids(r, 201, [(5, box(104, 700)), (6, box(106, 760))]) == [2, 3]
     assert entities.Resolver(25.0, 1, 810.0, MatchParams()).frame(0, []) == []
+    on_probation = entities.Resolver(25.0, 1, 810.0)
+    assert ids(on_probation, 1, [(1, box(100, 700)), (9, box(101, 700))]) == [0, 1]  # only trusted ones make duplicates
+
+
+def test_entity_sizes_are_those_of_the_box_before():
+    r = entities.Resolver(25.0, 1, 1000.0, trust=TrustParams(drift_px=-1.0))
+    r.frame(1, [(1, 0.9, (0.0, 0.0, 10.0, 10.0))])
+    assert r.frame(2, [(2, 0.9, (-80.0, -80.0, 110.0, 110.0))])[0][0] == 1  # centres 14 apart: far for the small box, near for the large one
+    r = entities.Resolver(25.0, 1, 1000.0, trust=TrustParams(drift_px=-1.0))
+    r.frame(1, [(1, 0.9, (-80.0, -80.0, 110.0, 110.0))])
+    assert r.frame(2, [(2, 0.9, (0.0, 0.0, 10.0, 10.0))])[0][0] == 0
+
+
+def people(rng, n=240):
+    rows = []
+    for k in range(n):
+        x, y = rng.uniform(0, 260), rng.uniform(740, 880)
+        rows.append((1, k // 120, k // 4, rng.randrange(5), rng.choice([0.4, 0.6, 0.95]), x, y, x + rng.uniform(20, 60), y + rng.uniform(60, 140)))
+    return rows
+
+
+PEOPLE = "video long, clip_index long, frame long, track_id long, conf double, x1 double, y1 double, x2 double, y2 double"
+
+
+def fold_entities(rows, fps=25.0, line=810.0, drift=30.0, updates=6, sure=0.7):
+    """The stitching rules once more, as one plain loop over one event."""
+    import math
+
+    area = lambda b: max(1.0, (b[2] - b[0]) * (b[3] - b[1]))
+    diag = lambda b: math.hypot(b[2] - b[0], b[3] - b[1])
+    mid = lambda b: ((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    gap_most, ents, tracks_, out = int(2 * fps), [], {}, []
+
+    def overlap(a, b):
+        w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+        return w * h / (area(a) + area(b) - w * h) if w > 0 and h > 0 else 0.0
+
+    for frame in sorted({r[2] for r in rows}):
+        taken, accepted = set(), []
+        for _, _, _, track, conf, *b in sorted((r for r in rows if r[2] == frame), key=lambda r: (-r[4], *r[3:4], *r[5:])):
+            if any(overlap(b, o) >= 0.7 or math.dist(mid(b), mid(o)) / max(diag(b), diag(o)) <= 0.25 for o in accepted):
+                continue
+            live = [e for e in ents if frame - e["last"] <= gap_most]
+            ratio = lambda e: (frame - e["last"]) / gap_most
+            hit = tracks_.get(track)
+            kind = "own"
+            if hit is None or hit["id"] in taken or hit not in live:
+                hit = max((e for e in live if overlap(b, e["box"]) > 0), key=lambda e: (overlap(b, e["box"]), -e["id"]), default=None)
+                kind = "over"
+                if hit:
+                    o, g = hit["box"], ratio(hit)
+                    iou_, sizes = overlap(b, o), max(area(b), area(o)) / min(area(b), area(o))
+                    near = math.dist(mid(b), mid(o)) <= max(0.15, 0.35 * (1 - 0.5 * g)) * max(1.0, diag(o))
+                    strong = iou_ >= min(0.9, 0.5 + 0.2 * g)
+                    if hit["id"] in taken or not (strong or (iou_ >= min(0.8, 0.3 + 0.2 * g) and near and sizes <= max(1.3, 1.6 - 0.3 * g))):
+                        hit = None
+            if hit is None:
+                kind = "bridge"
+                for e in live:
+                    d, size, g = math.dist(mid(b), mid(e["box"])), max(1.0, diag(e["box"])), ratio(e)
+                    other_side = (int(mid(b)[1]) < line) != (int(mid(e["box"])[1]) < line)
+                    if (other_side and d <= 0.6 * (1 - 0.5 * g) * size) or (not other_side and g <= 0.3 and d <= 0.4 * size):
+                        hit = e
+                        break
+                if hit is None or hit["id"] in taken:
+                    hit = {"id": len(ents), "box": b, "last": frame, "from": mid(b), "far": 0.0, "sum": 0.0, "n": 0, "state": "probation"}
+                    ents.append(hit)
+            if kind != "bridge":
+                hit["box"], hit["last"] = b, frame
+            taken.add(hit["id"])
+            tracks_[track] = hit
+            if hit["state"] != "suppressed":
+                hit["far"], hit["sum"], hit["n"] = max(hit["far"], math.dist(mid(b), hit["from"])), hit["sum"] + conf, hit["n"] + 1
+                mean = hit["sum"] / hit["n"]
+                if hit["n"] >= updates and hit["far"] <= drift and mean < sure:
+                    hit["state"] = "suppressed"
+                elif hit["far"] > drift or (hit["n"] >= updates and mean >= sure):
+                    hit["state"] = "trusted"
+            if hit["state"] == "trusted":
+                accepted.append(b)
+            out.append((frame, track, hit["id"], hit["state"]))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_entities_equal_a_fold(spark, seed):
+    rows = people(random.Random(seed))
+    got = entities.resolve(spark.createDataFrame(rows, PEOPLE), 25.0, trust=TrustParams(drift_px=30.0, updates=6, confidence=0.7)).collect()
+    want = [(c, *x) for c in {r[1] for r in rows} for x in fold_entities([r for r in rows if r[1] == c])]
+    assert sorted((r["clip_index"], r["frame"], r["track_id"], r["entity_id"], r["state"]) for r in got) == sorted(want)
 
 
 def test_entities_do_not_hang_on_row_order(spark):
     rng = random.Random(3)
-    rows = [(1, k % 2, k // 4, rng.randrange(6), rng.random(), x := rng.uniform(0, 300), y := rng.uniform(700, 900), x + 40, y + 120) for k in range(200)]
-    cols = "video long, clip_index long, frame long, track_id long, conf double, x1 double, y1 double, x2 double, y2 double"
-    run = lambda rs: sorted(map(tuple, entities.resolve(spark.createDataFrame(rs, cols), 25.0).collect()))
+    rows = people(rng)
+    run = lambda rs: sorted(map(tuple, entities.resolve(spark.createDataFrame(rs, PEOPLE), 25.0).collect()))
     assert run(rows) == run(rng.sample(rows, len(rows)))
 
 
+def test_entity_states(spark):
+    walk = [(1, 0, f, 1 if f < 30 else 2, 0.9, 80.0, 640.0 + 4 * f, 120.0, 760.0 + 4 * f) for f in range(60)]
+    still = [(1, 0, f, 5, 0.5, 900.0, 640.0, 940.0, 760.0) for f in range(60)]
+    resolved = entities.resolve(spark.createDataFrame(walk + still, PEOPLE), 25.0)
+    got = entities.entity_states(resolved, 25.0, CrossingParams(dwell_s=0.2)).collect()
+    assert [(r["entity_id"], r["up"], r["down"]) for r in got] == [(0, 0, 1)]
+    assert [r["track_id"] for r in entities.suppressed_tracks(resolved).collect()] == [5]
+
+
+def test_sides_at_the_edges(spark):
+    p = CrossingParams(line_y=100, tolerance=6, dwell_s=0.08)
+    row = lambda ys: [(r["band"], r["streak"], r["side"]) for r in tracks.stable_sides(track(spark, ys), p).orderBy("frame").collect()]
+    assert row([94, 94, 94, 95, 106]) == [(True, 0, None), (True, 1, None), (True, 2, "above"), (True, 0, "above"), (True, 1, "above")]
+    assert row([80, 80, 120, 120]) == [(False, 0, None), (False, 1, None), (False, 2, "below"), (False, 3, "below")]  # streaks go on across the line
+    ways = lambda ys: [r["direction"] for r in tracks.band_crossings(track(spark, ys), p).orderBy("frame").collect()]
+    assert ways([94, 106]) == ["down"] and ways([106, 94]) == ["up"] and ways([95, 106]) == [] and ways([94, 100, 106]) == []
+    lit = lambda ys: [r["frame"] for r in tracks.highlights(track(spark, ys), p).orderBy("frame").collect()]
+    assert lit([100, 80, 80]) == [0]  # the first sample opens no window
+    assert lit([80, 106, 120, 120, 120, 120, 120, 120]) == [1, 2, 3, 4, 5, 6]
+    assert lit([100, 100, 80]) == [0, 1, 2]
+
+
+def test_reacquired_on_the_other_side(spark):
+    rows = [(1, f, 7, e, float(y)) for f, e, y in [(0, 1, 90), (1, 1, 95), (2, 2, 120), (3, 2, 125), (4, 3, 130)]]
+    df = spark.createDataFrame(rows, "video long, frame long, track_id long, entity_id long, cy double").withColumn("cx", F.lit(0.0))
+    got = tracks.reacquired(df, 100).collect()
+    assert [(r["entity_id"], r["frame"], r["start_side"], r["direction"]) for r in got] == [(2, 2, "above", "down")]
+    net = {r["entity_id"]: (r["up"], r["down"]) for r in tracks.entity_crossings(df, 25.0, CrossingParams(line_y=100)).collect()}
+    assert net == {1: (0, 0), 2: (0, 1), 3: (0, 0)}
+
+
+@pytest.mark.parametrize(
+    ("path", "stamp"),
+    [("a/Cam_00_20240102030405.mp4", "03H04M"), ("2024010217/09M27S_1.mp4", "17H09M"), ("x17/0927.mp4", "17H09M"), ("xy/name.mp4", "00H00M"), ("name.mp4", "00H00M")],
+)
+def test_button_stamp(spark, path, stamp):
+    assert spark.range(1).select(C.button_stamp(F.lit(path))).first()[0] == stamp
+
+
 def test_diverse_choice_rules():
     rng = np.random.default_rng(4)
     p = ReidParams()

@@ -69,6 +69,15 @@ def caption_stamp(ts: Column) -> Column:
     return F.date_format(ts, "'_'HH'h'mm'm:_'")
 
 
+def button_stamp(path: Column) -> Column:
+    """HHhMM as on buttons (HHHMMM): the path's time, else the folder's last two digits and the name's first two; 00 where there is none."""
+    at = time_from_path(path)
+    hour = some(F.regexp_extract(path, r"(?:^|/)[^/]*(\d{2})/[^/]*$", 1))
+    mm, _ = _legacy(basename(path))
+    text = lambda h, m: F.concat(h, F.lit("H"), m, F.lit("M"))
+    return F.coalesce(text(F.date_format(at, "HH"), F.date_format(at, "mm")), text(F.coalesce(hour, F.lit("00")), F.coalesce(mm, F.lit("00"))))
+
+
 def duration_text(minutes: Column) -> Column:
     """1h14m, 2h, 5m, 0m."""
     h, m = F.floor(minutes / 60), minutes % 60
@@ -133,11 +142,36 @@ def bounds(polygon: Column, pad: Column, width: Column, height: Column) -> Colum
 
 
 def rescale(polygon: Column, width: Column, height: Column) -> Column:
-    """As it is if it fits the frame; halved if that fits; else clipped to the frame."""
-    fits = lambda f: (F.array_max(F.transform(polygon, lambda p: p[0])) * f <= width) & (F.array_max(F.transform(polygon, lambda p: p[1])) * f <= height)
-    half = F.transform(polygon, lambda p: F.transform(p, lambda v: F.floor(v * 0.5).cast("int")))
-    clipped = F.transform(polygon, lambda p: F.array(F.least(p[0], width - 1), F.least(p[1], height - 1)))
-    return F.when(fits(1.0), polygon).when(fits(0.5), half).otherwise(clipped)
+    """As it is if it fits the frame; halved if that fits; else halved and clipped to the frame."""
+    half = _halved(polygon)
+    return F.when(_fits(polygon, width, height), polygon).when(_fits(half, width, height), half).otherwise(_clipped(half, width, height))
+
+
+def rescale_small(polygon: Column, width: Column, height: Column) -> Column:
+    """For small frames: as it is or halved if that fits; else scaled from the resolution that the points look like, and clipped."""
+    half = _halved(polygon)
+    high = (_largest(polygon, 0) > 2500) | (_largest(polygon, 1) > 1400)
+    share = lambda size, full, less: (size / F.when(high, full).otherwise(less)).cast("float")
+    sx, sy = share(width, 3840, 1920), share(height, 2160, 1080)
+    scaled = F.transform(polygon, lambda p: F.array((p[0].cast("float") * sx).cast("int"), (p[1].cast("float") * sy).cast("int")))
+    return F.when(_fits(polygon, width, height), polygon).when(_fits(half, width, height), half).otherwise(_clipped(scaled, width, height))
+
+
+def _largest(polygon: Column, axis: int) -> Column:
+    return F.array_max(F.transform(polygon, lambda p: p[axis]))
+
+
+def _fits(polygon: Column, width: Column, height: Column) -> Column:
+    return (_largest(polygon, 0) <= width) & (_largest(polygon, 1) <= height)
+
+
+def _halved(polygon: Column) -> Column:
+    return F.transform(polygon, lambda p: F.transform(p, lambda v: (v * 0.5).cast("int")))
+
+
+def _clipped(polygon: Column, width: Column, height: Column) -> Column:
+    inside = lambda v, size: F.greatest(F.lit(0), F.least(v, size - 1))
+    return F.transform(polygon, lambda p: F.array(inside(p[0], width), inside(p[1], height)))
 
 
 # ---- vectors (SC2, SC3)

@@ -2,7 +2,9 @@
 
 Detections of an event go through in order of frame and falling confidence. A detection close to one that was
 already accepted in its frame is dropped as a duplicate. Otherwise it continues its track's entity, else the
-best overlapping recent entity, else one that plausibly passed the line, else it starts a new entity.
+best overlapping recent entity, else one that plausibly passed the line, else it starts a new entity. Entities are
+on probation until they move or stay confident; those that do neither are suppressed for good. Only detections of
+trusted entities are accepted and can make others duplicates.
 """
 
 from __future__ import annotations
@@ -11,8 +13,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from watchlake.params import MatchParams
+from watchlake.operators.tracks import entity_crossings
+from watchlake.params import CrossingParams, MatchParams, TrustParams
 
 
 def _iou(a: tuple, b: tuple) -> float:
@@ -22,31 +26,52 @@ def _iou(a: tuple, b: tuple) -> float:
 
 
 def _area(a: tuple) -> float:
-    return max(1.0, (a[2] - a[0]) * (a[3] - a[1]))
+    return max(1.0, max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]))
 
 
 def _diagonal(a: tuple) -> float:
-    return ((a[2] - a[0]) ** 2 + (a[3] - a[1]) ** 2) ** 0.5
+    return (max(0.0, a[2] - a[0]) ** 2 + max(0.0, a[3] - a[1]) ** 2) ** 0.5
 
 
 def _apart(a: tuple, b: tuple) -> float:
     return (((a[0] + a[2] - b[0] - b[2]) / 2) ** 2 + ((a[1] + a[3] - b[1] - b[3]) / 2) ** 2) ** 0.5
 
 
+class Trust:
+    """Whether an entity is on probation, trusted or suppressed, from how far it moved and how confident it was."""
+
+    def __init__(self, x: float, y: float):
+        self.x, self.y, self.far, self.total, self.n, self.state = x, y, 0.0, 0.0, 0, "probation"
+
+    def update(self, x: float, y: float, conf: float, p: TrustParams) -> str:
+        if self.state == "suppressed":
+            return self.state
+        self.far = max(self.far, ((x - self.x) ** 2 + (y - self.y) ** 2) ** 0.5)
+        self.total += conf
+        self.n += 1
+        sure = self.total / self.n >= p.confidence
+        if self.n >= p.updates and self.far <= p.drift_px and not sure:
+            self.state = "suppressed"
+        elif self.far > p.drift_px or (self.n >= p.updates and sure):
+            self.state = "trusted"
+        return self.state
+
+
 class Resolver:
-    """State of one event; small: an entity is its last box and frame."""
+    """State of one event; small: an entity is its last box and frame, and its trust."""
 
-    def __init__(self, fps: float, stride: int, line_y: float, p: MatchParams = MatchParams()):
-        self.p, self.line_y, self.most_gap = p, line_y, max(1, int(p.gap_s * fps * stride))
+    def __init__(self, fps: float, stride: int, line_y: float, p: MatchParams = MatchParams(), trust: TrustParams = TrustParams()):
+        self.p, self.trusts, self.line_y, self.most_gap = p, trust, line_y, int(p.gap_s * fps * stride)
         self.boxes: list[tuple] = []
         self.frames: list[int] = []
+        self.trust: list[Trust] = []
         self.of_track: dict[int, int] = {}
 
     def _recent(self, frame: int) -> Iterator[tuple[int, float]]:
         """Entities seen within the largest gap, with the gap's share of it."""
         for e, last in enumerate(self.frames):
             if frame - last <= self.most_gap:
-                yield e, min(1.0, max(0.0, (frame - last) / self.most_gap))
+                yield e, min(1.0, max(0.0, (frame - last) / max(1.0, self.most_gap)))
 
     def _overlapping(self, frame: int, box: tuple) -> int | None:
         best = max(self._recent(frame), key=lambda x: (_iou(box, self.boxes[x[0]]), -x[0]), default=None)
@@ -54,37 +79,45 @@ class Resolver:
             return None
         e, g = best
         other = self.boxes[e]
-        over, diag = _iou(box, other), max(_diagonal(box), _diagonal(other))
+        over, allowed = _iou(box, other), max(1.0, _diagonal(other))
         ratio = max(_area(box), _area(other)) / min(_area(box), _area(other))
-        near = _apart(box, other) <= max(0.15, self.p.distance * (1 - 0.5 * g)) * diag
+        near = _apart(box, other) <= max(0.15, self.p.distance * (1 - 0.5 * g)) * allowed
         if over >= min(0.9, self.p.iou + 0.2 * g):
             return e
         if over >= min(0.8, self.p.iou_near + 0.2 * g) and near and ratio <= max(1.3, self.p.size_ratio - 0.3 * g):
             return e
         return None
 
+    def _above(self, box: tuple) -> bool:
+        return int((box[1] + box[3]) / 2) < self.line_y
+
     def _across(self, frame: int, box: tuple) -> int | None:
-        above = (box[1] + box[3]) / 2 < self.line_y
         for e, g in self._recent(frame):
             other = self.boxes[e]
-            diag, gone = max(_diagonal(box), _diagonal(other)), _apart(box, other)
-            if above != ((other[1] + other[3]) / 2 < self.line_y):
-                if gone <= 0.6 * (1 - 0.5 * g) * diag:
+            allowed, gone = max(1.0, _diagonal(other)), _apart(box, other)
+            if self._above(box) != self._above(other):
+                if gone <= 0.6 * (1 - 0.5 * g) * allowed:
                     return e
-            elif g <= 0.3 and gone <= 0.4 * diag:
+            elif g <= 0.3 and gone <= 0.4 * allowed:
                 return e
         return None
 
-    def frame(self, frame: int, people: list[tuple[int, tuple]]) -> list[int | None]:
-        """The entity of each (track, box), most confident first; None for duplicates."""
-        out: list[int | None] = []
+    def _repeats(self, box: tuple, accepted: list[tuple]) -> bool:
+        for b in accepted:
+            size = max(_diagonal(box), _diagonal(b))
+            if _iou(box, b) >= self.p.duplicate_iou or size > 0 and _apart(box, b) / size <= self.p.duplicate_distance:
+                return True
+        return False
+
+    def frame(self, frame: int, people: list[tuple[int, float, tuple]]) -> list[tuple[int, str] | None]:
+        """(entity, state) of each (track, confidence, box), most confident first; None for duplicates."""
+        out: list[tuple[int, str] | None] = []
         accepted: list[tuple] = []
         used: set[int] = set()
-        for track, box in people:
-            if any(_iou(box, b) >= self.p.duplicate_iou or _apart(box, b) / max(_diagonal(box), _diagonal(b)) <= self.p.duplicate_distance for b in accepted):
+        for track, conf, box in people:
+            if self._repeats(box, accepted):
                 out.append(None)
                 continue
-            accepted.append(box)
             e = self.of_track.get(track)
             refresh = True
             if e is None or e in used or frame - self.frames[e] > self.most_gap:
@@ -95,29 +128,57 @@ class Resolver:
                     e, refresh = len(self.boxes), True
                     self.boxes.append(box)
                     self.frames.append(frame)
+                    self.trust.append(Trust((box[0] + box[2]) * 0.5, (box[1] + box[3]) * 0.5))
             if refresh:
                 self.boxes[e], self.frames[e] = box, frame
             self.of_track[track] = e
             used.add(e)
-            out.append(e)
+            state = self.trust[e].update((box[0] + box[2]) * 0.5, (box[1] + box[3]) * 0.5, conf, self.trusts)
+            if state == "trusted":
+                accepted.append(box)
+            out.append((e, state))
         return out
 
 
-def resolve(people: DataFrame, fps: float, stride: int = 1, line_y: float = 810.0, p: MatchParams = MatchParams()) -> DataFrame:
-    """(video, clip_index, frame, track_id, entity_id) of accepted detections; needs conf and x1, y1, x2, y2.
+RESOLVED = "video long, clip_index long, frame long, track_id long, entity_id long, state string, cx double, cy double"
+
 
-    Entities are numbered from 0 in each event. Equal confidences go by track id. An event is a bounded stretch of
+def resolve(
+    people: DataFrame, fps: float, stride: int = 1, line_y: float = 810.0, p: MatchParams = MatchParams(), trust: TrustParams = TrustParams()
+) -> DataFrame:
+    """The columns of ``RESOLVED`` of people's detections that aren't duplicates; needs conf and x1, y1, x2, y2.
+
+    Entities are numbered from 0 in each event. Equal confidences go by track id, then by box. An event is a bounded stretch of
     one clip, so it is one group; events go to different tasks.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "conf", "track_id"], ascending=[True, False, True])
-        state, rows = Resolver(fps, stride, line_y, p), []
+        pdf = pdf.sort_values(["frame", "conf", "track_id", "x1", "y1", "x2", "y2"], ascending=[True, False, True, True, True, True, True])
+        state, rows = Resolver(fps, stride, line_y, p, trust), []
         for frame, part in pdf.groupby("frame", sort=True):
-            people = [(int(t), tuple(map(float, b))) for t, *b in part[["track_id", "x1", "y1", "x2", "y2"]].itertuples(index=False)]
-            rows += [(frame, t, e) for (t, _), e in zip(people, state.frame(int(frame), people)) if e is not None]
-        out = pd.DataFrame(rows, columns=["frame", "track_id", "entity_id"])
-        return out.assign(video=pdf["video"].iloc[0], clip_index=pdf["clip_index"].iloc[0])[["video", "clip_index", "frame", "track_id", "entity_id"]]
+            found = [(int(t), float(c), tuple(map(float, b))) for t, c, *b in part[["track_id", "conf", "x1", "y1", "x2", "y2"]].itertuples(index=False)]
+            for (t, _, b), got in zip(found, state.frame(int(frame), found)):
+                if got:
+                    rows.append((frame, t, *got, (b[0] + b[2]) / 2, (b[1] + b[3]) / 2))
+        out = pd.DataFrame(rows, columns=["frame", "track_id", "entity_id", "state", "cx", "cy"])
+        return out.assign(video=pdf["video"].iloc[0], clip_index=pdf["clip_index"].iloc[0])[["video", "clip_index", *out.columns]]
 
     cols = ["video", "clip_index", "frame", "track_id", "conf", "x1", "y1", "x2", "y2"]
-    return people.select(*cols).groupBy("video", "clip_index").applyInPandas(run, "video long, clip_index long, frame long, track_id long, entity_id long")
+    return people.select(*cols).groupBy("video", "clip_index").applyInPandas(run, RESOLVED)
+
+
+def suppressed_tracks(resolved: DataFrame) -> DataFrame:
+    """(video, clip_index, track_id): all tracks that were ever part of an entity that ended suppressed."""
+    gone = resolved.where("state = 'suppressed'").select("video", "clip_index", "entity_id").distinct()
+    return resolved.join(gone, ["video", "clip_index", "entity_id"], "left_semi").select("video", "clip_index", "track_id").distinct()
+
+
+def entity_states(resolved: DataFrame, fps: float, p: CrossingParams = CrossingParams()) -> DataFrame:
+    """(video, clip_index, entity_id, first_frame, last_frame, up, down): trusted entities with their net crossings.
+
+    An entity's crossings are told from its samples since it is trusted, as ``tracks.entity_crossings`` does.
+    """
+    seen = resolved.where("state = 'trusted'").withColumn("event", F.struct("video", "clip_index"))
+    spans = seen.groupBy("event", "entity_id").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
+    moves = entity_crossings(seen.drop("video").withColumnRenamed("event", "video"), fps, p).withColumnRenamed("video", "event")
+    return spans.join(moves, ["event", "entity_id"]).select("event.video", "event.clip_index", "entity_id", "first_frame", "last_frame", "up", "down")

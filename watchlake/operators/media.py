@@ -41,6 +41,13 @@ def gallery_copies(videos: DataFrame, index: DataFrame, k: int = 2, only_matched
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("stem").orderBy("path"))).where(F.col("k") <= k).select("stem", "path")
 
 
+def copies_in_gallery(copies: DataFrame, gallery: DataFrame, present: bool = True) -> DataFrame:
+    """Copies whose file name is (or isn't) among the gallery's paths."""
+    names = gallery.select(C.basename(F.col("path")).alias("name")).distinct()
+    rows = copies.withColumn("name", C.basename(F.col("path")))
+    return rows.join(names, "name", "left_semi" if present else "left_anti").drop("name")
+
+
 def nth_frames(frames: DataFrame, nth: int = 30) -> DataFrame:
     """(pos, path): the nth frame of each clip, clips by folder and the number in their name, names without one last."""
     got = frames.where(F.col("frame") == nth).select("path").distinct()

@@ -61,6 +61,12 @@ def expired(files: DataFrame, now: Column, days: int) -> DataFrame:
     return files.where(F.col("mday") < F.date_sub(now, days))
 
 
+def expired_days(folders: DataFrame, today: Column, days: int) -> DataFrame:
+    """Folders named YYYYMMDD whose day is more than ``days`` before today; other names never expire."""
+    name = F.when(F.col("folder").rlike(r"^\d{8}$"), F.col("folder"))
+    return folders.where(F.try_to_date(name, F.lit("yyyyMMdd")) < F.date_sub(today, days))
+
+
 def empty_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
     return folders.join(files.select("folder").distinct(), "folder", "left_anti")
 
@@ -71,7 +77,7 @@ def empty_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
 def offline_since(health: DataFrame) -> DataFrame:
     """(host, since, samples): start of the current offline streak; hosts whose last sample is fine have no row."""
     back = health.groupBy("host").agg(F.max(F.when(F.col("status") != "offline", F.struct("ts", "n"))).alias("ok"))
-    rows = health.join(F.broadcast(back), "host").where(F.col("ok").isNull() | (F.struct("ts", "n") > F.col("ok")))
+    rows = health.join(back, "host").where(F.col("ok").isNull() | (F.struct("ts", "n") > F.col("ok")))
     return rows.groupBy("host").agg(F.min("ts").alias("since"), F.count("*").alias("samples"))
 
 
@@ -136,7 +142,7 @@ def stage_profile(times: DataFrame, top: int = 5) -> DataFrame:
     rows = rows.groupBy(F.when(F.col("in_head"), F.col("stage")).otherwise("other").alias("stage")).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     whole = sums.agg(F.sum("total").alias("whole"))
     rows = rows.join(F.broadcast(whole))
-    return rows.select("stage", "total", "n", (100 * F.col("total") / F.col("whole")).alias("percent"), (1000 * F.col("total") / F.col("n")).alias("mean_ms"))
+    return rows.select("stage", "total", "n", F.try_divide(100 * F.col("total"), F.col("whole")).alias("percent"), F.try_divide(1000 * F.col("total"), F.col("n")).alias("mean_ms"))
 
 
 def as_of(times: DataFrame, readings: DataFrame, tolerance: int, by: str) -> DataFrame:
@@ -163,6 +169,15 @@ def stale_folders(current: DataFrame, stored: DataFrame, *by: str) -> DataFrame:
     return current.join(stored, [*by, "signature"], "left_anti")
 
 
+def prior_status(metrics: DataFrame) -> DataFrame:
+    """(file, prior_status): the last status that was reported when motion detection was complete, of files that were new in the log."""
+    done = F.when(F.col("content").rlike(r"Motion\s+detection\s+complete\.\s+Status:"), F.col("status"))
+    rows = metrics.where("video IS NOT NULL").groupBy(F.col("video").alias("file")).agg(
+        F.bool_or("is_new").alias("new"), F.max_by(done, F.when(done.isNotNull(), F.col("n"))).alias("prior_status")
+    )
+    return rows.where("new").select("file", "prior_status")
+
+
 def replay_work(seen: DataFrame, listing: DataFrame, results: DataFrame) -> DataFrame:
     """(file, prior_status, new_status): files that weren't no_motion before; file_missing and unknown where they apply."""
     rows = seen.where(F.coalesce("prior_status", F.lit("")) != "no_motion")

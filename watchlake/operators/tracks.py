@@ -100,6 +100,82 @@ def ranked(det: DataFrame) -> DataFrame:
     return det.withColumn("rank", F.row_number().over(Window.partitionBy("video", "frame").orderBy(F.desc("conf"), "track_id", "cx")))
 
 
+def moving_contours(contours: DataFrame, least_area: float, scale: float = 1.0) -> DataFrame:
+    """Contours with more area than ``least_area``, which is given for the unscaled frame."""
+    return contours.where(F.col("area") > least_area * scale**2)
+
+
+def solid_contours(contours: DataFrame, least_area: float = 2000.0, solidity: float = 0.8) -> DataFrame:
+    """Contours of ``least_area`` or more that fill enough of their hull; a hull without area is never filled."""
+    return contours.where((F.col("area") >= least_area) & (F.coalesce(F.try_divide("area", "hull_area"), F.lit(0.0)) >= solidity))
+
+
+def cars_over(det: DataFrame, x: float, y: float) -> DataFrame:
+    """Cars whose box holds the point, edges included."""
+    return det.where((F.col("cls") == "car") & F.lit(x).between(F.col("x1"), F.col("x2")) & F.lit(y).between(F.col("y1"), F.col("y2")))
+
+
+def crop_rectangles(det: DataFrame, pad: int, width: int, height: int, lowest: int | None = None) -> DataFrame:
+    """``det`` with padded whole-pixel boxes inside the frame; boxes that end below ``lowest`` and empty ones have no row."""
+    pixel = lambda c: F.col(c).cast("int")
+    rows = det if lowest is None else det.where(pixel("y2") <= lowest)
+    rows = rows.withColumns({
+        "x1": F.greatest(F.lit(0), pixel("x1") - pad), "y1": F.greatest(F.lit(0), pixel("y1") - pad),
+        "x2": F.least(F.lit(width), pixel("x2") + pad), "y2": F.least(F.lit(height), pixel("y2") + pad),
+    })
+    return rows.where("x2 > x1 AND y2 > y1")
+
+
+def output_frames(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows of padded windows that are shown: every ``output_stride``-th frame, and the ``marked`` (video, frame) ones.
+
+    Marked are frames with a crossing or a highlight.
+    """
+    at = marked.select("video", "frame").distinct().withColumn("shown", F.lit(True))
+    in_step = (F.col("frame") - F.col("padded_start")) % F.col("output_stride") == 0
+    return rows.join(at, ["video", "frame"], "left").where(in_step | F.col("shown")).drop("shown")
+
+
+def person_frames(det: DataFrame, polygon: Column, least: int = CrossingParams.person_frames) -> DataFrame:
+    """(video, clip_index, frames) of events with ``least`` or more frames in which a person's centre is in the polygon."""
+    inside = C.in_polygon(F.col("cx").cast("int"), F.col("cy").cast("int"), polygon)
+    found = det.where((F.col("cls") == "person") & inside).groupBy("video", "clip_index").agg(F.count_distinct("frame").alias("frames"))
+    return found.where(F.col("frames") >= least)
+
+
+def without_suppressed(rows: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """Rows whose track of that event isn't suppressed."""
+    return rows.join(suppressed.select("video", "clip_index", "track_id"), ["video", "clip_index", "track_id"], "left_anti")
+
+
+def unique_objects(det: DataFrame, kept: DataFrame, suppressed: DataFrame) -> DataFrame:
+    """(video, persons, cars): different tracks in kept events; tracks that were suppressed don't count as persons, also not before.
+
+    ``det`` has video, clip_index, track_id, cls; ``kept`` (video, clip_index); ``suppressed`` (video, clip_index, track_id).
+    """
+    tracks = det.select("video", "clip_index", "track_id", "cls").distinct().join(kept.select("video", "clip_index").distinct(), ["video", "clip_index"], "left_semi")
+    persons = without_suppressed(tracks.where("cls = 'person'"), suppressed)
+    one = lambda c: F.count_distinct(F.when(F.col("cls") == c, F.col("track_id"))).alias(f"{c}s")
+    return persons.unionByName(tracks.where("cls = 'car'")).groupBy("video").agg(one("person"), one("car"))
+
+
+def tracking_table(det: DataFrame, timings: DataFrame, line_y: float) -> DataFrame:
+    """(video, persons, cars, ups, downs, fps): one row per clip; people's steps over the line, and frames done a second.
+
+    ``timings`` has video, total_frames and seconds; a clip without a time has 0 frames a second.
+    """
+    w = _track()
+    rows = det.withColumn("y", _row()).withColumn("before", F.lag("y").over(w))
+    person = F.col("cls") == "person"
+    one = lambda c: F.count_distinct(F.when(F.col("cls") == c, F.col("track_id"))).alias(f"{c}s")
+    counts = rows.groupBy("video").agg(
+        one("person"), one("car"), F.count_if(person & (F.col("before") > line_y) & (F.col("y") <= line_y)).alias("ups"),
+        F.count_if(person & (F.col("before") < line_y) & (F.col("y") >= line_y)).alias("downs"),
+    )
+    rate = F.when(F.col("seconds") > 0, F.try_divide(F.col("total_frames").cast("double"), F.col("seconds")))
+    return counts.join(timings.select("video", F.coalesce(rate, F.lit(0.0)).alias("fps")), "video", "left").fillna(0.0, ["fps"])
+
+
 def local_ids(det: DataFrame) -> DataFrame:
     """(video, cls, track_id, local_id): tracks numbered per class by first appearance, then confidence."""
     first = det.groupBy("video", "cls", "track_id").agg(F.min(F.struct("frame", -F.col("conf"))).alias("at"))
@@ -120,85 +196,136 @@ def display_ids(entities: DataFrame, kept: DataFrame) -> DataFrame:
 # ---- crossings
 
 
-def _track() -> Window:
-    return Window.partitionBy("video", "track_id").orderBy("frame")
+def _track(key: str = "track_id") -> Window:
+    return Window.partitionBy("video", key).orderBy("frame")
+
 
+def _row() -> Column:
+    """A centre's pixel row."""
+    return F.col("cy").cast("long")
 
-def plain_crossings(det: DataFrame, line_y: float) -> DataFrame:
-    """(video, track_id, frame, direction) of steps over the line; landing on it counts as over."""
-    y, before = F.col("cy"), F.lag("cy").over(_track())
-    way = F.when((before < line_y) & (y >= line_y), "down").when((before > line_y) & (y <= line_y), "up")
-    return det.withColumn("direction", way).where("direction IS NOT NULL").select("video", "track_id", "frame", "direction")
 
+def _steps(det: DataFrame, key: str, down: Column, up: Column) -> DataFrame:
+    """(video, key, frame, direction) of the samples where one of the conditions over ``y`` and ``before`` holds."""
+    rows = det.withColumn("y", _row()).withColumn("before", F.lag("y").over(_track(key)))
+    return rows.withColumn("direction", F.when(down, "down").when(up, "up")).where("direction IS NOT NULL").select("video", key, "frame", "direction")
 
-def band_crossings(det: DataFrame, p: CrossingParams = CrossingParams()) -> DataFrame:
-    """Steps from beyond one edge of the tolerance band to beyond the other."""
-    lo, hi, before = p.line_y - p.tolerance, p.line_y + p.tolerance, F.lag("cy").over(_track())
-    way = F.when((before < lo) & (F.col("cy") > hi), "down").when((before > hi) & (F.col("cy") < lo), "up")
-    return det.withColumn("direction", way).where("direction IS NOT NULL").select("video", "track_id", "frame", "direction")
 
+def plain_crossings(det: DataFrame, line_y: float, key: str = "track_id") -> DataFrame:
+    """Steps over the line; landing on it counts as over."""
+    y, before = F.col("y"), F.col("before")
+    return _steps(det, key, (before < line_y) & (y >= line_y), (before > line_y) & (y <= line_y))
 
-def stable_sides(det: DataFrame, p: CrossingParams = CrossingParams()) -> DataFrame:
-    """Adds band (in the tolerance band), streak (samples outside it in a row) and side (the stable one so far)."""
-    w, y = _track(), F.col("cy")
-    in_band = F.abs(y - p.line_y) <= p.tolerance
-    rows = det.withColumn("band", in_band)
-    rows = rows.withColumn("run", F.sum(F.col("band").cast("int")).over(w))
-    streak = F.sum((~F.col("band")).cast("int")).over(Window.partitionBy("video", "track_id", "run").orderBy("frame"))
-    rows = rows.withColumn("streak", F.when(F.col("band"), 0).otherwise(streak))
-    now = F.when(F.col("streak") >= p.stable, F.when(y < p.line_y, "above").otherwise("below"))
-    return rows.withColumn("qualified", now).withColumn("side", F.last("qualified", ignorenulls=True).over(w)).drop("run")
 
+def band_crossings(det: DataFrame, p: CrossingParams = CrossingParams(), key: str = "track_id") -> DataFrame:
+    """Steps from one edge of the tolerance band, or beyond it, to the other edge or beyond."""
+    lo, hi, y, before = p.line_y - p.tolerance, p.line_y + p.tolerance, F.col("y"), F.col("before")
+    return _steps(det, key, (before <= lo) & (y >= hi), (before >= hi) & (y <= lo))
 
-def confirmed_crossings(det: DataFrame, fps: float, p: CrossingParams = CrossingParams()) -> DataFrame:
-    """(video, track_id, frame, direction): changes of the stable side that last ``dwell_s``, or hold to the end.
+
+def stable_sides(det: DataFrame, p: CrossingParams = CrossingParams(), key: str = "track_id") -> DataFrame:
+    """Adds band (within the tolerance), streak (samples in a row at an edge or beyond) and side (the stable one so far).
+
+    The edges belong to the band and to their side. The first sample of a track only tells where it appeared: it
+    doesn't count towards a streak. A streak goes on when the side changes.
+    """
+    w, y = _track(key), F.col("y")
+    rows = det.withColumn("y", _row()).withColumn("first", F.row_number().over(w) == 1)
+    rows = rows.withColumn("band", F.abs(y - p.line_y) <= p.tolerance).withColumn("out", (F.abs(y - p.line_y) >= p.tolerance) & ~F.col("first"))
+    rows = rows.withColumn("run", F.sum((~F.col("out")).cast("int")).over(w))
+    streak = F.sum(F.col("out").cast("int")).over(Window.partitionBy("video", key, "run").orderBy("frame"))
+    rows = rows.withColumn("streak", F.when(F.col("out"), streak).otherwise(0))
+    now = F.when(F.col("out") & (F.col("streak") >= p.stable), F.when(y < p.line_y, "above").otherwise("below"))
+    return rows.withColumn("qualified", now).withColumn("side", F.last("qualified", ignorenulls=True).over(w)).drop("run", "out", "first", "y")
+
+
+def confirmed_crossings(det: DataFrame, fps: float, p: CrossingParams = CrossingParams(), key: str = "track_id") -> DataFrame:
+    """(video, key, frame, direction): changes of the stable side that last ``dwell_s``, or hold to the end.
 
     Runs of equal qualified sides are islands; a run after another one is a crossing at its first frame. It counts
     if a qualified sample comes ``dwell_s`` later, or if it is the track's last run and the last sample is on its side.
     """
-    rows = stable_sides(det, p)
-    w = _track()
-    ends = rows.groupBy("video", "track_id").agg(F.max_by(F.when(F.col("cy") < p.line_y, "above").otherwise("below"), "frame").alias("final"))
+    rows = stable_sides(det, p, key)
+    w = _track(key)
+    ends = rows.groupBy("video", key).agg(F.max_by(F.when(_row() < p.line_y, "above").otherwise("below"), "frame").alias("final"))
     q = rows.where("qualified IS NOT NULL")
     q = q.withColumn("new", F.coalesce(F.col("qualified") != F.lag("qualified").over(w), F.lit(True)).cast("int"))
-    runs = q.withColumn("run", F.sum("new").over(w)).groupBy("video", "track_id", "run", "qualified").agg(F.min("frame").alias("frame"), F.max("frame").alias("until"))
-    last = F.lead("run").over(Window.partitionBy("video", "track_id").orderBy("run")).isNull()
-    runs = runs.withColumn("last", last).join(ends, ["video", "track_id"])
+    runs = q.withColumn("run", F.sum("new").over(w)).groupBy("video", key, "run", "qualified").agg(F.min("frame").alias("frame"), F.max("frame").alias("until"))
+    last = F.lead("run").over(Window.partitionBy("video", key).orderBy("run")).isNull()
+    runs = runs.withColumn("last", last).join(ends, ["video", key])
     ok = (F.col("until") - F.col("frame") >= int(p.dwell_s * fps)) | (F.col("last") & (F.col("final") == F.col("qualified")))
     way = F.when(F.col("qualified") == "below", "down").otherwise("up")
-    return runs.where((F.col("run") > 1) & ok).select("video", "track_id", "frame", way.alias("direction"))
+    return runs.where((F.col("run") > 1) & ok).select("video", key, "frame", way.alias("direction"))
 
 
-def highlights(det: DataFrame, p: CrossingParams = CrossingParams()) -> DataFrame:
-    """(video, track_id, frame) in the band, or within some frames after its last entry."""
-    w = _track()
-    band = F.abs(F.col("cy") - p.line_y) <= p.tolerance
-    rows = det.withColumn("band", band).withColumn("was", F.coalesce(F.lag("band").over(w), F.lit(False)))
-    opened = F.max(F.when(F.col("band") & ~F.col("was"), F.col("frame") + p.highlight_frames)).over(w)
-    return rows.withColumn("until", opened).where("band OR frame <= until").select("video", "track_id", "frame")
+def with_known_side(det: DataFrame, line_y: float) -> DataFrame:
+    """Adds y, side, nth (the sample's place in its entity) and known (the side where the tracker id was last seen before).
 
+    A sample that steps over the line isn't remembered as the tracker id's last side.
+    """
+    rows = det.withColumns({"y": _row(), "nth": F.row_number().over(_track("entity_id"))})
+    rows = rows.withColumns({"side": F.when(F.col("y") < line_y, "above").otherwise("below"), "before": F.lag("y").over(_track("entity_id"))})
+    steps = F.expr(f"(before < {line_y} AND y >= {line_y}) OR (before > {line_y} AND y <= {line_y})")
+    rows = rows.withColumn("kept", F.when(~F.coalesce(steps, F.lit(False)), F.col("side")))
+    earlier = _track().rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("known", F.last("kept", ignorenulls=True).over(earlier)).drop("before", "kept")
 
-def trust(det: DataFrame, p: TrustParams = TrustParams()) -> DataFrame:
-    """(video, track_id, frame, state): probation, trusted or suppressed after each update; suppression is for good."""
-    w = _track()
+
+def reacquired(det: DataFrame, line_y: float) -> DataFrame:
+    """(video, entity_id, frame, start_side, direction): entities whose first sample is across the line from where its tracker id was."""
+    rows = with_known_side(det, line_y).where("nth = 1 AND known <> side")
+    return rows.select("video", "entity_id", "frame", F.col("known").alias("start_side"), F.when(F.col("side") == "below", "down").otherwise("up").alias("direction"))
+
+
+def entity_crossings(det: DataFrame, fps: float, p: CrossingParams = CrossingParams()) -> DataFrame:
+    """(video, entity_id, up, down): each entity's net directions from all signs of a crossing.
+
+    ``det`` has video, entity_id, track_id, frame, cy of trusted people. Signs are steps over the band, confirmed changes
+    of the stable side and re-acquisition on the other side, which also moves the entity's start to the side left.
+    """
+    found = reacquired(det, p.line_y)
+    signs = band_crossings(det, p, "entity_id").unionByName(confirmed_crossings(det, fps, p, "entity_id")).unionByName(found.drop("start_side"))
+    return net_directions(det, signs, p.line_y, "entity_id", found.select("video", "entity_id", "start_side"))
+
+
+def highlights(det: DataFrame, p: CrossingParams = CrossingParams(), key: str = "track_id") -> DataFrame:
+    """(video, key, frame) in the band, or within some frames after its last entry.
+
+    A track's first sample opens no window, and a second sample in the band counts as an entry.
+    """
+    w = _track(key)
+    rows = det.withColumn("band", F.abs(_row() - p.line_y) <= p.tolerance).withColumn("nth", F.row_number().over(w))
+    rows = rows.withColumn("was", (F.col("nth") > 2) & F.lag("band").over(w))
+    opened = F.max(F.when(F.col("band") & ~F.col("was") & (F.col("nth") > 1), F.col("frame") + p.highlight_frames)).over(w)
+    return rows.withColumn("until", opened).where("band OR frame <= until").select("video", key, "frame")
+
+
+def trust(det: DataFrame, p: TrustParams = TrustParams(), key: str = "track_id") -> DataFrame:
+    """(video, key, frame, state): probation, trusted or suppressed after each update; suppression is for good."""
+    w = _track(key)
     first = lambda c: F.first(c).over(w)
     drift = F.sqrt(F.pow(F.col("cx") - first("cx"), 2) + F.pow(F.col("cy") - first("cy"), 2))
     rows = det.withColumns({"n": F.row_number().over(w), "drift": drift, "mean": F.avg("conf").over(w)}).withColumn("far", F.max("drift").over(w))
     bad = (F.col("n") >= p.updates) & (F.col("far") <= p.drift_px) & (F.col("mean") < p.confidence)
     good = (F.col("far") > p.drift_px) | ((F.col("n") >= p.updates) & (F.col("mean") >= p.confidence))
     rows = rows.withColumns({"bad": F.max(bad).over(w), "good": F.max(good).over(w)})
-    return rows.select("video", "track_id", "frame", F.when(F.col("bad"), "suppressed").when(F.col("good"), "trusted").otherwise("probation").alias("state"))
+    return rows.select("video", key, "frame", F.when(F.col("bad"), "suppressed").when(F.col("good"), "trusted").otherwise("probation").alias("state"))
+
 
+def net_directions(det: DataFrame, crossings: DataFrame, line_y: float, key: str = "track_id", starts: DataFrame | None = None) -> DataFrame:
+    """(video, key, up, down): one by the change of side from start to end; one each if equal and both were crossed.
 
-def net_directions(det: DataFrame, crossings: DataFrame, line_y: float) -> DataFrame:
-    """(video, track_id, up, down): one by the change of side from start to end; one each if equal and both were crossed."""
-    side = F.when(F.col("cy") < line_y, "above").otherwise("below")
-    ends = det.groupBy("video", "track_id").agg(F.min_by(side, "frame").alias("start"), F.max_by(side, "frame").alias("final"))
-    seen = crossings.groupBy("video", "track_id").agg(F.bool_or(F.col("direction") == "up").alias("ups"), F.bool_or(F.col("direction") == "down").alias("downs"))
-    rows = ends.join(seen, ["video", "track_id"], "left")
+    ``starts`` (video, key, start_side) says where some of them started, if that isn't their first sample's side.
+    """
+    side = F.when(_row() < line_y, "above").otherwise("below")
+    ends = det.groupBy("video", key).agg(F.min_by(side, "frame").alias("start"), F.max_by(side, "frame").alias("final"))
+    if starts is not None:
+        ends = ends.join(starts, ["video", key], "left").withColumn("start", F.coalesce("start_side", "start"))
+    seen = crossings.groupBy("video", key).agg(F.bool_or(F.col("direction") == "up").alias("ups"), F.bool_or(F.col("direction") == "down").alias("downs"))
+    rows = ends.join(seen, ["video", key], "left")
     both = F.coalesce(F.col("ups") & F.col("downs"), F.lit(False)) & (F.col("start") == F.col("final"))
     return rows.select(
-        "video", "track_id", ((F.expr("start = 'below' AND final = 'above'")) | both).cast("int").alias("up"),
+        "video", key, ((F.expr("start = 'below' AND final = 'above'")) | both).cast("int").alias("up"),
         ((F.expr("start = 'above' AND final = 'below'")) | both).cast("int").alias("down"),
     )
 
@@ -231,7 +358,7 @@ def raw_speeds(det: DataFrame, fps: float, width: int, height: int, p: SpeedPara
     rows = det.withColumns({"dx": d("cx"), "dy": d("cy"), "df": d("frame")})
     rows = rows.where((F.col("df") > 0) & (F.col("df") / fps <= p.gap_s))
     px = F.sqrt(F.col("dx") * F.col("dx") + F.pow(p.dy_weight * F.col("dy"), 2))
-    kmh = px / (F.col("df") / fps) * metres_per_pixel(F.col("cx"), F.col("cy"), width, height, p) * 3.6
+    kmh = px / F.nullif(F.col("df") / fps, F.lit(0.0)) * metres_per_pixel(F.col("cx"), F.col("cy"), width, height, p) * 3.6
     return rows.withColumn("raw", F.when(px < p.least_px, 0.0).otherwise(F.least(kmh, F.lit(p.cap)))).select("video", "track_id", "frame", "raw")
 
 
@@ -258,6 +385,16 @@ def trails(det: DataFrame, p: SpeedParams = SpeedParams()) -> DataFrame:
     return det.select("video", "track_id", "frame", F.collect_list(centre).over(_track().rowsBetween(1 - p.trail, 0)).alias("trail"))
 
 
+def labelled_trails(trails_: DataFrame, speeds: DataFrame, p: SpeedParams = SpeedParams()) -> DataFrame:
+    """Trails with the track's last known speed and ``shown``: whether it is fast enough for a label and a trail.
+
+    ``speeds`` has (video, track_id, frame, speed); frames without a sample keep the speed before them.
+    """
+    rows = trails_.join(speeds, ["video", "track_id", "frame"], "left")
+    rows = rows.withColumn("speed", F.last("speed", ignorenulls=True).over(_track()))
+    return rows.withColumn("shown", F.coalesce(F.col("speed") >= p.label_from, F.lit(False)))
+
+
 def speed_trap(det: DataFrame, fps: float, p: TrapParams = TrapParams()) -> DataFrame:
     """(video, track_id, frame, kmh, direction) of passes from one line to the other."""
     rows = det.withColumn("px", F.lag("cx").over(_track())).where("px IS NOT NULL AND px <> cx")
@@ -267,7 +404,7 @@ def speed_trap(det: DataFrame, fps: float, p: TrapParams = TrapParams()) -> Data
     w = Window.partitionBy("video", "track_id").orderBy("frame", "order")
     hits = hits.select("video", "track_id", "frame", "hit.line", order.alias("order"))
     hits = hits.withColumns({"from": F.lag("line").over(w), "df": F.col("frame") - F.lag("frame").over(w)}).where("from <> line AND df > 0")
-    kmh = p.metres / (F.col("df") / fps) * 3.6
+    kmh = p.metres / F.nullif(F.col("df") / fps, F.lit(0.0)) * 3.6  # conditions may be merged and tried in any order
     way = F.when(F.col("from") == 1, "->").otherwise("<-")
     return hits.withColumn("kmh", kmh).where((F.col("kmh") > 0) & (F.col("kmh") <= p.cap)).select("video", "track_id", "frame", "kmh", way.alias("direction"))
 
@@ -285,6 +422,12 @@ def capped_samples(rows: DataFrame, most: int) -> DataFrame:
     return rows.withColumn("before", F.coalesce(F.count("*").over(w), F.lit(0))).where(F.col("before") < most).drop("before")
 
 
+def capped_entities(rows: DataFrame, most: int = 400) -> DataFrame:
+    """The first ``most`` rows of each entity of an event, by frame."""
+    w = Window.partitionBy("video", "clip_index", "entity_id").orderBy("frame")
+    return rows.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).drop("nth")
+
+
 def flicker_frames(presence: DataFrame, conf: float = 0.6, most: int = 60, stride: int = 4) -> DataFrame:
     """(video, frame): every ``stride``-th frame of absences of 1 to ``most`` frames between two sightings."""
     w = Window.partitionBy("video").orderBy("frame")

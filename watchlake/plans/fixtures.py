@@ -56,7 +56,7 @@ _POLL = """
 SELECT l_orderkey AS path,
        row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS poll,
        CAST(floor(l_quantity/20) AS BIGINT) AS size FROM {lineitem}"""
-_HEALTH = "SELECT event_id AS n, ts, user_id % 3 AS host, CASE event_type WHEN 'error' THEN 'offline' ELSE 'ok' END AS status FROM {events}"
+_HEALTH = "SELECT event_id AS n, ts, user_id AS host, CASE event_type WHEN 'error' THEN 'offline' ELSE 'ok' END AS status FROM {events}"
 _STAGE = "SELECT concat(l_returnflag, l_linestatus, CAST(l_linenumber AS STRING)) AS stage, CAST(l_quantity AS DOUBLE)/1000 AS seconds, 1 AS n FROM {lineitem}"
 _PRESENCE = """
 SELECT user_id AS video, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS frame,

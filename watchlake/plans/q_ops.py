@@ -117,11 +117,10 @@ def s06(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", F.when(F.col("motion_roi").isNotNull(), F.size("motion_roi")).cast("double").alias("points"), F.col("line_y").cast("double").alias("line_y"))
 
 
-@query("W17_offline_streak", "WITH " + cte("fx_health") + ", o AS (SELECT host, max((ts, n)) FILTER (WHERE status = 'ok') AS ok FROM fx_health GROUP BY host) SELECT host, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS since, count(*) AS samples FROM fx_health JOIN o USING (host) WHERE ok IS NULL OR (ts, n) > ok GROUP BY host UNION ALL SELECT -1, 'none', 0")
+@query("W17_offline_streak", "WITH " + cte("fx_health") + ", o AS (SELECT host, max((ts, n)) FILTER (WHERE status <> 'offline') AS ok FROM fx_health GROUP BY host) SELECT host, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS since, count(*) AS samples FROM fx_health JOIN o USING (host) WHERE ok IS NULL OR (ts, n) > ok GROUP BY host")
 def w17(spark: SparkSession, d: str) -> DataFrame:
     got = O.offline_since(view(spark, d, "fx_health"))
-    rows = got.select(F.col("host").cast("long").alias("host"), F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "samples")
-    return rows.unionAll(spark.sql("SELECT -1L AS host, 'none' AS since, 0L AS samples"))
+    return got.select(F.col("host").cast("long").alias("host"), F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "samples")
 
 
 @query("W18_stable_files", "WITH " + cte("fx_poll") + """, s AS (SELECT *, size > 0 AND size = lag(size) OVER w AND lag(size) OVER w = lag(size, 2) OVER w AS ok FROM fx_poll WINDOW w AS (PARTITION BY path ORDER BY poll))

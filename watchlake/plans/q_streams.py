@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from watchlake.operators import entities
 from watchlake.operators import tracks as K
+from watchlake.params import CrossingParams, TrustParams
 from watchlake.plans import q_logs, q_ops
 from watchlake.plans.fixtures import cte, view
 from watchlake.plans.registry import query
@@ -97,10 +98,20 @@ def s09(spark: SparkSession, d: str) -> DataFrame:
     return streamed(spark, e.unionAll(e), lambda s: S.once(s, "n", late="400 days"), "append").select("n")
 
 
+def _people(spark: SparkSession, d: str) -> DataFrame:
+    return K.with_boxes(view(spark, d, "fx_det3")).where("cls = 'person'").withColumn("clip_index", F.floor(F.col("frame") / 100))
+
+
+_TRUST = TrustParams(drift_px=300.0, updates=4, confidence=0.64)
+
+
 @query("ST04_entity_resolver")
 def st04(spark: SparkSession, d: str) -> DataFrame:
     """Sequential: held against a plain fold in the tests."""
-    rows = K.with_boxes(view(spark, d, "fx_det3")).where("cls = 'person'").withColumn("clip_index", F.floor(F.col("frame") / 100))
-    return entities.resolve(rows, 25.0)
+    return entities.resolve(_people(spark, d), 25.0, trust=_TRUST)
 
 
+@query("ST04_entity_states")
+def st04s(spark: SparkSession, d: str) -> DataFrame:
+    """Crossings of trusted entities, on top of the resolver."""
+    return entities.entity_states(entities.resolve(_people(spark, d), 25.0, trust=_TRUST), 25.0, CrossingParams(dwell_s=0.08))

@@ -69,8 +69,8 @@ def p21(spark: SparkSession, d: str) -> DataFrame:
 @query("P23_output_frames", f"{_M} SELECT m.video, w.clip_index, m.frame FROM (SELECT DISTINCT * FROM fx_motion) m JOIN win w ON m.video = w.video AND m.frame >= w.padded_start AND m.frame < w.padded_end WHERE (m.frame - w.padded_start) % w.output_stride = 0 OR m.frame % 50 = 0")
 def p23(spark: SparkSession, d: str) -> DataFrame:
     rows = K.in_windows(view(spark, d, "fx_motion").distinct(), K.event_windows(events(spark, d), FPS, TOTAL))
-    shown = ((F.col("frame") - F.col("padded_start")) % F.col("output_stride") == 0) | (F.col("frame") % 50 == 0)
-    return rows.where(shown).select("video", F.col("clip_index").cast("long").alias("clip_index"), "frame")
+    marked = view(spark, d, "fx_motion").where("frame % 50 = 0")
+    return K.output_frames(rows, marked).select("video", F.col("clip_index").cast("long").alias("clip_index"), "frame")
 
 
 @query("A32_output_duration", f"{_M} SELECT m.video, w.clip_index, count(*) / 25.0 AS seconds FROM (SELECT DISTINCT * FROM fx_motion) m JOIN win w ON m.video = w.video AND m.frame >= w.padded_start AND m.frame < w.padded_end GROUP BY m.video, w.clip_index")
@@ -111,32 +111,68 @@ def _polygons(spark: SparkSession, d: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.array(corner(F.lit(10), F.lit(20)), corner(w, F.lit(20)), corner(w, h), corner(F.lit(10), h)).alias("roi"))
 
 
-@query("P14_roi_rescale", _POLY + " SELECT id, CAST(CASE WHEN greatest(w, 10) <= 1920 AND h <= 1080 THEN w WHEN greatest(w, 10) <= 3840 AND h <= 2160 THEN w // 2 ELSE least(w, 1919) END AS INTEGER) AS x, CAST(CASE WHEN greatest(w, 10) <= 1920 AND h <= 1080 THEN h WHEN greatest(w, 10) <= 3840 AND h <= 2160 THEN h // 2 ELSE least(h, 1079) END AS INTEGER) AS y FROM p")
+_FITS = "CASE WHEN greatest(w, 10) <= {W} AND greatest(h, 20) <= {H} THEN {v} WHEN greatest(w, 10) // 2 <= {W} AND greatest(h, 20) // 2 <= {H} THEN {v} // 2 ELSE {rest} END"
+
+
+def _fit(v: str, size: tuple[int, int], rest: str) -> str:
+    return f"CAST({_FITS.format(W=size[0], H=size[1], v=v, rest=rest)} AS INTEGER)"
+
+
+@query("P14_roi_rescale", _POLY + f" SELECT id, {_fit('w', (W, H), 'least(w // 2, 1919)')} AS x, {_fit('h', (W, H), 'least(h // 2, 1079)')} AS y FROM p")
 def p14(spark: SparkSession, d: str) -> DataFrame:
     r = _polygons(spark, d).select("id", C.rescale(F.col("roi"), F.lit(W), F.lit(H)).alias("r"))
     return r.select("id", F.col("r")[2][0].alias("x"), F.col("r")[2][1].alias("y"))
 
 
+_HIGH = "greatest(w, 10) > 2500 OR greatest(h, 20) > 1400"
+_SCALED = "least(CAST(trunc(CAST({v} AS FLOAT) * CAST({size}.0 / CASE WHEN " + _HIGH + " THEN {full} ELSE {half} END AS FLOAT)) AS INTEGER), {size} - 1)"
+
+
+@query("P14_roi_rescale_small", _POLY + f" SELECT id, {_fit('w', (640, 360), _SCALED.format(v='w', size=640, full=3840, half=1920))} AS x, {_fit('h', (640, 360), _SCALED.format(v='h', size=360, full=2160, half=1080))} AS y FROM p")
+def p14s(spark: SparkSession, d: str) -> DataFrame:
+    r = _polygons(spark, d).select("id", C.rescale_small(F.col("roi"), F.lit(640), F.lit(360)).alias("r"))
+    return r.select("id", F.col("r")[2][0].alias("x"), F.col("r")[2][1].alias("y"))
+
+
 @query("P15_roi_bounds", _POLY + " SELECT id, CAST(greatest(0, least(10, w) - 15) AS INTEGER) AS x1, CAST(greatest(0, least(20, h) - 15) AS INTEGER) AS y1, CAST(least(1920, greatest(10, w) + 15) AS INTEGER) AS x2, CAST(least(1080, greatest(20, h) + 15) AS INTEGER) AS y2 FROM p")
 def p15(spark: SparkSession, d: str) -> DataFrame:
     return _polygons(spark, d).select("id", C.bounds(F.col("roi"), F.lit(15), F.lit(W), F.lit(H)).alias("b")).select("id", "b.*")
 
 
-@query("P16_clip_profile", """SELECT o_orderkey AS id, CASE h WHEN 0 THEN '4k' WHEN 1 THEN '1080p' WHEN 2 THEN 'low' ELSE 'unsupported' END AS profile,
- CAST(CASE h WHEN 0 THEN 1600 WHEN 1 THEN 810 END AS DOUBLE) AS line_y, CAST(CASE h WHEN 0 THEN 12 WHEN 1 THEN 6 END AS DOUBLE) AS tolerance, CASE WHEN o_orderkey % 2 = 0 THEN 4 ELSE 2 END AS stride FROM (SELECT *, o_custkey % 4 AS h FROM orders)""")
+_SIZES = [(3840, 2160), (1920, 1080), (640, 360), (896, 512), (640, 480), (3800, 2099)]
+
+
+@query("P16_clip_profile", """WITH c AS (SELECT o_orderkey AS id, o_custkey % 6 AS k, o_orderkey % 2 = 0 AS fast, [3840, 1920, 640, 896, 640, 3800][o_custkey % 6 + 1] AS w, [2160, 1080, 360, 512, 480, 2099][o_custkey % 6 + 1] AS h FROM orders)
+SELECT id, CASE WHEN k = 0 THEN '4k' WHEN k IN (1, 5) THEN '1080p' WHEN k IN (2, 3) THEN 'low' ELSE 'unsupported' END AS profile, CASE WHEN k = 4 THEN 'no_motion' END AS status,
+ CAST(CASE WHEN k = 0 THEN 1600 WHEN k <> 4 THEN 810 END AS DOUBLE) AS line_y, CAST(CASE WHEN k = 0 THEN 12 WHEN k <> 4 THEN 6 END AS DOUBLE) AS tolerance,
+ CAST(CASE WHEN k = 0 THEN 7200 WHEN k IN (1, 5) THEN 1800 WHEN k IN (2, 3) THEN greatest(60, trunc(7200 * (w * h / (3840.0 * 2160.0)) * 0.5)) END AS DOUBLE) AS least_area,
+ CAST(CASE WHEN k = 0 THEN 60 WHEN k IN (1, 5) THEN 30 WHEN k IN (2, 3) THEN greatest(6, trunc(60 * (w / 3840.0))) END AS DOUBLE) AS padding,
+ CAST(CASE WHEN fast THEN 3 WHEN k = 0 THEN 2 ELSE 1 END AS INTEGER) AS stride FROM c""")
 def p16(spark: SparkSession, d: str) -> DataFrame:
     from watchlake.sources.configs import clip_profile
 
     o = spark.read.parquet(f"{d}/orders.parquet")
-    height = F.element_at(F.array(*map(F.lit, (2160, 1080, 540, 333))), (F.col("o_custkey") % 4 + 1).cast("int"))
-    rows = o.select(F.col("o_orderkey").alias("id"), height.alias("height"), (F.col("o_orderkey") % 2 == 0).alias("fast"))
-    return clip_profile(rows).select("id", "profile", F.col("line_y").cast("double").alias("line_y"), F.col("tolerance").cast("double").alias("tolerance"), "stride")
+    pick = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in _SIZES)), (F.col("o_custkey") % 6 + 1).cast("int"))
+    rows = o.select(F.col("o_orderkey").alias("id"), pick(0).alias("width"), pick(1).alias("height"), (F.col("o_orderkey") % 2 == 0).alias("fast"))
+    numbers = (F.col(c).cast("double").alias(c) for c in ("line_y", "tolerance", "least_area", "padding"))
+    return clip_profile(rows).select("id", "profile", "status", *numbers, "stride")
+
 
+_CONTOURS = "SELECT l_orderkey AS video, CAST(l_quantity AS DOUBLE) * 100 AS area, CAST(l_quantity AS DOUBLE) * 100 * (1 + 5 * CAST(l_discount AS DOUBLE)) AS hull_area FROM "
 
-@query("P17_contour_areas", "SELECT l_orderkey AS video, count(*) AS contours FROM lineitem WHERE l_quantity * 100 > 2500 * 0.25 GROUP BY l_orderkey")
+
+@query("P17_contour_areas", f"WITH c AS ({_CONTOURS} lineitem) SELECT video, count(*) AS contours FROM c WHERE area > 2500 * 0.25 GROUP BY video")
 def p17(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("area", F.col("l_quantity") * 100)
-    return rows.where(F.col("area") > 2500 * 0.5**2).groupBy(F.col("l_orderkey").alias("video")).agg(F.count("*").alias("contours"))
+    return K.moving_contours(_contours(spark, d), 2500, 0.5).groupBy("video").agg(F.count("*").alias("contours"))
+
+
+def _contours(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(_CONTOURS + "{lineitem}", lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+
+
+@query("P17_solid_contours", f"WITH c AS ({_CONTOURS} lineitem) SELECT video, count(*) AS contours FROM c WHERE area >= 2000 AND area / hull_area >= 0.8 GROUP BY video")
+def p17s(spark: SparkSession, d: str) -> DataFrame:
+    return K.solid_contours(_contours(spark, d)).groupBy("video").agg(F.count("*").alias("contours"))
 
 
 @query("P18_box_geometry", f"""{_B}, n AS (SELECT *, lead(x1) OVER w AS a1, lead(y1) OVER w AS b1, lead(x2) OVER w AS a2, lead(y2) OVER w AS b2 FROM b WINDOW w AS (PARTITION BY video ORDER BY frame)),
@@ -155,14 +191,12 @@ def p18(spark: SparkSession, d: str) -> DataFrame:
 
 @query("P19_hotspot", f"{_B} SELECT video, frame FROM b WHERE cls = 'car' AND 500 BETWEEN x1 AND x2 AND 800 BETWEEN y1 AND y2")
 def p19(spark: SparkSession, d: str) -> DataFrame:
-    return boxes(spark, d).where((F.col("cls") == "car") & F.lit(500).between(F.col("x1"), F.col("x2")) & F.lit(800).between(F.col("y1"), F.col("y2"))).select("video", "frame")
+    return K.cars_over(boxes(spark, d), 500, 800).select("video", "frame")
 
 
-@query("P20_crop_rectangle", f"{_B}, c AS (SELECT video, frame, greatest(0, x1 - 30) AS x1, greatest(0, y1 - 30) AS y1, least(1920, x2 + 30) AS x2, least(880, y2 + 30) AS y2 FROM b WHERE y2 <= 890) SELECT * FROM c WHERE x2 > x1 AND y2 > y1")
+@query("P20_crop_rectangle", f"{_B}, c AS (SELECT video, frame, CAST(greatest(0, x1 - 30) AS INTEGER) AS x1, CAST(greatest(0, y1 - 30) AS INTEGER) AS y1, CAST(least(1920, x2 + 30) AS INTEGER) AS x2, CAST(least(880, y2 + 30) AS INTEGER) AS y2 FROM b WHERE y2 <= 890) SELECT * FROM c WHERE x2 > x1 AND y2 > y1")
 def p20(spark: SparkSession, d: str) -> DataFrame:
-    b = boxes(spark, d).where("y2 <= 890")
-    b = b.select("video", "frame", F.greatest(F.lit(0.0), F.col("x1") - 30).alias("x1"), F.greatest(F.lit(0.0), F.col("y1") - 30).alias("y1"), F.least(F.lit(float(W)), F.col("x2") + 30).alias("x2"), F.least(F.lit(880.0), F.col("y2") + 30).alias("y2"))
-    return b.where("x2 > x1 AND y2 > y1")
+    return K.crop_rectangles(boxes(spark, d), 30, W, 880, lowest=890).select("video", "frame", "x1", "y1", "x2", "y2")
 
 
 @query("S10_detection_lists", "WITH " + cte("fx_det3") + " SELECT video, frame, track_id, cls, conf, cx - 20 + 100 AS x1, cy + 60 + 50 AS y2 FROM fx_det3")
@@ -186,14 +220,15 @@ def w02(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("W03_band_crossing", f"""{_D}, l AS (SELECT *, lag(cy) OVER (PARTITION BY video, track_id ORDER BY frame) AS p FROM fx_det)
-SELECT video, track_id, frame, CASE WHEN p < 804 THEN 'down' ELSE 'up' END AS direction FROM l WHERE (p < 804 AND cy > 816) OR (p > 816 AND cy < 804)""")
+SELECT video, track_id, frame, CASE WHEN p <= 804 THEN 'down' ELSE 'up' END AS direction FROM l WHERE (p <= 804 AND cy >= 816) OR (p >= 816 AND cy <= 804)""")
 def w03(spark: SparkSession, d: str) -> DataFrame:
     return K.band_crossings(det(spark, d))
 
 
-_SIDE = _D + """, s1 AS (SELECT *, abs(cy - 810) <= 6 AS band, sum(CASE WHEN abs(cy - 810) <= 6 THEN 1 ELSE 0 END) OVER w AS run FROM fx_det WINDOW w AS (PARTITION BY video, track_id ORDER BY frame)),
-s2 AS (SELECT *, CASE WHEN band THEN 0 ELSE count(*) FILTER (WHERE NOT band) OVER (PARTITION BY video, track_id, run ORDER BY frame) END AS streak FROM s1),
-s3 AS (SELECT *, CASE WHEN streak >= 2 THEN CASE WHEN cy < 810 THEN 'above' ELSE 'below' END END AS qualified FROM s2),
+_SIDE = _D + """, s0 AS (SELECT *, abs(cy - 810) <= 6 AS band, (cy <= 804 OR cy >= 816) AND lag(cy) OVER (PARTITION BY video, track_id ORDER BY frame) IS NOT NULL AS out FROM fx_det),
+s1 AS (SELECT *, count(*) FILTER (WHERE NOT out) OVER (PARTITION BY video, track_id ORDER BY frame) AS run FROM s0),
+s2 AS (SELECT *, CASE WHEN out THEN count(*) FILTER (WHERE out) OVER (PARTITION BY video, track_id, run ORDER BY frame) ELSE 0 END AS streak FROM s1),
+s3 AS (SELECT *, CASE WHEN streak >= 2 THEN CASE WHEN cy <= 804 THEN 'above' ELSE 'below' END END AS qualified FROM s2),
 s4 AS (SELECT *, last_value(qualified IGNORE NULLS) OVER (PARTITION BY video, track_id ORDER BY frame) AS side FROM s3)"""
 
 
@@ -212,13 +247,30 @@ def w05(spark: SparkSession, d: str) -> DataFrame:
     return K.confirmed_crossings(det(spark, d), FPS, LOW)
 
 
-@query("W06_highlight_window", f"""{_D}, h AS (SELECT *, abs(cy - 810) <= 6 AS band, coalesce(lag(abs(cy - 810) <= 6) OVER (PARTITION BY video, track_id ORDER BY frame), false) AS was FROM fx_det),
-h2 AS (SELECT *, max(frame + 5) FILTER (WHERE band AND NOT was) OVER (PARTITION BY video, track_id ORDER BY frame) AS until FROM h)
+@query("W06_highlight_window", f"""{_D}, h0 AS (SELECT *, abs(cy - 810) <= 6 AS band, row_number() OVER (PARTITION BY video, track_id ORDER BY frame) AS nth FROM fx_det),
+h AS (SELECT *, nth > 2 AND lag(band) OVER (PARTITION BY video, track_id ORDER BY frame) AS was FROM h0),
+h2 AS (SELECT *, max(frame + 5) FILTER (WHERE band AND NOT was AND nth > 1) OVER (PARTITION BY video, track_id ORDER BY frame) AS until FROM h)
 SELECT video, track_id, frame FROM h2 WHERE band OR frame <= until""")
 def w06(spark: SparkSession, d: str) -> DataFrame:
     return K.highlights(det(spark, d))
 
 
+# detections of a video's tracks that change hands: the tracker id goes on in another entity after each 40 frames
+_TEAM = _D + ", e AS (SELECT *, track_id * 1000 + frame // 40 AS entity_id FROM fx_det)"
+
+
+def _team(spark: SparkSession, d: str) -> DataFrame:
+    return det(spark, d).withColumn("entity_id", F.col("track_id") * 1000 + F.floor(F.col("frame") / 40))
+
+
+@query("W05_reacquired", _TEAM + """, a AS (SELECT *, row_number() OVER w AS nth, lag(cy) OVER w AS p, CASE WHEN cy < 810 THEN 'above' ELSE 'below' END AS side FROM e WINDOW w AS (PARTITION BY video, entity_id ORDER BY frame)),
+b AS (SELECT *, CASE WHEN (p < 810 AND cy >= 810) OR (p > 810 AND cy <= 810) THEN NULL ELSE side END AS kept FROM a),
+c AS (SELECT *, last_value(kept IGNORE NULLS) OVER (PARTITION BY video, track_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known FROM b)
+SELECT video, entity_id, frame, known AS start_side, CASE side WHEN 'below' THEN 'down' ELSE 'up' END AS direction FROM c WHERE nth = 1 AND known <> side""")
+def w05r(spark: SparkSession, d: str) -> DataFrame:
+    return K.reacquired(_team(spark, d), 810)
+
+
 @query("W07_track_trust", f"""{_D}, t1 AS (SELECT *, row_number() OVER w AS n, sqrt((cx - first_value(cx) OVER w) ** 2 + (cy - first_value(cy) OVER w) ** 2) AS drift, avg(conf) OVER w AS mean FROM fx_det WINDOW w AS (PARTITION BY video, track_id ORDER BY frame)),
 t2 AS (SELECT *, max(drift) OVER (PARTITION BY video, track_id ORDER BY frame) AS far FROM t1)
 SELECT video, track_id, frame, CASE WHEN bool_or(n >= 20 AND far <= 900 AND mean < 0.8) OVER w THEN 'suppressed' WHEN bool_or(far > 900 OR (n >= 20 AND mean >= 0.8)) OVER w THEN 'trusted' ELSE 'probation' END AS state FROM t2 WINDOW w AS (PARTITION BY video, track_id ORDER BY frame)""")
@@ -250,32 +302,42 @@ def a28(spark: SparkSession, d: str) -> DataFrame:
     return K.clip_result(_net(spark, d), frames, CrossingParams(person_frames=40))
 
 
-@query("A25_unique_objects", f"{_D} SELECT video, count(DISTINCT track_id) FILTER (WHERE cls = 'person') AS persons, count(DISTINCT track_id) FILTER (WHERE cls = 'car') AS cars FROM fx_det WHERE conf >= 0.5 GROUP BY video")
+_EVENTS = _D + """, ev AS (SELECT *, frame // 30 AS clip_index FROM fx_det), kept AS (SELECT video, clip_index, count(DISTINCT frame) AS frames FROM ev WHERE cls = 'person' AND cx BETWEEN 200 AND 1500 AND cy BETWEEN 780 AND 830 GROUP BY ALL HAVING count(DISTINCT frame) >= 10),
+bad AS (SELECT video, clip_index, track_id FROM ev GROUP BY ALL HAVING avg(conf) < 0.64)"""
+_ROI = [(200, 780), (1500, 780), (1500, 830), (200, 830)]
+
+
+def _events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows = det(spark, d).withColumn("clip_index", F.floor(F.col("frame") / 30))
+    kept = K.person_frames(rows, F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in _ROI)))
+    return rows, kept, rows.groupBy("video", "clip_index", "track_id").agg(F.avg("conf").alias("m")).where("m < 0.64")
+
+
+@query("A25_unique_objects", _EVENTS + """, p AS (SELECT video, track_id, cls FROM ev SEMI JOIN kept USING (video, clip_index) WHERE cls = 'car' UNION ALL
+ SELECT video, track_id, cls FROM ev SEMI JOIN kept USING (video, clip_index) ANTI JOIN bad USING (video, clip_index, track_id) WHERE cls = 'person')
+SELECT video, count(DISTINCT track_id) FILTER (WHERE cls = 'person') AS persons, count(DISTINCT track_id) FILTER (WHERE cls = 'car') AS cars FROM p GROUP BY video""")
 def a25(spark: SparkSession, d: str) -> DataFrame:
-    one = lambda c: F.count_distinct(F.when(F.col("cls") == c, F.col("track_id")))
-    return K.confident(det(spark, d), 0.5, ["person", "car"]).groupBy("video").agg(one("person").alias("persons"), one("car").alias("cars"))
+    return K.unique_objects(*_events(spark, d))
 
 
-@query("A26_person_frames", f"{_D} SELECT video, count(DISTINCT frame) AS frames FROM fx_det WHERE cls = 'person' AND cx BETWEEN 200 AND 1500 GROUP BY video HAVING count(DISTINCT frame) >= 10")
+@query("A26_person_frames", f"{_EVENTS} SELECT video, clip_index, frames FROM kept")
 def a26(spark: SparkSession, d: str) -> DataFrame:
-    rows = det(spark, d).where("cls = 'person' AND cx BETWEEN 200 AND 1500")
-    return rows.groupBy("video").agg(F.count_distinct("frame").alias("frames")).where("frames >= 10")
+    return _events(spark, d)[1]
 
 
-@query("X04_suppressed_tracks", f"{_D} SELECT DISTINCT video, track_id FROM fx_det WHERE cls = 'person' EXCEPT SELECT video, track_id FROM fx_det GROUP BY video, track_id HAVING avg(conf) < 0.64")
+@query("X04_suppressed_tracks", f"{_EVENTS} SELECT DISTINCT video, clip_index, track_id FROM ev ANTI JOIN bad USING (video, clip_index, track_id) WHERE cls = 'person'")
 def x04(spark: SparkSession, d: str) -> DataFrame:
-    rows = det(spark, d)
-    bad = rows.groupBy("video", "track_id").agg(F.avg("conf").alias("m")).where("m < 0.64")
-    return rows.where("cls = 'person'").select("video", "track_id").distinct().join(bad, ["video", "track_id"], "left_anti")
+    rows, _, bad = _events(spark, d)
+    return K.without_suppressed(rows.where("cls = 'person'").select("video", "clip_index", "track_id").distinct(), bad)
 
 
-@query("A31_tracking_table", f"""{_D}, l AS (SELECT *, lag(cy) OVER (PARTITION BY video, track_id ORDER BY frame) AS p FROM fx_det)
-SELECT video, count(DISTINCT track_id) FILTER (WHERE cls = 'person') AS persons, count(DISTINCT track_id) FILTER (WHERE cls = 'car') AS cars, count(*) FILTER (WHERE p > 810 AND cy <= 810) AS ups, count(*) FILTER (WHERE p < 810 AND cy >= 810) AS downs FROM l GROUP BY video""")
+@query("A31_tracking_table", f"""{_D}, l AS (SELECT *, lag(cy) OVER (PARTITION BY video, track_id ORDER BY frame) AS p FROM fx_det), c AS (SELECT video, count(DISTINCT track_id) FILTER (WHERE cls = 'person') AS persons, count(DISTINCT track_id) FILTER (WHERE cls = 'car') AS cars,
+ count(*) FILTER (WHERE cls = 'person' AND p > 810 AND cy <= 810) AS ups, count(*) FILTER (WHERE cls = 'person' AND p < 810 AND cy >= 810) AS downs, max(frame) AS total FROM l GROUP BY video)
+SELECT video, persons, cars, ups, downs, round(CASE WHEN video % 7 > 0 THEN total / (video % 7 / 4.0) ELSE 0 END, 6) AS fps FROM c""")
 def a31(spark: SparkSession, d: str) -> DataFrame:
     rows = det(spark, d)
-    one = lambda c: F.count_distinct(F.when(F.col("cls") == c, F.col("track_id")))
-    moves = K.plain_crossings(rows, 810).groupBy("video").agg(F.count_if(F.col("direction") == "up").alias("ups"), F.count_if(F.col("direction") == "down").alias("downs"))
-    return rows.groupBy("video").agg(one("person").alias("persons"), one("car").alias("cars")).join(moves, "video", "left").fillna(0)
+    timings = rows.groupBy("video").agg(F.max("frame").alias("total_frames")).withColumn("seconds", F.col("video") % 7 / 4.0)
+    return K.tracking_table(rows, timings, 810).withColumn("fps", F.round("fps", 6))
 
 
 _SP = _D + """, v1 AS (SELECT *, cx - lag(cx) OVER w AS dx, cy - lag(cy) OVER w AS dy, frame - lag(frame) OVER w AS df FROM fx_det WINDOW w AS (PARTITION BY video, track_id ORDER BY frame)),
@@ -302,11 +364,16 @@ def w10(spark: SparkSession, d: str) -> DataFrame:
     return K.smoothed(K.rolling_median(K.raw_speeds(det(spark, d), FPS, W, H))).withColumn("speed", F.round("speed", 5))
 
 
-@query("W11_trail", f"{_D} SELECT video, track_id, frame, count(*) OVER w AS points, CAST(first_value(cx) OVER w AS INTEGER) AS from_x, CAST(sum(cy) OVER w AS BIGINT) AS sum_y FROM fx_det WINDOW w AS (PARTITION BY video, track_id ORDER BY frame ROWS 17 PRECEDING)")
+@query("W11_trail", _SP.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY video, track_id ORDER BY frame) AS i FROM v4),
+e AS (SELECT video, track_id, frame, i, median AS speed FROM o WHERE i = 1 UNION ALL SELECT o.video, o.track_id, o.frame, o.i, 0.25 * o.median + 0.75 * e.speed FROM e JOIN o ON o.video = e.video AND o.track_id = e.track_id AND o.i = e.i + 1),
+t AS (SELECT video, track_id, frame, count(*) OVER w AS points, CAST(first_value(cx) OVER w AS INTEGER) AS from_x, CAST(sum(cy) OVER w AS BIGINT) AS sum_y FROM fx_det WINDOW w AS (PARTITION BY video, track_id ORDER BY frame ROWS 17 PRECEDING)),
+k AS (SELECT t.*, last_value(e.speed IGNORE NULLS) OVER (PARTITION BY t.video, t.track_id ORDER BY t.frame) AS speed FROM t LEFT JOIN e ON t.video = e.video AND t.track_id = e.track_id AND t.frame = e.frame)
+SELECT video, track_id, frame, points, from_x, sum_y, coalesce(speed >= 5, false) AS shown FROM k""")
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    t = K.trails(det(spark, d))
+    rows = det(spark, d)
+    t = K.labelled_trails(K.trails(rows), K.smoothed(K.rolling_median(K.raw_speeds(rows, FPS, W, H))))
     total = F.aggregate("trail", F.lit(0).cast("long"), lambda s, x: s + x["y"])
-    return t.select("video", "track_id", "frame", F.size("trail").cast("long").alias("points"), F.col("trail")[0]["x"].alias("from_x"), total.alias("sum_y"))
+    return t.select("video", "track_id", "frame", F.size("trail").cast("long").alias("points"), F.col("trail")[0]["x"].alias("from_x"), total.alias("sum_y"), "shown")
 
 
 @query("W12_speed_trap", f"""{_D}, x AS (SELECT *, lag(cx) OVER (PARTITION BY video, track_id ORDER BY frame) AS px FROM fx_det),
@@ -344,6 +411,11 @@ def w22(spark: SparkSession, d: str) -> DataFrame:
     return K.capped_samples(view(spark, d, "fx_det3"), 20).select("video", "frame", "cx")
 
 
+@query("W22_entity_cap", _TEAM + " SELECT video, entity_id, frame FROM (SELECT *, row_number() OVER (PARTITION BY video, entity_id ORDER BY frame) AS k FROM e) WHERE k <= 12")
+def w22e(spark: SparkSession, d: str) -> DataFrame:
+    return K.capped_entities(_team(spark, d).withColumn("clip_index", F.lit(0)), 12).select("video", "entity_id", "frame")
+
+
 @query("W23_recording_tail", _M + """, fr AS (SELECT video, frame FROM (SELECT DISTINCT * FROM fx_motion) UNION SELECT video, frame + 40 FROM fx_motion),
 mo AS (SELECT DISTINCT video, frame FROM fx_motion), l AS (SELECT f.video, f.frame, max(m.frame) AS motion FROM fr f JOIN mo m ON m.video = f.video AND m.frame <= f.frame GROUP BY ALL),
 k AS (SELECT *, CASE WHEN frame - lag(motion) OVER (PARTITION BY video ORDER BY frame) > 50 THEN 1 ELSE 0 END AS nw FROM l WHERE frame - motion <= 50)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 POLYGON = "array<array<int>>"
-# Frame height, name, line, tolerance of the supported profiles.
-PROFILES = [(2160, "4k", 1600, 12), (1080, "1080p", 810, 6)]
+# Name, least width and height, line, tolerance, least contour area, crop padding, motion scale and stride.
+PROFILES = [("4k", 3800, 2100, 1600, 12, 7200, 60, 0.5, 2), ("1080p", 1900, 1000, 810, 6, 1800, 30, 1.0, 1)]
+# The small frames that are supported, and the least area and padding that they scale down to.
+SMALL, LEAST_AREA, LEAST_PADDING = [(640, 360), (896, 512)], 60, 6
 
 
 def parse_roi(text: DataFrame, value: str = "value", line_y: int | None = None) -> DataFrame:
@@ -20,13 +22,25 @@ def parse_roi(text: DataFrame, value: str = "value", line_y: int | None = None)
     )
 
 
-def clip_profile(clips: DataFrame, strides: tuple[int, int] = (2, 4)) -> DataFrame:
-    """Adds profile, line_y, tolerance and stride by frame height: heights up to 720 are low, other unknown ones unsupported.
+def clip_profile(clips: DataFrame, fast_stride: int = 3) -> DataFrame:
+    """Adds profile, status, line_y, tolerance, least_area, padding, motion_scale and stride by a clip's width, height and ``fast``.
 
-    Heights are multiples of 18 for every low resolution that cameras give; others aren't supported.
+    Small frames have the line of the lower profile, and area and padding of the higher one scaled to their pixels, the
+    area halved. Other frames are unsupported: their status is no_motion and they have no numbers but the stride.
     """
-    profiles = clips.sparkSession.createDataFrame(PROFILES, "height int, profile_name string, line_y int, tolerance int")
-    low = (F.col("height") <= 720) & (F.col("height") % 18 == 0)
-    name = F.coalesce("profile_name", F.when(low, "low").otherwise("unsupported"))
-    stride = F.when(F.col("fast"), strides[1]).otherwise(strides[0])
-    return clips.join(F.broadcast(profiles), "height", "left").withColumns({"profile": name, "stride": stride}).drop("profile_name")
+    w, h = F.col("width"), F.col("height")
+    small = F.lit(False)
+    for size in SMALL:
+        small = small | ((w == size[0]) & (h == size[1]))
+    fits = [(w >= p[1]) & (h >= p[2]) for p in PROFILES]
+    high, low = PROFILES
+    pick = lambda k: F.when(fits[0], high[k]).when(fits[1] | small, low[k])
+    profile = F.when(fits[0], high[0]).when(fits[1], low[0]).when(small, "low").otherwise("unsupported")
+    area = F.greatest(F.lit(LEAST_AREA), (high[5] * ((w * h) / F.lit(3840.0 * 2160.0)) * 0.5).cast("int"))
+    pad = F.greatest(F.lit(LEAST_PADDING), (high[6] * (w / F.lit(3840.0))).cast("int"))
+    stride = F.coalesce(pick(8), F.lit(1))
+    return clips.withColumns({
+        "profile": profile, "status": F.when(profile == "unsupported", "no_motion"), "line_y": pick(3), "tolerance": pick(4),
+        "least_area": F.when(small, area).otherwise(pick(5)), "padding": F.when(small, pad).otherwise(pick(6)), "motion_scale": pick(7),
+        "stride": F.when(F.col("fast"), F.greatest(stride, F.lit(fast_stride))).otherwise(stride),
+    })
