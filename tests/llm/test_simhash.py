@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 import xxhash
-from watchlake.llm import simhash
+from watchlake.llm import jaccard, simhash
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -160,3 +160,21 @@ def test_stage_decides_by_row(spark):
     rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (4, c), (None, c + " z"), (None, c + " z"), (None, "other words")]
     got = [tuple(r) for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert sorted(got, key=str) == sorted([(1, a), (2, b), (4, c), (None, c + " z"), (None, "other words")], key=str)
+
+
+def test_sketches_never_lose_similar_sets():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 5, 400, 990, 1005, 3000, 40_000):
+        a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for gone in {0, n // 20, n // 11, n // 9, n // 3}:
+            b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 64, gone, np.uint64)]))
+            may = jaccard.may_be_similar(len(a), jaccard.sketch(a), len(b), jaccard.sketch(b))
+            assert may or not jaccard.similar(a, b)
+            assert not may or gone <= n // 9 or n < 400  # and few others pass
+    s = np.unique(rng.integers(0, 1 << 64, 70_001, np.uint64))
+    for counts in ([3, 0, 2], [0], [70_001], [1]):
+        k, fp = sum(counts), np.arange(len(counts)) - 5
+        at = np.arange(k) + (70_000 if k < 3 else 0)
+        got = jaccard._unpack(jaccard._pack(fp, fp + 50, np.array(counts), s[:k], at))
+        want = (s[:k], np.repeat(fp, counts), np.repeat(fp + 50, counts), at)
+        assert all(np.array_equal(x, y) for x, y in zip(got, want))
