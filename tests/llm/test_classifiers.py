@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from watchlake.llm import quality, toxicity
 from watchlake.llm.labelled import Isotonic
 
@@ -59,11 +60,57 @@ def test_isotonic_rises_and_is_least_squares():
     assert 0 <= Isotonic(np.zeros(0), np.zeros(0))(np.zeros(1))[0] <= 1
 
 
-def test_normal_equations_are_sums(spark):
+@pytest.mark.parametrize(("files", "parts", "fan_in"), [(7, None, 8), (40, 30, 3), (40, 9, 2), (1, 5, 2)])
+def test_normal_equations_are_sums(spark, files, parts, fan_in):
+    """Also over a tree of several levels, with empty partitions, and without any row."""
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(300, 3)), rng.random(300)
     model = quality.QualityModel(np.zeros(3), np.ones(3), rng.normal(size=(3, 5)), rng.random(5), None, None)
-    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, label double").repartition(7)
-    a, b = quality.normal_equations(rows, model)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y)], "x array<double>, label double").repartition(files)
+    a, b = quality.normal_equations(rows, model, fan_in, parts)
     z = model.features(x)
     assert np.allclose(a, z.T @ z) and np.allclose(b, z.T @ y)
+    few = rows.where(F.col("label") < 0.02)
+    n = few.count()
+    a, b = quality.normal_equations(few, model, fan_in, parts)
+    assert n and np.isclose(a[-1, -1], n)
+    a, b = quality.normal_equations(rows.limit(0), model, fan_in, parts)
+    assert not a.any() and not b.any()
+
+
+def brute_features(lexicon, text):
+    """The features of one text, token by token."""
+    import re
+
+    toks = (text or "").split()
+    if not toks:
+        return [0.0] * len(toxicity.FEATURES)
+    plain = [toxicity.plain(t) for t in toks]
+    weight = [max([lexicon.get(u, 0.0) for u in toxicity.units(w)] + [0.0]) if w else 0.0 for w, _ in plain]
+    insult = [w in toxicity.INSULTS for w, _ in plain]
+    hit = [bool(a or b) for a, b in zip(weight, insult)]
+    you = [w in toxicity.SECOND_PERSON for w, _ in plain]
+    near = sum(h and not u and any(you[j] for j in range(max(0, i - 5), min(len(toks), i + 6))) for i, (h, u) in enumerate(zip(hit, you)))
+    n, size = len(toks), len(text)
+    signs = sum(c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" for c in text)
+    return [
+        sum(hit) / n, max(weight), sum(weight) / n, len({t for t, h in zip(toks, hit) if h}), sum(insult) / n, near / max(1, sum(hit)), sum(you) / n,
+        len(re.findall("[A-ZÀ-ÖØ-Þ]", text)) / size, sum(len(t) > 1 and t.isupper() and t.isalpha() for t in toks) / n, signs / size, text.count("!") / n,
+        sum(h for _, h in plain) / n, sum(a and h for a, (_, h) in zip(hit, plain)) / n, np.log1p(n), sum(len(re.findall(r"([^\W\d_])\1{3,}", t)) for t in toks) / sum(map(len, toks)),
+    ]
+
+
+def test_features_equal_brute_force():
+    rng = np.random.default_rng(5)
+    some = ["you", "YOU", "idiot", "1d10t!", "scum,", "SCUM", "stupidly", "stupid", "calm", "noooooo", "Été", "s.c.u.m", "don't", "x", "--", "42", "wörd;", "ST@R"]
+    lexicon = {"scum": 2.0, "stup*": 1.5, "calm": 0.9, "you": 0.1}
+    texts = [" ".join(rng.choice(some, rng.integers(1, 60))) for _ in range(200)] + [None, "", " \n", "\x1c you scum", "you scum " * 9000]
+    got = toxicity.Extractor(lexicon).many(texts)
+    assert np.allclose(got, [brute_features(lexicon, t) for t in texts])
+
+
+def test_score_replaces_a_column_of_its_name(spark):
+    docs, labels = small(spark)
+    for model in (toxicity.fit_toxicity(docs, labels), quality.fit_quality(docs, labels), toxicity.fit_toxicity(docs, labels.limit(0))):
+        got = model.score(docs)
+        assert sorted(got.columns) == sorted(docs.columns) and got.count() == docs.count() and got.where("score = 1.0 AND doc_id = 0").count() == 0

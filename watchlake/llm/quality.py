@@ -26,7 +26,7 @@ SIGN = re.compile(r"[^\w\s]+")
 UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
 ODD_END = re.compile(r"[%&$#*|@~^=<>]+(?=\s|$)")
 STATISTICS = (
-    "log_words mean_length sd_length distinct top_share repeats letters digits signs upper odd_ends exclamations bars log_lines "
+    "log_words log_mean_length log_sd_length distinct top_share repeats letters digits signs upper odd_ends exclamations bars log_lines "
     "log_line_words same_lines entropy stops"
 ).split()
 
@@ -44,7 +44,7 @@ def statistics(text: str | None) -> list[float]:
     left = lambda pattern: (chars - len(pattern.sub("", text))) / chars
     shares = np.fromiter(counts.values(), float, len(counts)) / n
     return [
-        math.log1p(n), min(20.0, float(sizes.mean())), min(20.0, float(sizes.std())), len(counts) / n, float(shares.max()),
+        math.log1p(n), math.log1p(float(sizes.mean())), math.log1p(float(sizes.std())), len(counts) / n, float(shares.max()),
         sum(map(str.__eq__, words, words[1:])) / n, left(LETTER), left(DIGIT), left(SIGN), left(UPPER), len(ODD_END.findall(text)) / n,
         text.count("!") / n, text.count("|") / n, math.log1p(len(lines)), math.log1p(n / max(1, len(lines))),
         1 - len(set(lines)) / max(1, len(lines)), float(-(shares * np.log(shares)).sum()) / math.log(n + 1), (text.count(". ") + text.count(".\n")) / n,
@@ -58,6 +58,7 @@ class QualityModel:
         self.mean, self.scale, self.omega, self.phase, self.weights, self.isotonic, self.constant = mean, scale, omega, phase, weights, isotonic, constant
 
     def features(self, x: np.ndarray) -> np.ndarray:
+        """Fourier features and a constant. A statistic further than 6 deviations from its mean counts as 6: the kernel is flat there."""
         z = np.clip((x - self.mean) / self.scale, -6, 6)
         return np.hstack([np.sqrt(2 / self.omega.shape[1]) * np.cos(z @ self.omega + self.phase), np.ones((len(x), 1))])
 
@@ -65,7 +66,12 @@ class QualityModel:
         return 8 * (self.features(x) @ self.weights - 0.5)
 
     def score(self, docs: DataFrame, name: str = "score", text: str = "text") -> DataFrame:
-        """``docs`` and the score of each row; a null text scores as an empty one."""
+        """``docs`` and the score of each row.
+
+        A null text scores as an empty one; texts of any length are read whole. Repeated rows and equal texts score alike.
+        An empty table stays empty. A column called ``name`` is replaced; other columns may have any names.
+        """
+        docs = docs.drop(name)
         schema = docs.select("*").schema.add(name, "double")
         at, names = docs.columns.index(text), [*docs.columns, name]
 
@@ -90,32 +96,45 @@ def with_statistics(sample: DataFrame) -> DataFrame:
     return sample.select("text", "label", "lot").mapInPandas(run, "x array<double>, label double, lot int")
 
 
-def normal_equations(rows: DataFrame, model: QualityModel, fan_in: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """The sums of z z' and z y over ``rows``: one packed matrix for each partition, added in a tree of ``fan_in``."""
+def normal_equations(rows: DataFrame, model: QualityModel, fan_in: int = 8, parts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of z z' and z y over ``rows``: one packed matrix for each partition that has rows, added in a tree.
+
+    ``rows`` is a bounded sample, however many files it lies in; it is read in ``parts`` partitions (as many as there are
+    cores). A task adds ``fan_in`` matrices at most, and the driver the last ``fan_in``.
+    """
     size = model.omega.shape[1] + 1
+    parts = parts or max(1, rows.sparkSession.sparkContext.defaultParallelism)
 
     def per_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((size, size + 1))
+        total = None
         for pdf in batches:
-            z = model.features(np.stack(pdf["x"].to_numpy()))
-            total += z.T @ np.hstack([z, pdf["label"].to_numpy(float)[:, None]])
-        yield pd.DataFrame({"part": [0], "total": [total.tobytes()]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, float) for x in pdf["total"])
-        return pd.DataFrame({"part": [0], "total": [total.tobytes()]})
-
-    sums = rows.select("x", "label").mapInPandas(per_partition, "part long, total binary").withColumn("part", F.spark_partition_id().cast("long"))
-    n = fan_in
-    while n < rows.sparkSession.sparkContext.defaultParallelism * fan_in:  # levels, by the machines there are
+            if len(pdf):
+                z = model.features(np.stack(pdf["x"].to_numpy()))
+                now = z.T @ np.hstack([z, pdf["label"].to_numpy(float)[:, None]])
+                total = now if total is None else total + now
+        if total is not None:
+            yield pd.DataFrame({"total": [total.tobytes()]})
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x, float) for x in pdf["total"]], axis=0)
+        return pd.DataFrame({"part": [key[0]], "total": [total.tobytes()]})
+
+    sums = rows.select("x", "label").coalesce(parts).mapInPandas(per_partition, "total binary").select(F.spark_partition_id().cast("long").alias("part"), "total")
+    while parts > fan_in:
         sums = sums.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part").applyInPandas(add, "part long, total binary")
-        n *= fan_in
-    total = sum(np.frombuffer(r["total"], float).reshape(size, size + 1) for r in sums.select("total").collect())
+        parts = -(-parts // fan_in)
+    total = sum((np.frombuffer(r["total"], float).reshape(size, size + 1) for r in sums.select("total").collect()), np.zeros((size, size + 1)))
     return total[:, :size], total[:, size]
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND, dim: int = 256, ridge: float = 1e-3, seed: int = 3) -> QualityModel:
-    """Learn from the labelled sample of ``docs``: the ridge on three quarters, the calibration on the rest."""
+    """Learn from the labelled sample of ``docs``: the ridge on three quarters, the calibration on the rest.
+
+    Null ids, null labels and labels without a document are left out; null and empty texts are texts without words.
+    Repeated ids take the larger label, and each of their rows is learned from. If the sample is empty or has one class
+    only, the model is a constant: the share of good rows with one row of each class added. Only doc_id and text of
+    ``docs`` and doc_id and quality of ``labels`` are read, whatever other columns there are.
+    """
     rows = materialize(with_statistics(labelled_sample(docs, labels, "quality", bound=bound)), "quality-sample")
     k = len(STATISTICS)
     moments = rows.select(*(F.col("x")[i].alias(f"x{i}") for i in range(k)), "label")
@@ -137,7 +156,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND, dim: int
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``docs`` without the rows that score under ``threshold``."""
+    """``docs`` without the rows that score under ``threshold``, with their own columns.
+
+    Rows of null or repeated ids are judged by their own texts; null and empty texts score as texts without words. An
+    empty table gives an empty result; without usable labels all rows score alike and stay.
+    """
     name = free_name(docs.columns, "quality_score")
     return fit_quality(docs, labels).score(docs, name).where(F.col(name) >= threshold).select(*docs.columns)
 
