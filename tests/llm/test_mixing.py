@@ -74,7 +74,24 @@ def test_mixed_documents_and_empty(spark):
     df = spark.createDataFrame(corpus(300), SCHEMA)
     got = M.mixed_documents(df)
     assert got.columns[:5] == df.columns and {"_size", "_copies", "taken"} <= set(got.columns)
-    direct = M.mix(df).where("copies > 0")
+    direct = M.mix(df, content=M._content(df)).where("copies > 0")  # the same lots
     assert got.count() == direct.count() and got.agg({"taken": "sum"}).first()[0] == direct.agg({"taken": "sum"}).first()[0]
     assert M.mix(df.limit(0)).count() == 0 == M.mixed_documents(df.limit(0)).count()
     assert M.mix(df.where("text IS NULL")).first()["taken"] == 0
+
+
+def test_null_ids_and_repeats_are_spread_and_decided_alike(spark):
+    """No id keeps its rows in one bucket, and which text is kept hangs on the rows only."""
+    rows = [(None, f"text {k} " + "w " * (k % 9), "hot" if k % 3 else "b", "x", 3) for k in range(600)] + [(5, "the same row", "b", "x", 3)] * 40
+    df = spark.createDataFrame(rows, SCHEMA)
+    numbered = M._numbered(df.select("doc_id", "text"), chunk=7)
+    assert numbered.count() == len(rows) and numbered.where("doc_id = 5").agg({"nth": "max"}).first()[0] == 39
+    assert numbered.where("doc_id = 5").select("nth").distinct().count() == 40
+    kept = lambda d: sorted((r["text"], r["taken"]) for r in M.mixed_documents(d, bucket_rows=50, fan_in=4).collect())
+    assert kept(df.repartition(3)) == kept(df.repartition(7, "text")) == kept(df.orderBy("text"))
+
+
+def test_columns_that_have_no_hash(spark):
+    df = spark.createDataFrame([(1, "a b", "s", {"k": 1}), (1, "a b", "s", {"k": 2}), (1, "a b", "s", {"k": 2})], "doc_id long, text string, source string, m map<string,int>")
+    got = M.mixed_documents(df).collect()
+    assert all(r["copies"] > 0 for r in got) and sum(r["taken"] for r in got) in (8, 10)

@@ -107,27 +107,40 @@ def _settler(salt: int):
     """Settles a bucket's open documents, long ones first, so that the one that stays open is short."""
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable")
-        keys = pdf["key"].to_numpy(np.int64).view(np.uint64) + np.arange(len(pdf), dtype=np.uint64)
+        pdf = pdf.sort_values(["size", "key"], ascending=[False, True], kind="stable")
+        keys = pdf["key"].to_numpy(np.int64).view(np.uint64)
         pdf["p"] = pivot(pdf["size"].to_numpy(float), pdf["p"].to_numpy(float), _uniform(keys, salt))
         return pdf
 
     return settle
 
 
+def _numbered(rows: DataFrame, chunk: int = 100_000) -> DataFrame:
+    """Rows with ``nth``, their number among equal rows: counted first, so that many equal rows are one row a task."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("rows"))
+    chunks = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / chunk))))
+    nth = F.sequence(F.col("chunk") * chunk, F.least("rows", (F.col("chunk") + 1) * chunk) - 1)
+    return chunks.select(*rows.columns, F.explode(nth).alias("nth"))
+
+
 def mix(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
-    weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, bucket_rows: int = 2000, fan_in: int = 64, seed: int = 11,
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE,
+    most: float = MOST, bucket_rows: int = 2000, fan_in: int = 64, seed: int = 11, content: Column | None = None,
 ) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken): one row per row of ``docs``.
-
-    Empty and null texts have size 0 and take no words. A null source is a source like any other. Rows that
-    repeat are rounded each on its own, in an order that doesn't depend on where they are stored (by hash of
-    id and size; equal rows are interchangeable), so reruns agree. Null ids are allowed. An empty table gives an
-    empty result. ``bucket_rows``: documents that are settled together; a hot source has as many more buckets.
+    """(doc_id, size, source, content, source_size, target, copies, taken): one row per row of ``docs``.
+
+    Empty and null texts have size 0 and take no words; texts are measured whole, however long. A null source is a
+    source like any other. Null and repeated ids are allowed: each row is rounded on its own, by a lot that hangs on
+    its id, its source and ``content`` (a long; the text's hash if not given) and, among rows that are equal in all of
+    these, on its number. So reruns agree, wherever rows are stored. An empty table gives an empty result. Columns
+    besides id, text and source aren't read. ``bucket_rows``: documents that are settled together; a hot source has
+    as many more buckets, and no id and no text keeps its rows in one of them.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    rows = materialize(rows, "sizes")
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
+        (F.xxhash64(F.col(text)) if content is None else content).alias("content"),
+    )
+    rows = materialize(_numbered(rows), "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sizes = materialize(sizes, "source_sizes")
     targets = source_targets(sizes.select("source", "source_size"), weights, share, most).withColumnRenamed("source", "to_source")
@@ -137,13 +150,13 @@ def mix(
     most_rows = sizes.agg(F.max("n")).first()[0] or 0
     while fan_in ** (levels - 1) * bucket_rows < most_rows:
         levels += 1
-    plan = materialize(plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "plan")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.lit(seed))
+    plan = materialize(plan.withColumn("rate", F.when(F.col("source_size") > 0, F.try_divide("target", "source_size")).otherwise(0.0)), "plan")
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "source", "content", "nth", F.lit(seed))
     plan_ = plan.withColumnRenamed("source", "s")
     all_ = rows.join(plan_, rows["source"].eqNullSafe(plan_["s"])).select(
-        "doc_id", "source", "size", "source_size", "target", key.alias("key"),
+        "doc_id", "source", "size", "content", "source_size", "target", key.alias("key"),
         F.floor("rate").cast("int").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"),
-        (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("long"))).alias("bucket"),
+        F.pmod(F.xxhash64(key, F.lit(seed + 1)), F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows)).cast("long")).alias("bucket"),
     )
     # empty texts are settled without a lot: they move no words
     all_ = all_.withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
@@ -163,31 +176,38 @@ def mix(
 
     result = settled.unionByName(all_.mapInPandas(last, schema))
     copies = (F.col("whole") + F.col("p").cast("int")).cast("int")
-    return result.select("doc_id", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return result.select("doc_id", "size", "source", "content", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def _content(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; maps, which have no hash, by their text."""
+    cols = [F.to_json(F.struct(f.name)) if "map" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*cols, F.concat(*(F.col(f"`{c}`").isNull().cast("string") for c in docs.columns)))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the mix takes, with (size, source_size, target, copies, taken) beside their own columns.
 
-    Own columns that have such a name are kept and the new ones get an underscore. Texts move once, to their decisions.
+    ``docs`` has doc_id, text and source. Own columns that are called like new ones are kept and the new ones get an
+    underscore. Null and empty texts take no words; rows without any word stay if their source takes whole copies. Each
+    row of a repeated id is decided by itself, and rows that are equal in all columns are interchangeable. An empty
+    table gives an empty result. Texts move once, to their decisions.
     """
-    found = mix(docs, **options)
+    key, other = (free_name(docs.columns, c) for c in ("mix_key", "mix_other"))
+    own = docs.withColumn(key, _content(docs))
+    found = mix(docs, content=_content(docs), **options)
     names = {c: free_name(docs.columns, c) for c in ("size", "source_size", "target", "copies", "taken")}
-    key, nth, other = (free_name(docs.columns, c) for c in ("mix_key", "mix_nth", "mix_other"))
-    found = materialize(found.select(F.xxhash64("doc_id", "source", "size").alias(key), *(F.col(c).alias(n) for c, n in names.items())), "mixed")
+    found = materialize(found.select(F.col("content").alias(key), *(F.col(c).alias(n) for c, n in names.items())), "mixed")
     twice = materialize(found.groupBy(key).count().where("count > 1").select(F.col(key).alias(other)), "twice")
-    own = docs.withColumn(key, F.xxhash64("doc_id", "source", n_words(F.col("text"))))
-    taken = lambda rows: rows.where(F.col(names["copies"]) > 0)
+    taken = found.where(F.col(names["copies"]) > 0)
     out = [*docs.columns, *names.values()]
     if not twice.limit(1).count():
-        return own.join(taken(found), key).select(*out)
-    # rows that are alike in id, source and size are numbered, so that each gets one decision; few are
+        return own.join(taken, key).select(*out)
+    # of equal rows one is kept, and it is joined to all their decisions
     repeats = F.col(key) == F.col(other)
-    w = Window.partitionBy(key)
-    single = own.join(twice, repeats, "left_anti").join(taken(found.join(twice, repeats, "left_anti")), key).select(*out)
-    again = own.join(twice, repeats, "left_semi").withColumn(nth, F.row_number().over(w.orderBy(key)))
-    theirs = found.join(twice, repeats, "left_semi").withColumn(nth, F.row_number().over(w.orderBy(names["copies"])))
-    return single.unionByName(again.join(taken(theirs), [key, nth]).select(*out))
+    single = own.join(twice, repeats, "left_anti").join(taken.join(twice, repeats, "left_anti"), key)
+    again = own.join(twice, repeats, "left_semi").dropDuplicates([key]).join(taken.join(twice, repeats, "left_semi"), key)
+    return single.select(*out).unionByName(again.select(*out))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
