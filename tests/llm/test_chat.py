@@ -71,3 +71,25 @@ def test_query(spark, sf_dir):
         assert got[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         loss = "".join(t for r, t in turns if r == "assistant")
         assert (got[c]["loss_chars"], got[c]["loss_sha256"], got[c]["n_turns"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(turns))
+
+
+def test_replayed_over_short_and_long_conversations(spark):
+    rng = random.Random(7)
+    rows = [(c, t % 5 if c == 3 else t, rng.choice(["user", "assistant"]), rng.choice(HARD) or "é<|x" * rng.randrange(2000)) for c in range(6) for t in range(3 if c % 2 else 40)]
+    rows += [(3, 1, "user", "same turn")] * 30 + [(None, 1, "assistant", "no id"), (None, 90, "user", None), (9, None, "assistant", "no turn"), (9, 2, "user", "a")]
+    df = frame(spark, rows).select("conv_id", "turn", "role", "text").repartition(5)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.replayed(df, chunk=8)).collect()}
+    want = brute(rows)
+    assert got.keys() == want.keys()
+    for c, turns in want.items():
+        assert [tuple(t) for t in got[c]["turns"]] == turns, c
+        assert got[c]["loss_text"] == "".join(t for r, t in turns if r == "assistant")
+    kinds = {r["kind"] for r in chat.events_of(df).select("kind").distinct().collect()}
+    assert kinds == {"message", "delta", "edit", "regenerate"}
+    assert chat.replayed(df.limit(0)).count() == 0
+
+
+def test_texts_of_short_conversations_move_once(spark):
+    df = spark.range(40).selectExpr("id % 4 AS conv_id", "id AS turn", "'user' AS role", "repeat('x', 50) AS text")
+    plan = chat.render_short(chat.fold_events(chat.events_of(df.repartition("conv_id"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
