@@ -57,11 +57,12 @@ def corpus(seed, n=120):
     return [" ".join(rng.choices(vocabulary, weights=[1 / (k + 1) for k in range(len(vocabulary))], k=rng.randint(0, 25))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_equals_brute_force(spark, parts):
+@pytest.mark.parametrize("part_bytes", [10**9, 2000])
+def test_equals_brute_force(spark, part_bytes):
     train = [*corpus(1), None, "", "The THE the\tthe", "x " * 3000]
     test = [*corpus(2, 30), None, "", "never seen words", "x x x y"]
-    model = lm.train(spark.createDataFrame([(t, 1) for t in train], "text string, score int"), parts=parts)
+    model = lm.train(spark.createDataFrame([(t, 1) for t in train], "text string, score int"), part_bytes=part_bytes)
+    assert model.parts == 1 if part_bytes > 10**8 else model.parts > 5
     brute = Brute(train)
     assert (model.tokens, model.types, model.pairs) == (sum(brute.words.values()), len(brute.words), len(brute.pairs))
     df = spark.createDataFrame([(k, t, 2.0) for k, t in enumerate(test)], "doc_id long, text string, base_score double")
@@ -96,3 +97,14 @@ def test_query(spark, sf_dir):
         assert got.loc[r["doc_id"], "base_score"] == pytest.approx(sum(math.log10((brute.words[w] + 0.5) / (n + 0.5 * (len(brute.words) + 1))) for w in ws))
     held = got[got["held_out"]]
     assert held["score"].sum() > held["base_score"].sum() and np.isfinite(got["score"]).all()
+
+
+def test_packed_numbers_are_narrow_and_whole():
+    for top in (0, 200, 70_000, 5_000_000_000):
+        x = np.array([0, 1, top], np.int64)
+        (got,) = lm._unpack(lm._pack(lm._narrow(x)))
+        assert (got == x).all() and got.itemsize == {0: 1, 200: 1, 70_000: 4, 5_000_000_000: 8}[top]
+    a, b, n = np.array([9, 5, 9, 5], np.uint64), np.arange(4, dtype=np.uint64), np.array([1, 2, 3, 400])
+    got = {k: lm._unpack(x) for k, x in lm._deal_pairs(np.array([1, 0, 1, 0]), a, b, n)}
+    assert {k: (v[0].tolist(), v[1].tolist(), v[2].tolist(), v[3].tolist()) for k, v in got.items()} == {0: ([5], [2], [1, 3], [2, 400]), 1: ([9], [2], [0, 2], [1, 3])}
+    assert list(lm._deal_pairs(np.array([], int), *(np.array([], np.uint64),) * 3)) == []

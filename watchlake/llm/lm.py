@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import fold, shared_path, table
+from watchlake.llm.common import fold, free_name, shared_path, table
 
 #: Hashes of what no word can be: white space is never in a word.
 BEGIN_WORD, END_WORD = b" ", b"\n"
@@ -87,37 +87,59 @@ def _sum_by(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[starts], *(np.add.reduceat(v[order], starts) if len(key) else v for v in values))
 
 
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers of 0 or more in the fewest bytes that hold them."""
+    top = int(x.max()) if len(x) else 0
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(t).max))
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+    """Arrays of unsigned numbers after a head that says how many there are, how long each is and how wide its numbers are."""
+    head = [len(arrays), *(v for a in arrays for v in (len(a), a.itemsize))]
+    return b"".join([np.array(head, np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
 
 
-def _unpack(blob: bytes, *types) -> list[np.ndarray]:
-    n = len(blob) // sum(np.dtype(t).itemsize for t in types)
-    out, at = [], 0
-    for t in types:
-        out.append(np.frombuffer(blob, t, n, at))
-        at += n * np.dtype(t).itemsize
+def _unpack(blob) -> list[np.ndarray]:
+    k = int(np.frombuffer(blob, np.int64, 1)[0])
+    head, at, out = np.frombuffer(blob, np.int64, 2 * k, 8).tolist(), 8 + 16 * k, []
+    for n, width in zip(head[::2], head[1::2]):
+        out.append(np.frombuffer(blob, f"u{width}", n, at))
+        at += n * width
     return out
 
 
-PAIR = (np.uint64, np.uint64, np.uint32)
-WORD = (np.uint64, np.uint32, np.uint64)
-FAMILIES = {"pair": (np.uint64, np.uint32), "first": (np.uint64, np.int64, np.int64, np.int64, np.int64), "word": WORD}
+#: Files of sorted hashes, and how many numbers they hold of each: a pair's count; a first word's total and how many
+#: of its pairs have the counts 1, 2 and more; a word's number of words before it and its count.
+FAMILIES = {"pair": 1, "first": 4, "word": 2}
+
+
+def _cuts(part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal numbers begin and end."""
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(0, np.int64)
+    yield from zip(cuts[:-1].tolist(), cuts[1:].tolist())
+
+
+def _deal_pairs(part: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The pairs of each part, each first word written once."""
+    order = np.lexsort((a, part))
+    part, a, b, n = part[order], a[order], b[order], n[order]
+    for x, y in _cuts(part):
+        starts = np.array([i for i, _ in _cuts(a[x:y])], np.int64)
+        yield int(part[x]), _pack(a[x:y][starts], _narrow(np.diff(np.append(starts, y - x))), b[x:y], _narrow(n[x:y]))
 
 
-def _deal(part: np.ndarray, *arrays: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _deal(part: np.ndarray, keys: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(part, kind="stable")
     part = part[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(0, np.int64)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        yield int(part[a]), _pack(*(x[order[a:b]] for x in arrays))
+    for x, y in _cuts(part):
+        yield int(part[x]), _pack(keys[order[x:y]], *(_narrow(v[order[x:y]]) for v in values))
 
 
-def _write(folder: str, family: str, part: int, *arrays: np.ndarray) -> None:
+def _write(folder: str, family: str, part: int, keys: np.ndarray, *values: np.ndarray) -> None:
     """Whole or not at all: a task that runs twice writes the same bytes and renames them into place."""
     path = f"{folder}/{family}-{part}"
     with open(tmp := f"{path}.{uuid.uuid4().hex}", "wb") as f:
-        f.write(_pack(*arrays))
+        f.write(_pack(keys, *map(_narrow, values)))
     os.replace(tmp, path)
 
 
@@ -140,8 +162,7 @@ class Model:
             got = None
             try:
                 with open(f"{self.folder}/{family}-{part}", "rb") as f:
-                    if os.fstat(f.fileno()).st_size:
-                        got = _unpack(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False), *FAMILIES[family])
+                    got = _unpack(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ, trackfd=False))
             except FileNotFoundError:  # no key fell into this part
                 pass
             self._maps[family, part] = got
@@ -149,12 +170,11 @@ class Model:
 
     def look_up(self, family: str, keys: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
         """Values of sorted or unsorted distinct keys; 0 where there is none."""
-        out = [np.zeros(len(keys), np.int64) for _ in FAMILIES[family][1:]]
+        out = [np.zeros(len(keys), np.int64) for _ in range(FAMILIES[family])]
         order = np.lexsort((keys, part))
         part = part[order]
-        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(0, np.int64)
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if (arrays := self._arrays(family, int(part[a]))) is None:
+        for a, b in _cuts(part):
+            if (arrays := self._arrays(family, int(part[a]))) is None or not len(arrays[0]):
                 continue
             idx = order[a:b]
             at = np.minimum(np.searchsorted(arrays[0], keys[idx]), len(arrays[0]) - 1)
@@ -202,10 +222,9 @@ def pair_part(a: np.ndarray, b: np.ndarray, common: np.ndarray, parts: int) -> n
     return (np.where(np.isin(a, common), mix(b, a), a) % np.uint64(parts)).astype(np.int64)
 
 
-def common_words(docs: DataFrame, text: str, sample_docs: int = 1000, share: float = 0.0005) -> np.ndarray:
+def common_words(docs: DataFrame, text: str, n: int, sample_docs: int = 1000, share: float = 0.0005) -> np.ndarray:
     """Hashes of words with at least that share of a sample's tokens, and the begin mark. Only where pairs are kept hangs on them."""
-    n = max(1, docs.count())
-    some = docs.where(F.pmod(F.xxhash64(F.col(text), F.lit(3)), F.lit(1 << 20)) < int(min(1.0, sample_docs / n) * (1 << 20)))
+    some = docs.where(F.pmod(F.xxhash64(F.col(text), F.lit(3)), F.lit(1 << 20)) < int(min(1.0, sample_docs / max(1, n)) * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _runs(batches, 0):
@@ -219,16 +238,23 @@ def common_words(docs: DataFrame, text: str, sample_docs: int = 1000, share: flo
     return np.unique(np.append(top.view(np.uint64), np.uint64(_hash(BEGIN_WORD))))
 
 
-def train(docs: DataFrame, text: str = "text", parts: int | None = None) -> Model:
-    """Count ``docs`` and write the model's arrays below ``spark.checkpoint.dir``, which must be mounted as files."""
+def train(docs: DataFrame, text: str = "text", part_bytes: int = 12_000_000) -> Model:
+    """Count ``docs`` and write the model's arrays below ``spark.checkpoint.dir``, which must be mounted as files.
+
+    The number of parts grows with the text: a part gets the pairs of ``part_bytes`` of it or so (about two million
+    tokens), whatever the session's settings are. Null and empty texts are one end each; texts of any length are counted
+    whole, and every row counts, repeated ones too. An empty table gives a model of nothing. Columns besides ``text``
+    aren't read.
+    """
     spark = docs.sparkSession
     where = urlparse(shared_path(spark, "lm"))
     if where.scheme not in ("", "file"):
         raise ValueError(f"workers map the model's files into memory, so the shared folder must be mounted: {where.geturl()}")
     folder = where.path
     os.makedirs(folder)
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    common = common_words(docs, text)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    parts = 1 + (size + n) // part_bytes
+    common = common_words(docs, text, n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in _runs(batches, 0):
@@ -236,44 +262,47 @@ def train(docs: DataFrame, text: str = "text", parts: int | None = None) -> Mode
             prev = before(h, sizes)
             _, one, n = np.unique(mix(prev, h), return_index=True, return_counts=True)
             a, b = prev[one], h[one]
-            dealt = list(_deal(pair_part(a, b, common, parts), a, b, n.astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int32()), pa.array([x for _, x in dealt], pa.binary())], names=["part", "blob"])
+            dealt = list(_deal_pairs(pair_part(a, b, common, parts), a, b, n))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int64()), pa.array([x for _, x in dealt], pa.binary())], names=["part", "blob"])
 
     def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b, n = (np.concatenate(x) for x in zip(*(_unpack(x, *PAIR) for x in pdf["blob"])))
+        got = [(np.repeat(heads, counts), b, n) for heads, counts, b, n in map(_unpack, pdf["blob"])]
+        a, b, n = (np.concatenate(x) for x in zip(*got))
+        del got
         k = mix(a, b)
         order = np.argsort(k, kind="stable")
-        starts = np.flatnonzero(np.concatenate([[True], k[order][1:] != k[order][:-1]]))
+        k = k[order]
+        starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         n = np.add.reduceat(n[order].astype(np.int64), starts)
-        a, b, k = a[order][starts], b[order][starts], k[order][starts]
-        _write(folder, "pair", key[0], k, n.astype(np.uint32))
+        a, b, k = a[order[starts]], b[order[starts]], k[starts]
+        _write(folder, "pair", key[0], k, n)
         first = _sum_by(a, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
         shared = np.isin(first[0], common)
         _write(folder, "first", key[0], *(x[~shared] for x in first))
-        stats = np.array([len(k), *((n == i).sum() for i in (1, 2, 3, 4))], np.int64)
+        stats = np.array([len(k), *((n == i).sum() for i in (1, 2, 3, 4))], np.uint64)
         words = _sum_by(b, np.ones(len(b), np.int64), n)
-        rows = list(_deal((words[0] % np.uint64(parts)).astype(np.int64), words[0], words[1].astype(np.uint32), words[2].astype(np.uint64)))
-        rows.append((-1, _pack(stats) + b"".join(_pack(*(np.asarray(x[i : i + 1]).astype(t) for x, t in zip(first, FAMILIES["first"]))) for i in np.flatnonzero(shared))))
+        rows = list(_deal((words[0] % np.uint64(parts)).astype(np.int64), *words))
+        rows.append((-1, _pack(stats, *(x[shared].astype(np.uint64) for x in first))))
         return pd.DataFrame(rows, columns=["part", "blob"])
 
     def words_(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
             stats, firsts = np.zeros(5, np.int64), {}
             for blob in pdf["blob"]:
-                stats += np.frombuffer(blob, np.int64, 5)
-                for at in range(40, len(blob), 40):
-                    word, *more = (int(x[0]) for x in _unpack(blob[at : at + 40], *FAMILIES["first"]))
-                    firsts[word] = [x + y for x, y in zip(firsts.get(word, [0] * 4), more)]
+                some, words, *more = _unpack(blob)
+                stats += some.astype(np.int64)
+                for word, *values in zip(words.tolist(), *(x.tolist() for x in more)):
+                    firsts[word] = [x + y for x, y in zip(firsts.get(word, [0] * 4), values)]
             out = [stats.tolist()] + [[int(np.uint64(w).view(np.int64)), *v] for w, v in firsts.items()]
             return pd.DataFrame({"pairs": [True] * len(out), "stats": out})
-        w, left, n = (np.concatenate(x) for x in zip(*(_unpack(x, *WORD) for x in pdf["blob"])))
+        w, left, n = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"])))
         w, left, n = _sum_by(w, left.astype(np.int64), n.astype(np.int64))
-        _write(folder, "word", key[0], w, left.astype(np.uint32), n.astype(np.uint64))
+        _write(folder, "word", key[0], w, left, n)
         stats = [len(w), n.sum(), *((left == i).sum() for i in (1, 2, 3, 4)), (left >= 3).sum()]
         return pd.DataFrame({"pairs": [False], "stats": [[int(x) for x in stats]]})
 
-    blobs = docs.select(F.col(text).cast("binary")).mapInArrow(count, "part int, blob binary")
-    done = blobs.groupBy("part").applyInPandas(pairs, "part int, blob binary").groupBy("part").applyInPandas(words_, "pairs boolean, stats array<long>")
+    blobs = docs.select(F.col(text).cast("binary")).mapInArrow(count, "part long, blob binary")
+    done = blobs.groupBy("part").applyInPandas(pairs, "part long, blob binary").groupBy("part").applyInPandas(words_, "pairs boolean, stats array<long>")
     rows = done.collect()  # a row of seven numbers for each part, and five for each common word
     mine = [r["stats"] for r in rows if r["pairs"]]
     word = np.sum([r["stats"] for r in rows if not r["pairs"]], axis=0, dtype=np.int64).tolist() if any(not r["pairs"] for r in rows) else [0] * 7
@@ -286,8 +315,9 @@ def train(docs: DataFrame, text: str = "text", parts: int | None = None) -> Mode
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, n_tokens, n_known, base_score and score (log10 probabilities): one row per row of ``docs``.
 
-    A null text is empty: its end is its only token. Texts that repeat score alike. A model of no text gives
-    every token probability 1.
+    A null text is empty: its end is its only token. Texts of any length are scored whole, and texts that repeat score
+    alike. A model of no text gives every token probability 1. An empty table stays empty. Other columns may have any
+    names; those that are kept should differ from the new ones.
     """
     added = ["n_tokens", "n_known", "base_score", "score"]
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
@@ -297,7 +327,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
             cols = [b.column(i) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array(x) for x in model.score(texts))], names=[*keep, *added])
 
-    return docs.select(*keep, F.col(text).cast("binary").alias("_body")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("binary").alias(free_name([*keep, *added], "body"))).mapInArrow(run, schema)
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
