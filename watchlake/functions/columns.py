@@ -31,6 +31,11 @@ def time_from_path(path: Column) -> Column:
     return F.coalesce(stamp, legacy)
 
 
+def stamp_or(video: Column, ts: Column) -> Column:
+    """The time in a video's name (its first run of 14 digits), else ``ts``."""
+    return F.coalesce(F.try_to_timestamp(some(F.regexp_extract(basename(video), r"(\d{14})", 1)), F.lit("yyyyMMddHHmmss")), ts)
+
+
 def _legacy(name: Column) -> tuple[Column, Column]:
     pattern = r"^(\d{2})(?:M(\d{2})S|(\d{2}))"
     mm = some(F.regexp_extract(name, pattern, 1))
@@ -42,18 +47,18 @@ def hhmm(video: Column, ts: Column) -> Column:
     name = basename(video)
     mm, _ = _legacy(name)
     return F.when(mm.isNotNull() & ts.isNotNull(), F.concat(F.date_format(ts, "HH"), F.lit(":"), mm)).otherwise(
-        F.date_format(F.coalesce(time_from_path(name), ts), "HH:mm")
+        F.date_format(stamp_or(video, ts), "HH:mm")
     )
 
 
 def hhmmss(video: Column, ts: Column) -> Column:
-    return F.date_format(F.coalesce(time_from_path(basename(video)), ts), "HH:mm:ss")
+    return F.date_format(stamp_or(video, ts), "HH:mm:ss")
 
 
 def mm_ss(video: Column, ts: Column) -> Column:
     name = basename(video)
     mm, ss = _legacy(name)
-    at = F.coalesce(time_from_path(name), ts)
+    at = stamp_or(video, ts)
     label = lambda a, b: F.concat(a, F.lit("M"), b, F.lit("S"))
     return F.when(mm.isNotNull(), label(mm, ss)).otherwise(label(F.date_format(at, "mm"), F.date_format(at, "ss")))
 

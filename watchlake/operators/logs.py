@@ -6,57 +6,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchlake.functions import columns as C
+from watchlake.operators import presence
+from watchlake.operators.graph import written
 from watchlake.params import LogParams
 
 LINE = r"^(\[W\] )?(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) - ([A-Z]+) - (.*)$"
 MESSAGE = r"^\[([^\]]+)\]\s*(\[W\] )?(.*)$"
 
-# The patterns of the log's messages. A user may pass more; each gives a column of the named type.
-PATTERNS: dict[str, tuple[str, int, str]] = {
-    "status": (r"Status:\s*([a-z_]+)", 1, "string"),
-    "full_s": (r"Full processing took ([0-9]+\.[0-9]+|[0-9]+) seconds", 1, "double"),
-    "raw_events": (r"Found (\d+) raw motion event\(s\)", 1, "int"),
-    "md_s": (r"Motion detection took ([0-9]+\.[0-9]+|[0-9]+) seconds", 1, "double"),
-    "gate_dir": (r"Gate crossing detected! Direction: (up|down|both)", 1, "string"),
-    "gate_up": (r"Gate crossing detected! Direction: (?:up|down|both)\. Persons Up: (\d+), Down: (\d+)", 1, "int"),
-    "gate_down": (r"Gate crossing detected! Direction: (?:up|down|both)\. Persons Up: (\d+), Down: (\d+)", 2, "int"),
-    "is_new": (r"^New file detected:", 0, "boolean"),
-    "fast": (r"fast_processing=True", 0, "boolean"),
-    "saved_frame": (r"Saved \w+ frame to ", 0, "boolean"),
-    "away": (r"Reaction detected: object went away", 0, "boolean"),
-    "back": (r"Reaction detected: object came back", 0, "boolean"),
-    "removed": (r"Reaction removed\.", 0, "boolean"),
-    "speed": (r"SpeedTrap (\d+) km/h", 1, "int"),
-    "soc": (r"SoC fetched: (\d+)%", 1, "int"),
+# The patterns of the log's messages. A user may pass more; each gives a column of the named type. The
+# last item is a text that every match holds: only lines with it are matched at all.
+PATTERNS: dict[str, tuple[str, int, str, str]] = {
+    "status": (r"Status:\s*([a-z_]+)", 1, "string", "Status:"),
+    "full_s": (r"Full processing took ([0-9]+\.[0-9]+|[0-9]+) seconds", 1, "double", "Full processing took "),
+    "raw_events": (r"Found (\d+) raw motion event\(s\)", 1, "int", "raw motion event(s)"),
+    "md_s": (r"Motion detection took ([0-9]+\.[0-9]+|[0-9]+) seconds", 1, "double", "Motion detection took "),
+    "gate_dir": (r"Gate crossing detected! Direction: (up|down|both)", 1, "string", "Gate crossing detected! Direction: "),
+    "gate_up": (r"Gate crossing detected! Direction: (?:up|down|both)\. Persons Up: (\d+), Down: (\d+)", 1, "int", "Persons Up: "),
+    "gate_down": (r"Gate crossing detected! Direction: (?:up|down|both)\. Persons Up: (\d+), Down: (\d+)", 2, "int", "Persons Up: "),
+    "is_new": (r"^New file detected:", 0, "boolean", "New file detected:"),
+    "fast": (r"fast_processing=True", 0, "boolean", "fast_processing=True"),
+    "saved_frame": (r"Saved \w+ frame to ", 0, "boolean", "Saved "),
+    "away": (r"Reaction detected: object went away", 0, "boolean", "Reaction detected: object went away"),
+    "back": (r"Reaction detected: object came back", 0, "boolean", "Reaction detected: object came back"),
+    "removed": (r"Reaction removed\.", 0, "boolean", "Reaction removed."),
+    "speed": (r"SpeedTrap (\d+) km/h", 1, "int", "SpeedTrap "),
+    "soc": (r"SoC fetched: (\d+)%", 1, "int", "SoC fetched: "),
 }
 _NEW = r"ReID result:\s*matched=(True|False),\s*pos=([0-9]*\.?[0-9]+),\s*neg=([0-9]*\.?[0-9]+),\s*delta=(-?[0-9]*\.?[0-9]+),\s*thr=[0-9]*\.?[0-9]+,\s*margin=[0-9]*\.?[0-9]+"
 _OLD = r"ReID result:\s*matched=(True|False),\s*best_score=([0-9]*\.?[0-9]+),\s*threshold=[0-9]*\.?[0-9]+"
 
 
+def _parts(text: Column, pattern: str, groups: int) -> Column:
+    """The groups of a pattern that is about a whole text, from one match; null where it doesn't match."""
+    mark = "\x01\x02"
+    parts = F.split(F.regexp_replace(text, pattern, mark.join(f"${k + 1}" for k in range(groups))), mark, groups)
+    return F.when(F.size(parts) == groups, parts)
+
+
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """(n, day, ts, level, video, content, worker) of the lines that match and carry their file's date."""
-    m = lines.where(F.col(line).rlike(LINE)).select(
-        "n", "day", *(F.regexp_extract(line, LINE, k).alias(c) for k, c in ((1, "prefix"), (2, "stamp"), (3, "level"), (4, "message")))
-    )
-    m = m.withColumn("ts", F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss")))
-    m = m.where(F.col("ts").isNotNull() & F.startswith("stamp", F.date_format("day", "yyyy-MM-dd")))
-    has = F.col("message").rlike(MESSAGE)
-    part = lambda k: F.regexp_extract("message", MESSAGE, k)
-    return m.select(
-        "n", "day", "ts", "level", F.when(has, part(1)).alias("video"), F.when(has, part(3)).otherwise(F.col("message")).alias("content"),
-        ((F.col("prefix") != "") | (has & (part(2) != ""))).alias("worker"),
+    """(n, day, ts, level, video, content, worker) of the lines that match and carry their file's date.
+
+    A line is matched once, and its message once.
+    """
+    m = lines.select("n", "day", _parts(F.col(line), LINE, 4).alias("parts"))
+    m = m.select("n", "day", *(F.col("parts")[k].alias(c) for k, c in enumerate(("prefix", "stamp", "level", "message"))))
+    m = m.where(F.startswith("stamp", F.date_format("day", "yyyy-MM-dd")))
+    m = m.withColumn("found", _parts(F.col("message"), MESSAGE, 3)).withColumn("ts", F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss")))
+    return m.where("ts IS NOT NULL").select(
+        "n", "day", "ts", "level", F.col("found")[0].alias("video"), F.coalesce(F.col("found")[2], "message").alias("content"),
+        ((F.col("prefix") != "") | F.coalesce(F.col("found")[1] != "", F.lit(False))).alias("worker"),
     )
 
 
-def with_metrics(entries: DataFrame, patterns: dict[str, tuple[str, int, str]] | None = None) -> DataFrame:
-    """The entries and one column for each pattern; flags are false and values null where nothing matches."""
-    out = {}
-    for name, (pattern, group, kind) in (patterns or PATTERNS).items():
-        out[name] = F.col("content").rlike(pattern) if kind == "boolean" else C.some(F.regexp_extract("content", pattern, group)).try_cast(kind)
+def with_metrics(entries: DataFrame, patterns: dict[str, tuple] | None = None) -> DataFrame:
+    """The entries and one column for each pattern; flags are false and values null where nothing matches.
+
+    A pattern is (expression, group, type) and may name a text without which it can't match.
+    """
+    out, content = {}, F.col("content")
+    for name, (pattern, group, kind, *text) in (patterns or PATTERNS).items():
+        may = content.contains(text[0]) if text else F.lit(True)
+        if kind == "boolean":
+            out[name] = may if text and pattern in (text[0], text[0].replace(".", "\\.")) else may & content.rlike(pattern)
+        else:
+            out[name] = F.when(may, C.some(F.regexp_extract("content", pattern, group)).try_cast(kind))
+    is_reid = content.contains("ReID result:")
     new, old = (lambda k: C.some(F.regexp_extract("content", _NEW, k))), (lambda k: C.some(F.regexp_extract("content", _OLD, k)))
-    out["reid_matched"] = F.coalesce(new(1), old(1)) == "True"
-    out["reid_best"] = F.coalesce(new(2), old(2)).cast("double")
-    out["reid_neg"], out["reid_delta"] = new(3).cast("double"), new(4).cast("double")
+    out["reid_matched"] = F.when(is_reid, F.coalesce(new(1), old(1)) == "True")
+    out["reid_best"] = F.when(is_reid, F.coalesce(new(2), old(2)).cast("double"))
+    out["reid_neg"], out["reid_delta"] = F.when(is_reid, new(3).cast("double")), F.when(is_reid, new(4).cast("double"))
     found = entries.withColumns(out)
     reaction = F.when(F.col("away"), "away").when(F.col("back"), "back").when(F.col("removed"), "remove")
     failed = F.coalesce(F.col("status") == "error", F.lit(False)) | F.col("level").isin("ERROR", "CRITICAL")
@@ -68,10 +86,9 @@ def last(c: str, order: str = "n") -> Column:
     return F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order)))
 
 
-def video_summary(metrics: DataFrame) -> DataFrame:
-    """One row per (day, video), in a single aggregation that combines before its shuffle."""
+def _video_folds() -> list[Column]:
     real = F.when(F.col("status") != "error", F.col("n"))
-    rows = metrics.where("video IS NOT NULL").groupBy("day", "video").agg(
+    return [
         F.max_by("status", real).alias("real_status"), F.min(real).alias("first_real"), F.max(F.when(F.col("failed"), F.col("n"))).alias("last_error"),
         last("full_s").alias("full_s"), last("md_s").alias("md_s"), last("raw_events").alias("raw_events"),
         F.min_by("ts", F.when(F.col("is_new"), F.col("n"))).alias("first_seen"),
@@ -80,58 +97,116 @@ def video_summary(metrics: DataFrame) -> DataFrame:
         last("reid_delta").alias("reid_delta"), last("reid_matched").alias("reid_matched"),
         F.max(F.when(F.col("speed") > 0, F.col("speed"))).alias("top_speed"),
         last("gate_dir").alias("gate_dir"), last("gate_up").alias("gate_up"), last("gate_down").alias("gate_down"),
-    )
-    return rows.select(
-        "day", "video", F.coalesce("real_status", F.when(F.col("last_error").isNotNull(), "error")).alias("status"),
+    ]
+
+
+def _video_columns() -> list[Column]:
+    return [
+        F.coalesce("real_status", F.when(F.col("last_error").isNotNull(), "error")).alias("status"),
         F.coalesce(F.col("last_error") >= F.col("first_real"), F.lit(False)).alias("pipeline_error"),
-        "full_s", "md_s", F.coalesce("md_s", "full_s").alias("processing_s"), "raw_events", "first_seen", "fast", "worker", "has_frames",
-        F.nullif("last_reaction", F.lit("remove")).alias("reaction"), "reid_best", "reid_neg", "reid_delta", "reid_matched", "top_speed",
-        "gate_dir", "gate_up", "gate_down",
-    )
+        *map(F.col, ("full_s", "md_s")), F.coalesce("md_s", "full_s").alias("processing_s"),
+        *map(F.col, ("raw_events", "first_seen", "fast", "worker", "has_frames")), F.nullif("last_reaction", F.lit("remove")).alias("reaction"),
+        *map(F.col, ("reid_best", "reid_neg", "reid_delta", "reid_matched", "top_speed", "gate_dir", "gate_up", "gate_down")),
+    ]
+
+
+def video_summary(metrics: DataFrame) -> DataFrame:
+    """One row per (day, video), in a single aggregation that combines before its shuffle."""
+    rows = metrics.where("video IS NOT NULL").groupBy("day", "video").agg(*_video_folds())
+    return rows.select("day", "video", *_video_columns())
+
+
+COUNTED = "status IS NOT NULL OR full_s IS NOT NULL OR raw_events IS NOT NULL"
+
+
+def video_groups(metrics: DataFrame, p: LogParams = LogParams()) -> DataFrame:
+    """As ``video_summary``, with a row for each day's lines without a video, and what they add to the day's statistics.
+
+    The columns g_min, g_max, g_sum, g_n (motion times, capped in the sum), g_up and g_down are about these lines;
+    ``events`` are the row's reactions (ts, n, type), which are few.
+    """
+    md, way = F.col("md_s"), F.col("gate_dir")
+    more = [
+        F.min(md).alias("g_min"), F.max(md).alias("g_max"), F.sum(_capped(md, p)).alias("g_sum"), F.count(md).alias("g_n"),
+        F.count_if(way.isin("up", "both")).alias("g_up"), F.count_if(way.isin("down", "both")).alias("g_down"),
+        F.collect_list(F.when(F.col("video").isNotNull() & F.col("reaction").isNotNull(), F.struct("ts", "n", F.col("reaction").alias("type")))).alias("events"),
+    ]
+    rows = metrics.groupBy("day", "video").agg(*_video_folds(), *more)
+    return rows.select("day", "video", *_video_columns(), "g_min", "g_max", "g_sum", "g_n", "g_up", "g_down", "events")
 
 
 def counted(videos: DataFrame) -> DataFrame:
     """The videos that count: those with a status, a full time or raw events."""
-    return videos.where("status IS NOT NULL OR full_s IS NOT NULL OR raw_events IS NOT NULL")
+    return videos.where(COUNTED)
+
 
+def gate_counts(metrics: DataFrame) -> DataFrame:
+    """(day, up, down): a video counts by its last direction, a line without a video by itself; both counts twice."""
+    return _by_day(video_groups(metrics)).select("day", "up", "down")
+
+
+def _capped(value: Column, p: LogParams) -> Column:
+    """A time, but no more than the cap; null stays null."""
+    return F.when(value.isNotNull(), F.least(value, F.lit(p.cap_seconds)))
+
+
+def _by_day(groups: DataFrame, p: LogParams = LogParams()) -> DataFrame:
+    alone = F.col("video").isNull()
+    either = lambda mine, theirs: F.when(alone, theirs).otherwise(mine)
+    own = lambda c: F.when(~alone, c)
+    gate = lambda way: F.sum(either(F.coalesce(F.col("gate_dir").isin(way, "both"), F.lit(False)).cast("long"), F.col(f"g_{way}")))
+    times = F.sum(either(F.col("md_s").isNotNull().cast("long"), F.col("g_n")))
+    return groups.groupBy("day").agg(
+        F.count_if(~alone & F.expr(COUNTED)).alias("videos_total"),
+        F.min(either(F.col("md_s"), F.col("g_min"))).alias("md_min"), F.max(either(F.col("md_s"), F.col("g_max"))).alias("md_max"),
+        F.try_divide(F.sum(either(_capped(F.col("md_s"), p), F.col("g_sum"))), times).alias("md_avg"),
+        F.min(own(F.col("full_s"))).alias("full_min"), F.max(own(F.col("full_s"))).alias("full_max"), F.avg(own(_capped(F.col("full_s"), p))).alias("full_avg"),
+        gate("up").alias("up"), gate("down").alias("down"),
+    )
 
-def global_times(metrics: DataFrame) -> DataFrame:
-    """Motion times of lines without a video."""
-    return metrics.where("video IS NULL AND md_s IS NOT NULL").select("day", "md_s")
 
+def day_statistics(metrics: DataFrame, p: LogParams = LogParams()) -> DataFrame:
+    """Totals, capped statistics and gate counts of each day: one aggregation by (day, video), and one by day on top."""
+    return _by_day(video_groups(metrics, p), p)
 
-def gate_counts(metrics: DataFrame, videos: DataFrame) -> DataFrame:
-    """(day, up, down): a video counts by its last direction, a line without a video by itself; both counts twice."""
-    dirs = videos.select("day", "gate_dir").unionAll(metrics.where("video IS NULL").select("day", "gate_dir"))
-    one = lambda d: F.sum(F.when(F.col("gate_dir").isin(d, "both"), 1).otherwise(0)).alias(d)
-    return dirs.groupBy("day").agg(one("up"), one("down"))
 
+def chart_rows(videos: DataFrame) -> DataFrame:
+    """(day, place, video, time, seconds, status): videos with a processing time, in the day's order, seconds at two digits."""
+    rows = ordered_videos(videos.where("processing_s IS NOT NULL"))
+    return rows.select("day", "place", "video", C.hhmmss(F.col("video"), F.col("first_seen")).alias("time"), F.round("processing_s", 2).alias("seconds"), "status")
 
-def time_stats(values: DataFrame, value: str, prefix: str, cap: float) -> DataFrame:
-    """Least, largest and capped average time of each day."""
-    v = F.col(value)
-    return values.where(v.isNotNull()).groupBy("day").agg(
-        F.min(v).alias(f"{prefix}_min"), F.max(v).alias(f"{prefix}_max"), F.avg(F.least(v, F.lit(cap))).alias(f"{prefix}_avg")
-    )
 
+def reaction_lists(videos: DataFrame) -> DataFrame:
+    """(day, reaction, place, video): the videos whose latest reaction is away or back, sorted by name."""
+    w = Window.partitionBy("day", "reaction").orderBy("video")
+    return videos.where("reaction IS NOT NULL").select("day", "reaction", F.row_number().over(w).alias("place"), "video")
 
-def day_statistics(metrics: DataFrame, videos: DataFrame, p: LogParams = LogParams()) -> DataFrame:
-    """Totals, capped statistics and gate counts of each day."""
-    total = counted(videos).groupBy("day").agg(F.count("*").alias("videos_total"))
-    motion = time_stats(videos.select("day", "md_s").unionAll(global_times(metrics)), "md_s", "md", p.cap_seconds)
-    full = time_stats(videos, "full_s", "full", p.cap_seconds)
-    out = total
-    for other in (motion, full, gate_counts(metrics, videos)):
-        out = out.join(other, "day", "full_outer")
-    return out.fillna(0, ["videos_total", "up", "down"])
+
+def day_bundle(metrics: DataFrame, p: LogParams = LogParams()) -> DataFrame:
+    """One row per day: statistics, status_counts, and the chart rows and the away intervals as arrays.
+
+    The log is read once: everything is built from one written row per video. A bundle's arrays are as long as the day.
+    """
+    groups = written(video_groups(metrics, p), "groups")
+    videos = groups.where("video IS NOT NULL")
+    chart = F.transform(F.array_sort(F.collect_list(F.struct("place", "video", "time", "seconds", "status"))), lambda x: x.dropFields("place"))
+    charts = chart_rows(videos).groupBy("day").agg(chart.alias("chart"))
+    events = videos.select("day", "video", F.inline("events")).withColumnRenamed("type", "reaction")
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "dur"))), lambda x: x.dropFields("pos"))
+    away = presence.intervals(presence.interval_events(events)).groupBy("day").agg(pairs.alias("intervals"))
+    counts = day_entries(videos, p).select("day", "status_counts")
+    out = _by_day(groups, p)
+    for other in (counts, charts, away):
+        out = out.join(other, "day", "left")
+    return out
 
 
 def day_entries(videos: DataFrame, p: LogParams = LogParams()) -> DataFrame:
     """(day, videos_total, status_counts with the unknown rest, md_avg, full_avg): averages over videos only."""
     c = F.when(F.expr("status IS NOT NULL OR full_s IS NOT NULL OR raw_events IS NOT NULL"), 1)
     totals = videos.groupBy("day").agg(
-        F.count(c).alias("videos_total"), F.count("status").alias("known"), F.avg(F.least("md_s", F.lit(p.cap_seconds))).alias("md_avg"),
-        F.avg(F.least("full_s", F.lit(p.cap_seconds))).alias("full_avg"),
+        F.count(c).alias("videos_total"), F.count("status").alias("known"), F.avg(_capped(F.col("md_s"), p)).alias("md_avg"),
+        F.avg(_capped(F.col("full_s"), p)).alias("full_avg"),
     )
     counts = videos.where("status IS NOT NULL").groupBy("day", "status").count()
     maps = counts.groupBy("day").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "count")))).alias("m"))

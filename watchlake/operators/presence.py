@@ -9,22 +9,29 @@ from watchlake.functions import columns as C
 
 
 def points(metrics: DataFrame) -> DataFrame:
-    """(day, n, video, type, ts, hhmmss, minute): away and back reactions of videos without a removal that day."""
-    videos = metrics.where("video IS NOT NULL")
-    removed = videos.where("removed").select("day", "video").distinct()
-    rows = videos.where("away OR back").join(removed, ["day", "video"], "left_anti")
-    label = C.hhmmss(F.col("video"), F.col("ts"))
-    kind = F.when(F.col("away"), "away").otherwise("back")
-    return rows.select("day", "n", "video", kind.alias("type"), "ts", label.alias("hhmmss"), C.minute_of_day(label).alias("minute")).where("minute IS NOT NULL")
-
-
-def interval_events(metrics: DataFrame) -> DataFrame:
-    """Reactions left after removals, and the last one of each run of one type per video (day, video, type, label, minute, ts, n)."""
-    label = C.hhmm(F.col("video"), F.col("ts"))
-    parts = F.split(label, ":")
-    rows = metrics.where("video IS NOT NULL AND reaction IS NOT NULL").select(
-        "day", "n", "video", "ts", F.col("reaction").alias("type"), label.alias("label"), (parts[0].cast("int") * 60 + parts[1].cast("int")).alias("minute")
-    )
+    """(day, n, video, type, ts, hhmmss, minute): away and back reactions of videos without a removal that day.
+
+    The log is read once: only reactions go through a window by video.
+    """
+    rows = metrics.where("video IS NOT NULL AND reaction IS NOT NULL").select("day", "n", "video", "ts", "reaction", "away", "removed")
+    gone = F.max("removed").over(Window.partitionBy("day", "video"))
+    rows = rows.withColumn("gone", gone).where("NOT gone AND reaction <> 'remove'")
+    rows = rows.withColumn("at", C.stamp_or(F.col("video"), F.col("ts")))
+    return rows.select(
+        "day", "n", "video", F.col("reaction").alias("type"), "ts", F.date_format("at", "HH:mm:ss").alias("hhmmss"),
+        (F.hour("at") * 60 + F.minute("at")).alias("minute"),
+    )
+
+
+def interval_events(reactions: DataFrame) -> DataFrame:
+    """Reactions left after removals, and the last one of each run of one type per video (day, video, type, label, minute, ts, n).
+
+    ``reactions`` has day, video, ts, n and reaction; rows without a video or a reaction don't count.
+    """
+    rows = reactions.where("video IS NOT NULL AND reaction IS NOT NULL")
+    rows = rows.select("day", "n", "video", "ts", F.col("reaction").alias("type"), C.hhmm(F.col("video"), F.col("ts")).alias("label"))
+    parts = F.split("label", ":")
+    rows = rows.withColumn("minute", parts[0].cast("int") * 60 + parts[1].cast("int"))
     by_video = Window.partitionBy("day", "video")
     rows = rows.withColumns({
         "last_type": F.max_by("type", F.struct("minute", "ts", "n")).over(by_video),
@@ -76,6 +83,11 @@ def heatmap(pts: DataFrame, minutes: int = 15, start: int = 360, bins: int = 72)
     return spark.range(bins).withColumnRenamed("id", "bin").join(got, "bin", "left").fillna(0)
 
 
+def maxima(grid: DataFrame, *columns: str) -> DataFrame:
+    """One row: the largest value of each column of a heatmap, 0 if it is empty."""
+    return grid.agg(*(F.coalesce(F.max(c), F.lit(0)).alias(f"max_{c}") for c in columns))
+
+
 def weekday_heatmap(pts: DataFrame, log_days: DataFrame, first_hour: int = 6, hours: int = 18) -> DataFrame:
     """(weekday, hour, days, log_days, share): how many of a weekday's log days have a point in the hour. Monday is 0."""
     spark = pts.sparkSession
@@ -83,7 +95,7 @@ def weekday_heatmap(pts: DataFrame, log_days: DataFrame, first_hour: int = 6, ho
     got = pts.groupBy(F.weekday("day").alias("weekday"), F.floor(F.col("minute") / 60).alias("hour")).agg(F.count_distinct("day").alias("days"))
     grid = spark.range(7 * hours).select(F.floor(F.col("id") / hours).cast("int").alias("weekday"), (F.col("id") % hours + first_hour).alias("hour"))
     out = grid.join(F.broadcast(of), "weekday", "left").join(got, ["weekday", "hour"], "left").fillna(0, ["days", "log_days"])
-    return out.withColumn("share", F.when(F.col("log_days") > 0, F.col("days") / F.col("log_days")).otherwise(0.0))
+    return out.withColumn("share", F.coalesce(F.try_divide("days", "log_days"), F.lit(0.0)))
 
 
 def current_state(pts: DataFrame) -> DataFrame:

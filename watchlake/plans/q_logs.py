@@ -165,6 +165,18 @@ def p08(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).select("n", C.caption_stamp(F.col("ts")).alias("caption"))
 
 
+_BUTTON = """SELECT event_id AS n, CASE CAST(user_id % 4 AS INT) WHEN 0 THEN concat({fmt}(ts, '{day}'), '/Cam_00_', {fmt}(ts, '{stamp}'), '.mp4') WHEN 1 THEN concat('box', lpad(CAST(user_id % 100 AS STRING), 2, '0'), '/', lpad(CAST(event_id % 60 AS STRING), 2, '0'), 'M09S_1.mp4')
+ WHEN 2 THEN concat('x', CAST(user_id AS STRING), 'y/12', lpad(CAST(event_id % 60 AS STRING), 2, '0'), '.mp4') ELSE 'notes.mp4' END AS path FROM """
+
+
+@query("P08_button_stamp", "WITH b AS (" + _BUTTON.format(fmt="strftime", day="%Y/%m/%d", stamp="%Y%m%d%H%M%S") + """ events)
+SELECT n, CASE CAST(user_id % 4 AS INT) WHEN 0 THEN strftime(ts, '%HH%MM') WHEN 1 THEN lpad(CAST(user_id % 100 AS VARCHAR), 2, '0') || 'H' || lpad(CAST(n % 60 AS VARCHAR), 2, '0') || 'M' WHEN 2 THEN '00H12M' ELSE '00H00M' END AS stamp FROM b JOIN events ON n = event_id""")
+def p08b(spark: SparkSession, d: str) -> DataFrame:
+    sql = _BUTTON.format(fmt="date_format", day="yyyy/MM/dd", stamp="yyyyMMddHHmmss")
+    rows = spark.sql(sql + "{events}", events=spark.read.parquet(f"{d}/events.parquet"))
+    return rows.select("n", C.button_stamp(F.col("path")).alias("stamp"))
+
+
 @query("P09_day_filter", _VID + """ SELECT n, CAST(day AS VARCHAR) AS day, video, content FROM met SEMI JOIN (SELECT day, video FROM vid WHERE status IN ('no_person', 'gate_crossing') AND gate_dir IN ('up', 'both')) k USING (day, video)
 WHERE level = 'INFO'""")
 def p09(spark: SparkSession, d: str) -> DataFrame:
@@ -186,6 +198,8 @@ for name, cols in {
     "A10_top_speed": "top_speed", "A11_gate_fields": "gate_dir gate_up gate_down",
 }.items():
     _simple(name, videos, "; ".join(["day", "video", *cols.split()]), f"{_VID} SELECT {_DAY}, video, {_safe(cols)} FROM vid")
+_simple("A08_reaction_lists", lambda s, d: L.reaction_lists(videos(s, d)), "day; reaction; CAST(place AS BIGINT) AS place; video",
+        f"{_VID} SELECT {_DAY}, reaction, row_number() OVER (PARTITION BY day, reaction ORDER BY video) AS place, video FROM vid WHERE reaction IS NOT NULL")
 _simple("A06_first_seen", videos, "day; video; date_format(first_seen, 'yyyy-MM-dd HH:mm:ss') AS first_seen", f"{_VID} SELECT {_DAY}, video, {_ST.format('first_seen')} AS first_seen FROM vid")
 _simple("A15_processing_time", videos, "day; video; processing_s", f"{_VID} SELECT {_DAY}, video, coalesce(md_s, full_s) AS processing_s FROM vid")
 _simple("ST10_last_run_wins", videos, "day; video; gate_dir; CAST(gate_up + gate_down AS DOUBLE) AS persons", f"{_VID} SELECT {_DAY}, video, gate_dir, CAST(gate_up + gate_down AS DOUBLE) AS persons FROM vid")
@@ -219,8 +233,7 @@ _GATE = "gate AS (SELECT day, gate_dir FROM vid UNION ALL SELECT day, gate_dir F
 
 @query("A12_gate_counts", f"{_VID}, {_GATE} SELECT {_DAY}, count(*) FILTER (WHERE gate_dir IN ('up','both')) AS up, count(*) FILTER (WHERE gate_dir IN ('down','both')) AS down FROM gate GROUP BY day")
 def a12(spark: SparkSession, d: str) -> DataFrame:
-    m = metrics(spark, d)
-    return _day(L.gate_counts(m, L.video_summary(m)))
+    return _day(L.gate_counts(metrics(spark, d)))
 
 
 @query("A13_status_counts", f"{_VID} SELECT {_DAY}, status, count(*) AS videos FROM vid WHERE status IS NOT NULL GROUP BY day, status")
@@ -239,15 +252,13 @@ _S6 = "round(md_min, 6) AS md_min; round(md_max, 6) AS md_max; round(md_avg, 6)
 
 
 def stats(spark: SparkSession, d: str) -> DataFrame:
-    m = metrics(spark, d)
-    return L.day_statistics(m, L.video_summary(m))
+    return L.day_statistics(metrics(spark, d))
 
 
 _simple("A14_time_stats", stats, "day; " + _S6, f"{_DAYS} SELECT {_DAY}, {_S6.replace(';', ',')} FROM ds")
 _simple("A16_videos_total", stats, "day; videos_total", f"{_DAYS} SELECT {_DAY}, videos_total FROM ds")
-_simple("A18_day_bundle", stats, "day; videos_total; up; down; " + _S6, f"{_DAYS} SELECT {_DAY}, videos_total, up, down, {_S6.replace(';', ',')} FROM ds")
 _ENTRY = f"""{_VID}, k AS (SELECT day, status, count(*) AS c FROM vid WHERE status IS NOT NULL GROUP BY day, status),
-t AS (SELECT day, count(*) FILTER (WHERE {_COUNTED}) AS videos_total, count(status) AS known, avg(least(md_s, 300)) AS md_avg, avg(least(full_s, 300)) AS full_avg FROM vid GROUP BY day),
+t AS (SELECT day, count(*) FILTER (WHERE {_COUNTED}) AS videos_total, count(status) AS known, avg(least(md_s, 300)) FILTER (WHERE md_s IS NOT NULL) AS md_avg, avg(least(full_s, 300)) FILTER (WHERE full_s IS NOT NULL) AS full_avg FROM vid GROUP BY day),
 u AS (SELECT * FROM k UNION ALL SELECT day, 'unknown', videos_total - known FROM t WHERE videos_total > known)
 SELECT {_DAY}, videos_total, round(md_avg, 6) AS md_avg, round(full_avg, 6) AS full_avg, status, coalesce(c, 0) AS videos FROM t LEFT JOIN u USING (day)"""
 
@@ -313,7 +324,7 @@ ev AS (SELECT day, n, video, ts, type, label, minute FROM ev3 WHERE nxt IS DISTI
 _simple("W16_collapse_runs", lambda s, d: P.interval_events(metrics(s, d)), "day; n; video; type; label; minute", f"{_EV} SELECT {_DAY}, n, video, type, label, minute FROM ev")
 
 
-@query("ST05_away_intervals", _EV.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+_AWAY = _EV.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
 seq AS (SELECT day, row_number() OVER (PARTITION BY day ORDER BY minute, ts, n) AS i, type, label, minute FROM ev),
 f AS (SELECT day, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(m INTEGER, l VARCHAR)[]) AS s, CAST(NULL AS STRUCT(a VARCHAR, b VARCHAR)) AS o FROM (SELECT DISTINCT day FROM seq)
  UNION ALL SELECT f.day, q.i, CASE WHEN q.type = 'away' THEN list_append(f.s, {{'m': q.minute, 'l': q.label}}) WHEN len(f.s) > 0 AND f.s[-1].m < q.minute THEN f.s[1:-2] ELSE f.s END,
@@ -321,13 +332,38 @@ f AS (SELECT day, CAST(0 AS BIGINT) AS i, CAST([] AS STRUCT(m INTEGER, l VARCHAR
   FROM f JOIN seq q ON q.day = f.day AND q.i = f.i + 1),
 closed AS (SELECT day, i AS k, o.a AS start, o.b AS fin FROM f WHERE o IS NOT NULL),
 left_ AS (SELECT day, 1000000000 + j AS k, s[j].l AS start, CAST(NULL AS VARCHAR) AS fin FROM (SELECT day, arg_max(s, i) AS s FROM f GROUP BY day), LATERAL (SELECT unnest(range(1, len(s) + 1)) AS j)),
-al AS (SELECT *, CAST(start[1:2] AS INTEGER) * 60 + CAST(start[4:5] AS INTEGER) AS a, CAST(fin[1:2] AS INTEGER) * 60 + CAST(fin[4:5] AS INTEGER) AS b FROM (SELECT * FROM closed UNION ALL SELECT * FROM left_))
-SELECT {_DAY}, row_number() OVER (PARTITION BY day ORDER BY coalesce(a, b), k) AS pos, start, fin AS "end",
- CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN b - a >= 60 THEN CAST((b - a) // 60 AS VARCHAR) || 'h' ELSE '' END || CASE WHEN (b - a) % 60 > 0 OR b - a < 60 THEN CAST((b - a) % 60 AS VARCHAR) || 'm' ELSE '' END END AS dur FROM al""")
+al AS (SELECT *, CAST(start[1:2] AS INTEGER) * 60 + CAST(start[4:5] AS INTEGER) AS a, CAST(fin[1:2] AS INTEGER) * 60 + CAST(fin[4:5] AS INTEGER) AS b FROM (SELECT * FROM closed UNION ALL SELECT * FROM left_)),
+iv AS (SELECT day, row_number() OVER (PARTITION BY day ORDER BY coalesce(a, b), k) AS pos, start, fin,
+ CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN CASE WHEN b - a >= 60 THEN CAST((b - a) // 60 AS VARCHAR) || 'h' ELSE '' END || CASE WHEN (b - a) % 60 > 0 OR b - a < 60 THEN CAST((b - a) % 60 AS VARCHAR) || 'm' ELSE '' END END AS dur FROM al)"""
+
+
+@query("ST05_away_intervals", f'{_AWAY} SELECT {_DAY}, pos, start, fin AS "end", dur FROM iv')
 def st05(spark: SparkSession, d: str) -> DataFrame:
     return _day(P.intervals(P.interval_events(metrics(spark, d)))).withColumn("pos", F.col("pos").cast("long"))
 
 
+_CHART = f"""ch AS (SELECT day, count(*) AS chart_rows, md5(string_agg(concat_ws('|', video, coalesce(strftime(coalesce({_STAMP}, first_seen), '%H:%M:%S'), ''), CAST(round(coalesce(md_s, full_s), 2) AS VARCHAR), coalesce(status, '')), ';' ORDER BY first_seen NULLS FIRST, video)) AS chart
+  FROM vid WHERE md_s IS NOT NULL OR full_s IS NOT NULL GROUP BY day),
+sk AS (SELECT day, status, count(*) AS c FROM vid WHERE status IS NOT NULL GROUP BY day, status UNION ALL SELECT * FROM (SELECT day, 'unknown', count(*) FILTER (WHERE {_COUNTED}) - count(status) AS c FROM vid GROUP BY day) WHERE c > 0),
+sc AS (SELECT day, string_agg(status || '=' || CAST(c AS VARCHAR), ',' ORDER BY status) AS statuses FROM sk GROUP BY day),
+aw AS (SELECT day, string_agg(coalesce(start, '') || '-' || coalesce(fin, '') || '=' || coalesce(dur, ''), ',' ORDER BY pos) AS away FROM iv GROUP BY day)"""
+_BUNDLE = f"{_AWAY}{_DAYS[len(_MET):]}, {_CHART} SELECT {_DAY}, videos_total, up, down, {_S6.replace(';', ',')}, statuses, chart_rows, chart, away FROM ds LEFT JOIN ch USING (day) LEFT JOIN sc USING (day) LEFT JOIN aw USING (day)"
+
+
+@query("A18_day_bundle", _BUNDLE)
+def a18(spark: SparkSession, d: str) -> DataFrame:
+    b = L.day_bundle(metrics(spark, d))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    row = lambda x: F.concat_ws("|", x["video"], text(x["time"]), x["seconds"].cast("string"), text(x["status"]))
+    pair = lambda x: F.concat(text(x["start"]), F.lit("-"), text(x["end"]), F.lit("="), text(x["dur"]))
+    count = lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))
+    return _day(b).select(
+        "day", "videos_total", "up", "down", *(F.round(c, 6).alias(c) for c in ("md_min", "md_max", "md_avg", "full_min", "full_max", "full_avg")),
+        F.array_join(F.array_sort(F.transform(F.map_entries("status_counts"), count)), ",").alias("statuses"), F.size("chart").cast("long").alias("chart_rows"),
+        F.md5(F.array_join(F.transform("chart", row), ";")).alias("chart"), F.array_join(F.transform("intervals", pair), ",").alias("away"),
+    )
+
+
 def _heat_sql(minutes: int, bins: int) -> str:
     return f"""{_PTS}, h AS (SELECT (minute - 360) // {minutes} AS bin, day, type FROM pts WHERE minute BETWEEN 360 AND 1439),
 hb AS (SELECT bin, count(DISTINCT day) AS any_days, count(DISTINCT day) FILTER (WHERE type = 'away') AS away_days, count(DISTINCT day) FILTER (WHERE type = 'back') AS back_days FROM h GROUP BY bin),
@@ -337,6 +373,8 @@ grid AS (SELECT i AS bin, coalesce(any_days, 0) AS any_days, coalesce(away_days,
 _simple_day = lambda name, f, sql: query(name, sql)(f)
 _simple_day("A19_heatmap_15min", lambda s, d: P.heatmap(pts(s, d)), _heat_sql(15, 72) + " SELECT * FROM grid")
 _simple_day("A20_heatmap_hourly", lambda s, d: P.heatmap(pts(s, d), 60, 360, 18), _heat_sql(60, 18) + " SELECT * FROM grid")
+_simple_day("A20_heatmap_maxima", lambda s, d: P.maxima(P.heatmap(pts(s, d), 60, 360, 18), "any_days", "away_days", "back_days"),
+            _heat_sql(60, 18) + " SELECT max(any_days) AS max_any_days, max(away_days) AS max_away_days, max(back_days) AS max_back_days FROM grid")
 _WEEK = _PTS + """, ld AS (SELECT isodow(day) - 1 AS weekday, count(*) AS log_days FROM (SELECT DISTINCT day FROM met) GROUP BY 1),
 wd AS (SELECT isodow(day) - 1 AS weekday, minute // 60 AS hour, count(DISTINCT day) AS days FROM pts GROUP BY 1, 2)
 SELECT CAST(w.i AS INTEGER) AS weekday, h.i AS hour, coalesce(days, 0) AS days, coalesce(log_days, 0) AS log_days, round(coalesce(days / nullif(log_days, 0), 0), 6) AS share
@@ -349,6 +387,11 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
     return P.weekday_heatmap(P.points(m), m.select("day")).withColumn("share", F.round("share", 6)).select("weekday", "hour", "days", "log_days", "share")
 
 
+@query("A21_weekday_maximum", f"SELECT max(share) AS max_share FROM ({_WEEK})")
+def a21m(spark: SparkSession, d: str) -> DataFrame:
+    return P.maxima(a21(spark, d), "share")
+
+
 @query("A22_cell_share", _heat_sql(60, 18) + ", nd AS (SELECT count(DISTINCT day) AS n FROM met) SELECT bin, round(100.0 * any_days / n, 6) AS percent, round(any_days / max(any_days) OVER (), 6) AS of_max FROM grid, nd")
 def a22(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
