@@ -49,7 +49,50 @@ def test_densities_follow_their_definition():
     dense, sums, body = page.densities()
     at = {t: [i for i, x in enumerate(page.tag) if x == t] for t in ("p", "div")}
     assert min(dense[at["p"][0]], dense[at["div"][0]]) > 5 * dense[at["div"][1]]
-    assert sums[at["div"][0]] == pytest.approx(sum(dense[i] for i in at["p"])) and page.content() == [at["div"][0]]
+    assert sums[at["div"][0]] == pytest.approx(sum(dense[i] for i in at["p"]))
+    nodes, dropped = page.content()
+    assert page.text() == f"{LONG}\n{LONG}" and at["div"][1] not in nodes and (nodes == [at["div"][0]] or dropped == {at["div"][1]})
+
+
+LINKS = "<div class='x7'>" + "".join(f"<a href='/{k}'>one link</a> " for k in range(12)) + "</div>"
+PARAGRAPHS = "".join(f"<p>{k} {LONG}</p>" for k in range(6))
+WANT = "\n".join(f"{k} {LONG}" for k in range(6))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body>{LINKS}<div class='q3'><h1>Title</h1>{PARAGRAPHS}</div>{LINKS}</body>", f"Title\n{WANT}"),  # no article, names that say nothing
+        (f"<body><div><div>{LINKS}</div><div><h2>Title</h2><div>{PARAGRAPHS}</div><p>End.</p></div></div></body>", f"Title\n{WANT}\nEnd."),
+        (f"<body><article><p>Teaser.</p></article><div id=z>{PARAGRAPHS}</div></body>", f"Teaser.\n{WANT}"),  # an article that holds less than the content
+        (f"<body><article><h3><a href=1>other page</a></h3></article><div id=z>{PARAGRAPHS}</div>{LINKS}</body>", WANT),  # a teaser that is a link
+        (f"<body><h1>Title</h1><section>{PARAGRAPHS}</section><section><p>short</p><p>{LONG}</p></section>{LINKS}</body>", f"Title\n{WANT}\nshort\n{LONG}"),
+        (f"<body><article><section>{PARAGRAPHS}</section><section><h2>More</h2><p>Last words.</p></section></article></body>", f"{WANT}\nMore\nLast words."),
+        (f"<body><span><b>{PARAGRAPHS}</b></span></body>", WANT),
+        (f"<body>{LONG}<br><br>{LONG}<p>short</p>{LINKS}</body>", f"{LONG} {LONG}\nshort"),
+        (f"<body><p><b>{LONG}<br><p>{LONG}</p></body>", f"{LONG}\n{LONG}"),
+        (f"<table><tr><td>{LINKS}<td>{PARAGRAPHS}</table>", WANT),
+    ],
+)
+def test_density_decides_where_names_say_nothing(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "piece",
+    ["<a ", "<p a='", "<p a='>", "<p a=\"'>", "<b>", "</i>", "<div>", "<!--", "<!", "<?", "&", "<li>", "<p><a href='x'>", "<", "</script ", "<script>", "<table><tr><td>", "<b><div><i></b>", "a='b\" "],
+)
+def test_time_grows_with_the_page(piece):
+    """Hostile pages: eight times the page takes no more than a few times eight times as long."""
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        body, began = piece * (n // len(piece)), time.process_time()
+        for page in (body, "<p a='" + body, body + "</i>" * (n // 8), "<b>" * (n // 8) + body + "</u>" * (n // 8)):
+            main_text(page)
+        took.append(max(time.process_time() - began, 0.02))
+    assert took[1] < 24 * took[0]
 
 
 def test_deep_and_broken_pages_end():

@@ -2,16 +2,19 @@
 
 A page becomes a tree of elements. Elements that are never part of an article (menus, forms, scripts, adverts,
 reader comments and so on, told by tag, role, class or id) are cut first. Each other node gets its composite text
-density, characters per tag adjusted for link text; a node's density sum adds up its children. The node of
-largest density sum is the content; if it lies within an article or main element, that element is. Otherwise
-neighbours along the path to the body count as well if their density reaches the least density on that path.
+density, characters per tag adjusted for link text. A block's density sum adds up the densities of the blocks right
+below it, whatever inline elements lie between; the block of largest sum is the heart of the content. From there the
+path to the body is climbed: the content is the highest node whose density is still half of the heart's, without blocks
+beside the path that are mostly links. Beside the rest of the path, headings and blocks count that reach the least
+density on the path. Tags such as article have no say.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -32,7 +35,8 @@ CUT = frozenset(
     "nav aside footer form dialog menu button select datalist input label fieldset".split()
 )
 CLOSES_P = BLOCK - {"html", "body", "caption", "tbody", "tfoot", "thead", "tr", "legend"}
-SAME = {"li": "li", "tr": "tr", "td": "td th", "th": "td th", "dt": "dt dd", "dd": "dt dd", "option": "option"}
+SAME = {k: v.split() for k, v in {"li": "li", "tr": "tr", "td": "td th", "th": "td th", "dt": "dt dd", "dd": "dt dd", "option": "option"}.items()}
+LISTS = "ul ol table dl body".split()
 WALLS = frozenset("article aside body div footer header main nav section table td th ul ol dl blockquote form figure html".split())
 # Words in class, id or role that mark what isn't the article.
 CUT_WORDS = frozenset(
@@ -45,10 +49,12 @@ KEEP = frozenset("html body article main".split())
 # What a class says after these words is about the page's state or layout, not about the element.
 STATE = frozenset("has no not without with overflow".split())
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
+UNITS = BLOCK | {"td", "th"}  # elements that have densities of their own in a sum
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SPACE = re.compile(r"\s+")
@@ -92,7 +98,10 @@ def _is_cut(tag: str, attributes: str, in_article: bool) -> int:
 
 
 class Page:
-    """The tree of a page in document order, with the pieces of text; ``None`` among them ends a block."""
+    """The tree of a page in document order, with the pieces of text; ``None`` among them ends a block.
+
+    Pages are read in one pass whose time is in proportion to their length, however broken they are.
+    """
 
     def __init__(self, html: str):
         self.tag, self.parent, self.cut, self.first = ["#root"], [-1], [False], [0]
@@ -100,31 +109,55 @@ class Page:
         self.article = [False]  # whether a node is, or is in, an article or main element
         self.events: list[tuple[int, str | None]] = []
         self.last: list[int] = [0]  # end of a node's events
-        stack, pos, raw_end = [0], 0, {}
-        for_text = self._text
-        while True:
-            m = TOKEN.search(html, pos)
-            for_text(stack, html[pos : m.start() if m else len(html)])
-            if not m:
-                break
-            pos = m.end()
-            tag = (m[2] or m[5] or "").lower()
-            if not tag:
+        self.stack, self.open_at = [0], defaultdict(list)  # open nodes, and their places in the stack by tag
+        self._read(html)
+        self._pop(0)
+        if any(self.maybe):
+            self._settle()
+
+    def _read(self, html: str) -> None:
+        pos, at, size, last = 0, 0, len(html), html.rfind(">")
+        no_more: set[str] = set()  # quotes that don't come again
+        while (at := html.find("<", at)) >= 0:
+            mark = html[at + 1 : at + 2]
+            if mark == "!" or mark == "?":
+                end = html.find("-->", at + 4) + 3 if html.startswith("<!--", at) else html.find(">", at) + 1
+                self._text(html[pos:at])
+                pos = at = end if end > 2 else size
+                continue
+            name = NAME.match(html, at + 1 + (mark == "/")) if at < last else None
+            if not name:
+                at += 1
                 continue
-            if m[1] or m[4]:
-                self._end(stack, tag)
+            self._text(html[pos:at])
+            tag, start = name[0].lower(), name.end()
+            pos = at = self._tag_end(html, start, no_more)
+            if mark == "/":
+                self._end(tag)
                 continue
-            attributes = m[3] or m[6] or ""
-            self._start(stack, tag, attributes)
+            attributes = html[start : pos - 1]
+            self._start(tag, attributes)
             if tag in RAW and not attributes.endswith("/"):
-                end = raw_end.setdefault(tag, re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)).search(html, pos)
-                pos = end.end() if end else len(html)
-                self._pop(stack, len(stack) - 1)
+                end = RAW_END[tag].search(html, pos)
+                pos = html.find(">", end.end()) + 1 if end else 0
+                pos = at = pos or size
+                self._pop(len(self.stack) - 1)
             elif tag in VOID or attributes.endswith("/") and tag not in BLOCK:
-                self._pop(stack, len(stack) - 1)
-        self._pop(stack, 0)
-        if any(self.maybe):
-            self._settle()
+                self._pop(len(self.stack) - 1)
+        self._text(html[pos:])
+
+    @staticmethod
+    def _tag_end(html: str, start: int, no_more: set[str]) -> int:
+        """After the first > outside quotes; quotes that aren't closed are letters. There is a > after ``start``."""
+        at = start
+        while stop := STOP.search(html, at):
+            if stop[0] == ">":
+                return stop.end()
+            close = -1 if stop[0] in no_more else html.find(stop[0], stop.end())
+            if close < 0:
+                no_more.add(stop[0])
+            at = max(close + 1, stop.end())
+        return html.find(">", start) + 1
 
     def _settle(self) -> None:
         """Cut the nodes that part of a name marks, unless they hold most of the page's text."""
@@ -137,20 +170,20 @@ class Page:
         for i in range(1, len(self.tag)):
             self.cut[i] = self.cut[i] or self.cut[self.parent[i]] or self.maybe[i] and 2 * chars[i] <= chars[0]
 
-    def _text(self, stack: list[int], text: str) -> None:
-        if text and not self.cut[stack[-1]]:
-            self.events.append((stack[-1], unescape(text)))
+    def _text(self, text: str) -> None:
+        if text and not self.cut[self.stack[-1]]:
+            self.events.append((self.stack[-1], unescape(text)))
 
-    def _start(self, stack: list[int], tag: str, attributes: str) -> None:
-        if tag in ("html", "body") and any(self.tag[i] == tag for i in stack):
+    def _start(self, tag: str, attributes: str) -> None:
+        if tag in ("html", "body") and self.open_at[tag]:
             return
         if tag in CLOSES_P:
-            self._close(stack, ("p",), WALLS)
+            self._close(("p",), WALLS)
         if tag in SAME:
-            self._close(stack, tuple(SAME[tag].split()), frozenset("ul ol table dl body".split()))
+            self._close(SAME[tag], LISTS)
         if tag == "body":
-            self._close(stack, ("head",), frozenset())
-        up, i = stack[-1], len(self.tag)
+            self._close(("head",), ())
+        up, i = self.stack[-1], len(self.tag)
         self.tag.append(tag)
         self.parent.append(up)
         cut = _is_cut(tag, attributes, self.article[up])
@@ -163,30 +196,36 @@ class Page:
         self.last.append(len(self.events))
         if tag in ("br", "td", "th"):
             self.events.append((up, " "))
-        stack.append(i)
+        self.open_at[tag].append(len(self.stack))
+        self.stack.append(i)
 
-    def _pop(self, stack: list[int], down_to: int) -> None:
+    def _pop(self, down_to: int) -> None:
         """Close all open elements from that place in the stack on."""
-        while len(stack) > max(down_to, 0):
-            i = stack.pop()
+        while len(self.stack) > down_to:
+            i = self.stack.pop()
             self.last[i] = len(self.events)
             if self.tag[i] in BLOCK:
                 self.events.append((self.parent[i], None))
-            if not stack:
-                break
-
-    def _close(self, stack: list[int], tags: tuple[str, ...], walls: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in tags:
-                return self._pop(stack, k)
-            if self.tag[stack[k]] in walls:
-                return None
-
-    def _end(self, stack: list[int], tag: str) -> None:
-        if tag in ("html", "body"):
-            return  # what follows still belongs to the body
-        walls = frozenset() if tag in WALLS else WALLS
-        self._close(stack, (tag,), walls)
+            if i:
+                self.open_at[self.tag[i]].pop()
+
+    def _close(self, tags: Iterable[str], walls: Iterable[str]) -> None:
+        """Close the innermost open element of ``tags``, unless a wall lies above it."""
+        at = self._innermost(tags)
+        if at and at >= self._innermost(walls):
+            self._pop(at)
+
+    def _innermost(self, tags: Iterable[str]) -> int:
+        """The place in the stack of the innermost open element of these, 0 if none is open."""
+        found = 0
+        for tag in tags:
+            if (places := self.open_at.get(tag)) and places[-1] > found:
+                found = places[-1]
+        return found
+
+    def _end(self, tag: str) -> None:
+        if tag not in ("html", "body"):  # what follows these still belongs to the body
+            self._close((tag,), () if tag in WALLS else WALLS)
 
     def densities(self) -> tuple[list[float], list[float], int]:
         """Composite text density and density sum of every node, and the body's place."""
@@ -217,30 +256,37 @@ class Page:
             base = math.log(c / max(1, c - lc) * lc + ratio * c + math.e)
             dense[i] = c / t * max(0.0, math.log(c / max(1, lc) * t / lt)) / base if c * t > max(1, lc) * lt else c / t / base * 0.01
             if i:
-                sums[self.parent[i]] += dense[i]
+                sums[self.parent[i]] += dense[i] if self.tag[i] in UNITS else sums[i]
+        self.linked = [2 * lc > c and 2 * c <= chars[body] for c, lc in zip(chars, links)]  # mostly links, and not most of the page
         return dense, sums, body
 
-    def content(self) -> list[int]:
-        """The nodes whose text is the content, in page order."""
+    def content(self) -> tuple[list[int], set[int]]:
+        """The nodes whose text is the content, in page order, and the nodes below them that aren't part of it."""
         dense, sums, body = self.densities()
         inside = [False] * len(self.tag)
         inside[body] = True
         for i in range(body + 1, len(self.tag)):
             inside[i] = inside[self.parent[i]]
         alive = [i for i in range(body, len(self.tag)) if inside[i] and not self.cut[i]]
-        best = max(alive, key=lambda i: (sums[i], -i), default=body)
-        if not sums[best]:
-            best = body
-        path, i = [best], best
-        while i != body and i > 0:
-            i = self.parent[i]
-            path.append(i)
-        for i in reversed(path):
-            if self.tag[i] in ("article", "main"):
-                return [i]
+        best = max((i for i in alive if self.tag[i] in UNITS or i == body), key=lambda i: (sums[i], -i), default=body)
+        path = [best if sums[best] else body]
+        while path[-1] != body and path[-1] > 0:
+            path.append(self.parent[path[-1]])
         least = min(dense[i] for i in path)
-        near = [i for i in alive if self.parent[i] in path[1:] and i not in path and dense[i] > 0 and dense[i] >= least]
-        return sorted([best, *near])
+        top = max(k for k, i in enumerate(path) if dense[i] >= dense[path[0]] / 2)
+        place = {i: k for k, i in enumerate(path)}
+        nodes, dropped = [path[top]], set()
+        for i in alive:
+            k = place.get(self.parent[i])
+            if k is None or i in place or k == 0 and path[0] != body:
+                continue
+            heading = self.tag[i] in HEADINGS
+            if k <= top:
+                if self.linked[i] and not heading and self.tag[i] in UNITS:
+                    dropped.add(i)
+            elif dense[i] and (heading or dense[i] >= least and not self.linked[i]):
+                nodes.append(i)
+        return sorted(nodes), dropped
 
     def text(self) -> str:
         blocks, now = [], []
@@ -250,11 +296,15 @@ class Page:
                 blocks.append(block)
             now.clear()
 
-        for root in self.content():
+        nodes, dropped = self.content()
+        out = [i in dropped for i in range(len(self.tag))]
+        for i in range(1, len(out)):
+            out[i] = out[i] or out[self.parent[i]]
+        for root in nodes:
             for i, text in self.events[self.first[root] : self.last[root]]:
                 if text is None:
                     end()
-                elif not self.cut[i]:
+                elif not self.cut[i] and not out[i]:
                     now.append(text)
             end()
         return "\n".join(blocks)
@@ -266,7 +316,12 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """The kept columns and text: one row per row of ``pages``. Null, empty and broken pages give what text they have."""
+    """The kept columns and text: one row per row of ``pages``.
+
+    Null and empty pages have an empty text, broken ones what text they have; pages of any length are read whole, in time
+    in proportion to it. Repeated rows stay repeated, and an empty table gives an empty result. Other columns may have any
+    names; of the kept ones none may be called text.
+    """
     body = free_name([*keep, "text"], "body")
     schema = pages.select(*keep).schema.add("text", "string")
 
