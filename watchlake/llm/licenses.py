@@ -1,14 +1,17 @@
 """License scans with a generalised suffix automaton.
 
-The automaton holds every run of words of all templates. A text is streamed through it once; at each word it
+Templates are a table of labels and texts; those that come along are whole licences, each a file in the folder
+``licences``, and short notices. The automaton holds every run of words of all templates. A text is streamed through it once; at each word it
 tells the longest run of words that ends there and occurs in a template (the matching statistics). Long
-matches that follow each other in the text and in a template are chained; a chain that covers enough of a
-template labels the text with it.
+matches that follow each other in the text and in a template are chained, each at its first place in the template
+behind the chain; a chain that covers enough of a template labels the text with it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -59,16 +62,19 @@ class Automaton:
     def __init__(self, lists: list[list[bytes]]):
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # list -> least end (words up to there)
+        self.ends: list[dict[int, list[int]]] = [{}]  # list -> ends (words up to there), rising
         for k, ws in enumerate(lists):
             last = 0
             for i, w in enumerate(ws):
                 last = self._add(last, w)
-                self.ends[last].setdefault(k, i + 1)
+                self.ends[last].setdefault(k, []).append(i + 1)
         for v in sorted(range(1, len(self.link)), key=lambda v: -self.length[v]):
             if (up := self.link[v]) > 0:
-                for k, i in self.ends[v].items():
-                    self.ends[up][k] = min(i, self.ends[up].get(k, i))
+                for k, found in self.ends[v].items():
+                    self.ends[up].setdefault(k, []).extend(found)
+        for found in self.ends:
+            for k in found:
+                found[k] = sorted(set(found[k]))
 
     def _state(self, length: int, link: int, nxt: dict) -> int:
         self.next.append(nxt)
@@ -107,12 +113,18 @@ class Automaton:
         return at
 
 
+def licence_templates() -> list[tuple[str, str]]:
+    """(label, text) of the templates that come along."""
+    whole = [(f.name[: -len(".txt")], f.read_text(errors="replace")) for f in files(__package__).joinpath("licences").iterdir() if f.name.endswith(".txt")]
+    return sorted(whole) + [(label, text) for label, texts in sorted(TEMPLATES.items()) for text in texts]
+
+
 class Scanner:
     """``least``: words of a match worth chaining; ``gap``: words that a chain may skip; ``cover``: share of a template."""
 
-    def __init__(self, templates: dict[str, list[str]], phrases: dict[str, str], least: int = 3, gap: int = 16, cover: float = 0.75):
-        self.labels = [label for label, texts in sorted(templates.items()) for _ in texts]
-        self.lists = [words(t.encode()) for _, texts in sorted(templates.items()) for t in texts]
+    def __init__(self, templates: list[tuple[str, str]], phrases: dict[str, str], least: int = 3, gap: int = 16, cover: float = 0.75):
+        some = [(label, ws) for label, text in templates if (ws := words(text.encode()))]
+        self.labels, self.lists = [label for label, _ in some], [ws for _, ws in some]
         self.least, self.gap, self.cover = least, gap, cover
         base = [(words(p.encode()), label) for p, label in sorted(phrases.items())]
         self.sam = Automaton(self.lists + [ws for ws, _ in base])
@@ -155,17 +167,18 @@ class Scanner:
         open_: dict[int, list] = {}
         spans = []
         for end, size, v in matches:
-            for k, at in ends[v].items():
+            for k, found in ends[v].items():
                 if k >= len(self.lists):
                     continue
                 c = open_.get(k)
-                if c and end - size - c[1] <= self.gap and at > c[2]:
-                    c[3] += at - max(c[2], at - size)
-                    c[1], c[2] = end, at
+                at = bisect_right(found, c[2]) if c and end - size - c[1] <= self.gap else len(found)
+                if at < len(found):  # the chain goes on at the first place behind it
+                    c[3] += found[at] - max(c[2], found[at] - size)
+                    c[1], c[2] = end, found[at]
                 else:
                     if c:
                         spans.append((k, c[0], c[1], c[3] / len(self.lists[k])))
-                    open_[k] = [end - size, end, at, size]
+                    open_[k] = [end - size, end, found[0], size]
         spans += [(k, c[0], c[1], c[3] / len(self.lists[k])) for k, c in open_.items()]
         return {"n_words": len(ws), "places": places, "spans": sorted((self.labels[k], a, b, min(1.0, x)) for k, a, b, x in spans)}
 
@@ -176,13 +189,25 @@ SCAN = (
 )
 
 
-def scan_licenses(docs: DataFrame, keep: list[str], text: str = "text", templates: dict | None = None, phrases: dict | None = None, **limits) -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, keep: list[str], text: str = "text", templates: DataFrame | list[tuple[str, str]] | None = None, phrases: dict | None = None,
+    most_words: int = 1_000_000, **limits,
+) -> DataFrame:
     """The kept columns and the columns of ``SCAN``: one row per row of ``docs``.
 
-    Null and empty texts have no words, no labels and score 0. ``spans`` holds the chains that reach the covered
-    share of a template, by start and end word; ``score`` is the largest share that any chain covers.
+    Null and empty texts have no words, no labels and score 0; texts of any length are streamed whole. Repeated rows
+    stay repeated, an empty table stays empty, and other columns may have any names; those that are kept should differ
+    from the new ones. ``spans`` holds the chains that reach the covered share of a template, by start and end word;
+    ``score`` is the largest share that any chain covers. ``templates`` is a table of label and text (null ones don't
+    count), or a list; the driver builds the automaton, so a table of more than ``most_words`` words is refused.
     """
-    scanner = Scanner(templates or TEMPLATES, phrases or PHRASES, **limits)
+    if isinstance(templates, DataFrame):
+        rows = templates.where("label IS NOT NULL AND text IS NOT NULL").select("label", "text")
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        if size > 8 * most_words:
+            raise ValueError(f"templates of {size} bytes are too many for one automaton")
+        templates = sorted((r["label"], r["text"]) for r in rows.collect())
+    scanner = Scanner(licence_templates() if templates is None else templates, phrases or PHRASES, **limits)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = docs.select(*keep).schema
