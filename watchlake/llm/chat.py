@@ -116,6 +116,8 @@ def replayed(rows: DataFrame, trained: str = "assistant", chunk: int = CHUNK) ->
     spans = rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(run).alias("lo"), F.max(run).alias("hi"))
     long_ = materialize(spans.where((F.col("n") > chunk) | (F.col("lo") < F.col("hi"))).select(F.col("conv_id").alias("long_id")), "long")
     is_long = rows["conv_id"].eqNullSafe(long_["long_id"])
+    if not long_.limit(1).count():
+        return render_short(fold_events(events_of(rows.repartition("conv_id"))), trained)
     short = rows.join(long_, is_long, "left_anti").repartition("conv_id")
     some = rows.join(long_, is_long, "left_semi").withColumn("run", run).repartition("conv_id", "run")
     return render_short(fold_events(events_of(short)), trained).unionByName(render(fold_events(events_of(some)), trained))
