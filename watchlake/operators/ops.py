@@ -64,7 +64,7 @@ def expired(files: DataFrame, now: Column, days: int) -> DataFrame:
 def expired_days(folders: DataFrame, today: Column, days: int) -> DataFrame:
     """Folders named YYYYMMDD whose day is more than ``days`` before today; other names never expire."""
     name = F.when(F.col("folder").rlike(r"^\d{8}$"), F.col("folder"))
-    return folders.where(F.try_to_date(name, F.lit("yyyyMMdd")) < F.date_sub(today, days))
+    return folders.where(F.try_to_date(name, "yyyyMMdd") < F.date_sub(today, days))
 
 
 def empty_folders(folders: DataFrame, files: DataFrame) -> DataFrame:

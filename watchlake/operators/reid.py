@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchlake.functions import columns as C
 from watchlake.operators.graph import connected
 from watchlake.params import ReidParams
 
@@ -33,7 +34,7 @@ def best_match(probes: DataFrame, gallery: DataFrame) -> DataFrame:
     """
     pb, np_ = _blocks(probes, probes.count())
     gb, ng = _blocks(gallery, gallery.count())
-    grid = lambda n: F.explode(F.array(*map(F.lit, range(n))))
+    grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = probes.select("id", "v", pb.alias("p")).withColumn("g", grid(ng))
     b = gallery.select(F.col("id").alias("g_id"), F.col("v").alias("g_v"), gb.alias("g")).withColumn("p", grid(np_))
 
@@ -77,9 +78,8 @@ def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     """
     block, n = _blocks(vectors, vectors.count())
     rows = vectors.select("id", "v", block.alias("k"))
-    every = F.array(*map(F.lit, range(n)))
-    left = rows.withColumn("o", F.explode(F.filter(every, lambda o: o >= F.col("k")))).select("id", "v", F.col("k").alias("a"), F.col("o").alias("b"))
-    right = rows.withColumn("o", F.explode(F.filter(every, lambda o: o <= F.col("k")))).select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("o").alias("a"), F.col("k").alias("b"))
+    left = rows.withColumn("o", F.explode(F.sequence("k", F.lit(n - 1)))).select("id", "v", F.col("k").alias("a"), F.col("o").alias("b"))
+    right = rows.withColumn("o", F.explode(F.sequence(F.lit(0), "k"))).select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("o").alias("a"), F.col("k").alias("b"))
 
     def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
@@ -113,15 +113,25 @@ def group_report(pairs: DataFrame, groups: DataFrame, vectors: DataFrame) -> Dat
     return out
 
 
+def kept_similarity(groups: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(component, id, keep, similarity): each member's cosine to the member that its group keeps, 1 for that one itself."""
+    own = groups.join(vectors.select("id", "v"), "id")
+    kept = own.where("keep").select("component", F.col("v").alias("kept_v"))
+    cosine = C.dot(C.l2_normalize(F.col("v")), C.l2_normalize(F.col("kept_v")))
+    return own.join(kept, "component").select("component", "id", "keep", F.when(F.col("keep"), 1.0).otherwise(cosine).alias("similarity"))
+
+
 def pick_diverse(scores: list[float], vectors: np.ndarray, entities: list, matched: bool, p: ReidParams) -> list[tuple[int, bool]]:
     """Places of the chosen crops, matched ones first; the lists are in order of score, best first."""
-    sim = vectors @ vectors.T
     n = len(scores)
-    pool = [i for i in range(n) if matched and (sim[0, i] >= p.same_person or (entities[0] is not None and entities[i] == entities[0]))]
-    others = [i for i in range(n) if i not in set(pool)]
+    to_best = vectors @ vectors[0]
+    pool = [i for i in range(n) if matched and (to_best[i] >= p.same_person or (entities[0] is not None and entities[i] == entities[0]))]
+    in_pool = set(pool)
+    others = [i for i in range(n) if i not in in_pool]
+    sim = lambda i, j: float(vectors[i] @ vectors[j])  # noqa: E731  (only chosen ones, of which there are few, are compared with)
     own: list[int] = []
     rest: list[int] = []
-    apart = lambda i, chosen: all(1 - sim[i, j] >= p.diversity for j in chosen)
+    apart = lambda i, chosen: all(1 - sim(i, j) >= p.diversity for j in chosen)
     for i in pool:
         if len(own) >= min(p.matched, p.top):
             break
@@ -138,7 +148,7 @@ def pick_diverse(scores: list[float], vectors: np.ndarray, entities: list, match
     for i in first:
         if len(rest) >= slots:
             break
-        if all(sim[i, j] < p.same_person for j in own + rest):
+        if all(sim(i, j) < p.same_person for j in own + rest):
             rest.append(i)
     for i in others:
         if len(rest) >= slots:
@@ -156,8 +166,11 @@ def pick_diverse(scores: list[float], vectors: np.ndarray, entities: list, match
 def diverse_crops(crops: DataFrame, p: ReidParams = ReidParams()) -> DataFrame:
     """(video, pos, id, is_match): up to ``top`` crops a clip from (video, id, v, score, entity_id, matched).
 
-    A clip has at most ``samples`` crops, so the greedy choice runs per clip.
+    Of a clip's crops the ``samples`` of best score take part (the least id of equals), so a greedy choice is over a
+    bounded group, and compares with the chosen ones only.
     """
+    best = F.row_number().over(Window.partitionBy("video").orderBy(F.desc("score"), "id"))
+    crops = crops.withColumn("nth", best).where(F.col("nth") <= p.samples).drop("nth")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)

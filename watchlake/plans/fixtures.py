@@ -41,7 +41,7 @@ SELECT user_id AS video, CAST(floor((rn - 1) / $PER) AS BIGINT) AS frame, user_i
        CAST(780 + (event_id*7 + user_id*31) % 61 AS DOUBLE) AS cy
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM {events}) e"""
 _EMB = """
-SELECT vec_id, v, label, CASE label WHEN 0 THEN 'pos' WHEN 1 THEN 'neg' ELSE 'probe' END AS role, vec_id % 20 AS video,
+SELECT vec_id, v, label, CASE label WHEN 0 THEN 'pos' WHEN 1 THEN 'neg' ELSE 'probe' END AS role, CAST(floor((vec_id % 100000) / 25) AS BIGINT) AS video,
        CAST((vec_id*7919) % 1000 AS DOUBLE)/10 AS sharpness
 FROM (SELECT vec_id, CAST(embedding AS $DOUBLES) AS v, label FROM {embeddings}
  UNION ALL SELECT vec_id + 100000, $NOISY, label FROM {embeddings} WHERE vec_id % 5 = 0) x"""

@@ -113,6 +113,27 @@ def s01(spark: SparkSession, d: str) -> DataFrame:
     return file_days(named.select("file", "n", "line"), "video_processor")
 
 
+def text_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The log as text files, a folder a day, written in order and read back."""
+    from watchlake.sources.logs import daily_lines, read_lines
+    from watchlake.sources.store import DayStore
+
+    path = DayStore.temporary(spark).path
+    view(spark, d, "fx_log").repartitionByRange("day", "n").sortWithinPartitions("day", "n").select("day", "line").write.partitionBy("day").text(path)
+    return daily_lines(read_lines(spark, path), "video_processor")
+
+
+@query("S01_text_files", "WITH " + cte("fx_log") + " SELECT CAST(day AS VARCHAR) AS day, count(*) AS lines FROM fx_log GROUP BY day")
+def s01t(spark: SparkSession, d: str) -> DataFrame:
+    return _day(text_lines(spark, d).groupBy("day").agg(F.count("*").alias("lines")))
+
+
+_simple("S02_text_scan", lambda s, d: L.parse_lines(text_lines(s, d)), "day; date_format(ts, 'yyyy-MM-dd HH:mm:ss') AS ts; level; video; content; worker",
+        f"{_ENT} SELECT {_DAY}, {_ST.format('ts')} AS ts, level, video, content, worker FROM ent")
+_simple("A01_from_text_files", lambda s, d: L.video_summary(L.with_metrics(L.parse_lines(text_lines(s, d)))), "day; video; status; pipeline_error; full_s; reaction",
+        f"{_VID} SELECT {_DAY}, video, status, pipeline_error, full_s, reaction FROM vid")
+
+
 @query("S03_day_list", _ENT + " SELECT CAST(day AS VARCHAR) AS day, row_number() OVER (ORDER BY day = (SELECT max(day) FROM ent) DESC, day DESC) AS place FROM (SELECT DISTINCT day FROM ent)")
 def s03(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from watchlake.functions.ranks import numbered
 from watchlake.operators import media as M
 from watchlake.operators import ops as O
+from watchlake.plans import q_logs
 from watchlake.plans.fixtures import cte, view
 from watchlake.plans.registry import query
 from watchlake.sources import configs, listing, store
 
+_VID_DONE = q_logs._MET + ", k AS (SELECT *, contains(content, 'Motion detection complete. Status:') AS done FROM met WHERE video IS NOT NULL)"
+GALLERY_SQL = "SELECT '2024/Cam_' || CAST(o_orderkey AS VARCHAR) || '_reid_best0.jpg' AS path, o_custkey % 3 = 0 AS present FROM orders"
 _LED = "WITH " + cte("fx_ledger")
 _STATE = _LED + """, st AS (SELECT path, CASE WHEN bool_or(status = 'completed') THEN 'completed' WHEN arg_max(status, seq) <> 'queued' THEN arg_max(status, seq)
  WHEN arg_max(status, seq) FILTER (WHERE status <> 'queued') = 'started' THEN 'started' ELSE 'queued' END AS status, max(seq) FILTER (WHERE status = 'completed') AS end_ts, max(seq) FILTER (WHERE status = 'started') AS start_ts FROM fx_ledger GROUP BY path)"""
@@ -81,6 +84,13 @@ def t08(spark: SparkSession, d: str) -> DataFrame:
     return numbered(media(spark, d), "pos", F.col("mday"), F.col("path")).select("path", "pos")
 
 
+@query("X05_day_folders", "SELECT strftime(o_orderdate, '%Y%m%d') AS folder FROM orders WHERE o_orderkey % 3 <> 0 AND CAST(o_orderdate AS DATE) < DATE '1998-08-02' - 600")
+def x05d(spark: SparkSession, d: str) -> DataFrame:
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    name = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.date_format("o_orderdate", "yyyyMMdd"))
+    return O.expired_days(o.select(name.alias("folder")), F.lit("1998-08-02").cast("date"), 600)
+
+
 @query("X05_retention", _LIST + """, f AS (SELECT DISTINCT path[1:10] AS folder FROM fx_listing) SELECT path AS name, 'video' AS kind FROM fx_listing WHERE mday < DATE '1998-08-02' - 900
 UNION ALL SELECT folder, 'folder' FROM f WHERE folder NOT IN (SELECT path[1:10] FROM fx_listing WHERE mday >= DATE '1998-08-02' - 900)""")
 def x05(spark: SparkSession, d: str) -> DataFrame:
@@ -197,6 +207,11 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return O.replay_work(o.select("file", prior.alias("prior_status")), o.where("file % 5 <> 0"), results)
 
 
+@query("J12_prior_status", _VID_DONE + " SELECT video AS file, arg_max(status, n) FILTER (WHERE done AND status IS NOT NULL) AS prior_status FROM k GROUP BY video HAVING bool_or(is_new)")
+def j12p(spark: SparkSession, d: str) -> DataFrame:
+    return O.prior_status(q_logs.metrics(spark, d))
+
+
 @query("S12_replay_sink", "SELECT CAST(o_orderkey AS VARCHAR) AS timestamp_filename, 'no_person' AS prior_status, 'unknown' AS new_status FROM orders")
 def s12(spark: SparkSession, d: str) -> DataFrame:
     import uuid
@@ -312,6 +327,16 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return M.gallery_copies(_stems(spark, d), M.media_index(_media_files(spark, d)), 1)
 
 
+@query("J13_gallery_split", GALLERY_SQL)
+def j13g(spark: SparkSession, d: str) -> DataFrame:
+    """Crops by whether the gallery already has a file of their name."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    copies = o.select(F.format_string("2024/Cam_%d_reid_best0.jpg", "o_orderkey").alias("path"))
+    gallery = o.where("o_custkey % 3 = 0").select(F.format_string("gallery/pos/Cam_%d_reid_best0.jpg", "o_orderkey").alias("path"))
+    there, new = (M.copies_in_gallery(copies, gallery, x).withColumn("present", F.lit(x)) for x in (True, False))
+    return there.unionByName(new)
+
+
 @query("J14_source_video", _MEDIA + " SELECT stem || '.mp4' AS video, min('t/' || day || '/' || stem || fin) AS path FROM mf WHERE fin = '.mp4' AND CAST(stem[2:] AS INTEGER) % 3 = 0 GROUP BY stem")
 def j14(spark: SparkSession, d: str) -> DataFrame:
     return M.first_source(_stems(spark, d), _media_files(spark, d))

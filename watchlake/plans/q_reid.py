@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchlake.functions import columns as C
 from watchlake.operators import reid as R
+from watchlake.operators.graph import connected, written
 from watchlake.params import ReidParams
 from watchlake.plans.fixtures import cte, view
 from watchlake.plans.registry import query
@@ -64,14 +65,12 @@ co AS (SELECT node AS id, min(r) AS component FROM rc GROUP BY node), gm AS (SEL
 
 def _groups(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = emb(spark, d)
-    pairs = R.similar_pairs(v, 0.95)
+    pairs = written(R.similar_pairs(v, 0.95), "pairs")
     return pairs, R.duplicate_groups(pairs, v), v
 
 
 @query("G01_components", _COMP + " SELECT id, component FROM co")
 def g01(spark: SparkSession, d: str) -> DataFrame:
-    from watchlake.operators.graph import connected
-
     return connected(R.similar_pairs(emb(spark, d), 0.95)).select(F.col("node").alias("id"), "component")
 
 
@@ -86,6 +85,13 @@ def a34(spark: SparkSession, d: str) -> DataFrame:
     return R.group_report(pairs, groups, v)
 
 
+@query("A34_kept_similarity", _COMP + """, kp AS (SELECT g.component, u.v FROM gm g JOIN u USING (id) WHERE g.k = 1)
+SELECT g.component, g.id, g.k = 1 AS keep, round(CASE WHEN g.k = 1 THEN 1 ELSE list_dot_product(u.v, kp.v) END, 6) AS similarity FROM gm g JOIN u USING (id) JOIN kp ON kp.component = g.component""")
+def a34s(spark: SparkSession, d: str) -> DataFrame:
+    _, groups, v = _groups(spark, d)
+    return R.kept_similarity(groups, v).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("T06_largest_groups", _COMP + " SELECT component, count(*) AS size FROM gm GROUP BY component ORDER BY size DESC, component LIMIT 10")
 def t06(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d)[1].groupBy("component").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "component").limit(10)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchlake.operators import entities
+from watchlake.operators import logs as L
 from watchlake.operators import tracks as K
 from watchlake.params import CrossingParams, TrustParams
 from watchlake.plans import q_logs, q_ops
@@ -15,34 +20,49 @@ from watchlake.plans.registry import query
 from watchlake.sources.store import DayStore
 from watchlake.streaming import streams as S
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CHUNKS = 4
 
 
-def streamed(spark: SparkSession, rows: DataFrame, run, mode: str, key: str | None = None) -> DataFrame:
-    """Write ``rows`` as files, stream them through ``run`` to the end, and return what the sink holds.
+def write_in_order(rows: DataFrame, path: str, order: str, by: str, how=lambda w, p: w.parquet(p)) -> None:
+    """``rows`` as files that appear in their order: a range of ``order`` after the other, a key's rows of a range in one file."""
+    cuts = sorted(set(rows.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [k / CHUNKS for k in range(1, CHUNKS)], 0.02)))
+    x = F.col(order).cast("double")
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = rows if lo is None else rows.where(x > lo)
+        part = part if hi is None else part.where(x <= hi)
+        how(part.repartition(by).write.mode("append"), path)
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """State in RocksDB, as state processors need it, for as long as a query runs; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
+def streamed(spark: SparkSession, rows: DataFrame, run, mode: str, order: str, by: str, key: str | None = None) -> DataFrame:
+    """Write ``rows`` as files in the order of ``order``, stream them through ``run``, a file a trigger, and return what the sink holds.
 
     In update mode each batch's rows are kept with the batch's number, and the last row of a key counts.
     """
     root = DayStore.temporary(spark).path
     source, out, at = f"{root}/in", f"{root}/out", f"{root}/checkpoint"
-    rows.write.parquet(source)
-    stream = run(spark.readStream.schema(rows.schema).parquet(source))
-    schema = None
-    if mode == "append":
-        schema = stream.schema
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", at).outputMode("append").trigger(availableNow=True).start()
-    else:
-        schema = stream.schema
-
-        def keep(batch: DataFrame, number: int) -> None:
-            batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
-
-        q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", at).outputMode(mode).trigger(availableNow=True).start()
-    if not q.awaitTermination(600):
-        q.stop()
-        raise TimeoutError("the stream didn't end")
+    write_in_order(rows, source, order, by)
+    stream = run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
+    schema, writer = stream.schema, stream.writeStream.option("checkpointLocation", at).trigger(availableNow=True)
     if mode == "append":
+        writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
         return spark.read.schema(schema).parquet(out)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+
+    writer.foreachBatch(keep).outputMode(mode).start().awaitTermination()
     got = spark.read.schema(schema.add("batch", "integer")).parquet(out)
     names = [c for c in got.columns if c not in ("batch", *key.split(","))]
     last = got.groupBy(*key.split(",")).agg(F.max_by(F.struct(*names), "batch").alias("r"))
@@ -55,7 +75,7 @@ def st03(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that the watermark has passed by the end of the stream."""
     m = view(spark, d, "fx_motion").distinct()
     rows = m.select("video", F.timestamp_millis(F.col("frame") * 40).alias("ts"))
-    got = streamed(spark, rows, lambda s: S.motion_sessions(s, "3 seconds", "10 seconds"), "append")
+    got = streamed(spark, rows, lambda s: S.motion_sessions(s, "3 seconds", "10 seconds"), "append", "ts", "video")
     frame = lambda c: F.floor(F.unix_millis(c) / 40).cast("long")
     last = m.agg(F.max("frame").alias("m"))
     found = got.select("video", frame("start").alias("start_frame"), frame("end").alias("end_frame"))
@@ -65,8 +85,8 @@ def st03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ST02_streaming_ledger", q_ops._STATE + " SELECT path, status FROM st")
 def st02s(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return streamed(spark, view(spark, d, "fx_ledger"), S.ledger_updates, "update", "path")
+    with rocks(spark):
+        return streamed(spark, view(spark, d, "fx_ledger"), S.ledger_updates, "update", "seq", "path", "path")
 
 
 @query("ST07_streaming_throttle", "WITH RECURSIVE " + cte("fx_burst").replace(" AS at ", " AS tm ") + """, q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tm, n) AS i FROM fx_burst),
@@ -74,20 +94,20 @@ f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS i, CAST(NULL AS B
 UNION ALL SELECT q.key, q.n, q.i, CASE WHEN f.l IS NULL OR q.tm - f.l >= 3600 THEN q.tm ELSE f.l END, CASE WHEN f.l IS NULL OR q.tm - f.l >= 3600 THEN 0 ELSE f.held + 1 END, CASE WHEN f.l IS NULL OR q.tm - f.l >= 3600 THEN f.held END FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1)
 SELECT key, n, o AS suppressed FROM f WHERE o IS NOT NULL""")
 def st07s(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = view(spark, d, "fx_burst").select("key", "at", "n")
-    return streamed(spark, rows.coalesce(1), lambda s: S.throttled_stream(s, 3600), "append")
+    with rocks(spark):
+        return streamed(spark, rows, lambda s: S.throttled_stream(s, 3600), "append", "at", "key")
 
 
 @query("ST08_live_summary", q_logs._VID + " SELECT CAST(day AS VARCHAR) AS day, video, status, pipeline_error, full_s, reaction, gate_dir FROM vid")
 def st08(spark: SparkSession, d: str) -> DataFrame:
-    got = streamed(spark, view(spark, d, "fx_log"), S.live_video_summary, "update", "day,video")
+    got = streamed(spark, view(spark, d, "fx_log"), S.live_video_summary, "update", "n", "day", "day,video")
     return got.select(F.col("day").cast("string").alias("day"), "video", "status", "pipeline_error", "full_s", "reaction", "gate_dir")
 
 
 @query("ST06_live_state", q_logs._PTS + " SELECT CAST(day AS VARCHAR) AS day, arg_max(type, (minute, ts, n)) AS state, max(minute) AS at_minute, count(*) AS events FROM pts GROUP BY day")
 def st06s(spark: SparkSession, d: str) -> DataFrame:
-    got = streamed(spark, q_logs.pts(spark, d), S.live_state, "update", "day")
+    got = streamed(spark, q_logs.pts(spark, d), S.live_state, "update", "n", "day", "day")
     return got.withColumn("day", F.col("day").cast("string"))
 
 
@@ -95,7 +115,47 @@ def st06s(spark: SparkSession, d: str) -> DataFrame:
 def s09(spark: SparkSession, d: str) -> DataFrame:
     """The file source over files as they lie there, exact repeats dropped within the watermark."""
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n"), F.col("ts").cast("timestamp").alias("ts"))
-    return streamed(spark, e.unionAll(e), lambda s: S.once(s, "n", late="400 days"), "append").select("n")
+    return streamed(spark, e.unionAll(e), lambda s: S.once(s, "n", late="400 days"), "append", "ts", "n").select("n")
+
+
+@query("S09_mp4_stream", "SELECT 'cam_' || CAST(user_id AS VARCHAR) || '.mp4' AS name, count(*) AS length FROM events GROUP BY user_id")
+def s09m(spark: SparkSession, d: str) -> DataFrame:
+    """New .mp4 files below a folder, whatever else lies there: a file for each user, with a byte for each event."""
+    from watchlake.sources.listing import new_files
+
+    e = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"))
+    root = DayStore.temporary(spark).path
+    folder = root.removeprefix("file://").removeprefix("file:")
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for user, n in zip(pdf["user_id"], pdf["n"]):
+                place = f"{folder}/in/2024/{user % 12:02d}"
+                os.makedirs(place, exist_ok=True)
+                for ending in ("mp4", "tmp"):
+                    with open(f"{place}/cam_{user}.{ending}", "wb") as f:
+                        f.write(b"x" * n)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    e.mapInPandas(put, "n long").agg(F.sum("n")).collect()
+    stream = new_files(spark, f"file://{folder}/in").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+@query("ST08_day_store", q_logs._ENTRY)
+def st08d(spark: SparkSession, d: str) -> DataFrame:
+    """Day statistics kept up to date while log lines arrive: each batch's days are computed again and replaced."""
+    root, store, rows = DayStore.temporary(spark).path, DayStore.temporary(spark), view(spark, d, "fx_log")
+    write_in_order(rows, f"{root}/in", "n", "day")
+    read = lambda r: r.schema(rows.schema)
+    of_days = lambda days: L.with_metrics(L.parse_lines(read(spark.read).parquet(f"{root}/in").join(days, "day")))
+    stream = read(spark.readStream).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    writer = stream.writeStream.foreachBatch(S.day_store_sink(of_days, store)).option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = store.read().select("day", "videos_total", F.round("md_avg", 6).alias("md_avg"), F.round("full_avg", 6).alias("full_avg"), F.explode_outer("status_counts").alias("status", "videos"))
+    return found.withColumn("day", F.col("day").cast("string")).fillna(0, ["videos"])
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:

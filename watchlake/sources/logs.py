@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchlake.functions import columns as C
+from watchlake.operators.graph import written
 
 DATED_LINE = r"^(?:\[W\] )?(\d{4}-\d{2}-\d{2}) \d{2}:\d{2}:\d{2} - [A-Z]+ - "
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, n, line): the lines of text files, in their order within each file.
+    """(file, n, line): the lines of text files below ``path``, with their order.
 
-    Files are read in splits; a line's number rises with its split's start and its place in the split.
+    Files are read in splits, many tasks a file; ``n`` is the file, the split's start and the line's place in the split.
+    It orders lines like a number and is never counted out over a file.
     """
-    rows = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line")
+    rows = spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line")
     )
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("start", "id"))).select("file", "n", "line")
+    return rows.select("file", F.struct("file", "start", "id").alias("n"), "line")
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -27,8 +29,8 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -
 
 
 def file_days(lines: DataFrame, stem: str) -> DataFrame:
-    """(file, day, lines): rotated files by their name, the current one by its first dated line."""
-    rotated = C.some(F.regexp_extract("file", rf"^{stem}_(\d{{4}}-\d{{2}}-\d{{2}})\.log$", 1))
+    """(file, day, lines): rotated files by their name (the last part of a path), the current one by its first dated line."""
+    rotated = C.some(F.regexp_extract(C.basename(F.col("file")), rf"^{stem}_(\d{{4}}-\d{{2}}-\d{{2}})\.log$", 1))
     dated = C.some(F.regexp_extract("line", DATED_LINE, 1))
     found = lines.groupBy("file").agg(F.min_by(dated, F.when(dated.isNotNull(), F.col("n"))).alias("first"), F.count("*").alias("lines"))
     return found.select("file", F.coalesce(rotated, "first").alias("day"), "lines")
@@ -37,4 +39,4 @@ def file_days(lines: DataFrame, stem: str) -> DataFrame:
 def daily_lines(lines: DataFrame, stem: str) -> DataFrame:
     """(n, day, line): each file's lines under the file's day, ready for the parser."""
     days = file_days(lines, stem).select("file", F.to_date("day").alias("day"))
-    return lines.join(F.broadcast(days), "file").select("n", "day", "line")
+    return lines.join(written(days, "file-days"), "file").select("n", "day", "line")  # Spark sees how many files there are

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from watchlake.operators import logs as L
+from watchlake.operators.graph import written
 
 
 def motion_sessions(frames: DataFrame, gap: str = "3 seconds", late: str = "10 seconds") -> DataFrame:
@@ -96,7 +97,7 @@ def day_store_sink(metrics_of, store):
     """For ``foreachBatch``: recompute the days that a batch touches from all their lines and replace them in the store."""
 
     def sink(batch: DataFrame, _: int) -> None:
-        days = batch.select("day").distinct()
+        days = written(batch.select("day").distinct(), "days")  # few rows; read once, used in a join
         rows = L.day_entries(L.video_summary(metrics_of(days)))
         store.write(rows)
 
