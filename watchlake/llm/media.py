@@ -228,7 +228,9 @@ INDEX = (
 def stream_index(df: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
     """The kept columns, what the stream in ``media`` holds, and digests of its bytes and its units' data.
 
-    Null and empty streams have no packets, and the digests of no bytes. Broken ones are read as far as they go.
+    Null and empty streams have no packets, and the digests of no bytes. Broken ones are read as far as they go, and
+    streams of any length whole. Repeated rows stay repeated, an empty table stays empty, and other columns may have any
+    names; those that are kept should differ from the new ones.
     Added columns: those of ``INDEX``, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256.
     """
     more = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"

@@ -190,12 +190,14 @@ def link_shard(fps: np.ndarray, lives: np.ndarray, mask: int, radius: int, near:
 # ---------------------------------------------------------------- the join
 
 
-def links(fps: DataFrame, radius: int = 4, blocks: int = 3, shard_rows: int = 4096, per_shard: int = 32) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, blocks: int = 3, shard_rows: int = 4096, per_shard: int = 32, most_rows: int = 100_000) -> DataFrame:
     """(u, v): links that connect all pairs of fingerprints within ``radius`` bits, a spanning forest for each shard.
 
     ``fps`` has a long column fp, distinct and without nulls, in a table that is cheap to read twice.
     ``shard_rows``: fingerprints that should live in a shard; the number of shards grows with the input.
     ``per_shard``: sampled fingerprints a shard, from which the driver grows the trees (a quarter of all at most).
+    ``most_rows``: a shard that more fingerprints reach (many that agree in a group of bits can't be cut by its tree) is
+    dealt into blocks, and tasks get pairs of blocks; so no task sees a whole dense shard, and no pair is lost.
     """
     n = fps.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / shard_rows)))))
@@ -216,14 +218,22 @@ def links(fps: DataFrame, radius: int = 4, blocks: int = 3, shard_rows: int = 40
                         cols = [np.full(len(idx), (k << 40) | shard, np.int64), fp[idx], np.full(len(idx), lives)]
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shard", "fp", "lives"])
 
-    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:  # key: shard and two of its blocks
         fp = pdf["fp"].to_numpy(np.int64)
         labels = link_shard(fp.view(np.uint64), pdf["lives"].to_numpy(bool), all_masks[key[0] >> 40], radius, near)
         has = np.flatnonzero(labels != np.arange(len(labels)))
         return pd.DataFrame({"u": fp[has], "v": fp[labels[has]]})
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard long, fp long, lives boolean")
-    return dealt.groupBy("shard").applyInPandas(search, "u long, v long")
+    dealt = materialize(fps.select("fp").mapInArrow(deal, "shard long, fp long, lives boolean"), "dealt")
+    dense = dealt.groupBy("shard").count().where(F.col("count") > most_rows).select(F.col("shard").alias("of"), F.ceil(2 * F.col("count") / most_rows).alias("k"))
+    dense = materialize(dense, "dense")
+    rows = dealt.withColumns({"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")})
+    if dense.limit(1).count():
+        many = dealt.join(dense, dealt["shard"] == dense["of"]).withColumn("mine", F.pmod(F.xxhash64("fp"), "k"))
+        many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+        many = many.select("shard", "fp", "lives", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
+        rows = rows.join(dense, rows["shard"] == dense["of"], "left_anti").unionByName(many)
+    return rows.groupBy("shard", "a", "b").applyInPandas(search, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
