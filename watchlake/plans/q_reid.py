@@ -103,9 +103,45 @@ def sc23(spark: SparkSession, d: str) -> DataFrame:
     return emb(spark, d).select("id", F.round(C.dot(v, v), 6).alias("dot"), F.round(C.l2_normalize(v)[0], 6).alias("first"))
 
 
-@query("T04_diverse_crops")
+def _picks() -> str:
+    """The greedy choice for DuckDB: a step for each crop that a phase may choose, each the first crop in order that fits."""
+    near = "list_max(list_transform(p.chosen, lambda x: list_dot_product(x.v, k.v)))"
+    fits = {"apart": f"(len(p.chosen) = 0 OR 1 - {near} >= 0.2)", "other": f"(len(p.chosen) = 0 OR {near} < 0.75)"}
+    # phase: which crops, what they must be to those chosen, how many of the kind there may be, whether they count as matches
+    phases = [
+        ("k.pool", "apart", "len(p.chosen) < 2", True, 2),
+        ("NOT k.pool AND k.lead <= 2 * p.slots", "other", "len(p.chosen) - p.own < p.slots", False, 3),
+        ("NOT k.pool", "apart", "len(p.chosen) - p.own < p.slots", False, 3),
+        ("k.pool", "apart", "len(p.chosen) < 3", True, 3),
+    ]
+    out, last, n = [], "g0", 0
+    for which, rule, room, match, steps in phases:
+        for _ in range(steps):
+            n += 1
+            out.append(f"""f{n} AS (SELECT p.video, min(k.r) AS r FROM {last} p JOIN k ON k.video = p.video WHERE {which} AND {room} AND NOT list_contains(list_transform(p.chosen, lambda x: x.r), k.r) AND {fits[rule]} GROUP BY p.video),
+g{n} AS (SELECT p.video, p.slots, p.own, CASE WHEN k.r IS NULL THEN p.chosen ELSE list_append(p.chosen, {{'r': k.r, 'id': k.id, 'v': k.v, 'm': {str(match).lower()}}}) END AS chosen
+  FROM {last} p LEFT JOIN f{n} USING (video) LEFT JOIN k ON k.video = f{n}.video AND k.r = f{n}.r)""")
+            last = f"g{n}"
+        if last == "g2":  # the matched ones are chosen: the rest of the places are for others
+            out.append("h AS (SELECT video, 3 - len(chosen) AS slots, len(chosen) AS own, chosen FROM g2)")
+            last = "h"
+    return ",\n".join(out) + f"""
+SELECT video, CAST(generate_subscripts(list_concat(list_filter(chosen, lambda x: x.m), list_filter(chosen, lambda x: NOT x.m)), 1) - 1 AS INTEGER) AS pos,
+ unnest(list_transform(list_concat(list_filter(chosen, lambda x: x.m), list_filter(chosen, lambda x: NOT x.m)), lambda x: x.id)) AS id,
+ unnest(list_transform(list_concat(list_filter(chosen, lambda x: x.m), list_filter(chosen, lambda x: NOT x.m)), lambda x: x.m)) AS is_match FROM {last}"""
+
+
+_CROPS = _E + """, clip AS (SELECT video, (round(max(pos), 18) >= 0.3 AND max(pos) - max(neg) >= 0.02) AS matched FROM best GROUP BY video),
+k0 AS (SELECT b.video, b.id, u.v, b.label AS entity, c.matched, row_number() OVER (PARTITION BY b.video ORDER BY b.pos DESC, b.id) - 1 AS r FROM best b JOIN clip c USING (video) JOIN u ON u.id = b.id),
+k1 AS (SELECT k.*, k.matched AND (list_dot_product(k.v, f.v) >= 0.75 OR k.entity = f.entity) AS pool FROM k0 k JOIN k0 f ON f.video = k.video AND f.r = 0 WHERE k.r < 128),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY video, pool, entity ORDER BY r) AS nth FROM k1),
+k AS (SELECT *, CASE WHEN NOT pool AND nth = 1 THEN sum(CASE WHEN NOT pool AND nth = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY r) END AS lead FROM k2),
+g0 AS (SELECT DISTINCT video, 0 AS slots, 0 AS own, CAST([] AS STRUCT(r BIGINT, id BIGINT, v DOUBLE[], m BOOLEAN)[]) AS chosen FROM k)"""
+
+
+@query("T04_diverse_crops", _CROPS + ",\n" + _picks())
 def t04(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy and order-dependent: held against a plain fold in the tests."""
+    """Greedy and order-dependent; the SQL takes a step for each crop that may be chosen."""
     rows = scored(spark, d)
     clips = R.clip_decision(rows, P).select("video", F.col("matched").alias("m"))
     crops = rows.join(clips, "video").join(emb(spark, d).select("id", "v"), "id")
