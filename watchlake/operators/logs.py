@@ -37,10 +37,12 @@ _OLD = r"ReID result:\s*matched=(True|False),\s*best_score=([0-9]*\.?[0-9]+),\s*
 
 
 def _parts(text: Column, pattern: str, groups: int) -> Column:
-    """The groups of a pattern that is about a whole text, from one match; null where it doesn't match."""
+    """The groups of a pattern that is about a whole text, from one match; the text itself alone where it doesn't match.
+
+    As a generated column it is computed once a row: conditions on it stay above it and don't match again.
+    """
     mark = "\x01\x02"
-    parts = F.split(F.regexp_replace(text, pattern, mark.join(f"${k + 1}" for k in range(groups))), mark, groups)
-    return F.when(F.size(parts) == groups, parts)
+    return F.explode(F.array(F.split(F.regexp_replace(text, pattern, mark.join(f"${k + 1}" for k in range(groups))), mark, groups)))
 
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -48,13 +50,15 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
     A line is matched once, and its message once.
     """
+    part = lambda c, k: F.get(c, F.lit(k))  # noqa: E731  (null beyond the end)
     m = lines.select("n", "day", _parts(F.col(line), LINE, 4).alias("parts"))
-    m = m.select("n", "day", *(F.col("parts")[k].alias(c) for k, c in enumerate(("prefix", "stamp", "level", "message"))))
+    m = m.select("n", "day", *(part("parts", k).alias(c) for k, c in enumerate(("prefix", "stamp", "level", "message"))))
     m = m.where(F.startswith("stamp", F.date_format("day", "yyyy-MM-dd")))
-    m = m.withColumn("found", _parts(F.col("message"), MESSAGE, 3)).withColumn("ts", F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss")))
+    m = m.select("n", "day", "prefix", "level", "message", F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"), _parts(F.col("message"), MESSAGE, 3).alias("found"))
+    has = part("found", 2).isNotNull()
     return m.where("ts IS NOT NULL").select(
-        "n", "day", "ts", "level", F.col("found")[0].alias("video"), F.coalesce(F.col("found")[2], "message").alias("content"),
-        ((F.col("prefix") != "") | F.coalesce(F.col("found")[1] != "", F.lit(False))).alias("worker"),
+        "n", "day", "ts", "level", F.when(has, part("found", 0)).alias("video"), F.coalesce(part("found", 2), "message").alias("content"),
+        ((F.col("prefix") != "") | (has & (part("found", 1) != ""))).alias("worker"),
     )
 
 
