@@ -50,7 +50,7 @@ def test_parsing_quirks(spark):
 def test_counts_and_caps(spark):
     m = entries(spark, ["Full processing took 900 seconds", ("Motion detection took 400 seconds", "INFO", None), ("Motion detection took 100 seconds", "INFO", "b"),
                         "Gate crossing detected! Direction: both", ("Gate crossing detected! Direction: up", "INFO", None)])
-    r = logs.day_statistics(m, logs.video_summary(m)).first()
+    r = logs.day_statistics(m).first()
     assert (r["videos_total"], r["full_avg"], r["full_max"], r["md_avg"], r["up"], r["down"]) == (1, 300, 900, 200, 2, 1)
 
 
@@ -390,3 +390,45 @@ def test_similar_pairs_is_exact_over_blocks(spark, monkeypatch):
     probes, gallery = df.where("id < 20"), df.where("id >= 20")
     best = {r["id"]: r["best_id"] for r in reid.best_match(probes, gallery).collect()}
     assert all(best[i] == (20 + int(s[i, 20:].argmax()) if s[i, 20:].max() > 0 else None) for i in range(20))
+
+
+def test_day_averages_leave_out_videos_without_a_time(spark):
+    m = entries(spark, [("Motion detection took 100 seconds", "INFO", "a"), ("Status: no_person", "INFO", "b"), ("Full processing took 400 seconds", "INFO", "c")])
+    r = logs.day_entries(logs.video_summary(m)).first()
+    assert (r["videos_total"], r["md_avg"], r["full_avg"], r["status_counts"]) == (2, 100, 300, {"no_person": 1, "unknown": 1})
+
+
+def test_lines_that_look_like_marks(spark):
+    day = datetime(2024, 5, 6).date()
+    lines = [f"{DAY} 10:00:00 - INFO - [v] a\x01\x02b", f"\x01\x02{DAY} 10:00:00 - INFO - x", "a\x01\x02b\x01\x02c\x01\x02d", f"{DAY} 10:00:00 - INFO - ", None, ""]
+    got = logs.parse_lines(spark.createDataFrame([(k, day, x) for k, x in enumerate(lines)], "n long, day date, line string")).orderBy("n").collect()
+    assert [(r["n"], r["video"], r["content"]) for r in got] == [(0, "v", "a\x01\x02b"), (3, None, "")]
+
+
+def test_lines_of_several_splits_keep_their_order(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "a.log").write_text("\n".join(f"line {k:05d}" for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = log_files.read_lines(spark, f"file://{tmp_path}").orderBy("n").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["line"] for r in rows] == [f"line {k:05d}" for k in range(3000)] and len({r["n"]["start"] for r in rows}) > 3
+
+
+@pytest.mark.parametrize(
+    ("size", "want"),
+    [((3840, 2160), ("4k", None, 1600, 7200, 60)), ((1920, 1080), ("1080p", None, 810, 1800, 30)), ((640, 360), ("low", None, 810, 100, 10)), ((896, 512), ("low", None, 810, 199, 14)),
+     ((896, 504), ("unsupported", "no_motion", None, None, None))],
+)
+def test_clip_profiles(spark, size, want):
+    r = configs.clip_profile(spark.createDataFrame([(*size, True)], "width int, height int, fast boolean")).first()
+    assert (r["profile"], r["status"], r["line_y"], r["least_area"], r["padding"]) == want and r["stride"] == 3
+
+
+def test_contours_and_crops(spark):
+    c = spark.createDataFrame([(1, 2000.0, 2500.0), (2, 2000.0, 2501.0), (3, 1999.0, 1999.0), (4, 5000.0, 0.0)], "id long, area double, hull_area double")
+    assert [r["id"] for r in tracks.solid_contours(c).collect()] == [1] and tracks.moving_contours(c, 8000, 0.5).count() == 1
+    b = spark.createDataFrame([(1, -5.9, 10.9, 30.0, 50.0), (2, 0.0, 0.0, 10.0, 60.0), (3, 200.0, 0.0, 210.0, 10.0)], "id long, x1 double, y1 double, x2 double, y2 double")
+    got = tracks.crop_rectangles(b, 5, 100, 100, lowest=50).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 5, 35, 55)]

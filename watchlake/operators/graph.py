@@ -20,7 +20,8 @@ def connected(pairs: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): every node of a link (i, j) with the least node that it reaches.
 
     Each round, labels move over all links and then jump to their label's label; it ends when none changes.
-    Combined before the shuffle, a hub's links count as one row a task. Rounds are written out.
+    Combined before the shuffle, a hub's links count as one row a task. Rounds are written out. Their number grows with the
+    logarithm of the longest path; after ``rounds``, which no graph of this world needs, an error is raised.
     """
     both = pairs.select("i", "j").unionAll(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
     links = written(both.distinct(), "links")

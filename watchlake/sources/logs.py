@@ -23,11 +23,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", F.struct("file", "start", "id").alias("n"), "line")
 
 
-def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Lines of files as they appear."""
-    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-
-
 def file_days(lines: DataFrame, stem: str) -> DataFrame:
     """(file, day, lines): rotated files by their name (the last part of a path), the current one by its first dated line."""
     rotated = C.some(F.regexp_extract(C.basename(F.col("file")), rf"^{stem}_(\d{{4}}-\d{{2}}-\d{{2}})\.log$", 1))
