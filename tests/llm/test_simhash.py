@@ -179,3 +179,24 @@ def test_sketches_never_lose_similar_sets():
         got = jaccard._unpack(jaccard._pack(fp, fp + 50, np.array(counts), s[:k], at))
         want = (s[:k], np.repeat(fp, counts), np.repeat(fp + 50, counts), at)
         assert all(np.array_equal(x, y) for x, y in zip(got, want))
+
+
+@pytest.mark.parametrize("many", [2, 16])
+def test_stage_with_passages_that_many_texts_share(spark, monkeypatch, many):
+    """Shared passages make no duplicates, near copies among such texts are found, and hot shingles change no result."""
+    monkeypatch.setattr(jaccard, "MANY", many)
+    monkeypatch.setattr(jaccard, "common_shingles", lambda docs: np.empty(0, np.uint64))
+    rng = np.random.default_rng(12)
+    word = lambda: f"v{rng.integers(0, 5000)}"
+    passages = [" ".join(word() for _ in range(60)) for _ in range(3)]
+    rows = []
+    for g in range(60):
+        base = [word() for _ in range(rng.integers(20, 120))]
+        for copy in range(1 + g % 3):
+            text = list(base)
+            for at in rng.integers(0, len(base), rng.integers(0, 1 + len(base) // 20)):
+                text[at] = word()
+            rows.append((len(rows), " ".join(text[:10]) + f" {passages[g % 3]} " + " ".join(text[10:])))
+    rows += [(len(rows) + k, passages[0] + f" end {k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == {d for d, _ in brute_stage(rows)}
