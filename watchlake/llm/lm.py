@@ -302,7 +302,9 @@ def train(docs: DataFrame, text: str = "text", part_bytes: int = 12_000_000) ->
         return pd.DataFrame({"pairs": [False], "stats": [[int(x) for x in stats]]})
 
     blobs = docs.select(F.col(text).cast("binary")).mapInArrow(count, "part long, blob binary")
-    done = blobs.groupBy("part").applyInPandas(pairs, "part long, blob binary").groupBy("part").applyInPandas(words_, "pairs boolean, stats array<long>")
+    # as many tasks as parts, whatever the session's settings are
+    dealt = blobs.repartition(parts, "part").groupBy("part").applyInPandas(pairs, "part long, blob binary")
+    done = dealt.repartition(parts, "part").groupBy("part").applyInPandas(words_, "pairs boolean, stats array<long>")
     rows = done.collect()  # a row of seven numbers for each part, and five for each common word
     mine = [r["stats"] for r in rows if r["pairs"]]
     word = np.sum([r["stats"] for r in rows if not r["pairs"]], axis=0, dtype=np.int64).tolist() if any(not r["pairs"] for r in rows) else [0] * 7
