@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm import chat, decontaminate, html, licenses, lm, media, mixing, quality, simhash, toxicity
+from watchlake.llm import chat, decontaminate, html, licenses, lm, media, mixing, quality, runs, simhash, toxicity
 from watchlake.llm.common import table
 
 
@@ -27,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_lm": lm.op9_lm,
     "op10_chat": chat.op10_chat,
+    "op11_runs": runs.op11_runs,
 }
 ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.OP3_SQL, "op10_chat": chat.OP10_SQL}
