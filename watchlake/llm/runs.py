@@ -188,9 +188,12 @@ def find_runs(x: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
             start, end = texts.extents(at, lag)
             long = end - start >= np.maximum(lag, least - lag)
             for s, e, q in sorted(set(zip(start[long].tolist(), end[long].tolist(), lag[long].tolist()))):
-                if not np.array_equal(x[s:e], x[s + q : e + q]):  # unlike words of equal sums
-                    s, e = _stretch(x, (s + e) // 2, q)
-                keep(s, e + q, q)
+                if np.array_equal(x[s:e], x[s + q : e + q]):
+                    keep(s, e + q, q)
+                    continue
+                for a in at[(start == s) & (end == e) & (lag == q)].tolist():  # unlike words of equal sums
+                    low, high = _stretch(x, a, q)
+                    keep(low, high + q, q)
         h = _mixed(h[: -(scale // 2)] * BASE + h[scale // 2 :])
         scale *= 2
     return sorted((s, e - s, q) for (s, e), q in found.items())
