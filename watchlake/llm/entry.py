@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm import chat, decontaminate, html, licenses, lm, media, merkle, mixing, quality, runs, simhash, toxicity
+from watchlake.llm import chat, decontaminate, html, licenses, lm, media, merkle, mixing, quality, runs, simhash, substrings, toxicity
 from watchlake.llm.common import table
 
 
@@ -29,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": chat.op10_chat,
     "op11_runs": runs.op11_runs,
     "op12_merkle": merkle.op12_merkle,
+    "op13_substrings": substrings.op13_substrings,
 }
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.OP3_SQL, "op10_chat": chat.OP10_SQL, "op12_merkle": merkle.OP12_SQL}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.OP3_SQL, "op10_chat": chat.OP10_SQL, "op12_merkle": merkle.OP12_SQL, "op13_substrings": substrings.OP13_SQL}
