@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from watchlake.llm.common import free_name, materialize, table
 
-FAN, LEVELS = 2, 10
+FAN, LEVELS = 2, 12
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STEP = "struct<l:string,r:string>"
 
@@ -78,7 +78,7 @@ def _round(nodes: DataFrame, fan: int, levels: int) -> DataFrame:
 
 
 def trees(nodes: DataFrame, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
-    """(grp, slot, root, path) for ``nodes`` (grp, slot, n, hash): each group's root and each node's steps to it.
+    """``nodes`` (grp, slot, n, hash and others) with root, that of their group, and path, the steps to it.
 
     Slots go from 0 to n - 1 in a group; grp may be null. A step is the hashes left and right of the node in its run, empty
     where there are none. A group's only node is its root. An empty table gives an empty one.
@@ -86,13 +86,13 @@ def trees(nodes: DataFrame, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
     done = materialize(_round(nodes, fan, levels), "tree")
     most = done.agg(F.max("n")).first()[0]
     if most is None or most <= fan**levels:
-        return done.select("grp", "slot", F.col("top").alias("root"), "path")
+        return done.withColumnRenamed("top", "root").drop("block")
     tops = done.where(F.col("slot") % fan**levels == 0)
     size = F.expr(f"(n + {fan**levels - 1}) div {fan**levels}")
     above = trees(tops.select("grp", F.col("block").alias("slot"), size.alias("n"), F.col("top").alias("hash")), fan, levels)
     above = above.select(F.col("grp").alias("_grp"), F.col("slot").alias("_block"), "root", F.col("path").alias("_path"))
     both = done.join(above, done["grp"].eqNullSafe(above["_grp"]) & (done["block"] == above["_block"]))
-    return both.select("grp", "slot", "root", F.concat("path", "_path").alias("path"))
+    return both.select(*nodes.columns, "root", F.concat("path", "_path").alias("path"))
 
 
 def fold_path(leaf: Column, path: Column) -> Column:
@@ -116,17 +116,12 @@ def manifest(df: DataFrame, leaf: Column, group: str, *order: Column, fan: int =
     """
     names = [f"_k{i}" for i in range(len(order))]
     rows = df.select(*keep, F.col(f"`{group}`").alias("grp"), leaf.alias("hash"), *(c.alias(x) for c, x in zip(order, names)))
-    leaves = materialize(slots(rows, "grp", *(F.col(x).asc_nulls_first() for x in names), F.col("hash")), "leaves")
-    low = trees(leaves.select("grp", "slot", "n", "hash"), fan, levels)
-    low = materialize(low.withColumnRenamed("root", "subroot"), "paths")
+    leaves = slots(rows, "grp", *(F.col(x).asc_nulls_first() for x in names), F.col("hash")).drop(*names)
+    low = materialize(trees(leaves, fan, levels).withColumnRenamed("root", "subroot"), "paths")
     roots = low.where("slot = 0").select(F.lit(0).alias("all"), "grp", "subroot")
     roots = materialize(slots(roots, "all", F.col("grp").asc_nulls_first()), "subroots")
-    high = trees(roots.select(F.col("all").alias("grp"), "slot", "n", F.col("subroot").alias("hash")), fan, levels)
-    high = roots.join(high.select(F.col("slot").alias("s"), "root", F.col("path").alias("up")), F.col("slot") == F.col("s"))
-    high = high.select(F.col("grp").alias("g"), "root", "up")
-    low = low.select(F.col("grp").alias("h"), F.col("slot").alias("s"), "subroot", "path")
-    both = leaves.join(low, F.col("grp").eqNullSafe(F.col("h")) & (F.col("slot") == F.col("s")))
-    both = both.join(high, F.col("grp").eqNullSafe(F.col("g")))
+    high = trees(roots.select(F.col("all").alias("grp"), "slot", "n", F.col("subroot").alias("hash"), F.col("grp").alias("of")), fan, levels)
+    both = low.join(high.select("of", "root", F.col("path").alias("up")), F.col("grp").eqNullSafe(F.col("of")))
     return both.select(*keep, F.col("hash").alias("leaf"), "subroot", "root", F.concat("path", "up").alias("path"))
 
 
