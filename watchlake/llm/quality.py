@@ -51,15 +51,18 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+REACH = 6.0  # deviations from the mean at which a statistic stops to count
+
+
 class QualityModel:
     """Standardisation, frequencies, weights and calibration; scores without labels, language, source or id."""
 
-    def __init__(self, mean, scale, omega, phase, weights, isotonic: Isotonic | None, constant: float | None = None):
-        self.mean, self.scale, self.omega, self.phase, self.weights, self.isotonic, self.constant = mean, scale, omega, phase, weights, isotonic, constant
+    def __init__(self, mean, scale, omega, phase, weights, isotonic: Isotonic | None, constant: float | None = None, reach: float = REACH):
+        self.mean, self.scale, self.omega, self.phase, self.weights, self.isotonic, self.constant, self.reach = mean, scale, omega, phase, weights, isotonic, constant, reach
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        """Fourier features and a constant. A statistic further than 6 deviations from its mean counts as 6: the kernel is flat there."""
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
+        """Fourier features and a constant. A statistic further than ``reach`` deviations from its mean counts as that far: the kernel is flat there."""
+        z = np.clip((x - self.mean) / self.scale, -self.reach, self.reach)
         return np.hstack([np.sqrt(2 / self.omega.shape[1]) * np.cos(z @ self.omega + self.phase), np.ones((len(x), 1))])
 
     def margin(self, x: np.ndarray) -> np.ndarray:
@@ -127,7 +130,7 @@ def normal_equations(rows: DataFrame, model: QualityModel, fan_in: int = 8, part
     return total[:, :size], total[:, size]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND, dim: int = 256, ridge: float = 1e-3, seed: int = 3) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND, dim: int = 256, ridge: float = 1e-3, seed: int = 3, reach: float = REACH) -> QualityModel:
     """Learn from the labelled sample of ``docs``: the ridge on three quarters, the calibration on the rest.
 
     Null ids, null labels and labels without a document are left out; null and empty texts are texts without words.
@@ -145,7 +148,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bound: int = BOUND, dim: int
     rng = np.random.default_rng(seed)
     mean, scale = np.array(got[2 : 2 + k], float), np.maximum(np.array(got[2 + k :], float), 1e-6)
     omega = rng.normal(size=(k, dim)) / (0.8 * math.sqrt(k))
-    model = QualityModel(mean, scale, omega, rng.uniform(0, 2 * math.pi, dim), None, None)
+    model = QualityModel(mean, scale, omega, rng.uniform(0, 2 * math.pi, dim), None, None, reach=reach)
     train = rows.where("lot < 75")
     a, b = normal_equations(train, model)
     model.weights = np.linalg.solve(a + ridge * max(1.0, a[-1, -1]) * np.eye(len(a)), b)
@@ -159,10 +162,11 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     """``docs`` without the rows that score under ``threshold``, with their own columns.
 
     Rows of null or repeated ids are judged by their own texts; null and empty texts score as texts without words. An
-    empty table gives an empty result; without usable labels all rows score alike and stay.
+    empty table gives an empty result. Without labels of both classes nothing can be told apart, and every row stays.
     """
     name = free_name(docs.columns, "quality_score")
-    return fit_quality(docs, labels).score(docs, name).where(F.col(name) >= threshold).select(*docs.columns)
+    model = fit_quality(docs, labels)
+    return docs if model.constant is not None else model.score(docs, name).where(F.col(name) >= threshold).select(*docs.columns)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

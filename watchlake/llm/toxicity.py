@@ -290,10 +290,11 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     """``docs`` without the rows that score ``threshold`` or more, with their own columns.
 
     Rows of null or repeated ids are judged by their own texts; null and empty texts score as texts without words. An
-    empty table gives an empty result; without usable labels all rows score alike, and 0.5 or more drops them all.
+    empty table gives an empty result. Without labels of both classes nothing can be told apart, and every row stays.
     """
     name = free_name(docs.columns, "toxicity_score")
-    return fit_toxicity(docs, labels).score(docs, name).where(F.col(name) < threshold).select(*docs.columns)
+    model = fit_toxicity(docs, labels)
+    return docs if model.constant is not None else model.score(docs, name).where(F.col(name) < threshold).select(*docs.columns)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
