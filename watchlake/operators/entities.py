@@ -9,7 +9,7 @@ trusted entities are accepted and can make others duplicates.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,6 +67,21 @@ class Resolver:
         self.trust: list[Trust] = []
         self.of_track: dict[int, int] = {}
 
+    def dump(self) -> tuple[list[tuple], list[tuple[int, int]]]:
+        """The state as rows: one an entity, one a track."""
+        trust = [(t.x, t.y, t.far, t.total, t.n, t.state) for t in self.trust]
+        return [(e, *map(float, b), f, *t) for e, (b, f, t) in enumerate(zip(self.boxes, self.frames, trust))], list(self.of_track.items())
+
+    def load(self, entities: Iterable[tuple], tracks: Iterable[tuple[int, int]]) -> None:
+        """Take over what ``dump`` gave."""
+        for _, x1, y1, x2, y2, frame, x, y, far, total, n, state in sorted(entities):
+            self.boxes.append((x1, y1, x2, y2))
+            self.frames.append(frame)
+            t = Trust(x, y)
+            t.far, t.total, t.n, t.state = far, total, n, state
+            self.trust.append(t)
+        self.of_track = dict(tracks)
+
     def _recent(self, frame: int) -> Iterator[tuple[int, float]]:
         """Entities seen within the largest gap, with the gap's share of it."""
         for e, last in enumerate(self.frames):
@@ -140,6 +155,17 @@ class Resolver:
         return out
 
 
+def followed(state: Resolver, pdf: pd.DataFrame) -> pd.DataFrame:
+    """What the resolver makes of some detections, which it goes through by frame and falling confidence."""
+    pdf, rows = pdf.sort_values(["frame", "conf", "track_id", "x1", "y1", "x2", "y2"], ascending=[True, False, True, True, True, True, True]), []
+    for frame, part in pdf.groupby("frame", sort=True):
+        found = [(int(t), float(c), tuple(map(float, b))) for t, c, *b in part[["track_id", "conf", "x1", "y1", "x2", "y2"]].itertuples(index=False)]
+        for (t, _, b), got in zip(found, state.frame(int(frame), found)):
+            if got:
+                rows.append((int(frame), t, *got, (b[0] + b[2]) / 2, (b[1] + b[3]) / 2))
+    return pd.DataFrame(rows, columns=["frame", "track_id", "entity_id", "state", "cx", "cy"])
+
+
 RESOLVED = "video long, clip_index long, frame long, track_id long, entity_id long, state string, cx double, cy double"
 
 
@@ -153,15 +179,8 @@ def resolve(
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame", "conf", "track_id", "x1", "y1", "x2", "y2"], ascending=[True, False, True, True, True, True, True])
-        state, rows = Resolver(fps, stride, line_y, p, trust), []
-        for frame, part in pdf.groupby("frame", sort=True):
-            found = [(int(t), float(c), tuple(map(float, b))) for t, c, *b in part[["track_id", "conf", "x1", "y1", "x2", "y2"]].itertuples(index=False)]
-            for (t, _, b), got in zip(found, state.frame(int(frame), found)):
-                if got:
-                    rows.append((frame, t, *got, (b[0] + b[2]) / 2, (b[1] + b[3]) / 2))
-        out = pd.DataFrame(rows, columns=["frame", "track_id", "entity_id", "state", "cx", "cy"])
-        return out.assign(video=pdf["video"].iloc[0], clip_index=pdf["clip_index"].iloc[0])[["video", "clip_index", *out.columns]]
+        rows = followed(Resolver(fps, stride, line_y, p, trust), pdf)
+        return rows.assign(video=pdf["video"].iloc[0], clip_index=pdf["clip_index"].iloc[0])[["video", "clip_index", *rows.columns]]
 
     cols = ["video", "clip_index", "frame", "track_id", "conf", "x1", "y1", "x2", "y2"]
     return people.select(*cols).groupBy("video", "clip_index").applyInPandas(run, RESOLVED)

@@ -94,16 +94,41 @@ def _video_folds() -> list[Column]:
     real = F.when(F.col("status") != "error", F.col("n"))
     return [
         F.max_by("status", real).alias("real_status"), F.min(real).alias("first_real"), F.max(F.when(F.col("failed"), F.col("n"))).alias("last_error"),
-        last("full_s").alias("full_s"), last("md_s").alias("md_s"), last("raw_events").alias("raw_events"),
         F.min_by("ts", F.when(F.col("is_new"), F.col("n"))).alias("first_seen"),
         F.bool_or("fast").alias("fast"), F.bool_or("worker").alias("worker"), F.bool_or("saved_frame").alias("has_frames"),
-        last("reaction").alias("last_reaction"), last("reid_best").alias("reid_best"), last("reid_neg").alias("reid_neg"),
-        last("reid_delta").alias("reid_delta"), last("reid_matched").alias("reid_matched"),
-        F.max(F.when(F.col("speed") > 0, F.col("speed"))).alias("top_speed"),
-        last("gate_dir").alias("gate_dir"), last("gate_up").alias("gate_up"), last("gate_down").alias("gate_down"),
+        F.max(F.when(F.col("speed") > 0, F.col("speed"))).alias("top_speed"), *(last(c).alias(name) for name, c in LASTS.items()),
     ]
 
 
+#: what counts is the last value that isn't null: name of the result, and of the column
+LASTS = {c: c for c in "full_s md_s raw_events reid_best reid_neg reid_delta reid_matched gate_dir gate_up gate_down".split()} | {"last_reaction": "reaction"}
+
+
+def video_states(metrics: DataFrame) -> DataFrame:
+    """(day, video, ...): what ``video_summary`` needs of some lines, so that it can be merged with that of others.
+
+    A value that counts by its place in the log keeps that place beside it, so parts merge in any order.
+    """
+    n = F.col("n")
+    at = lambda c, ok: F.when(ok, F.struct(n.alias("n"), c.alias("value")))
+    status, real = F.col("status"), F.col("status") != "error"
+    lasts = [F.max(at(F.col(c), F.col(c).isNotNull())).alias(name) for name, c in LASTS.items()]
+    return metrics.where("video IS NOT NULL").groupBy("day", "video").agg(
+        F.max(at(status, real)).alias("real_status"), F.min(F.when(real, n)).alias("first_real"), F.max(F.when(F.col("failed"), n)).alias("last_error"),
+        F.min(at(F.col("ts"), F.col("is_new"))).alias("first_seen"), F.bool_or("fast").alias("fast"), F.bool_or("worker").alias("worker"),
+        F.bool_or("saved_frame").alias("has_frames"), F.max(F.when(F.col("speed") > 0, F.col("speed"))).alias("top_speed"), *lasts,
+    )
+
+
+def merged_videos(states: DataFrame) -> DataFrame:
+    """The rows of ``video_summary`` from any number of ``video_states`` of its lines, each line in one of them."""
+    least = {"first_real", "first_seen"}
+    folds = [(F.min if c in least else F.max)(c).alias(c) for c in states.columns if c not in ("day", "video")]
+    rows = states.groupBy("day", "video").agg(*folds)
+    rows = rows.withColumns({c: F.col(c)["value"] for c in ("real_status", "first_seen", *LASTS)})
+    return rows.select("day", "video", *_video_columns())
+
+
 def _video_columns() -> list[Column]:
     return [
         F.coalesce("real_status", F.when(F.col("last_error").isNotNull(), "error")).alias("status"),

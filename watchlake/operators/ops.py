@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchlake.functions import columns as C
+from watchlake.operators.graph import written
 
 
 # ---- ledger
@@ -32,6 +33,23 @@ def keep_latest(rows: DataFrame, n: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def pruned_messages(rows: DataFrame, most: int = 400, keep: int = 200) -> DataFrame:
+    """All rows while they are ``most`` or fewer; beyond that the ``keep`` of the largest seq."""
+    n = F.broadcast(rows.agg(F.count("*").alias("_n")))  # a single row
+    latest = keep_latest(rows, keep, F.desc("seq"))
+    return rows.join(n).where(F.col("_n") <= most).unionByName(latest.join(n).where(F.col("_n") > most)).drop("_n")
+
+
+def rotated_to_delete(files: DataFrame, base: str, keep: int = 60) -> DataFrame:
+    """Rotated logs (path, mtime) beyond the ``keep`` newest: ``<base>.YYYY-MM-DD`` and ``<base without .log>_YYYY-MM-DD.log``."""
+    name, stem, day = C.basename(F.col("path")), base.removesuffix(".log"), r"^\d{4}-\d{2}-\d{2}(\.\w+)?$"
+    old = F.startswith(name, F.lit(base + ".")) & F.substring(name, len(base) + 2, 1 << 20).rlike(day)
+    new = F.startswith(name, F.lit(stem + "_")) & F.endswith(name, F.lit(".log")) & F.regexp_replace(F.substring(name, len(stem) + 2, 1 << 20), r"\.log$", "").rlike(day)
+    rotated = files.where(old | new)
+    newest = keep_latest(rotated, keep, F.desc("mtime"), F.desc("path")).select("path")
+    return rotated.join(F.broadcast(newest), "path", "left_anti")  # at most ``keep`` rows
+
+
 def pending(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files that the ledger doesn't hold as completed."""
     return files.join(ledger.where("status = 'completed'").select("path"), "path", "left_anti")
@@ -41,16 +59,41 @@ def on_disk(ledger: DataFrame, files: DataFrame) -> DataFrame:
     return ledger.join(files.select("path"), "path", "left_semi")
 
 
-def recovery_candidates(hour_dirs: DataFrame, day_dirs: DataFrame, fallback: DataFrame, unfinished: DataFrame) -> DataFrame:
-    """(path, at): hour folders, day folders, the fallback only if both are empty, and unfinished files; first source wins."""
+def recovery_candidates(hour_dirs: DataFrame, day_dirs: DataFrame, day_folders: DataFrame, fallback: DataFrame, unfinished: DataFrame) -> DataFrame:
+    """(path, at): files of hour folders and day folders in the window, the fallback's, and unfinished ones; first source wins.
+
+    The fallback stands in for a layout without day folders: it counts only if neither kind has a file and
+    ``day_folders``, those that overlap the window, empty ones too, has no row. A quiet window alone doesn't call it.
+    """
     parts = [x.select("path", "at", F.lit(k).alias("source")) for k, x in enumerate((hour_dirs, day_dirs))]
     found = parts[0].unionByName(parts[1])
-    any_ = found.limit(1).agg((F.count("*") > 0).alias("any"))
+    signs = found.select("path").limit(1).unionAll(day_folders.select("path").limit(1))
+    any_ = signs.agg((F.count("*") > 0).alias("any"))
     spare = fallback.select("path", "at", F.lit(2).alias("source")).join(F.broadcast(any_)).where("NOT any").drop("any")
     every = found.unionByName(spare).unionByName(unfinished.select("path", "at", F.lit(3).alias("source")))
     return every.groupBy("path").agg(F.min_by("at", "source").alias("at"))
 
 
+def recovery_sources(tree: DataFrame, root: str, ledger: DataFrame, since: Column, now: Column, slack_s: int = 180, deep: int = 3) -> tuple[DataFrame, ...]:
+    """The five inputs of ``recovery_candidates`` from a directory tree and a ledger (path, status, at).
+
+    ``tree`` has path, is_dir and mtime of everything below ``root``, empty folders too. Hour folders are named YYYYMMDDHH,
+    day folders lie at YYYY/MM/DD; both must overlap the window from ``slack_s`` before ``since`` to ``now``. The
+    fallback is every file down to ``deep`` folders. Only .mp4 files of the window that aren't completed count.
+    """
+    start = since - F.make_interval(secs=F.lit(slack_s))
+    rest = F.substring("path", len(root.rstrip("/")) + 2, 1 << 20)
+    rows = tree.select("path", "is_dir", F.col("mtime").alias("at"), rest.alias("rest"))
+    rows = rows.withColumn("folder", F.when(F.col("is_dir"), F.col("rest")).otherwise(F.regexp_extract("rest", r"^(.*)/[^/]*$", 1)))
+    hour = F.try_to_timestamp(F.regexp_extract("folder", r"^(\d{10})$", 1), F.lit("yyyyMMddHH"))
+    day = F.try_to_date(F.regexp_extract("folder", r"^(\d{4}/\d{2}/\d{2})$", 1), "yyyy/MM/dd")
+    files = pending(rows.where(~F.col("is_dir") & F.endswith("rest", F.lit(".mp4")) & F.col("at").between(start, now)), ledger)
+    in_hour, in_day = hour.between(F.date_trunc("hour", start), now), day.between(F.to_date(start), F.to_date(now))
+    depth = F.when(F.col("folder") == "", 0).otherwise(F.size(F.split("folder", "/")))
+    unfinished = ledger.where("status <> 'completed'").select("path", "at")
+    return files.where(in_hour), files.where(in_day), rows.where(F.col("is_dir") & in_day), files.where(depth <= deep), unfinished
+
+
 def recovery_list(candidates: DataFrame, ledger: DataFrame, since: Column, now: Column, slack_s: int = 180) -> DataFrame:
     """Candidates from ``slack_s`` before ``since`` to ``now`` that aren't completed, by time."""
     lo = since - F.make_interval(secs=F.lit(slack_s))
@@ -68,7 +111,21 @@ def expired_days(folders: DataFrame, today: Column, days: int) -> DataFrame:
 
 
 def empty_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
-    return folders.join(files.select("folder").distinct(), "folder", "left_anti")
+    """Folders (path) that one cleaning removes: those with neither a file (path) nor a folder in them."""
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    holds = files.select(parent.alias("path")).unionAll(folders.select(parent.alias("path"))).distinct()
+    return folders.join(holds, "path", "left_anti")
+
+
+def fileless_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """Folders (path) without a file at any depth: what cleanings remove in the end, bottom-up.
+
+    Each folder that holds files names all folders above it, so a tree of any depth is rolled up in one pass.
+    """
+    own = files.select(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path")).distinct()
+    steps = F.split("path", "/")
+    above = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).alias("path"))
+    return folders.join(above.distinct(), "path", "left_anti")
 
 
 # ---- windows over state rows
@@ -116,22 +173,53 @@ def message_groups(clips: DataFrame, size: int = 4) -> DataFrame:
 def throttled(rows: DataFrame, cooldown: int, *by: str) -> DataFrame:
     """(by, at, n, suppressed): rows that pass, with how many were held back since the one before.
 
-    A row passes if it comes ``cooldown`` or more after the last that passed: an ordered fold per key.
+    A row passes if it comes ``cooldown`` or more after the last that passed. After a row that passes, the next is the first
+    row at its time plus ``cooldown`` or later, whatever came before; so each row points at the one that would
+    follow it. The rows that the first one reaches are marked by doubling these jumps. Rows are cut into pieces of
+    ``cooldown``, and a next row is in the piece after its own or is the first of a later one; so a key of any number of
+    rows is spread over its pieces, and only pieces are numbered by key. Times and ``cooldown`` are whole numbers; null
+    keys are a key. Without a cooldown every row passes.
     """
-    seq = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("rows"))
-    kind = "array<struct<at:bigint,n:bigint,suppressed:bigint>>"
-    zero = F.struct(F.lit(None).cast("bigint").alias("last"), F.lit(0).cast("bigint").alias("held"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        ok = acc["last"].isNull() | (r["at"] - acc["last"] >= cooldown)
-        passed = F.array(F.struct(r["at"].cast("bigint").alias("at"), r["n"].cast("bigint").alias("n"), acc["held"].alias("suppressed")))
-        return F.struct(
-            F.when(ok, r["at"].cast("bigint")).otherwise(acc["last"]).alias("last"),
-            F.when(ok, F.lit(0).cast("bigint")).otherwise(acc["held"] + 1).alias("held"),
-            F.when(ok, F.concat(acc["out"], passed)).otherwise(acc["out"]).alias("out"),
-        )
-
-    return seq.select(*by, F.inline(F.aggregate("rows", zero, step)["out"]))
+    if cooldown < 1:
+        return rows.select(*by, "at", "n", F.lit(0).cast("long").alias("suppressed"))
+    span, names, by = cooldown, by, ("k",)
+    piece = Window.partitionBy(*by, "piece")
+    cut = rows.select(F.struct(*names).alias("k"), "at", "n").withColumn("piece", F.floor(F.col("at") / span))
+    cut = written(cut.withColumn("nth", F.row_number().over(piece.orderBy("at", "n"))), "pieces")
+    heads = cut.where("nth = 1").select(*by, "piece", F.col("at").alias("head_at"))
+    sizes = cut.groupBy(*by, "piece").agg(F.count("*").alias("size"))
+    order = Window.partitionBy(*by).orderBy("piece")
+    ahead = F.lead(F.struct("piece", F.lit(1).alias("nth"))).over(order)
+    pieces = heads.join(sizes, [*by, "piece"]).withColumns({
+        "before": F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "later": ahead, "first": F.row_number().over(order) == 1,
+    })
+    pieces = written(pieces.drop("head_at", "size"), "piece")
+    # a question of each row to the piece after its own: its first row at ``at`` + cooldown or later, else the first of the next
+    ask = cut.select(*by, (F.col("piece") + 1).alias("piece"), (F.col("at") + span).alias("t"), F.lit(1).alias("side"), F.struct("piece", "nth").alias("me"))
+    tell = cut.select(*by, "piece", F.col("at").alias("t"), F.lit(0).alias("side"), F.struct("piece", "nth").alias("me"))
+    back = piece.orderBy(F.desc("t"), F.asc("side"), F.desc("me"))
+    answers = ask.unionByName(tell).withColumn("next", F.last(F.when(F.col("side") == 0, F.col("me")), ignorenulls=True).over(back)).where("side = 1")
+    # no answer there: the first row of the next piece that has rows, after the row's own
+    own = pieces.select(*by, F.col("piece").alias("p"), "later")
+    jumps = answers.select(*by, "me", "next").withColumn("p", F.col("me.piece")).join(own, [*by, "p"])
+    after = F.when(F.col("later.piece") > F.col("p") + 1, F.col("later"))
+    jumps = jumps.select(*by, "me", F.coalesce("next", after).alias("next"), F.when(F.col("next").isNull() & after.isNull() & F.col("later").isNotNull(), F.col("p") + 1).alias("skip"))
+    then = pieces.select(*by, F.col("piece").alias("skip"), F.col("later").alias("then"))
+    jumps = jumps.join(then, [*by, "skip"], "left").select(*by, "me", F.coalesce("next", "then").alias("next")).where("next IS NOT NULL")
+    reached = written(pieces.where("first").select(*by, F.struct("piece", F.lit(1).alias("nth")).alias("me")), "reached")
+    jumps = written(jumps, "jumps")
+    while True:
+        more = reached.join(jumps, [*by, "me"]).select(*by, F.col("next").alias("me"))
+        grown = written(reached.unionByName(more).distinct(), "reached")
+        if grown.count() == reached.count():
+            break
+        far = jumps.select(*by, F.col("me").alias("next"), F.col("next").alias("far"))
+        reached, jumps = grown, written(jumps.join(far, [*by, "next"]).select(*by, "me", F.col("far").alias("next")), "jumps")
+    passed = reached.select(*by, "me.piece", "me.nth").join(cut, [*by, "piece", "nth"]).join(pieces.select(*by, "piece", "before"), [*by, "piece"])
+    place = F.col("before") + F.col("nth")
+    last = F.lag(place).over(Window.partitionBy(*by).orderBy("piece"))  # at most one row passes in a piece
+    return passed.withColumn("suppressed", F.coalesce(place - last - 1, F.lit(0))).select("k.*", "at", "n", F.col("suppressed").cast("long").alias("suppressed"))
 
 
 def stage_profile(times: DataFrame, top: int = 5) -> DataFrame:
@@ -196,8 +284,9 @@ def route(status: Column, hour: Column) -> Column:
 
 
 def summary_text(persons: Column, cars: Column, direction: Column, up: Column, down: Column, score: Column, matched: Column, description: Column) -> Column:
-    """Counts, direction, percent if matched or not 0, and the description cut to 512 characters if over 1023."""
-    percent = F.when(matched | (score != 0), F.concat(F.round(score * 100).cast("int").cast("string"), F.lit("%")))
+    """Counts, direction, the rounded percent if matched, or if not matched and not 0, and the description cut to 512 characters if over 1023."""
+    rounded = F.rint(F.coalesce(score, F.lit(0.0)) * 100).cast("int")
+    percent = F.when(matched | (~matched & (rounded != 0)), F.concat(rounded.cast("string"), F.lit("%")))
     cut = F.when(F.length(description) > 1023, F.concat(F.substring(description, 1, 512), F.lit("..."))).otherwise(description)
     way = F.when(direction.isNotNull(), F.concat(direction, F.lit(" "), up.cast("string"), F.lit("/"), down.cast("string")))
     return F.concat_ws(" ", F.concat(F.lit("P"), persons.cast("string")), F.concat(F.lit("C"), cars.cast("string")), way, percent, cut)
@@ -210,29 +299,58 @@ def auto_event(matched: Column, direction: Column, matched_direction: Column) ->
 
 
 # Reactions and their meaning.
-REACTIONS = {"away": "away", "back": "back", "thumbs_down": "negative", "eyes": "further", "thumbs_up": "positive"}
+UP, DOWN, THINKING, SHRUG = "\U0001f44d", "\U0001f44e", "\U0001f914", "\U0001f937"
 
 
 def reaction_events(rows: DataFrame) -> DataFrame:
-    """(message_id, kind): what was added, or remove for what was taken away; thumbs count on the message's day only."""
-    added = F.array_except("new", "old")
-    gone = F.array_except("old", "new")
-    known = F.create_map(*(F.lit(x) for kv in REACTIONS.items() for x in kv))
-    kinds = F.concat(F.transform(added, lambda x: known[x]), F.transform(F.filter(gone, lambda x: x.isin("away", "back")), lambda x: F.lit("remove")))
-    out = rows.select("message_id", "same_day", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
-    return out.where(F.col("same_day") | ~F.col("kind").isin("negative", "positive")).select("message_id", "kind")
+    """(message_id, kind): away for a thumb up, back for one down, further for thinking, negative for a shrug of any kind.
+
+    ``rows`` has the reactions of a message after (new) and before (old) a change, and same_day. A thumb or shrug before
+    the change is one remove, however many there were. Thumbs, added or removed, count on the message's own day only.
+    """
+    thumb = F.coalesce("same_day", F.lit(False))
+    has = lambda c, e: F.coalesce(F.array_contains(c, e), F.lit(False))
+    shrug = lambda c: F.coalesce(F.exists(c, lambda x: F.startswith(x, F.lit(SHRUG))), F.lit(False))
+    kinds = (
+        F.when(thumb & has("new", UP), "away"), F.when(thumb & has("new", DOWN), "back"), F.when(has("new", THINKING), "further"),
+        F.when(shrug("new"), "negative"), F.when(thumb & (has("old", UP) | has("old", DOWN)) | shrug("old"), "remove"),
+    )
+    return rows.select("message_id", F.explode(F.array_compact(F.array(*kinds))).alias("kind"))
 
 
 def message_day(explicit: Column, sent: Column, video: Column) -> Column:
     return F.coalesce(explicit, F.date_format(sent, "yyyyMMdd"), F.date_format(C.time_from_path(video), "yyyyMMdd"))
 
 
-def translate_path(path: Column, source: str, target: str, windows: bool = False) -> Column:
-    """A path under ``source`` (any case) moved below ``target``, with its separators; others stay."""
-    hit = F.startswith(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), F.lit(source.lower().replace("\\", "/")))
-    rest = F.substring(F.replace(path, F.lit("\\"), F.lit("/")), len(source) + 1, 1 << 20)
-    moved = F.concat(F.lit(target), F.replace(rest, F.lit("/"), F.lit("\\")) if windows else rest)
-    return F.when(hit, moved).otherwise(path)
+def to_worker_path(path: Column, master: str, worker: str) -> Column:
+    """A master's path as a worker sees it: slashes always turn, and what lies below ``master``, in any case, moves below ``worker``."""
+    turned = F.replace(path, F.lit("\\"), F.lit("/"))
+    prefix = master.replace("\\", "/").rstrip("/") + "/"
+    moved = F.concat(F.lit(worker.rstrip("/") + "/"), F.substring(turned, len(prefix) + 1, 1 << 20))
+    return F.when(F.startswith(F.upper(turned), F.lit(prefix.upper())), moved).otherwise(turned)
+
+
+def to_master_path(path: Column, master: str, worker: str) -> Column:
+    """A worker's path as the master sees it: below ``worker``, in just that case, it moves and its slashes turn; others stay."""
+    prefix = worker.rstrip("/") + "/"
+    rest = F.replace(F.substring(path, len(prefix) + 1, 1 << 20), F.lit("/"), F.lit("\\"))
+    return F.when(F.startswith(path, F.lit(prefix)), F.concat(F.lit(master.rstrip("\\") + "\\"), rest)).otherwise(path)
+
+
+def translate_result(result: Column, local: str, share: str, master: str, worker: str) -> Column:
+    """A worker's result struct with its paths as the master sees them: clip_path, insignificant_frames and reid.best_path.
+
+    Files below ``local`` were copied below ``share``, so they are looked up there first; null and empty paths stay.
+    """
+
+    def moved(path: Column) -> Column:
+        rest = F.substring(path, len(local.rstrip("/")) + 2, 1 << 20)
+        shared = F.when(F.startswith(path, F.lit(local.rstrip("/") + "/")), F.concat(F.lit(share.rstrip("/") + "/"), rest)).otherwise(path)
+        return F.when(path != "", to_master_path(shared, master, worker)).otherwise(path)
+
+    out = result.withField("clip_path", moved(result["clip_path"])).withField("insignificant_frames", F.transform(result["insignificant_frames"], moved))
+    reid = result["reid"].withField("best_path", moved(result["reid"]["best_path"]))
+    return F.when(result["reid"].isNull(), out).otherwise(out.withField("reid", reid))
 
 
 def tag_worker(line: Column) -> Column:

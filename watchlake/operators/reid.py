@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from watchlake.functions import columns as C
-from watchlake.operators.graph import connected
+from watchlake.operators.graph import connected, written
 from watchlake.params import ReidParams
 
 BLOCK = 4096  # vectors of a side in one task
@@ -70,28 +73,130 @@ def clip_decision(scored: DataFrame, p: ReidParams = ReidParams()) -> DataFrame:
     return rows.select("video", F.round("best_pos", 4).alias("best_pos"), "best_id", F.round("max_neg", 4).alias("max_neg"), "samples", matched.alias("matched"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+class Space:
+    """Leading axes of a sample of unit vectors, and boxes of a kd-tree over their coordinates there.
+
+    Any orthogonal axes bound distances from below, and boxes cover all of space, so the sample decides how much work is
+    saved and nothing else.
+    """
+
+    def __init__(self, sample: np.ndarray, axes: int, cells: int, split: int = 3):
+        self.split = split  # cells that are cut on few axes are narrow there, and so lie apart
+        self.axes = np.linalg.eigh(np.cov(sample.T).reshape(sample.shape[1], -1))[1][:, ::-1][:, :axes] if len(sample) > 1 else np.eye(sample.shape[1])[:, :axes]
+        x = sample @ self.axes
+        lo, hi = np.full(x.shape[1], -np.inf), np.full(x.shape[1], np.inf)
+        self.cuts: list[tuple[int, float, int, int]] = []  # axis, place, node below, node above; a leaf's axis is -1 and its place the cell
+        self.boxes: list[tuple[np.ndarray, np.ndarray]] = []
+        self._grow(x, lo, hi, cells)
+
+    def _grow(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, cells: int) -> int:
+        me = len(self.cuts)
+        self.cuts.append((-1, len(self.boxes), 0, 0))
+        axis = int(np.ptp(x[:, : self.split], axis=0).argmax()) if len(x) > 1 else 0
+        at = float(np.median(x[:, axis])) if len(x) > 1 else 0.0
+        below = x[:, axis] < at if len(x) > 1 else np.zeros(0, bool)
+        if cells < 2 or not below.any():
+            self.boxes.append((lo, hi))
+            return me
+        edge = hi.copy()
+        edge[axis] = at
+        left = self._grow(x[below], lo, edge, cells // 2)
+        edge = lo.copy()
+        edge[axis] = at
+        right = self._grow(x[~below], edge, hi, cells - cells // 2)
+        self.cuts[me] = (axis, at, left, right)
+        return me
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each row of coordinates."""
+        node = np.zeros(len(x), np.int64)
+        axis, at, left, right = (np.array(c) for c in zip(*self.cuts))
+        while (axis[node] >= 0).any():
+            inner = axis[node] >= 0
+            below = x[np.arange(len(x)), np.maximum(axis[node], 0)] < at[node]
+            node = np.where(inner, np.where(below, left[node], right[node]), node)
+        return at[node].astype(np.int64)
+
+    def near(self, radius: float) -> list[tuple[int, int]]:
+        """Cells a <= b whose boxes are ``radius`` apart or less."""
+        lo, hi = (np.array(c) for c in zip(*self.boxes))
+        out = []
+        for a in range(len(lo)):
+            gap = np.maximum(0, np.maximum(lo[a:] - hi[a], lo[a] - hi[a:]))
+            out += [(a, a + int(k)) for k in np.flatnonzero((gap * gap).sum(axis=1) <= radius * radius)]
+        return out
+
+
+def close_pairs(x: np.ndarray, px: np.ndarray, y: np.ndarray, py: np.ndarray, threshold: float, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Rows of x and y with a cosine of ``threshold`` or more, their cosines, and how many pairs were compared in full.
+
+    px and py are the coordinates on the leading axes; pairs further apart there than ``radius`` are left out. Where these
+    are few, the rest are compared all at once.
+    """
+    found, compared = [], 0
+    sq = (py * py).sum(axis=1)
+    for at in range(0, len(x), 512):
+        p = px[at : at + 512]
+        near = (p * p).sum(axis=1)[:, None] + sq - 2 * (p @ py.T) <= radius * radius
+        if near.mean() > 0.2:
+            s = x[at : at + 512] @ y.T
+            a, b = np.nonzero(s >= threshold)
+            compared += s.size
+            found.append((a + at, b, s[a, b]))
+            continue
+        a, b = np.nonzero(near)
+        compared += len(a)
+        s = np.einsum("ij,ij->i", x[at + a], y[b])
+        found.append((a[s >= threshold] + at, b[s >= threshold], s[s >= threshold]))
+    a, b, s = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    return a, b, s, compared
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, axes: int = 16, block: int = BLOCK, cells: int = 256, sample: int = 4096) -> DataFrame:
     """(i, j, similarity) of vectors (id, v) with i < j and a cosine of ``threshold`` or more.
 
-    Exact: tasks get pairs of blocks and multiply matrices. The work is that of all pairs, spread evenly; the rows
-    moved grow with the number of blocks.
+    Exact. Unit vectors of that cosine are sqrt(2 - 2 * threshold) apart at most, on any axes. The ``axes`` leading ones
+    of a bounded sample and a kd-tree over it cut space into cells; only cells whose boxes are that near meet, and cells of
+    more than ``block`` rows meet in blocks of that size, so no task gets more. In a task, pairs that are too far apart on
+    the leading axes aren't compared in full. Vectors of zeros are similar to nothing, but to all at a threshold of 0 or less.
     """
-    block, n = _blocks(vectors, vectors.count())
-    rows = vectors.select("id", "v", block.alias("k"))
-    left = rows.withColumn("o", F.explode(F.sequence("k", F.lit(n - 1)))).select("id", "v", F.col("k").alias("a"), F.col("o").alias("b"))
-    right = rows.withColumn("o", F.explode(F.sequence(F.lit(0), "k"))).select(F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("o").alias("a"), F.col("k").alias("b"))
+    rows = written(vectors.select("id", "v"), "vectors")
+    total = rows.count()
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(min(1.0, sample / max(1, total)) * (1 << 20))).orderBy(F.xxhash64("id")).limit(sample).toPandas()
+    if not len(some):
+        return vectors.sparkSession.createDataFrame([], "i long, j long, similarity double")
+    space = Space(_unit(some["v"]), axes, min(cells, -(-total // block)))
+    radius = float(np.sqrt(2 - 2 * threshold)) + 1e-9 if threshold > 0 else float("inf")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(cell=space.cell(_unit(pdf["v"]) @ space.axes))
+
+    rows = written(rows.mapInPandas(place, StructType([*rows.schema.fields, StructField("cell", LongType())])), "cells")
+    sizes = {r["cell"]: -(-r["count"] // block) for r in rows.groupBy("cell").count().collect()}  # a row a cell
+    meet = [(a, b, sizes[a], sizes[b]) for a, b in space.near(radius) if a in sizes and b in sizes]
+    meet = vectors.sparkSession.createDataFrame(meet, "a long, b long, na long, nb long")
+    one, two = rows.join(F.broadcast(meet), rows["cell"] == meet["a"]), rows.join(F.broadcast(meet), rows["cell"] == meet["b"])
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    others = lambda lo, hi: F.explode(F.when(lo <= hi, F.sequence(lo, hi)))
+    one = one.withColumn("x", part("na")).withColumn("y", others(F.when(F.col("a") == F.col("b"), F.col("x")).otherwise(0), F.col("nb") - 1))
+    two = two.withColumn("y", part("nb")).withColumn("x", others(F.lit(0).cast("long"), F.when(F.col("a") == F.col("b"), F.col("y")).otherwise(F.col("na") - 1)))
+    key = ["a", "b", "x", "y"]
 
     def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({"i": [], "j": [], "similarity": []})
-        s = _unit(x["v"]) @ _unit(y["v2"]).T
-        a, b = np.nonzero(s >= threshold)
+        u, w = _unit(x["v"]), _unit(y["v2"])
+        a, b, s, _ = close_pairs(u, u @ space.axes, w, w @ space.axes, threshold, radius)
         i, j = x["id"].to_numpy()[a], y["id2"].to_numpy()[b]
-        same = x["a"].iloc[0] == x["b"].iloc[0]
-        keep = i < j if same else i != j
-        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "similarity": s[a, b][keep]})
+        one_block = x["a"].iloc[0] == x["b"].iloc[0] and x["x"].iloc[0] == x["y"].iloc[0]
+        keep = i < j if one_block else i != j
+        return pd.DataFrame({"i": np.minimum(i, j)[keep], "j": np.maximum(i, j)[keep], "similarity": s[keep]})
 
-    return left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(near, "i long, j long, similarity double")
+    named = {c: c + "2" for c in ["id", "v", *key]}  # other names than on the left side
+    right = two.select(*(F.col(c).alias(k) for c, k in named.items())).groupBy(*(named[c] for c in key))
+    return one.select("id", "v", *key).groupBy(*key).cogroup(right).applyInPandas(near, "i long, j long, similarity double")
 
 
 def duplicate_groups(pairs: DataFrame, vectors: DataFrame, least: int = 2) -> DataFrame:

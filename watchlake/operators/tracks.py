@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +56,16 @@ def event_windows(events: DataFrame, fps: float, total_frames: int, full_s: floa
     })
 
 
-def in_windows(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows whose frame lies in an event's padded window, end excluded: an equi join on the video, then the range."""
-    w = windows.select("video", "clip_index", "padded_start", "padded_end", "tracker_stride", "output_stride")
-    return rows.join(w, "video").where("frame >= padded_start AND frame < padded_end")
+def in_windows(rows: DataFrame, windows: DataFrame, bucket: int = 1024) -> DataFrame:
+    """Rows whose frame lies in an event's padded window, end excluded.
+
+    Windows are cut at multiples of ``bucket`` frames and meet rows by (video, bucket), so a video's frames spread over its
+    buckets, and each meets the windows of its own one only, however many the video has.
+    """
+    w = windows.select("video", "clip_index", "padded_start", "padded_end", "tracker_stride", "output_stride").where("padded_end > padded_start")
+    w = w.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("padded_start") / bucket), F.floor((F.col("padded_end") - 1) / bucket))))
+    rows = rows.withColumn("_bucket", F.floor(F.col("frame") / bucket))
+    return rows.join(w, ["video", "_bucket"]).where("frame >= padded_start AND frame < padded_end").drop("_bucket")
 
 
 def record_with_tail(motion: DataFrame, rows: DataFrame, fps: float, tail_s: float = 2.0) -> DataFrame:
@@ -177,20 +185,38 @@ def tracking_table(det: DataFrame, timings: DataFrame, line_y: float) -> DataFra
 
 
 def local_ids(det: DataFrame) -> DataFrame:
-    """(video, cls, track_id, local_id): tracks numbered per class by first appearance, then confidence."""
-    first = det.groupBy("video", "cls", "track_id").agg(F.min(F.struct("frame", -F.col("conf"))).alias("at"))
+    """(video, track_id, cls, local_id): one number a track, counted among the tracks that were first seen in its first class.
+
+    Tracks are counted by first appearance: frame, then confidence, falling. A track that changes its class keeps its
+    number and takes none in the other.
+    """
+    at = F.struct("frame", -F.col("conf"), "cls")
+    first = det.groupBy("video", "track_id").agg(F.min(at).alias("at")).withColumn("cls", F.col("at.cls"))
     w = Window.partitionBy("video", "cls").orderBy("at", "track_id")
-    return first.select("video", "cls", "track_id", F.row_number().over(w).alias("local_id"))
+    return first.select("video", "track_id", "cls", F.row_number().over(w).alias("local_id"))
 
 
-def display_ids(entities: DataFrame, kept: DataFrame) -> DataFrame:
-    """(video, entity_id, display_id): entities of kept events go first, the others continue after the largest number.
+def display_ids(people: DataFrame, kept: DataFrame) -> DataFrame:
+    """``people`` (video, clip_index, frame, conf, entity_id, local_id) with display_id.
 
-    Both by first frame; ``entities`` has (video, entity_id, first_frame), ``kept`` (video, entity_id).
+    Up to the first event of ``kept`` (video, clip_index), entities are numbered from 1 in each event, by first appearance.
+    That event's map from local ids to numbers (the number of the entity that a local id first stood for) then goes on
+    through the rest of the video, where local ids that it doesn't have take the numbers after its largest one, by first
+    appearance, in kept events or not.
     """
-    marked = entities.join(kept.select("video", "entity_id").distinct().withColumn("seed", F.lit(0)), ["video", "entity_id"], "left")
-    w = Window.partitionBy("video").orderBy(F.coalesce("seed", F.lit(1)), "first_frame", "entity_id")
-    return marked.select("video", "entity_id", F.row_number().over(w).alias("display_id"))
+    at = F.struct("clip_index", "frame", -F.col("conf"), "local_id", "entity_id")
+    rows = people.join(kept.groupBy("video").agg(F.min("clip_index").alias("_first")), "video", "left")
+    early = rows.where("_first IS NULL OR clip_index <= _first")
+    numbers = early.groupBy("video", "clip_index", "entity_id").agg(F.min(at).alias("at"))
+    numbers = numbers.withColumn("display_id", F.row_number().over(Window.partitionBy("video", "clip_index").orderBy("at"))).drop("at")
+    first = early.where("clip_index = _first").groupBy("video", "clip_index", "local_id").agg(F.min_by("entity_id", at).alias("entity_id"))
+    seed = first.join(numbers, ["video", "clip_index", "entity_id"]).select("video", "local_id", "display_id")
+    most = seed.groupBy("video").agg(F.max("display_id").alias("_most"))
+    new = rows.where("clip_index > _first").groupBy("video", "local_id").agg(F.min(at).alias("at")).join(seed, ["video", "local_id"], "left_anti").join(most, "video", "left")
+    place = F.row_number().over(Window.partitionBy("video").orderBy("at"))
+    later = seed.unionByName(new.select("video", "local_id", (F.coalesce("_most", F.lit(0)) + place).alias("display_id")))
+    before = early.join(numbers, ["video", "clip_index", "entity_id"])
+    return before.unionByName(rows.where("clip_index > _first").join(later, ["video", "local_id"])).drop("_first")
 
 
 # ---- crossings
@@ -351,62 +377,82 @@ def metres_per_pixel(x: Column, y: Column, width: int, height: int, p: SpeedPara
     return p.metres_per_pixel * row * (1.0 + p.edge_gain * edge * edge)
 
 
+EVENT_TRACK = ["video", "clip_index", "track_id"]
+
+
+def _event_track() -> Window:
+    """Speed and trap know a track within one event only."""
+    return Window.partitionBy(*EVENT_TRACK).orderBy("frame")
+
+
 def raw_speeds(det: DataFrame, fps: float, width: int, height: int, p: SpeedParams = SpeedParams()) -> DataFrame:
-    """Speed samples of consecutive centres of a track; gaps over ``gap_s`` give none."""
-    w = _track()
+    """Speed samples of consecutive centres of a track in an event; gaps over ``gap_s`` give none."""
+    w = _event_track()
     d = lambda c: F.col(c) - F.lag(c).over(w)
     rows = det.withColumns({"dx": d("cx"), "dy": d("cy"), "df": d("frame")})
     rows = rows.where((F.col("df") > 0) & (F.col("df") / fps <= p.gap_s))
     px = F.sqrt(F.col("dx") * F.col("dx") + F.pow(p.dy_weight * F.col("dy"), 2))
     kmh = px / F.nullif(F.col("df") / fps, F.lit(0.0)) * metres_per_pixel(F.col("cx"), F.col("cy"), width, height, p) * 3.6
-    return rows.withColumn("raw", F.when(px < p.least_px, 0.0).otherwise(F.least(kmh, F.lit(p.cap)))).select("video", "track_id", "frame", "raw")
+    return rows.withColumn("raw", F.when(px < p.least_px, 0.0).otherwise(F.least(kmh, F.lit(p.cap)))).select(*EVENT_TRACK, "frame", "raw")
 
 
 def rolling_median(samples: DataFrame, p: SpeedParams = SpeedParams()) -> DataFrame:
-    return samples.withColumn("median", F.percentile("raw", 0.5).over(_track().rowsBetween(1 - p.window, 0)))
+    """Medians of the last samples, in single precision."""
+    found = F.percentile(F.col("raw").cast("float"), 0.5).over(_event_track().rowsBetween(1 - p.window, 0))
+    return samples.withColumn("median", found.cast("float").cast("double"))
 
 
 def smoothed(medians: DataFrame, p: SpeedParams = SpeedParams()) -> DataFrame:
-    """(video, track_id, frame, speed): exponential smoothing from the first median on, folded per track."""
-    rows = medians.groupBy("video", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame", "median"))).alias("m"))
-    item = "array<struct<frame:bigint,speed:double>>"
-    one = lambda f, s: F.array(F.struct(f.cast("bigint").alias("frame"), s.cast("double").alias("speed")))
-
-    def step(acc: Column, m: Column) -> Column:
-        before = F.try_element_at(acc, F.lit(-1))["speed"]
-        return F.concat(acc, one(m["frame"], F.when(before.isNull(), m["median"]).otherwise(p.alpha * m["median"] + (1 - p.alpha) * before)))
+    """(video, clip_index, track_id, frame, speed): exponential smoothing from the first median on.
 
-    return rows.select("video", "track_id", F.inline(F.aggregate("m", F.array().cast(item), step)))
+    A step is the map s -> alpha * median + (1 - alpha) * s, and steps are composed in blocks: within a block a row's value is
+    a weighted running sum, and what the blocks before add is their last value times a power of 1 - alpha. Blocks are so
+    long that after three of them a weight is beyond a double's precision, and so short that no weight overflows.
+    """
+    keep = 1 - p.alpha
+    size = max(1, math.ceil(53 * math.log(2) / (-2 * math.log(keep)))) if 0 < keep < 1 else 1
+    rows = medians.withColumn("_i", F.row_number().over(_event_track()) - 1)
+    rows = rows.withColumns({"_block": F.floor(F.col("_i") / size), "_off": F.col("_i") % size})
+    value = F.when(F.col("_i") == 0, F.col("median")).otherwise(p.alpha * F.col("median"))
+    block = Window.partitionBy(*EVENT_TRACK, "_block").orderBy("frame")
+    rows = rows.withColumn("_own", F.pow(F.lit(keep), F.col("_off")) * F.sum(value * F.pow(F.lit(keep), -F.col("_off"))).over(block)) if keep > 0 else rows.withColumn("_own", F.col("median"))
+    ends = Window.partitionBy(*EVENT_TRACK).orderBy("_block")
+    last = rows.where(F.col("_off") == size - 1).select(*EVENT_TRACK, "_block", F.col("_own").alias("_end"))
+    carry = sum((F.pow(F.lit(keep), F.lit(k * size)) * F.coalesce(F.lag("_end", k).over(ends), F.lit(0.0)) for k in (1, 2)), F.col("_end"))
+    carry = last.select(*EVENT_TRACK, (F.col("_block") + 1).alias("_block"), carry.alias("_carry"))
+    both = rows.join(carry, [*EVENT_TRACK, "_block"], "left")
+    speed = F.col("_own") + F.coalesce(F.col("_carry") * F.pow(F.lit(keep), F.col("_off") + 1), F.lit(0.0))
+    return both.select(*EVENT_TRACK, "frame", speed.alias("speed"))
 
 
 def trails(det: DataFrame, p: SpeedParams = SpeedParams()) -> DataFrame:
-    """The last centres of a track at each frame, oldest first."""
+    """The last centres of a track in an event at each frame, oldest first."""
     centre = F.struct(F.col("cx").cast("int").alias("x"), F.col("cy").cast("int").alias("y"))
-    return det.select("video", "track_id", "frame", F.collect_list(centre).over(_track().rowsBetween(1 - p.trail, 0)).alias("trail"))
+    return det.select(*EVENT_TRACK, "frame", F.collect_list(centre).over(_event_track().rowsBetween(1 - p.trail, 0)).alias("trail"))
 
 
 def labelled_trails(trails_: DataFrame, speeds: DataFrame, p: SpeedParams = SpeedParams()) -> DataFrame:
-    """Trails with the track's last known speed and ``shown``: whether it is fast enough for a label and a trail.
+    """Trails with the track's last known speed in the event and ``shown``: whether it is fast enough for a label and a trail.
 
-    ``speeds`` has (video, track_id, frame, speed); frames without a sample keep the speed before them.
+    ``speeds`` has (video, clip_index, track_id, frame, speed); frames without a sample keep the speed before them.
     """
-    rows = trails_.join(speeds, ["video", "track_id", "frame"], "left")
-    rows = rows.withColumn("speed", F.last("speed", ignorenulls=True).over(_track()))
+    rows = trails_.join(speeds, [*EVENT_TRACK, "frame"], "left")
+    rows = rows.withColumn("speed", F.last("speed", ignorenulls=True).over(_event_track()))
     return rows.withColumn("shown", F.coalesce(F.col("speed") >= p.label_from, F.lit(False)))
 
 
 def speed_trap(det: DataFrame, fps: float, p: TrapParams = TrapParams()) -> DataFrame:
-    """(video, track_id, frame, kmh, direction) of passes from one line to the other."""
-    rows = det.withColumn("px", F.lag("cx").over(_track())).where("px IS NOT NULL AND px <> cx")
+    """(video, clip_index, track_id, frame, kmh, direction) of passes from one line to the other within an event."""
+    rows = det.withColumn("px", F.lag("cx").over(_event_track())).where("px IS NOT NULL AND px <> cx")
     line = lambda v, k: F.when((F.col("px") - v) * (F.col("cx") - v) <= 0, F.struct(F.lit(k).alias("line"), F.lit(v).alias("x")))
     hits = rows.withColumn("hit", F.explode(F.array_compact(F.array(line(p.x1, 1), line(p.x2, 2)))))
     order = F.when(F.col("cx") > F.col("px"), F.col("hit.x")).otherwise(-F.col("hit.x"))
-    w = Window.partitionBy("video", "track_id").orderBy("frame", "order")
-    hits = hits.select("video", "track_id", "frame", "hit.line", order.alias("order"))
+    w = Window.partitionBy(*EVENT_TRACK).orderBy("frame", "order")
+    hits = hits.select(*EVENT_TRACK, "frame", "hit.line", order.alias("order"))
     hits = hits.withColumns({"from": F.lag("line").over(w), "df": F.col("frame") - F.lag("frame").over(w)}).where("from <> line AND df > 0")
     kmh = p.metres / F.nullif(F.col("df") / fps, F.lit(0.0)) * 3.6  # conditions may be merged and tried in any order
     way = F.when(F.col("from") == 1, "->").otherwise("<-")
-    return hits.withColumn("kmh", kmh).where((F.col("kmh") > 0) & (F.col("kmh") <= p.cap)).select("video", "track_id", "frame", "kmh", way.alias("direction"))
+    return hits.withColumn("kmh", kmh).where((F.col("kmh") > 0) & (F.col("kmh") <= p.cap)).select(*EVENT_TRACK, "frame", "kmh", way.alias("direction"))
 
 
 # ---- samples and presence

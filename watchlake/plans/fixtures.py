@@ -98,3 +98,20 @@ def cte(*names: str) -> str:
     """The views as a WITH list for DuckDB."""
     plain = {t: t for t in ("events", "embeddings", "orders", "lineitem")}
     return ", ".join(f"{n} AS ({_sql(n, 'duck').format(**plain)})" for n in names)
+
+
+def place_files(spark: SparkSession, staged: str, target: str, name_of) -> None:
+    """Move the one file of each folder ``name=...`` below ``staged`` to ``target``, under the name that ``name_of`` gives.
+
+    Spark names the files that it writes; this gives them the names that a listing is about. Files are moved by the shared
+    file system, which all machines see.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(staged).getFileSystem(conf)
+    fs.mkdirs(path(target))
+    for folder in fs.listStatus(path(staged)):
+        if folder.isDirectory():
+            for f in fs.listStatus(folder.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    fs.rename(f.getPath(), path(f"{target}/{name_of(folder.getPath().getName().partition('=')[2])}"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from watchlake.functions.ranks import numbered
 from watchlake.operators import media as M
 from watchlake.operators import ops as O
+from watchlake.operators.graph import written
 from watchlake.plans import q_logs
 from watchlake.plans.fixtures import cte, view
 from watchlake.plans.registry import query
-from watchlake.sources import configs, listing, store
+from watchlake.sources import configs, listing, store, tree
 
 _VID_DONE = q_logs._MET + ", k AS (SELECT *, contains(content, 'Motion detection complete. Status:') AS done FROM met WHERE video IS NOT NULL)"
 GALLERY_SQL = "SELECT '2024/Cam_' || CAST(o_orderkey AS VARCHAR) || '_reid_best0.jpg' AS path, o_custkey % 3 = 0 AS present FROM orders"
@@ -20,10 +21,13 @@ _STATE = _LED + """, st AS (SELECT path, CASE WHEN bool_or(status = 'completed')
  WHEN arg_max(status, seq) FILTER (WHERE status <> 'queued') = 'started' THEN 'started' ELSE 'queued' END AS status, max(seq) FILTER (WHERE status = 'completed') AS end_ts, max(seq) FILTER (WHERE status = 'started') AS start_ts FROM fx_ledger GROUP BY path)"""
 
 
-def ledger(spark: SparkSession, d: str) -> DataFrame:
+def ledger_rows(spark: SparkSession, d: str) -> DataFrame:
     u = view(spark, d, "fx_ledger")
-    u = u.withColumns({"end_ts": F.when(F.col("status") == "completed", F.col("seq")), "start_ts": F.when(F.col("status") == "started", F.col("seq"))})
-    return O.ledger_state(u, ("end_ts", "start_ts"))
+    return u.withColumns({"end_ts": F.when(F.col("status") == "completed", F.col("seq")), "start_ts": F.when(F.col("status") == "started", F.col("seq"))})
+
+
+def ledger(spark: SparkSession, d: str) -> DataFrame:
+    return O.ledger_state(ledger_rows(spark, d), ("end_ts", "start_ts"))
 
 
 @query("ST02_ledger_state", _STATE + " SELECT path, status, CAST(end_ts AS DOUBLE) AS end_ts, CAST(start_ts AS DOUBLE) AS start_ts FROM st")
@@ -42,6 +46,25 @@ def t03(spark: SparkSession, d: str) -> DataFrame:
     return O.keep_latest(ledger(spark, d), 100, F.desc_nulls_last(F.coalesce("end_ts", "start_ts")), F.col("path")).select("path")
 
 
+@query("T03_message_map", """SELECT 'many' AS kind, path, seq FROM (SELECT o_custkey AS path, o_orderkey AS seq FROM orders ORDER BY seq DESC LIMIT 200)
+UNION ALL SELECT 'few', o_custkey, o_orderkey FROM orders WHERE o_orderkey <= 399""")
+def t03m(spark: SparkSession, d: str) -> DataFrame:
+    """A map that has grown beyond 400 entries, and one that hasn't."""
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("seq"))
+    parts = [O.pruned_messages(x).withColumn("kind", F.lit(k)) for k, x in (("many", rows), ("few", rows.where("seq <= 399")))]
+    return parts[0].unionByName(parts[1])
+
+
+@query("T03_rotated_logs", """WITH f AS (SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN 'logs/video_processor_' || strftime(o_orderdate, '%Y-%m-%d') || '.log' WHEN 1 THEN 'logs/video_processor.log.' || strftime(o_orderdate, '%Y-%m-%d')
+ END AS path, CAST(o_orderdate AS DATE) AS mtime FROM orders WHERE o_orderkey % 4 < 2) SELECT path FROM f ORDER BY mtime DESC, path DESC OFFSET 60""")
+def t03r(spark: SparkSession, d: str) -> DataFrame:
+    """Rotated logs of both names beyond the 60 newest; the running log and other logs are never among them."""
+    day, k = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey") % 4
+    name = F.when(k == 0, F.concat(F.lit("video_processor_"), day, F.lit(".log"))).when(k == 1, F.concat(F.lit("video_processor.log."), day)).when(k == 2, F.concat(F.lit("other_"), day, F.lit(".log"))).otherwise("video_processor.log")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("logs/"), name).alias("path"), F.to_date("o_orderdate").alias("mtime")).distinct()
+    return O.rotated_to_delete(rows, "video_processor.log").select("path")
+
+
 _FILES = _STATE + ", fl AS (SELECT DISTINCT o_custkey AS path, min(CAST(o_orderdate AS DATE)) AS mday FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY o_custkey)"
 
 
@@ -64,12 +87,34 @@ def media(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "fx_listing")
 
 
-@query("X03_recovery_candidates", _LIST + """, c AS (SELECT path, id, mday, 0 AS src FROM fx_listing WHERE id % 5 = 0 UNION ALL SELECT path, id + 1, mday, 1 FROM fx_listing WHERE id % 3 = 0 UNION ALL SELECT path, id + 3, mday, 3 FROM fx_listing WHERE id % 7 = 0)
-SELECT path, arg_min(id, src) AS ts FROM c GROUP BY path""")
+@query("X03_recovery_candidates", _LIST + """, c AS (SELECT path, id, mday, 0 AS src FROM fx_listing WHERE id % 5 = 0 UNION ALL SELECT path, id + 1, mday, 1 FROM fx_listing WHERE id % 3 = 0 UNION ALL SELECT path, id + 3, mday, 3 FROM fx_listing WHERE id % 7 = 0),
+o AS (SELECT path, id + 2 AS id, 2 AS src FROM fx_listing WHERE id % 2 = 0 UNION ALL SELECT path, id + 3, 3 FROM fx_listing WHERE id % 7 = 0)
+SELECT 'files' AS window, path, arg_min(id, src) AS ts FROM c GROUP BY path UNION ALL SELECT 'quiet', path, id + 3 FROM fx_listing WHERE id % 7 = 0 UNION ALL SELECT 'other layout', path, arg_min(id, src) FROM o GROUP BY path""")
 def x03(spark: SparkSession, d: str) -> DataFrame:
+    """A window with files; a quiet one, whose day folder is there; and one without day folders, where the fallback counts."""
     m = media(spark, d)
     part = lambda k, add: m.where(F.col("id") % k == 0).select("path", (F.col("id") + add).alias("at"))
-    return O.recovery_candidates(part(5, 0), part(3, 1), part(2, 2), part(7, 3)).withColumnRenamed("at", "ts")
+    none, day = part(5, 0).where("false"), m.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path"))
+    cases = {"files": (part(5, 0), part(3, 1), day), "quiet": (none, none, day), "other layout": (none, none, day.where("false"))}
+    found = [O.recovery_candidates(*x, part(2, 2), part(7, 3)).select(F.lit(k).alias("window"), "path", F.col("at").alias("ts")) for k, x in cases.items()]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
+@query("ST09_recovery_sources", _LIST + """, f AS (SELECT 'r/' || path AS path, CAST(mday AS TIMESTAMP) AS t, CAST(mday AS TIMESTAMP) AS folder, id % 17 = 0 AS done FROM fx_listing
+UNION ALL SELECT 'r/' || strftime(mday, '%Y%m%d') || '08/x' || CAST(id AS VARCHAR) || '.mp4', CAST(mday AS TIMESTAMP), CAST(mday AS TIMESTAMP) + INTERVAL 8 HOUR, false FROM fx_listing WHERE id % 4 = 0)
+SELECT DISTINCT path FROM f WHERE NOT done AND t >= TIMESTAMP '1997-06-01 00:00:00' - INTERVAL 180 SECOND AND t <= TIMESTAMP '1998-08-02 00:00:00' AND folder <= TIMESTAMP '1998-08-02 00:00:00'""")
+def st09s(spark: SparkSession, d: str) -> DataFrame:
+    """From a directory tree with day and hour folders, files that aren't clips, and a ledger, to the work list."""
+    m, at = media(spark, d), F.col("mday").cast("timestamp")
+    clips = m.select(F.concat(F.lit("r/"), "path").alias("path"), at.alias("mtime"), "id")
+    hours = m.where("id % 4 = 0").select(F.concat(F.lit("r/"), F.date_format("mday", "yyyyMMdd"), F.lit("08/x"), F.col("id").cast("string"), F.lit(".mp4")).alias("path"), at.alias("mtime"))
+    notes = m.where("id % 3 = 0").select(F.concat(F.lit("r/"), "path", F.lit(".txt")).alias("path"), at.alias("mtime"))
+    files_ = clips.select("path", "mtime").unionAll(hours).unionAll(notes).withColumn("is_dir", F.lit(False))
+    dirs = files_.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).distinct().select("path", F.lit(None).cast("timestamp").alias("mtime"), F.lit(True).alias("is_dir"))
+    led = clips.where("id % 17 = 0 OR id % 19 = 0").select("path", F.when(F.col("id") % 17 == 0, "completed").otherwise("started").alias("status"), F.col("mtime").alias("at"))
+    since, now = (F.lit(x).cast("timestamp") for x in ("1997-06-01 00:00:00", "1998-08-02 00:00:00"))
+    found = O.recovery_candidates(*O.recovery_sources(files_.unionByName(dirs), "r", led, since, now))
+    return O.recovery_list(found, led, since, now).select("path")
 
 
 @query("ST09_recovery_list", _LIST + """ SELECT path FROM fx_listing WHERE CAST(mday AS TIMESTAMP) >= TIMESTAMP '1997-06-01 00:00:00' - INTERVAL 180 SECOND AND mday <= DATE '1998-08-02' AND id % 17 <> 0""")
@@ -94,12 +139,36 @@ def x05d(spark: SparkSession, d: str) -> DataFrame:
 @query("X05_retention", _LIST + """, f AS (SELECT DISTINCT path[1:10] AS folder FROM fx_listing) SELECT path AS name, 'video' AS kind FROM fx_listing WHERE mday < DATE '1998-08-02' - 900
 UNION ALL SELECT folder, 'folder' FROM f WHERE folder NOT IN (SELECT path[1:10] FROM fx_listing WHERE mday >= DATE '1998-08-02' - 900)""")
 def x05(spark: SparkSession, d: str) -> DataFrame:
-    m = media(spark, d).withColumn("folder", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-    now = F.lit("1998-08-02").cast("date")
-    old = O.expired(m, now, 900)
+    m = media(spark, d)
+    old = O.expired(m, F.lit("1998-08-02").cast("date"), 900)
     left = m.join(old.select("path"), "path", "left_anti")
-    empty = O.empty_folders(m.select("folder").distinct(), left)
-    return old.select(F.col("path").alias("name"), F.lit("video").alias("kind")).unionAll(empty.select("folder", F.lit("folder")))
+    empty = O.empty_folders(_folders(m), left)
+    return old.select(F.col("path").alias("name"), F.lit("video").alias("kind")).unionAll(empty.select("path", F.lit("folder")))
+
+
+def _folders(files_: DataFrame) -> DataFrame:
+    """Day, month and year folders of the listing."""
+    return files_.select(F.explode(F.array(*(F.substring("path", 1, k) for k in (4, 7, 10)))).alias("path")).distinct()
+
+
+@query("X05_fileless_folders", _LIST + """, f AS (SELECT DISTINCT path[1:k] AS path FROM fx_listing, (VALUES (4), (7), (10)) v(k))
+SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM fx_listing l WHERE starts_with(l.path, f.path) AND l.mday >= DATE '1995-07-01')""")
+def x05f(spark: SparkSession, d: str) -> DataFrame:
+    """Years, months and days that hold nothing any more once old files are gone."""
+    m = media(spark, d)
+    return O.fileless_folders(_folders(m), m.where("mday >= DATE '1995-07-01'"))
+
+
+@query("X05_directory_tree", """SELECT 'a=' || CAST(o_custkey % 3 AS VARCHAR) AS path, 'folder' AS kind, 0 AS files FROM orders GROUP BY 1
+UNION ALL SELECT 'a=' || CAST(o_custkey % 3 AS VARCHAR) || '/b=' || CAST(o_orderkey % 5 AS VARCHAR), 'folder', 1 FROM orders GROUP BY 1""")
+def x05t(spark: SparkSession, d: str) -> DataFrame:
+    """Folders that Spark has written, listed from their root down, with the data files that lie in each."""
+    root = store.DayStore.temporary(spark).path
+    o = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 3).alias("a"), (F.col("o_orderkey") % 5).alias("b"), "o_orderkey")
+    o.repartition("a", "b").write.partitionBy("a", "b").parquet(root)
+    found = tree.list_tree(spark, root).withColumn("path", F.substring("path", len(root) + 2, 1 << 20))
+    held = tree.files(found).where("path LIKE '%/part-%'").groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("path")).agg(F.count("*").cast("int").alias("files"))
+    return tree.folders(found).join(held, "path", "left").select("path", F.lit("folder").alias("kind"), F.coalesce("files", F.lit(0)).alias("files"))
 
 
 @query("S07_daily_files", _LIST + ", p AS (SELECT strftime(mday, '%Y%m%d') AS day, id FROM fx_listing WHERE id % 4 < 3) SELECT day || '/clip_' || CAST(id AS VARCHAR) || '.mp4' AS path, day FROM p")
@@ -118,6 +187,14 @@ def s05(spark: SparkSession, d: str) -> DataFrame:
     return store.read_ledger(o.select(broken.alias("value"))).select("path", "status", "end_ts")
 
 
+@query("S05_ledger_sink", _STATE + " SELECT CAST(path AS VARCHAR) AS path, status, CAST(end_ts AS DOUBLE) AS end_ts, CAST(start_ts AS DOUBLE) AS start_ts FROM st")
+def s05s(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger's state, saved and loaded again."""
+    path = store.DayStore.temporary(spark).path
+    store.save_ledger(ledger(spark, d).withColumn("path", F.col("path").cast("string")), path)
+    return store.load_ledger(spark, path).select("path", "status", "end_ts", "start_ts")
+
+
 @query("S06_roi_config", "SELECT o_orderkey AS id, CAST(CASE WHEN o_orderkey % 3 < 2 THEN 1 END AS DOUBLE) AS points, CAST(CASE WHEN o_orderkey % 3 = 0 THEN o_custkey END AS DOUBLE) AS line_y FROM orders")
 def s06(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet").withColumnRenamed("o_orderkey", "id")
@@ -233,11 +310,14 @@ def p27(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("event_id").alias("n"), O.route(status, F.hour("ts")).alias("route"))
 
 
-@query("P28_clip_summary", """SELECT event_id AS n, concat_ws(' ', 'P' || CAST(event_id % 3 AS VARCHAR), 'C' || CAST(event_id % 2 AS VARCHAR), CASE WHEN event_id % 4 > 0 THEN 'up ' || CAST(event_id % 4 AS VARCHAR) || '/0' END,
- CASE WHEN event_id % 5 = 0 OR event_id % 100 <> 0 THEN CAST(event_id % 100 AS VARCHAR) || '%' END, CASE WHEN event_id % 7 = 0 THEN repeat('d', 512) || '...' ELSE 'short' END) AS text FROM events""")
+@query("P28_clip_summary", """WITH e AS (SELECT event_id AS n, CASE WHEN event_id % 13 > 0 THEN (event_id % 250) / 1000.0::DOUBLE END AS score, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS matched FROM events),
+p AS (SELECT *, CAST(round_even(coalesce(score, 0) * 100, 0) AS INTEGER) AS percent FROM e)
+SELECT n, concat_ws(' ', 'P' || CAST(n % 3 AS VARCHAR), 'C' || CAST(n % 2 AS VARCHAR), CASE WHEN n % 4 > 0 THEN 'up ' || CAST(n % 4 AS VARCHAR) || '/0' END,
+ CASE WHEN matched OR (NOT matched AND percent <> 0) THEN CAST(percent AS VARCHAR) || '%' END, CASE WHEN n % 7 = 0 THEN repeat('d', 512) || '...' ELSE 'short' END) AS text FROM p""")
 def p28(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("event_id")
-    text = O.summary_text(n % 3, n % 2, F.when(n % 4 > 0, "up"), n % 4, F.lit(0), (n % 100) / 100, n % 5 == 0, F.when(n % 7 == 0, F.repeat(F.lit("d"), 1024)).otherwise("short"))
+    score, matched = F.when(n % 13 > 0, (n % 250) / 1000.0), F.when(n % 3 == 0, True).when(n % 3 == 1, False)
+    text = O.summary_text(n % 3, n % 2, F.when(n % 4 > 0, "up"), n % 4, F.lit(0), score, matched, F.when(n % 7 == 0, F.repeat(F.lit("d"), 1024)).otherwise("short"))
     return spark.read.parquet(f"{d}/events.parquet").select(n.alias("n"), text.alias("text"))
 
 
@@ -248,13 +328,20 @@ def p29(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select(n.alias("n"), O.auto_event(n % 2 == 0, way, F.when(F.col("user_id") % 2 == 0, "up").otherwise("down")).alias("event"))
 
 
-@query("P30_reactions", """WITH r AS (SELECT event_id AS message_id, event_id % 3 = 0 AS same_day, event_id % 4 AS k FROM events)
-SELECT message_id, 'away' AS kind FROM r WHERE k = 0 UNION ALL SELECT message_id, 'back' FROM r WHERE k = 1 UNION ALL SELECT message_id, 'remove' FROM r WHERE k = 1 UNION ALL SELECT message_id, 'negative' FROM r WHERE k = 2 AND same_day UNION ALL SELECT message_id, 'remove' FROM r WHERE k = 3""")
+# Reactions before and after, by a message's number: each has one of these sets.
+_SETS = [[O.UP], [O.DOWN, O.THINKING], [O.SHRUG + "\u200d\u2642\ufe0f"], [], [O.UP, O.DOWN], [O.THINKING], [O.SHRUG], ["\u2764"]]
+_LISTS = "[" + ", ".join("[" + ", ".join(f"'{e}'" for e in x) + "]::VARCHAR[]" for x in _SETS) + "]"
+
+
+@query("P30_reactions", f"""WITH r AS (SELECT event_id AS message_id, event_id % 3 = 0 AS same_day, {_LISTS}[CAST(event_id % 8 + 1 AS INTEGER)] AS new, {_LISTS}[CAST((event_id // 8) % 8 + 1 AS INTEGER)] AS old FROM events)
+SELECT message_id, 'away' AS kind FROM r WHERE same_day AND list_contains(new, '{O.UP}') UNION ALL SELECT message_id, 'back' FROM r WHERE same_day AND list_contains(new, '{O.DOWN}')
+UNION ALL SELECT message_id, 'further' FROM r WHERE list_contains(new, '{O.THINKING}') UNION ALL SELECT message_id, 'negative' FROM r WHERE len(list_filter(new, lambda x: starts_with(x, '{O.SHRUG}'))) > 0
+UNION ALL SELECT message_id, 'remove' FROM r WHERE same_day AND list_has_any(old, ['{O.UP}', '{O.DOWN}']) OR len(list_filter(old, lambda x: starts_with(x, '{O.SHRUG}'))) > 0""")
 def p30(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("event_id")
-    sets = F.when(n % 4 == 0, F.array(F.lit("away"), F.lit("wave"))).when(n % 4 == 1, F.array(F.lit("back"))).when(n % 4 == 2, F.array(F.lit("thumbs_down"))).otherwise(F.array().cast("array<string>"))
-    old = F.when(n % 4 == 1, F.array(F.lit("away"))).when(n % 4 == 3, F.array(F.lit("back"), F.lit("eyes"))).otherwise(F.array().cast("array<string>"))
-    rows = spark.read.parquet(f"{d}/events.parquet").select(n.alias("message_id"), (n % 3 == 0).alias("same_day"), sets.alias("new"), old.alias("old"))
+    sets = F.array(*(F.array(*map(F.lit, x)).cast("array<string>") for x in _SETS))
+    pick = lambda k: F.element_at(sets, (k + 1).cast("int"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select(n.alias("message_id"), (n % 3 == 0).alias("same_day"), pick(n % 8).alias("new"), pick(F.floor(n / 8) % 8).alias("old"))
     return O.reaction_events(rows)
 
 
@@ -265,13 +352,20 @@ def p31(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/events.parquet").select(n.alias("n"), day.alias("day"))
 
 
-@query("P25_path_translation", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN '/mnt/share/d' || CAST(o_custkey AS VARCHAR) || '/a.mp4' ELSE 'E:' || chr(92) || 'other.mp4' END AS path FROM orders")
+@query("P25_path_translation", """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN '/mnt/nas/d' || CAST(o_custkey AS VARCHAR) || '/a.mp4' WHEN 1 THEN 'E:/other/' || CAST(o_custkey AS VARCHAR) ELSE 'C:/NASTY/x.mp4' END AS worker,
+ CASE o_orderkey % 3 WHEN 0 THEN 'C:' || chr(92) || 'NAS' || chr(92) || 'out' || chr(92) || CAST(o_custkey AS VARCHAR) || '.mp4' WHEN 1 THEN '/MNT/nas/b.mp4' ELSE 'C:' || chr(92) || 'NAS' || chr(92) || 'k' || chr(92) || 'c.mp4' END AS clip,
+ CASE WHEN o_orderkey % 2 = 0 THEN 'C:' || chr(92) || 'NAS' || chr(92) || 'out' || chr(92) || 'best.jpg' ELSE '' END AS best, 'C:' || chr(92) || 'NAS' || chr(92) || 'out' || chr(92) || 'f.jpg,/tmp/elsewhere.jpg' AS frames FROM orders""")
 def p25(spark: SparkSession, d: str) -> DataFrame:
-    o = spark.read.parquet(f"{d}/orders.parquet")
-    path = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("d:\\Share\\d"), F.col("o_custkey").cast("string"), F.lit("\\a.mp4"))).otherwise("E:\\other.mp4")
-    result = o.select(F.col("o_orderkey").alias("id"), F.struct(F.array(path).alias("paths"), F.lit(1).alias("k")).alias("result"))
-    moved = result.withColumn("result", F.col("result").withField("paths", F.transform("result.paths", lambda p: O.translate_path(p, "D:\\share", "/mnt/share"))))
-    return moved.select("id", F.col("result.paths")[0].alias("path"))
+    """Paths on the way to a worker, and a worker's result on the way back: copied files, paths of the share, and others."""
+    o, k, c = spark.read.parquet(f"{d}/orders.parquet"), F.col("o_orderkey") % 3, F.col("o_custkey").cast("string")
+    there = F.when(k == 0, F.concat(F.lit("c:\\nas\\d"), c, F.lit("\\a.mp4"))).when(k == 1, F.concat(F.lit("E:\\other\\"), c)).otherwise("C:\\NASTY\\x.mp4")
+    clip = F.when(k == 0, F.concat(F.lit("/tmp/run/"), c, F.lit(".mp4"))).when(k == 1, "/MNT/nas/b.mp4").otherwise("/mnt/nas/k/c.mp4")
+    best = F.when(F.col("o_orderkey") % 2 == 0, "/tmp/run/best.jpg").otherwise("")
+    frames = F.array(F.lit("/tmp/run/f.jpg"), F.lit("/tmp/elsewhere.jpg"))
+    result = F.struct(clip.alias("clip_path"), frames.alias("insignificant_frames"), F.struct(best.alias("best_path"), F.lit(0.5).alias("score")).alias("reid"))
+    rows = o.select(F.col("o_orderkey").alias("id"), O.to_worker_path(there, "C:\\NAS\\", "/mnt/nas/").alias("worker"), result.alias("result"))
+    rows = rows.withColumn("result", O.translate_result(F.col("result"), "/tmp/run", "/mnt/nas/out", "C:\\NAS\\", "/mnt/nas/"))
+    return rows.select("id", "worker", F.col("result.clip_path").alias("clip"), F.col("result.reid.best_path").alias("best"), F.array_join("result.insignificant_frames", ",").alias("frames"))
 
 
 @query("P26_worker_tag", "WITH " + cte("fx_log") + r""" SELECT n, CASE WHEN regexp_matches(line, ' - [A-Z]+ - \[[^\]]+\]') THEN regexp_replace(line, '^(.*? - [A-Z]+ - \[[^\]]+\])\s*', '\1 [W] ') WHEN regexp_matches(line, ' - [A-Z]+ - ') THEN regexp_replace(line, '^(.*? - [A-Z]+ - )', '\1[W] ') ELSE '[W] ' || line END AS line FROM fx_log""")
@@ -297,34 +391,71 @@ def s08(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- media
+_ENDS = ["_reid_best0_m.jpg", "_reid_best1.jpg", "_reid_best2.JPG", "_reid_best3.jpg", "_pose_1.mp4", "_insignificant_0.jpg", "_no_person_1.PNG", ".jpg", ".mp4", "_reid_1.jpg", ".txt"]
+
+
 def _media_files(spark: SparkSession, d: str) -> DataFrame:
-    m = media(spark, d)
-    end = F.element_at(F.array(*map(F.lit, ("_reid_1_m.jpg", "_reid_2.jpg", "_pose1.mp4", ".jpg", ".mp4"))), (F.col("id") % 5 + 1).cast("int"))
-    return m.select(F.concat(F.lit("t/"), F.date_format("mday", "yyyyMMdd"), F.lit("/c"), (F.col("id") % 400).cast("string"), end).alias("path"))
+    """Crops, frames, poses, highlights and others of three clips a month, some in two days' folders, some too deep."""
+    month, k = F.trunc("mday", "month"), F.floor(F.col("id") / 3) % len(_ENDS)
+    stem = F.concat(F.lit("Cam_00_"), F.date_format(month, "yyyyMMdd"), F.lit("101010_"), (F.col("id") % 3).cast("string"))
+    end = F.element_at(F.array(*map(F.lit, _ENDS)), (k + 1).cast("int"))
+    name = F.concat(F.when(k.isin(5, 6), "08H").otherwise(""), stem, end)
+    day = F.date_format(F.date_add(month, (F.col("id") % 2).cast("int")), "yyyyMMdd")
+    deep = F.when(F.col("id") % 13 == 0, "sub/").otherwise("")
+    rows = media(spark, d).select(F.concat(F.lit("t/"), day, F.lit("/"), deep, name).alias("path")).distinct()
+    return written(rows, "listing")  # a listing is a table; as an expression it would be repeated in all that is told from a path
 
 
-_MEDIA = _LIST + """, mf AS (SELECT strftime(mday, '%Y%m%d') AS day, 'c' || CAST(id % 400 AS VARCHAR) AS stem, ['_reid_1_m.jpg','_reid_2.jpg','_pose1.mp4','.jpg','.mp4'][CAST(id % 5 + 1 AS INTEGER)] AS fin FROM fx_listing),
-mi AS (SELECT stem, CASE fin WHEN '_pose1.mp4' THEN 'pose' WHEN '.jpg' THEN 'frame' WHEN '.mp4' THEN 'highlight' ELSE 'crop' END AS kind, 't/' || max(day) || '/' || stem || fin AS path FROM mf GROUP BY stem, fin)"""
+_MEDIA = _LIST + f""", m0 AS (SELECT date_trunc('month', mday) AS mo, id, CAST((id // 3) % {len(_ENDS)} AS INTEGER) AS k FROM fx_listing),
+m1 AS (SELECT DISTINCT 'Cam_00_' || strftime(mo, '%Y%m%d') || '101010_' || CAST(id % 3 AS VARCHAR) AS stem, strftime(mo + INTERVAL 1 DAY * CAST(id % 2 AS INTEGER), '%Y%m%d') AS day, k, {_ENDS}[k + 1] AS fin, strftime(mo, '%Y%m%d') AS own FROM m0 WHERE id % 13 <> 0),
+mf AS (SELECT *, CASE WHEN k IN (5, 6) THEN '08H' ELSE '' END || stem || fin AS name FROM m1 WHERE k < 10),
+mi AS (SELECT CASE WHEN k < 4 THEN 'crop' WHEN k = 4 THEN 'pose' WHEN k IN (5, 6) THEN 'frame' WHEN k = 8 THEN 'highlight' ELSE 'image' END AS kind, CASE WHEN k NOT IN (7, 9) THEN stem END AS stem, name, 't/' || max(day) || '/' || name AS path, count(*) AS files FROM mf GROUP BY k, stem, name)"""
 
 
-@query("J05_media_index", _MEDIA + " SELECT stem, kind, path FROM mi")
+@query("J05_media_index", _MEDIA + " SELECT kind, stem, name, path, files FROM mi")
 def j05(spark: SparkSession, d: str) -> DataFrame:
     return M.media_index(_media_files(spark, d))
 
 
-def _stems(spark: SparkSession, d: str) -> DataFrame:
-    ids = media(spark, d).select((F.col("id") % 400).alias("k")).distinct().where("k % 3 = 0")
-    return ids.select(F.concat(F.lit("c"), F.col("k").cast("string"), F.lit(".mp4")).alias("video"), F.when(F.col("k") % 2 == 0, "up").alias("gate_dir"))
+_CROPS = q_logs._VID + r""", cv AS (SELECT DISTINCT regexp_replace(video, '\.[^.]*$', '') AS stem, TRY_CAST(regexp_extract(video, '(\d)(0000)?\.mp4$', 1) AS INTEGER) % 3 AS k FROM ent WHERE video IS NOT NULL),
+cr AS (SELECT stem, CASE k WHEN 1 THEN stem || '_reid_best0.jpg' ELSE stem || '_reid_best0.jpg,' || stem || '_reid_best1_m.jpg,' || stem || '_reid_best1_m.jpg' END AS crops FROM cv WHERE k > 0)
+SELECT row_number() OVER (ORDER BY first_seen DESC NULLS LAST, video DESC) AS place, video, strftime(coalesce(try_strptime(nullif(regexp_extract(video, '(\d{14})', 1), ''), '%Y%m%d%H%M%S'), first_seen), '%H:%M:%S') AS time,
+ gate_dir AS direction, CAST(gate_up AS DOUBLE) AS persons_up, CAST(gate_down AS DOUBLE) AS persons_down, status, CAST(reid_matched AS VARCHAR) AS reid_matched, round(reid_best, 3) AS reid_score, round(reid_neg, 3) AS reid_neg, reaction AS away_back, crops
+FROM vid JOIN cr ON regexp_replace(video, '\.[^.]*$', '') = cr.stem WHERE day = (SELECT max(day) FROM vid) AND (status IS NOT NULL OR first_seen IS NOT NULL)"""
 
 
-@query("J04_crossings_with_crops", _MEDIA + " SELECT stem || '.mp4' AS video, 'up' AS gate_dir, string_agg(path, ',' ORDER BY path) AS crops FROM mi WHERE kind = 'crop' AND CAST(stem[2:] AS INTEGER) % 6 = 0 GROUP BY stem")
+@query("J04_crossings_with_crops", _CROPS)
 def j04(spark: SparkSession, d: str) -> DataFrame:
-    return M.crossings_with_crops(_stems(spark, d), M.media_index(_media_files(spark, d))).withColumn("crops", F.array_join("crops", ","))
+    """The newest day's videos with crops: those of every third clip have none, of another third a crop in two days' folders."""
+    v = q_logs.videos(spark, d)
+    k = F.regexp_extract("video", r"(\d)(0000)?\.mp4$", 1).try_cast("int") % 3
+    stem = F.regexp_replace("video", r"\.[^.]*$", "")
+    file = lambda day, end: F.concat(F.lit(f"t/{day}/"), stem, F.lit(end))
+    crops = F.when(k == 1, F.array(file(20240101, "_reid_best0.jpg"))).when(k == 2, F.array(file(20240101, "_reid_best0.jpg"), file(20240101, "_reid_best1_m.jpg"), file(20240102, "_reid_best1_m.jpg")))
+    names = q_logs.entries(spark, d).where("video IS NOT NULL").select("video").distinct()
+    newest = v.join(F.broadcast(v.agg(F.max("day").alias("newest")))).where("day = newest")
+    found = M.crossings_with_crops(newest, M.media_index(names.select(F.explode(crops).alias("path"))))
+    up, down = (F.col(c).cast("double").alias(c) for c in ("persons_up", "persons_down"))
+    return found.select("place", "video", "time", "direction", up, down, "status", F.col("reid_matched").cast("string").alias("reid_matched"), "reid_score", "reid_neg", "away_back", F.array_join("crops", ",").alias("crops"))
+
+
+def _clips(spark: SparkSession, d: str) -> DataFrame:
+    """Clips of two in three of the listing's stems."""
+    stem = F.concat(F.lit("v/Cam_00_"), F.date_format(F.trunc("mday", "month"), "yyyyMMdd"), F.lit("101010_"), (F.col("id") % 3).cast("string"), F.lit(".mp4"))
+    return media(spark, d).where("id % 3 < 2").select(stem.alias("video")).distinct()
+
+
+_PICK = _MEDIA + """, c AS (SELECT stem, 't/' || day || '/' || name AS path, name, k, row_number() OVER (PARTITION BY stem ORDER BY name) AS place FROM mf WHERE k IN (0, 1, 3) AND day = own AND stem[-1] <> '2'),
+cm AS (SELECT stem, path FROM c WHERE k = 0)"""
 
 
-@query("J13_gallery_copies", _MEDIA + ", k AS (SELECT stem, path, row_number() OVER (PARTITION BY stem ORDER BY path) AS k FROM mi WHERE kind = 'crop' AND CAST(stem[2:] AS INTEGER) % 3 = 0) SELECT stem, path FROM k WHERE k <= 1")
+@query("J13_gallery_copies", _PICK + " SELECT stem, path, 2 AS most FROM c WHERE place <= 2 UNION ALL SELECT stem, path, 3 FROM c UNION ALL SELECT stem, path, 0 FROM c WHERE place <= 1 UNION ALL SELECT stem, path, -1 FROM cm")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    return M.gallery_copies(_stems(spark, d), M.media_index(_media_files(spark, d)), 1)
+    """The first two crops, three (all there are), one where none is asked for, and matched ones only."""
+    clips, files_ = _clips(spark, d), _media_files(spark, d)
+    parts = [M.gallery_copies(clips, files_, k).withColumn("most", F.lit(k)) for k in (2, 3, 0)]
+    parts.append(M.gallery_copies(clips, files_, only_matched=True).withColumn("most", F.lit(-1)))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
 
 
 @query("J13_gallery_split", GALLERY_SQL)
@@ -337,13 +468,20 @@ def j13g(spark: SparkSession, d: str) -> DataFrame:
     return there.unionByName(new)
 
 
-@query("J14_source_video", _MEDIA + " SELECT stem || '.mp4' AS video, min('t/' || day || '/' || stem || fin) AS path FROM mf WHERE fin = '.mp4' AND CAST(stem[2:] AS INTEGER) % 3 = 0 GROUP BY stem")
+@query("J14_source_video", _MEDIA + " SELECT stem || '.mp4' AS video, min('t/' || day || '/' || name) AS path FROM mf WHERE k = 8 AND stem[-1] <> '2' GROUP BY stem")
 def j14(spark: SparkSession, d: str) -> DataFrame:
-    return M.first_source(_stems(spark, d), _media_files(spark, d))
+    names = _clips(spark, d).select(F.substring("video", 3, 100).alias("video"))
+    return M.first_source(names, _media_files(spark, d).where("path NOT LIKE '%/sub/%'"))
 
 
-@query("W21_nth_frame", "WITH " + cte("fx_presence") + " SELECT 'd' || CAST(video % 5 AS VARCHAR) || '/' || CAST(video AS VARCHAR) || '.mp4' AS path FROM fx_presence WHERE frame = 30")
+@query("W21_nth_frame", "WITH " + cte("fx_presence") + """, f AS (SELECT CASE WHEN video % 7 = 0 THEN 'x' || CAST(video % 5 AS VARCHAR) ELSE 'a/b' || CAST(video % 3 AS VARCHAR) || '/' || CAST(video % 5 AS VARCHAR) END AS parent,
+ CASE WHEN video % 4 = 0 THEN CAST(video AS VARCHAR) || '.mp4' ELSE 'cam_' || CAST(video * 37 % 1009 AS VARCHAR) || '.mp4' END AS name, CASE WHEN video % 4 > 0 THEN video * 37 % 1009 END AS stamp FROM fx_presence WHERE frame = 30),
+d AS (SELECT DISTINCT parent || '/' || name AS path, regexp_extract(parent, '([^/]*)$', 1) AS folder, stamp FROM f) SELECT row_number() OVER (ORDER BY folder, stamp NULLS LAST, path) AS place, path FROM d""")
 def w21(spark: SparkSession, d: str) -> DataFrame:
+    """Clips whose name ends in a number after _, and others, which go last in their folder."""
+    v = F.col("video")
+    text = lambda c: c.cast("string")
+    parent = F.when(v % 7 == 0, F.concat(F.lit("x"), text(v % 5))).otherwise(F.concat(F.lit("a/b"), text(v % 3), F.lit("/"), text(v % 5)))
+    name = F.when(v % 4 == 0, F.concat(text(v), F.lit(".mp4"))).otherwise(F.concat(F.lit("cam_"), text(v * 37 % 1009), F.lit(".mp4")))
     p = view(spark, d, "fx_presence")
-    path = F.concat(F.lit("d"), (F.col("video") % 5).cast("string"), F.lit("/"), F.col("video").cast("string"), F.lit(".mp4"))
-    return M.nth_frames(p.select(path.alias("path"), "frame")).select("path")
+    return M.nth_frames(p.select(F.concat(parent, F.lit("/"), name).alias("path"), "frame"))

@@ -30,17 +30,17 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 _E = "WITH " + cte("fx_emb") + """, u AS (SELECT vec_id AS id, role, video, label, sharpness, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM fx_emb),
 best AS (SELECT p.id, p.video, p.label, greatest(0, max(round(list_dot_product(p.v, g.v), 12)) FILTER (WHERE g.role = 'pos')) AS pos, greatest(0, max(round(list_dot_product(p.v, g.v), 12)) FILTER (WHERE g.role = 'neg')) AS neg,
-  arg_max(g.id, (round(list_dot_product(p.v, g.v), 9), -g.id)) FILTER (WHERE g.role = 'pos') AS pos_id FROM u p, u g WHERE p.role = 'probe' AND g.role IN ('pos', 'neg') GROUP BY p.id, p.video, p.label)"""
+  arg_max(g.id, (round(list_dot_product(p.v, g.v), 12), -g.id)) FILTER (WHERE g.role = 'pos') AS pos_id FROM u p, u g WHERE p.role = 'probe' AND g.role IN ('pos', 'neg') GROUP BY p.id, p.video, p.label)"""
 
 
-@query("J07_probe_gallery_match", f"{_E} SELECT id, round(pos, 6) AS pos, round(neg, 6) AS neg, (pos >= 0.3 AND pos - neg >= 0.02) AS matched FROM best")
+@query("J07_probe_gallery_match", f"{_E} SELECT id, round(pos, 6) AS pos, CASE WHEN pos > 0 THEN pos_id END AS pos_id, round(neg, 6) AS neg, (pos >= 0.3 AND pos - neg >= 0.02) AS matched FROM best")
 def j07(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).select("id", F.round("pos", 6).alias("pos"), F.round("neg", 6).alias("neg"), "matched")
+    return scored(spark, d).select("id", F.round("pos", 6).alias("pos"), "pos_id", F.round("neg", 6).alias("neg"), "matched")
 
 
-@query("A29_clip_decision", f"{_E} SELECT video, round(max(pos), 4) AS best_pos, round(max(neg), 4) AS max_neg, count(*) AS samples, (max(pos) >= 0.3 AND max(pos) - max(neg) >= 0.02) AS matched FROM best GROUP BY video")
+@query("A29_clip_decision", f"{_E} SELECT video, round(max(pos), 4) AS best_pos, arg_max(id, (pos, -id)) AS best_id, round(max(neg), 4) AS max_neg, count(*) AS samples, (max(pos) >= 0.3 AND max(pos) - max(neg) >= 0.02) AS matched FROM best GROUP BY video")
 def a29(spark: SparkSession, d: str) -> DataFrame:
-    return R.clip_decision(scored(spark, d), P).drop("best_id")
+    return R.clip_decision(scored(spark, d), P)
 
 
 @query("J09_matched_direction", f"{_E} SELECT id, CASE WHEN (video + label) % 3 = 0 THEN CASE WHEN label % 2 = 0 THEN 'up' ELSE 'down' END END AS direction FROM best WHERE pos >= 0.3 AND pos - neg >= 0.02")

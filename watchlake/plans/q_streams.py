@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchlake.operators import entities
 from watchlake.operators import logs as L
 from watchlake.operators import tracks as K
+from watchlake.operators.graph import written
 from watchlake.params import CrossingParams, TrustParams
 from watchlake.plans import q_logs, q_ops
-from watchlake.plans.fixtures import cte, view
+from watchlake.plans.fixtures import cte, place_files, view
 from watchlake.plans.registry import query
-from watchlake.sources.store import DayStore
+from watchlake.sources.store import DayStore, LiveDayStore
 from watchlake.streaming import streams as S
 
 CHUNKS = 4
 
 
-def write_in_order(rows: DataFrame, path: str, order: str, by: str, how=lambda w, p: w.parquet(p)) -> None:
-    """``rows`` as files that appear in their order: a range of ``order`` after the other, a key's rows of a range in one file."""
-    cuts = sorted(set(rows.select(F.col(order).cast("double").alias("x")).approxQuantile("x", [k / CHUNKS for k in range(1, CHUNKS)], 0.02)))
+def write_chunks(rows: DataFrame, path: str, order: str, by: str, turns: tuple[int, ...] = (0, 1, 2, 3), closing: DataFrame | None = None) -> None:
+    """``rows`` as files that appear one after the other: ranges of ``order``, in the given turns, a key's rows of a range in one file.
+
+    ``closing`` rows come last, twice: the first move the watermark, and the batch of the second sees that.
+    """
     x = F.col(order).cast("double")
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
+    rows = written(rows, "stream-rows")
+    cuts = sorted(set(rows.select(x.alias("x")).approxQuantile("x", [k / CHUNKS for k in range(1, CHUNKS)], 0.02)))
+    ends = list(zip([None, *cuts], [*cuts, None]))
+    for k in [*(t for t in turns if t < len(ends)), *(k for k in range(len(ends)) if k not in turns)]:
+        lo, hi = ends[k]
         part = rows if lo is None else rows.where(x > lo)
         part = part if hi is None else part.where(x <= hi)
-        how(part.repartition(by).write.mode("append"), path)
+        part.repartition(by).write.mode("append").parquet(path)
+    for _ in range(2 if closing is not None else 0):
+        closing.coalesce(1).write.mode("append").parquet(path)
 
 
 @contextmanager
@@ -45,14 +52,17 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, old) if old else spark.conf.unset(name)
 
 
-def streamed(spark: SparkSession, rows: DataFrame, run, mode: str, order: str, by: str, key: str | None = None) -> DataFrame:
-    """Write ``rows`` as files in the order of ``order``, stream them through ``run``, a file a trigger, and return what the sink holds.
+SHUFFLED = (2, 0, 3, 1)
+
+
+def streamed(spark: SparkSession, rows: DataFrame, run, mode: str, order: str, by: str, key: str | None = None, **files) -> DataFrame:
+    """Write ``rows`` as files, as ``write_chunks`` does, stream them through ``run``, a file a trigger, and return what the sink holds.
 
     In update mode each batch's rows are kept with the batch's number, and the last row of a key counts.
     """
     root = DayStore.temporary(spark).path
     source, out, at = f"{root}/in", f"{root}/out", f"{root}/checkpoint"
-    write_in_order(rows, source, order, by)
+    write_chunks(rows, source, order, by, **files)
     stream = run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
     schema, writer = stream.schema, stream.writeStream.option("checkpointLocation", at).trigger(availableNow=True)
     if mode == "append":
@@ -83,10 +93,12 @@ def st03(spark: SparkSession, d: str) -> DataFrame:
     return found.join(F.broadcast(last)).where(F.col("end_frame") + 75 <= F.col("m") - 250).drop("m")
 
 
-@query("ST02_streaming_ledger", q_ops._STATE + " SELECT path, status FROM st")
+@query("ST02_streaming_ledger", q_ops._STATE + " SELECT path, status, CAST(end_ts AS DOUBLE) AS end_ts, CAST(start_ts AS DOUBLE) AS start_ts FROM st")
 def st02s(spark: SparkSession, d: str) -> DataFrame:
+    """Updates with extras, in files that come out of order."""
+    rows = q_ops.ledger_rows(spark, d)
     with rocks(spark):
-        return streamed(spark, view(spark, d, "fx_ledger"), S.ledger_updates, "update", "seq", "path", "path")
+        return streamed(spark, rows, lambda s: S.ledger_updates(s, ("end_ts", "start_ts")), "update", "seq", "path", "path", turns=SHUFFLED)
 
 
 @query("ST07_streaming_throttle", "WITH RECURSIVE " + cte("fx_burst").replace(" AS at ", " AS tm ") + """, q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tm, n) AS i FROM fx_burst),
@@ -94,9 +106,11 @@ f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS i, CAST(NULL AS B
 UNION ALL SELECT q.key, q.n, q.i, CASE WHEN f.l IS NULL OR q.tm - f.l >= 3600 THEN q.tm ELSE f.l END, CASE WHEN f.l IS NULL OR q.tm - f.l >= 3600 THEN 0 ELSE f.held + 1 END, CASE WHEN f.l IS NULL OR q.tm - f.l >= 3600 THEN f.held END FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1)
 SELECT key, n, o AS suppressed FROM f WHERE o IS NOT NULL""")
 def st07s(spark: SparkSession, d: str) -> DataFrame:
-    rows = view(spark, d, "fx_burst").select("key", "at", "n")
+    """Rows in files that come out of order, late by the whole table; a row from 2100 moves the watermark past all."""
+    rows = view(spark, d, "fx_burst").select("key", F.timestamp_seconds("at").alias("ts"), "at", "n")
+    closing = spark.sql("SELECT 'closing' AS key, TIMESTAMP '2100-01-01 00:00:00' AS ts, 4102444800L AS at, -1L AS n").select(*(F.col(c).cast(t) for c, t in rows.dtypes))
     with rocks(spark):
-        return streamed(spark, rows, lambda s: S.throttled_stream(s, 3600), "append", "at", "key")
+        return streamed(spark, rows, lambda s: S.throttled_stream(s, 3600, "7000 days"), "append", "at", "key", turns=SHUFFLED, closing=closing)
 
 
 @query("ST08_live_summary", q_logs._VID + " SELECT CAST(day AS VARCHAR) AS day, video, status, pipeline_error, full_s, reaction, gate_dir FROM vid")
@@ -125,20 +139,11 @@ def s09m(spark: SparkSession, d: str) -> DataFrame:
 
     e = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"))
     root = DayStore.temporary(spark).path
-    folder = root.removeprefix("file://").removeprefix("file:")
-
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for user, n in zip(pdf["user_id"], pdf["n"]):
-                place = f"{folder}/in/2024/{user % 12:02d}"
-                os.makedirs(place, exist_ok=True)
-                for ending in ("mp4", "tmp"):
-                    with open(f"{place}/cam_{user}.{ending}", "wb") as f:
-                        f.write(b"x" * n)
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    e.mapInPandas(put, "n long").agg(F.sum("n")).collect()
-    stream = new_files(spark, f"file://{folder}/in").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    rows = e.select(F.explode(F.array(F.lit("mp4"), F.lit("tmp"))).alias("ending"), "user_id", F.repeat(F.lit("x"), F.col("n").cast("int") - 1).alias("value"))
+    rows = rows.select(F.concat(F.lit("cam_"), F.col("user_id").cast("string"), F.lit("."), F.col("ending")).alias("name"), "value")
+    rows.repartition("name").write.partitionBy("name").text(f"{root}/staged")
+    place_files(spark, f"{root}/staged", f"{root}/in/2024", lambda name: name)
+    stream = new_files(spark, f"{root}/in").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
     writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
     writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
@@ -146,15 +151,19 @@ def s09m(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ST08_day_store", q_logs._ENTRY)
 def st08d(spark: SparkSession, d: str) -> DataFrame:
-    """Day statistics kept up to date while log lines arrive: each batch's days are computed again and replaced."""
-    root, store, rows = DayStore.temporary(spark).path, DayStore.temporary(spark), view(spark, d, "fx_log")
-    write_in_order(rows, f"{root}/in", "n", "day")
-    read = lambda r: r.schema(rows.schema)
-    of_days = lambda days: L.with_metrics(L.parse_lines(read(spark.read).parquet(f"{root}/in").join(days, "day")))
-    stream = read(spark.readStream).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    writer = stream.writeStream.foreachBatch(S.day_store_sink(of_days, store)).option("checkpointLocation", f"{root}/checkpoint")
+    """Day statistics kept up to date while log lines arrive out of order: each batch adds the states of its own lines.
+
+    Half of the days are closed at the end, so statistics come from the kept ones and from states.
+    """
+    root, store, rows = DayStore.temporary(spark).path, LiveDayStore.temporary(spark), view(spark, d, "fx_log")
+    write_chunks(rows, f"{root}/in", "n", "day", turns=SHUFFLED)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    writer = stream.writeStream.foreachBatch(S.day_store_sink(store)).option("checkpointLocation", f"{root}/checkpoint")
     writer.trigger(availableNow=True).start().awaitTermination()
-    found = store.read().select("day", "videos_total", F.round("md_avg", 6).alias("md_avg"), F.round("full_avg", 6).alias("full_avg"), F.explode_outer("status_counts").alias("status", "videos"))
+    first, last = store.videos().agg(F.min("day"), F.max("day")).first()
+    if first is not None:
+        store.close(F.lit(first + (last - first) / 2))
+    found = store.entries().select("day", "videos_total", F.round("md_avg", 6).alias("md_avg"), F.round("full_avg", 6).alias("full_avg"), F.explode_outer("status_counts").alias("status", "videos"))
     return found.withColumn("day", F.col("day").cast("string")).fillna(0, ["videos"])
 
 
@@ -171,6 +180,15 @@ def st04(spark: SparkSession, d: str) -> DataFrame:
     return entities.resolve(_people(spark, d), 25.0, trust=_TRUST)
 
 
+@query("ST04_streaming_resolver")
+def st04x(spark: SparkSession, d: str) -> DataFrame:
+    """The resolver over a stream of files that come out of order: the tests hold it against the batch resolver."""
+    rows = _people(spark, d).select("video", "clip_index", F.timestamp_millis(F.col("frame") * 40 + 86_400_000).alias("ts"), "frame", "track_id", "conf", "x1", "y1", "x2", "y2")
+    closing = rows.limit(1).withColumns({"video": F.lit(-1).cast(rows.schema["video"].dataType), "ts": F.lit("2100-01-01 00:00:00").cast("timestamp")})
+    with rocks(spark):
+        return streamed(spark, rows, lambda s: S.resolved_stream(s, 25.0, trust=_TRUST, late="7000 days"), "append", "frame", "video", turns=SHUFFLED, closing=closing)
+
+
 @query("ST04_entity_states")
 def st04s(spark: SparkSession, d: str) -> DataFrame:
     """Crossings of trusted entities, on top of the resolver."""

@@ -340,62 +340,82 @@ def a31(spark: SparkSession, d: str) -> DataFrame:
     return K.tracking_table(rows, timings, 810).withColumn("fps", F.round("fps", 6))
 
 
-_SP = _D + """, v1 AS (SELECT *, cx - lag(cx) OVER w AS dx, cy - lag(cy) OVER w AS dy, frame - lag(frame) OVER w AS df FROM fx_det WINDOW w AS (PARTITION BY video, track_id ORDER BY frame)),
-v2 AS (SELECT video, track_id, frame, sqrt(dx * dx + 0.35 * dy * 0.35 * dy) AS px, df, 0.0051 * least(2.2, greatest(0.55, 1 + 1.1 * (0.6 - cy / 1079))) * (1 + 1.1 * pow(abs(cx / 1919 - 0.5) / 0.5, 2)) AS mpp FROM v1 WHERE df > 0 AND df <= 25),
-v3 AS (SELECT video, track_id, frame, CASE WHEN px < 2.5 THEN 0 ELSE least(100, px / (df / 25.0) * mpp * 3.6) END AS raw FROM v2),
-v4 AS (SELECT *, quantile_cont(raw, 0.5) OVER (PARTITION BY video, track_id ORDER BY frame ROWS 5 PRECEDING) AS median FROM v3)"""
-_CAP = SpeedParams()
+def in_events(spark: SparkSession, d: str) -> DataFrame:
+    """Detections in events of twenty frames."""
+    return det(spark, d).withColumn("clip_index", F.floor(F.col("frame") / 20))
 
 
-@query("W08_raw_speed", _SP + " SELECT video, track_id, frame, round(raw, 5) AS raw FROM v3")
+_DE = _D + ", de AS (SELECT *, frame // 20 AS clip_index FROM fx_det)"
+_SP = _DE + """, v1 AS (SELECT *, cx - lag(cx) OVER w AS dx, cy - lag(cy) OVER w AS dy, frame - lag(frame) OVER w AS df FROM de WINDOW w AS (PARTITION BY video, clip_index, track_id ORDER BY frame)),
+v2 AS (SELECT video, clip_index, track_id, frame, sqrt(dx * dx + 0.35 * dy * 0.35 * dy) AS px, df, 0.0051 * least(2.2, greatest(0.55, 1 + 1.1 * (0.6 - cy / 1079))) * (1 + 1.1 * pow(abs(cx / 1919 - 0.5) / 0.5, 2)) AS mpp FROM v1 WHERE df > 0 AND df <= 25),
+v3 AS (SELECT video, clip_index, track_id, frame, CASE WHEN px < 2.5 THEN 0 ELSE least(100, px / (df / 25.0) * mpp * 3.6) END AS raw FROM v2),
+v4 AS (SELECT *, CAST(CAST(quantile_cont(CAST(CAST(raw AS FLOAT) AS DOUBLE), 0.5) OVER (PARTITION BY video, clip_index, track_id ORDER BY frame ROWS 5 PRECEDING) AS FLOAT) AS DOUBLE) AS median FROM v3)"""
+_EMA = """, o AS (SELECT *, row_number() OVER (PARTITION BY video, clip_index, track_id ORDER BY frame) AS i FROM v4),
+e AS (SELECT video, clip_index, track_id, frame, i, median AS speed FROM o WHERE i = 1 UNION ALL SELECT o.video, o.clip_index, o.track_id, o.frame, o.i, 0.25 * o.median + 0.75 * e.speed FROM e JOIN o ON o.video = e.video AND o.clip_index = e.clip_index AND o.track_id = e.track_id AND o.i = e.i + 1)"""
+
+
+@query("W08_raw_speed", _SP + " SELECT video, clip_index, track_id, frame, round(raw, 5) AS raw FROM v3")
 def w08(spark: SparkSession, d: str) -> DataFrame:
-    return K.raw_speeds(det(spark, d), FPS, W, H).withColumn("raw", F.round("raw", 5))
+    return K.raw_speeds(in_events(spark, d), FPS, W, H).withColumn("raw", F.round("raw", 5))
 
 
-@query("W09_rolling_median", _SP + " SELECT video, track_id, frame, round(median, 5) AS median FROM v4")
+@query("W09_rolling_median", _SP + " SELECT video, clip_index, track_id, frame, round(median, 4) AS median FROM v4")
 def w09(spark: SparkSession, d: str) -> DataFrame:
-    return K.rolling_median(K.raw_speeds(det(spark, d), FPS, W, H)).select("video", "track_id", "frame", F.round("median", 5).alias("median"))
+    return K.rolling_median(K.raw_speeds(in_events(spark, d), FPS, W, H)).select("video", "clip_index", "track_id", "frame", F.round("median", 4).alias("median"))
 
 
-@query("W10_smoothed_speed", _SP.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY video, track_id ORDER BY frame) AS i FROM v4),
-e AS (SELECT video, track_id, frame, i, median AS speed FROM o WHERE i = 1 UNION ALL SELECT o.video, o.track_id, o.frame, o.i, 0.25 * o.median + 0.75 * e.speed FROM e JOIN o ON o.video = e.video AND o.track_id = e.track_id AND o.i = e.i + 1)
-SELECT video, track_id, frame, round(speed, 5) AS speed FROM e""")
+@query("W10_smoothed_speed", _SP.replace("WITH ", "WITH RECURSIVE ", 1) + _EMA + " SELECT video, clip_index, track_id, frame, round(speed, 4) AS speed FROM e")
 def w10(spark: SparkSession, d: str) -> DataFrame:
-    return K.smoothed(K.rolling_median(K.raw_speeds(det(spark, d), FPS, W, H))).withColumn("speed", F.round("speed", 5))
+    return K.smoothed(K.rolling_median(K.raw_speeds(in_events(spark, d), FPS, W, H))).withColumn("speed", F.round("speed", 4))
 
 
-@query("W11_trail", _SP.replace("WITH ", "WITH RECURSIVE ", 1) + """, o AS (SELECT *, row_number() OVER (PARTITION BY video, track_id ORDER BY frame) AS i FROM v4),
-e AS (SELECT video, track_id, frame, i, median AS speed FROM o WHERE i = 1 UNION ALL SELECT o.video, o.track_id, o.frame, o.i, 0.25 * o.median + 0.75 * e.speed FROM e JOIN o ON o.video = e.video AND o.track_id = e.track_id AND o.i = e.i + 1),
-t AS (SELECT video, track_id, frame, count(*) OVER w AS points, CAST(first_value(cx) OVER w AS INTEGER) AS from_x, CAST(sum(cy) OVER w AS BIGINT) AS sum_y FROM fx_det WINDOW w AS (PARTITION BY video, track_id ORDER BY frame ROWS 17 PRECEDING)),
-k AS (SELECT t.*, last_value(e.speed IGNORE NULLS) OVER (PARTITION BY t.video, t.track_id ORDER BY t.frame) AS speed FROM t LEFT JOIN e ON t.video = e.video AND t.track_id = e.track_id AND t.frame = e.frame)
-SELECT video, track_id, frame, points, from_x, sum_y, coalesce(speed >= 5, false) AS shown FROM k""")
+@query("W11_trail", _SP.replace("WITH ", "WITH RECURSIVE ", 1) + _EMA + """,
+t AS (SELECT video, clip_index, track_id, frame, count(*) OVER w AS points, CAST(first_value(cx) OVER w AS INTEGER) AS from_x, CAST(sum(cy) OVER w AS BIGINT) AS sum_y FROM de WINDOW w AS (PARTITION BY video, clip_index, track_id ORDER BY frame ROWS 17 PRECEDING)),
+k AS (SELECT t.*, last_value(e.speed IGNORE NULLS) OVER (PARTITION BY t.video, t.clip_index, t.track_id ORDER BY t.frame) AS speed FROM t LEFT JOIN e ON t.video = e.video AND t.clip_index = e.clip_index AND t.track_id = e.track_id AND t.frame = e.frame)
+SELECT video, clip_index, track_id, frame, points, from_x, sum_y, coalesce(speed >= 5, false) AS shown FROM k""")
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    rows = det(spark, d)
+    rows = in_events(spark, d)
     t = K.labelled_trails(K.trails(rows), K.smoothed(K.rolling_median(K.raw_speeds(rows, FPS, W, H))))
     total = F.aggregate("trail", F.lit(0).cast("long"), lambda s, x: s + x["y"])
-    return t.select("video", "track_id", "frame", F.size("trail").cast("long").alias("points"), F.col("trail")[0]["x"].alias("from_x"), total.alias("sum_y"), "shown")
+    return t.select("video", "clip_index", "track_id", "frame", F.size("trail").cast("long").alias("points"), F.col("trail")[0]["x"].alias("from_x"), total.alias("sum_y"), "shown")
 
 
-@query("W12_speed_trap", f"""{_D}, x AS (SELECT *, lag(cx) OVER (PARTITION BY video, track_id ORDER BY frame) AS px FROM fx_det),
-hit AS (SELECT video, track_id, frame, l.line, CASE WHEN cx > px THEN l.v ELSE -l.v END AS o FROM x, (VALUES (1, 600.0), (2, 1300.0)) l(line, v) WHERE px <> cx AND (px - l.v) * (cx - l.v) <= 0),
-s AS (SELECT *, lag(line) OVER w AS f, frame - lag(frame) OVER w AS df FROM hit WINDOW w AS (PARTITION BY video, track_id ORDER BY frame, o))
-SELECT video, track_id, frame, round(5.0 / (df / 25.0) * 3.6, 6) AS kmh, CASE f WHEN 1 THEN '->' ELSE '<-' END AS direction FROM s WHERE f <> line AND df > 0 AND 5.0 / (df / 25.0) * 3.6 <= 100""")
+@query("W12_speed_trap", f"""{_DE}, x AS (SELECT *, lag(cx) OVER (PARTITION BY video, clip_index, track_id ORDER BY frame) AS px FROM de),
+hit AS (SELECT video, clip_index, track_id, frame, l.line, CASE WHEN cx > px THEN l.v ELSE -l.v END AS o FROM x, (VALUES (1, 600.0), (2, 1300.0)) l(line, v) WHERE px <> cx AND (px - l.v) * (cx - l.v) <= 0),
+s AS (SELECT *, lag(line) OVER w AS f, frame - lag(frame) OVER w AS df FROM hit WINDOW w AS (PARTITION BY video, clip_index, track_id ORDER BY frame, o))
+SELECT video, clip_index, track_id, frame, round(5.0 / (df / 25.0) * 3.6, 6) AS kmh, CASE f WHEN 1 THEN '->' ELSE '<-' END AS direction FROM s WHERE f <> line AND df > 0 AND 5.0 / (df / 25.0) * 3.6 <= 100""")
 def w12(spark: SparkSession, d: str) -> DataFrame:
-    return K.speed_trap(det(spark, d), FPS, TrapParams(x1=600.0, x2=1300.0)).withColumn("kmh", F.round("kmh", 6))
+    return K.speed_trap(in_events(spark, d), FPS, TrapParams(x1=600.0, x2=1300.0)).withColumn("kmh", F.round("kmh", 6))
+
 
+_LOCAL = """, lf AS (SELECT DISTINCT ON (video, track_id) video, track_id, cls, frame, conf FROM fx_det ORDER BY video, track_id, frame, conf DESC, cls),
+lo AS (SELECT video, track_id, cls, row_number() OVER (PARTITION BY video, cls ORDER BY frame, conf DESC, track_id) AS local_id FROM lf)"""
 
-@query("W13_local_ids", f"""{_D}, f AS (SELECT DISTINCT ON (video, cls, track_id) video, cls, track_id, frame, conf FROM fx_det ORDER BY video, cls, track_id, frame, conf DESC)
-SELECT video, cls, track_id, row_number() OVER (PARTITION BY video, cls ORDER BY frame, conf DESC, track_id) AS local_id FROM f""")
+
+@query("W13_local_ids", f"{_D}{_LOCAL} SELECT video, track_id, cls, local_id FROM lo")
 def w13(spark: SparkSession, d: str) -> DataFrame:
     return K.local_ids(det(spark, d)).withColumn("local_id", F.col("local_id").cast("long"))
 
 
-@query("W14_display_ids", f"""{_D}, f AS (SELECT video, track_id AS entity_id, min(frame) AS a FROM fx_det GROUP BY ALL), k AS (SELECT DISTINCT video, track_id AS entity_id FROM fx_det WHERE conf > 0.9 AND cls = 'car')
-SELECT video, entity_id, row_number() OVER (PARTITION BY video ORDER BY (video, entity_id) NOT IN (SELECT (video, entity_id) FROM k), a, entity_id) AS display_id FROM f""")
+# tracks stand for another entity every seven frames; of the events of twenty frames every third is kept, but none in some videos
+_SHOWN = _D + _LOCAL + """, p AS (SELECT f.video, f.frame // 20 AS clip_index, f.frame, f.conf, f.track_id, (f.track_id + f.frame // 7) % 3 AS entity_id, lo.local_id FROM fx_det f JOIN lo USING (video, track_id) WHERE f.cls = 'person'),
+e0 AS (SELECT video, min(clip_index) AS e0 FROM p WHERE video % 5 > 0 AND (clip_index + video) % 3 = 0 GROUP BY video),
+q AS (SELECT p.*, e0 FROM p LEFT JOIN e0 USING (video)),
+early AS (SELECT *, min((frame, -conf, local_id, entity_id)) OVER (PARTITION BY video, clip_index, entity_id) AS a FROM q WHERE e0 IS NULL OR clip_index <= e0),
+num AS (SELECT *, dense_rank() OVER (PARTITION BY video, clip_index ORDER BY a) AS display_id FROM early),
+seed AS (SELECT video, local_id, arg_min(display_id, (frame, -conf, local_id, entity_id)) AS display_id FROM num WHERE clip_index = e0 GROUP BY video, local_id),
+mx AS (SELECT video, max(display_id) AS m FROM seed GROUP BY video),
+nw AS (SELECT video, local_id, min((clip_index, frame, -conf, local_id)) AS a FROM q WHERE clip_index > e0 AND (video, local_id) NOT IN (SELECT (video, local_id) FROM seed) GROUP BY video, local_id),
+ids AS (SELECT video, local_id, display_id FROM seed UNION ALL SELECT nw.video, local_id, coalesce(m, 0) + row_number() OVER (PARTITION BY nw.video ORDER BY a) FROM nw LEFT JOIN mx ON mx.video = nw.video)"""
+
+
+@query("W14_display_ids", _SHOWN + " SELECT video, clip_index, frame, track_id, entity_id, display_id FROM num UNION ALL SELECT q.video, clip_index, frame, track_id, entity_id, display_id FROM q JOIN ids USING (video, local_id) WHERE clip_index > e0")
 def w14(spark: SparkSession, d: str) -> DataFrame:
-    rows = det(spark, d).withColumn("entity_id", F.col("track_id"))
-    first = rows.groupBy("video", "entity_id").agg(F.min("frame").alias("first_frame"))
-    return K.display_ids(first, rows.where("conf > 0.9 AND cls = 'car'")).withColumn("display_id", F.col("display_id").cast("long"))
+    rows = in_events(spark, d)
+    people = rows.where("cls = 'person'").join(K.local_ids(rows).select("video", "track_id", "local_id"), ["video", "track_id"])
+    people = people.withColumn("entity_id", (F.col("track_id") + F.floor(F.col("frame") / 7)) % 3)
+    kept = people.where("video % 5 > 0 AND (clip_index + video) % 3 = 0").select("video", "clip_index").distinct()
+    return K.display_ids(people, kept).select("video", "clip_index", "frame", "track_id", "entity_id", F.col("display_id").cast("long").alias("display_id"))
 
 
 @query("W15_flicker_frames", "WITH " + cte("fx_presence") + """, s AS (SELECT *, max_person_conf >= 0.6 AS seen FROM fx_presence),

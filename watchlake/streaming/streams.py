@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from watchlake.operators import entities
 from watchlake.operators import logs as L
-from watchlake.operators.graph import written
+from watchlake.params import MatchParams, TrustParams
+from watchlake.sources.store import LiveDayStore
 
 
 def motion_sessions(frames: DataFrame, gap: str = "3 seconds", late: str = "10 seconds") -> DataFrame:
@@ -40,68 +42,188 @@ def once(rows: DataFrame, *key: str, late: str = "1 hour") -> DataFrame:
 
 
 class _Ledger(StatefulProcessor):
-    """The last effective status of a path."""
+    """What decides a path's status, and its fields' last values, each with its place: so rows may come in any order."""
+
+    def __init__(self, extras: tuple[str, ...]):
+        self.extras = extras
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("status", "status string")
+        self.status = handle.getValueState("status", "completed boolean, last_at bigint, last string, other_at bigint, other string")
+        self.fields = handle.getMapState("fields", "name string", "at bigint, value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = self.state.get()[0] if self.state.exists() else None
-        for status in pd.concat(list(rows)).sort_values("seq")["status"]:
-            if now == "completed" or (now == "started" and status == "queued"):
-                continue
-            now = status
-        self.state.update((now,))
-        yield pd.DataFrame({"path": [key[0]], "status": [now]})
+        done, last_at, last, other_at, other = self.status.get() if self.status.exists() else (False, None, None, None, None)
+        for pdf in rows:  # a chunk at a time
+            at = pdf["seq"].to_numpy()
+            done = bool(done or (pdf["status"] == "completed").any())
+            k = int(at.argmax())
+            if last_at is None or at[k] >= last_at:
+                last_at, last = int(at[k]), pdf["status"].iloc[k]
+            rest = pdf[pdf["status"] != "queued"]
+            if len(rest):
+                k = int(rest["seq"].to_numpy().argmax())
+                if other_at is None or rest["seq"].iloc[k] >= other_at:
+                    other_at, other = int(rest["seq"].iloc[k]), rest["status"].iloc[k]
+            for name in self.extras:
+                some = pdf[pdf[name].notna()]
+                if len(some):
+                    k = int(some["seq"].to_numpy().argmax())
+                    new = (int(some["seq"].iloc[k]), float(some[name].iloc[k]))
+                    if not self.fields.containsKey((name,)) or new[0] >= self.fields.getValue((name,))[0]:
+                        self.fields.updateValue((name,), new)
+        self.status.update((done, last_at, last, other_at, other))
+        now = "completed" if done else last if last != "queued" else "started" if other == "started" else "queued"
+        more = {name: [self.fields.getValue((name,))[1] if self.fields.containsKey((name,)) else None] for name in self.extras}
+        yield pd.DataFrame({"path": [key[0]], "status": [now], **{k: pd.array(v, "Float64") for k, v in more.items()}})
 
     def close(self) -> None:
         pass
 
 
-def ledger_updates(updates: DataFrame) -> DataFrame:
-    """(path, status) after each batch of ledger updates (path, seq, status), update mode."""
-    return updates.groupBy("path").transformWithStateInPandas(_Ledger(), "path long, status string", "Update", "None")
+def ledger_updates(updates: DataFrame, extras: tuple[str, ...] = ()) -> DataFrame:
+    """(path, status, extras) after each batch of ledger updates (path, seq, status, extras), update mode.
+
+    As ``ops.ledger_state``: rows may come in any order, as only their seq counts. Extras are numbers; one keeps its last value
+    that isn't null.
+    """
+    schema = "path long, status string" + "".join(f", {c} double" for c in extras)
+    rows = updates.select("path", "seq", "status", *(F.col(c).cast("double").alias(c) for c in extras))
+    return rows.groupBy("path").transformWithStateInPandas(_Ledger(tuple(extras)), schema, "Update", "None")
+
+
+class _Waiting(StatefulProcessor):
+    """Rows of a key that wait until the watermark has passed them, and then go on in their order.
+
+    A timer at the last row of each batch lets go what the watermark covers by then. ``columns`` are the names and types of
+    what a row keeps, time in milliseconds first.
+    """
+
+    columns = ""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.names = [c.split()[0] for c in self.columns.split(", ")]
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        latest = None
+        for pdf in rows:
+            kept = pdf[self.names]
+            self.waiting.appendList([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in kept.itertuples(index=False)])
+            latest = max(latest or 0, int(kept[self.names[0]].max()))
+        if latest is not None:
+            self.handle.registerTimer(latest)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.waiting.get()), columns=self.names)
+        stay = rows[rows[self.names[0]] > passed]
+        if len(stay):
+            self.waiting.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in stay.itertuples(index=False)])
+        else:
+            self.waiting.clear()
+        ready = rows[rows[self.names[0]] <= passed]
+        if len(ready):
+            yield from self.go_on(key, ready, not len(stay), passed)
+
+    def go_on(self, key, rows: pd.DataFrame, all_: bool, passed: int) -> Iterator[pd.DataFrame]:
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
 
-class _Throttle(StatefulProcessor):
+
+class _Throttle(_Waiting):
     """When a key last passed, and how many rows were held since."""
 
+    columns = "ms bigint, at bigint, n bigint"
+
     def __init__(self, cooldown: int):
         self.cooldown = cooldown
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("passed", "last bigint, held bigint")
+        super().init(handle)
+        self.passed = handle.getValueState("passed", "last bigint, held bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, held = self.state.get() if self.state.exists() else (None, 0)
+    def go_on(self, key, rows: pd.DataFrame, all_: bool, passed: int) -> Iterator[pd.DataFrame]:
+        last, held = self.passed.get() if self.passed.exists() else (None, 0)
         out = []
-        for at, n in pd.concat(list(rows)).sort_values(["at", "n"])[["at", "n"]].itertuples(index=False):
+        for at, n in rows.sort_values(["at", "n"])[["at", "n"]].itertuples(index=False):
             if last is None or at - last >= self.cooldown:
                 out.append((key[0], int(n), held))
                 last, held = int(at), 0
             else:
                 held += 1
-        self.state.update((last, held))
+        self.passed.update((last, held))
         yield pd.DataFrame(out, columns=["key", "n", "suppressed"])
 
-    def close(self) -> None:
-        pass
 
+def throttled_stream(rows: DataFrame, cooldown: int, late: str = "10 minutes") -> DataFrame:
+    """(key, n, suppressed) of rows (key, ts, at, n) that pass, append mode.
+
+    Rows may come in any order within ``late`` of event time; they are decided by (at, n) once the watermark has passed
+    their ts. What comes later than that is dropped.
+    """
+    timed = rows.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    return timed.groupBy("key").transformWithStateInPandas(_Throttle(cooldown), "key string, n long, suppressed long", "Append", "EventTime")
 
-def throttled_stream(rows: DataFrame, cooldown: int) -> DataFrame:
-    """(key, n, suppressed) of rows (key, at, n) that pass, append mode; rows come in order of time."""
-    return rows.groupBy("key").transformWithStateInPandas(_Throttle(cooldown), "key string, n long, suppressed long", "Append", "None")
+
+class _Entities(_Waiting):
+    """The resolver of one event, whose entities and tracks lie in map states between batches."""
+
+    columns = "ms bigint, frame bigint, track_id bigint, conf double, x1 double, y1 double, x2 double, y2 double"
+
+    def __init__(self, *settings, idle_ms: int):
+        self.settings, self.idle_ms = settings, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.entities = handle.getMapState("entities", "id bigint", "x1 double, y1 double, x2 double, y2 double, frame bigint, x double, y double, far double, total double, n bigint, state string")
+        self.tracks = handle.getMapState("tracks", "track bigint", "entity bigint")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+        mine = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.waiting.exists() and not any(t > mine for t in self.handle.listTimers()):  # quiet for as long as an event may pause
+            self.entities.clear()
+            self.tracks.clear()
+
+    def go_on(self, key, rows: pd.DataFrame, all_: bool, passed: int) -> Iterator[pd.DataFrame]:
+        state = entities.Resolver(*self.settings)
+        state.load([(k[0], *v) for k, v in self.entities.iterator()], [(k[0], v[0]) for k, v in self.tracks.iterator()])
+        out = entities.followed(state, rows)
+        found, tracks = state.dump()
+        for e, *rest in found:
+            self.entities.updateValue((e,), tuple(rest))
+        for t, e in tracks:
+            self.tracks.updateValue((t,), (e,))
+        if all_:
+            self.handle.registerTimer(passed + self.idle_ms)
+        yield out.assign(video=key[0], clip_index=key[1])[["video", "clip_index", *out.columns]]
+
+
+def resolved_stream(
+    people: DataFrame, fps: float, stride: int = 1, line_y: float = 810.0, p: MatchParams = MatchParams(), trust: TrustParams = TrustParams(), late: str = "10 seconds", idle: float = 600.0
+) -> DataFrame:
+    """``entities.resolve`` over a stream of people's detections with their time ts, append mode.
+
+    Detections of an event (video, clip_index) may come in any order within ``late``; they go through the resolver by frame
+    once the watermark has passed them. Its entities and tracks are kept as map states until the event has been quiet
+    for ``idle`` seconds of event time. (A watermark starts at 1970; times until then are late.)
+    """
+    timed = people.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
+    state = _Entities(fps, stride, line_y, p, trust, idle_ms=int(idle * 1000))
+    return timed.groupBy("video", "clip_index").transformWithStateInPandas(state, entities.RESOLVED, "Append", "EventTime")
 
 
-def day_store_sink(metrics_of, store):
-    """For ``foreachBatch``: recompute the days that a batch touches from all their lines and replace them in the store."""
+def day_store_sink(store: LiveDayStore):
+    """For ``foreachBatch`` over (n, day, line): add the states of a batch's lines to the store, reading nothing else."""
 
-    def sink(batch: DataFrame, _: int) -> None:
-        days = written(batch.select("day").distinct(), "days")  # few rows; read once, used in a join
-        rows = L.day_entries(L.video_summary(metrics_of(days)))
-        store.write(rows)
+    def sink(batch: DataFrame, number: int) -> None:
+        store.add(L.with_metrics(L.parse_lines(batch)), number)
 
     return sink
 
 
-__all__ = ["day_store_sink", "ledger_updates", "live_state", "live_video_summary", "motion_sessions", "once", "throttled_stream"]
+__all__ = ["day_store_sink", "ledger_updates", "live_state", "live_video_summary", "motion_sessions", "once", "resolved_stream", "throttled_stream"]
