@@ -153,7 +153,7 @@ def test_speed_trap_equals_a_fold(spark):
                 if kmh <= 100:
                     want.append((k, "->" if start[0] == 1 else "<-"))
             start = (n, k)
-    got = tracks.speed_trap(track(spark, [800] * 99, xs, [0.9] * 99), 25.0, TrapParams(x1=600, x2=1300)).orderBy("frame").collect()
+    got = tracks.speed_trap(track(spark, [800] * 99, xs, [0.9] * 99).withColumn("clip_index", F.lit(0)), 25.0, TrapParams(x1=600, x2=1300)).orderBy("frame").collect()
     assert [(r["frame"], r["direction"]) for r in got] == want
 
 
@@ -367,8 +367,9 @@ def test_small_sources(spark, tmp_path):
     assert sorted((str(r["day"]), r["content"]) for r in logs.parse_lines(lines).collect()) == [("2024-05-05", "a"), ("2024-05-06", "b")]
     roi = configs.parse_roi(spark.createDataFrame([('{"line_y": 5}',), ("[[1,2]]",), ("no",), (None,)], "value string")).collect()
     assert [r["line_y"] for r in roi] == [5, None, None, None] and roi[1]["motion_roi"] == [[1, 2]]
-    led = store.write_ledger(spark.createDataFrame([("a", "queued")], "path string, status string")).first()
-    assert led["entry"] == '{"status":"queued"}'
+    store.save_ledger(spark.createDataFrame([("a", "queued", None), ("b", "completed", 2.5)], "path string, status string, end_ts double"), f"file://{tmp_path}/ledger")
+    led = store.load_ledger(spark, f"file://{tmp_path}/ledger").orderBy("path").collect()
+    assert [(r["path"], r["status"], r["end_ts"], r["start_ts"]) for r in led] == [("a", "queued", None, None), ("b", "completed", 2.5, None)]
 
 
 def test_numbers(spark):
@@ -383,9 +384,9 @@ def test_similar_pairs_is_exact_over_blocks(spark, monkeypatch):
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
     s = unit @ unit.T
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if s[i, j] >= 0.8}
-    for block in (4096, 16):
-        monkeypatch.setattr(reid, "BLOCK", block)
-        got = [(r["i"], r["j"]) for r in reid.similar_pairs(df, 0.8).collect()]
+    monkeypatch.setattr(reid, "BLOCK", 16)
+    for block, cells in ((4096, 256), (16, 256), (7, 2)):
+        got = [(r["i"], r["j"]) for r in reid.similar_pairs(df, 0.8, axes=2, block=block, cells=cells, sample=40).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     probes, gallery = df.where("id < 20"), df.where("id >= 20")
     best = {r["id"]: r["best_id"] for r in reid.best_match(probes, gallery).collect()}

@@ -180,18 +180,22 @@ def _capped(value: Column, p: LogParams) -> Column:
 
 
 def _by_day(groups: DataFrame, p: LogParams = LogParams()) -> DataFrame:
+    return groups.groupBy("day").agg(*_day_folds(p))
+
+
+def _day_folds(p: LogParams) -> list[Column]:
     alone = F.col("video").isNull()
     either = lambda mine, theirs: F.when(alone, theirs).otherwise(mine)
     own = lambda c: F.when(~alone, c)
     gate = lambda way: F.sum(either(F.coalesce(F.col("gate_dir").isin(way, "both"), F.lit(False)).cast("long"), F.col(f"g_{way}")))
     times = F.sum(either(F.col("md_s").isNotNull().cast("long"), F.col("g_n")))
-    return groups.groupBy("day").agg(
+    return [
         F.count_if(~alone & F.expr(COUNTED)).alias("videos_total"),
         F.min(either(F.col("md_s"), F.col("g_min"))).alias("md_min"), F.max(either(F.col("md_s"), F.col("g_max"))).alias("md_max"),
         F.try_divide(F.sum(either(_capped(F.col("md_s"), p), F.col("g_sum"))), times).alias("md_avg"),
         F.min(own(F.col("full_s"))).alias("full_min"), F.max(own(F.col("full_s"))).alias("full_max"), F.avg(own(_capped(F.col("full_s"), p))).alias("full_avg"),
         gate("up").alias("up"), gate("down").alias("down"),
-    )
+    ]
 
 
 def day_statistics(metrics: DataFrame, p: LogParams = LogParams()) -> DataFrame:
@@ -214,20 +218,24 @@ def reaction_lists(videos: DataFrame) -> DataFrame:
 def day_bundle(metrics: DataFrame, p: LogParams = LogParams()) -> DataFrame:
     """One row per day: statistics, status_counts, and the chart rows and the away intervals as arrays.
 
-    The log is read once: everything is built from one written row per video. A bundle's arrays are as long as the day.
+    The log is read once: everything is built from one written row per video, all but the intervals in one aggregation by
+    day. A bundle's arrays are as long as the day.
     """
     groups = written(video_groups(metrics, p), "groups")
     videos = groups.where("video IS NOT NULL")
-    chart = F.transform(F.array_sort(F.collect_list(F.struct("place", "video", "time", "seconds", "status"))), lambda x: x.dropFields("place"))
-    charts = chart_rows(videos).groupBy("day").agg(chart.alias("chart"))
+    row = F.struct("first_seen", "video", C.hhmmss(F.col("video"), F.col("first_seen")).alias("time"), F.round("processing_s", 2).alias("seconds"), "status")
+    lists = [
+        F.collect_list(F.when(F.col("video").isNotNull() & F.col("processing_s").isNotNull(), row)).alias("chart"),
+        F.collect_list(F.when(F.col("video").isNotNull(), F.col("status"))).alias("statuses"),
+    ]
+    days = groups.groupBy("day").agg(*_day_folds(p), *lists)
+    each = F.transform(F.array_sort(F.array_distinct("statuses")), lambda s: F.struct(s, F.size(F.filter("statuses", lambda x: x == s)).cast("long")))
+    rest = F.col("videos_total") - F.size("statuses")
+    counts = F.map_concat(F.map_from_entries(each), F.when(rest > 0, F.create_map(F.lit("unknown"), rest)).otherwise(F.create_map().cast("map<string,bigint>")))
+    days = days.withColumns({"status_counts": counts, "chart": F.transform(F.array_sort("chart"), lambda x: x.dropFields("first_seen"))}).drop("statuses")
     events = videos.select("day", "video", F.inline("events")).withColumnRenamed("type", "reaction")
     pairs = F.transform(F.array_sort(F.collect_list(F.struct("pos", "start", "end", "dur"))), lambda x: x.dropFields("pos"))
-    away = presence.intervals(presence.interval_events(events)).groupBy("day").agg(pairs.alias("intervals"))
-    counts = day_entries(videos, p).select("day", "status_counts")
-    out = _by_day(groups, p)
-    for other in (counts, charts, away):
-        out = out.join(other, "day", "left")
-    return out
+    return days.join(presence.intervals(presence.interval_events(events)).groupBy("day").agg(pairs.alias("intervals")), "day", "left")
 
 
 def day_entries(videos: DataFrame, p: LogParams = LogParams()) -> DataFrame:
@@ -246,9 +254,12 @@ def day_entries(videos: DataFrame, p: LogParams = LogParams()) -> DataFrame:
 
 
 def filter_day(metrics: DataFrame, severity: str | None = None, statuses: list[str] | None = None, gate: str | None = None, video: str | None = None) -> DataFrame:
-    """Entries by severity, their video's status, its gate direction (or both) and its name."""
+    """Entries by severity, their video's status, its gate direction (or both) and its name.
+
+    Where videos have a say, the entries are written first, so the log is parsed once.
+    """
+    out = metrics = written(metrics, "metrics") if statuses or gate else metrics
     videos = video_summary(metrics)
-    out = metrics
     if severity:
         out = out.where(F.col("level") == severity)
     if statuses:

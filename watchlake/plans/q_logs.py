@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from watchlake.functions import columns as C
 from watchlake.operators import logs as L
 from watchlake.operators import presence as P
+from watchlake.operators.graph import written
 from watchlake.plans.fixtures import cte, view
 from watchlake.plans.registry import query
 
@@ -86,6 +87,11 @@ def _safe(cols: str) -> str:
     return ", ".join(_SAFE.get(c, c) for c in cols.split())
 
 
+def reactions(spark: SparkSession, d: str) -> DataFrame:
+    """What presence needs of each line, written: days and points are both told from it."""
+    return written(metrics(spark, d).select("day", "n", "video", "ts", "reaction", "away", "removed"), "reactions")
+
+
 def _simple(name: str, source, cols: str, sql: str) -> None:
     """A query that takes columns of a shared frame, as SQL expressions."""
 
@@ -134,11 +140,33 @@ _simple("A01_from_text_files", lambda s, d: L.video_summary(L.with_metrics(L.par
         f"{_VID} SELECT {_DAY}, video, status, pipeline_error, full_s, reaction FROM vid")
 
 
+@query("S02_one_day", "WITH " + cte("fx_log") + """, dd AS (SELECT DISTINCT day FROM fx_log), pick AS (SELECT (SELECT min(day) FROM dd) AS a, (SELECT max(day) FROM dd) AS b)
+SELECT CAST(day AS VARCHAR) AS day, count(*) AS lines, 1 AS opened, (SELECT count(*) FROM dd) AS files FROM fx_log, pick WHERE day IN (a, b) GROUP BY day""")
+def s02d(spark: SparkSession, d: str) -> DataFrame:
+    """The first day's lines, from a rotated file, and the newest's, from the running one: each opens its own file alone."""
+    from watchlake.plans.fixtures import place_files
+    from watchlake.sources.logs import day_lines, log_files
+    from watchlake.sources.store import DayStore
+
+    path = DayStore.temporary(spark).path
+    lines = view(spark, d, "fx_log")
+    newest = lines.agg(F.max("day").alias("newest"))
+    name = F.when(F.col("day") == F.col("newest"), "video_processor.log").otherwise(F.concat(F.lit("video_processor_"), F.col("day").cast("string"), F.lit(".log")))
+    named = lines.join(F.broadcast(newest)).select(name.alias("name"), "n", "line")
+    named.repartition("name").sortWithinPartitions("name", "n").select("name", "line").write.partitionBy("name").text(f"{path}/staged")
+    place_files(spark, f"{path}/staged", f"{path}/logs", lambda x: x)
+    files = log_files(spark, f"{path}/logs", "video_processor")
+    n, first, last = files.agg(F.count("*"), F.min("day"), F.max("day")).first()
+    parts = [day_lines(spark, files, day) for day in (first, last)]
+    counts = [x.groupBy("day").agg(F.count("*").alias("lines")).withColumn("opened", F.lit(len(x.inputFiles()))) for x in parts]
+    return _day(counts[0].unionAll(counts[1])).withColumn("files", F.lit(n))
+
+
 @query("S03_day_list", _ENT + " SELECT CAST(day AS VARCHAR) AS day, row_number() OVER (ORDER BY day = (SELECT max(day) FROM ent) DESC, day DESC) AS place FROM (SELECT DISTINCT day FROM ent)")
 def s03(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    days = entries(spark, d).select("day").distinct()
+    days = written(entries(spark, d).select("day").distinct(), "days")
     newest = days.agg(F.max("day").alias("newest"))
     rows = days.join(F.broadcast(newest))
     place = F.row_number().over(Window.orderBy(F.desc(F.col("day") == F.col("newest")), F.desc("day")))
@@ -233,7 +261,7 @@ _simple("X01_key_union", lambda s, d: videos(s, d).where("status IS NOT NULL OR
 
 @query("J01_drop_removed", _MET + " SELECT n, CAST(day AS VARCHAR) AS day, video FROM met WHERE video IS NOT NULL AND (day, video) NOT IN (SELECT (day, video) FROM met WHERE reaction = 'remove' AND video IS NOT NULL)")
 def j01(spark: SparkSession, d: str) -> DataFrame:
-    m = metrics(spark, d).where("video IS NOT NULL")
+    m = written(metrics(spark, d).where("video IS NOT NULL").select("n", "day", "video", "removed"), "metrics")
     return _day(m.join(m.where("removed").select("day", "video"), ["day", "video"], "left_anti")).select("n", "day", "video")
 
 
@@ -404,7 +432,7 @@ FROM range(7) w(i) CROSS JOIN range(6, 24) h(i) LEFT JOIN ld ON ld.weekday = w.i
 
 @query("A21_weekday_heatmap", _WEEK)
 def a21(spark: SparkSession, d: str) -> DataFrame:
-    m = metrics(spark, d)
+    m = reactions(spark, d)
     return P.weekday_heatmap(P.points(m), m.select("day")).withColumn("share", F.round("share", 6)).select("weekday", "hour", "days", "log_days", "share")
 
 
@@ -417,7 +445,7 @@ def a21m(spark: SparkSession, d: str) -> DataFrame:
 def a22(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
-    m = metrics(spark, d)
+    m = reactions(spark, d)
     n = m.agg(F.count_distinct("day").alias("n"))
     grid = P.heatmap(P.points(m), 60, 360, 18).join(F.broadcast(n))
     every = F.max("any_days").over(Window.partitionBy())

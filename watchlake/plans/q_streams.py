@@ -193,3 +193,12 @@ def st04x(spark: SparkSession, d: str) -> DataFrame:
 def st04s(spark: SparkSession, d: str) -> DataFrame:
     """Crossings of trusted entities, on top of the resolver."""
     return entities.entity_states(entities.resolve(_people(spark, d), 25.0, trust=_TRUST), 25.0, CrossingParams(dwell_s=0.08))
+
+
+@query("A25_resolved_objects")
+def a25r(spark: SparkSession, d: str) -> DataFrame:
+    """Different people of the kept events, without the tracks of entities that the resolver suppressed."""
+    people = _people(spark, d)
+    found = written(entities.resolve(people, 25.0, trust=_TRUST), "resolved")
+    kept = people.groupBy("video", "clip_index").agg(F.count_distinct("frame").alias("frames")).where("frames >= 10")
+    return K.unique_objects(people, kept, entities.suppressed_tracks(found))

@@ -147,6 +147,8 @@ SELECT id, CASE WHEN k = 0 THEN '4k' WHEN k IN (1, 5) THEN '1080p' WHEN k IN (2,
  CAST(CASE WHEN k = 0 THEN 1600 WHEN k <> 4 THEN 810 END AS DOUBLE) AS line_y, CAST(CASE WHEN k = 0 THEN 12 WHEN k <> 4 THEN 6 END AS DOUBLE) AS tolerance,
  CAST(CASE WHEN k = 0 THEN 7200 WHEN k IN (1, 5) THEN 1800 WHEN k IN (2, 3) THEN greatest(60, trunc(7200 * (w * h / (3840.0 * 2160.0)) * 0.5)) END AS DOUBLE) AS least_area,
  CAST(CASE WHEN k = 0 THEN 60 WHEN k IN (1, 5) THEN 30 WHEN k IN (2, 3) THEN greatest(6, trunc(60 * (w / 3840.0))) END AS DOUBLE) AS padding,
+ CAST(CASE WHEN k = 0 THEN 20 WHEN k <> 4 THEN 10 END AS DOUBLE) AS roi_padding, CAST(CASE WHEN k = 0 THEN 40 WHEN k <> 4 THEN 20 END AS DOUBLE) AS reid_tolerance,
+ CAST(CASE WHEN k = 0 THEN 20 WHEN k <> 4 THEN 12 END AS DOUBLE) AS reid_padding, CASE WHEN k = 0 THEN '2300,900' WHEN k <> 4 THEN '1150,450' END AS hotspot,
  CAST(CASE WHEN fast THEN 3 WHEN k = 0 THEN 2 ELSE 1 END AS INTEGER) AS stride FROM c""")
 def p16(spark: SparkSession, d: str) -> DataFrame:
     from watchlake.sources.configs import clip_profile
@@ -154,8 +156,8 @@ def p16(spark: SparkSession, d: str) -> DataFrame:
     o = spark.read.parquet(f"{d}/orders.parquet")
     pick = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in _SIZES)), (F.col("o_custkey") % 6 + 1).cast("int"))
     rows = o.select(F.col("o_orderkey").alias("id"), pick(0).alias("width"), pick(1).alias("height"), (F.col("o_orderkey") % 2 == 0).alias("fast"))
-    numbers = (F.col(c).cast("double").alias(c) for c in ("line_y", "tolerance", "least_area", "padding"))
-    return clip_profile(rows).select("id", "profile", "status", *numbers, "stride")
+    numbers = (F.col(c).cast("double").alias(c) for c in ("line_y", "tolerance", "least_area", "padding", "roi_padding", "reid_tolerance", "reid_padding"))
+    return clip_profile(rows).select("id", "profile", "status", *numbers, F.concat_ws(",", "hotspot.x", "hotspot.y").alias("spot"), "stride").select("*", F.nullif("spot", F.lit("")).alias("hotspot")).drop("spot")
 
 
 _CONTOURS = "SELECT l_orderkey AS video, CAST(l_quantity AS DOUBLE) * 100 AS area, CAST(l_quantity AS DOUBLE) * 100 * (1 + 5 * CAST(l_discount AS DOUBLE)) AS hull_area FROM "

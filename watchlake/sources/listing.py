@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchlake.operators.ops import stale_folders
+
 
 def list_files(spark: SparkSession, path: str, glob: str = "*.mp4") -> DataFrame:
     """(path, modificationTime, length) of files below ``path``; their contents aren't read."""
@@ -35,5 +37,5 @@ def refresh_gallery(stored: DataFrame, listing: DataFrame, vectors: DataFrame) -
     ``stored`` has these columns, ``listing`` (gallery, signature), ``vectors`` (gallery, path, vector).
     """
     same = stored.join(listing, ["gallery", "signature"], "left_semi").select("gallery", "path", "vector", "signature")
-    stale = listing.join(stored.select("gallery", "signature").distinct(), ["gallery", "signature"], "left_anti")
+    stale = stale_folders(listing, stored.select("gallery", "signature").distinct(), "gallery")
     return same.unionByName(vectors.join(stale, "gallery").select("gallery", "path", "vector", "signature"))
