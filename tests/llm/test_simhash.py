@@ -66,12 +66,12 @@ def clustered(n, seed):
     return np.array(sorted(fps), np.uint64)
 
 
-@pytest.mark.parametrize(("shard_rows", "most_rows"), [(64, 100_000), (100_000, 100_000), (64, 150), (100_000, 700)])
-def test_links_equal_brute_force(spark, shard_rows, most_rows):
-    """Also where dense shards are dealt into blocks."""
+@pytest.mark.parametrize(("shard_rows", "most_rows", "top"), [(64, 100_000, 10), (100_000, 100_000, 10), (64, 150, 10), (100_000, 700, 10), (64, 400, 2), (64, 90, 1)])
+def test_links_equal_brute_force(spark, shard_rows, most_rows, top):
+    """Also where dense shards grow trees of their own, and where those that none cuts are dealt into blocks."""
     fps = clustered(3000, 5)
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    found = simhash.components(simhash.links(df, shard_rows=shard_rows, most_rows=most_rows)).collect()
+    found = simhash.components(simhash.links(df, shard_rows=shard_rows, most_rows=most_rows, top_depth=top)).collect()
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
     label = np.arange(len(fps))
     while True:

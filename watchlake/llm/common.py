@@ -53,6 +53,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def listed(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``rows`` of a few numbers each, to be broadcast if they are ``most`` or fewer (tens of MB), and joined by shuffles beyond.
+
+    For written tables only, as the rows are counted. A list against which long texts are held then leaves the texts in place.
+    """
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

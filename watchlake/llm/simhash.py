@@ -12,6 +12,7 @@ goes on to small leaves, where all 64 bits are compared exactly.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import free_name, materialize
+from watchlake.llm.common import free_name, listed, materialize
 from watchlake.llm.graph import components
 from watchlake.llm.jaccard import similar_rows
 
@@ -118,10 +119,12 @@ def _sides(d_res: np.ndarray, d_vis: np.ndarray, cut: int, radius: int):
     return d_res <= cut, (d_res <= cut) & (d_res + radius > cut), d_vis - radius <= cut, d_vis + radius > cut
 
 
-def route(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], mask: int, radius: int):
-    """(shard, index of the fingerprint, whether it lives there) for each shard that a fingerprint must reach."""
-    none = np.empty(0, np.int64)
-    todo = [(0 if nodes else -1, np.arange(len(fps)), none)]
+def route(fps: np.ndarray, nodes: list[tuple[int, int, int, int]], mask: int, radius: int, lives: np.ndarray | None = None):
+    """(shard, index of the fingerprint, whether it lives there) for each shard that a fingerprint must reach.
+
+    Where ``lives`` says so, fingerprints live elsewhere already and only visit.
+    """
+    todo = [(0 if nodes else -1, np.flatnonzero(lives), np.flatnonzero(~lives))] if lives is not None else [(0 if nodes else -1, np.arange(len(fps)), np.empty(0, np.int64))]
     while todo:
         at, res, vis = todo.pop()
         if not len(res) and not len(vis):
@@ -190,52 +193,104 @@ def link_shard(fps: np.ndarray, lives: np.ndarray, mask: int, radius: int, near:
 # ---------------------------------------------------------------- the join
 
 
-def links(fps: DataFrame, radius: int = 4, blocks: int = 3, shard_rows: int = 4096, per_shard: int = 32, most_rows: int = 100_000) -> DataFrame:
+TOP_DEPTH, SUB_DEPTH = 10, 11  # levels of the trees that the driver grows, and of those that shards grow
+SAMPLE = 1 << 16  # fingerprints that the driver samples at most
+SUB_SAMPLE = 1 << 14  # fingerprints that a shard's own tree grows from
+KEY = "xxhash64(fp, 7)"
+
+
+def links(fps: DataFrame, radius: int = 4, blocks: int = 3, shard_rows: int = 4096, per_shard: int = 32, most_rows: int = 100_000, top_depth: int = TOP_DEPTH) -> DataFrame:
     """(u, v): links that connect all pairs of fingerprints within ``radius`` bits, a spanning forest for each shard.
 
-    ``fps`` has a long column fp, distinct and without nulls, in a table that is cheap to read twice.
-    ``shard_rows``: fingerprints that should live in a shard; the number of shards grows with the input.
-    ``per_shard``: sampled fingerprints a shard, from which the driver grows the trees (a quarter of all at most).
-    ``most_rows``: a shard that more fingerprints reach (many that agree in a group of bits can't be cut by its tree) is
-    dealt into blocks, and tasks get pairs of blocks; so no task sees a whole dense shard, and no pair is lost.
+    ``fps`` has a long column fp, distinct and without nulls, in a table that is cheap to read twice; an empty one has no links.
+    ``shard_rows``: fingerprints that should live in a shard. The driver grows trees of ``top_depth`` levels at most from
+    ``per_shard`` sampled fingerprints a shard, ``SAMPLE`` in all, whatever the input. Shards that more than ``most_rows``
+    fingerprints reach then grow trees of their own, each in a task from a sample of its own, until all are small enough.
+    Those that no tree cuts any more (many that agree in a group of bits) are dealt into blocks, and tasks get pairs of
+    blocks; so no task sees a whole dense shard, and no pair is lost.
     """
     n = fps.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / shard_rows)))))
-    share = min(0.25, max(4096, per_shard << depth) / max(1, n))
+    depth = min(top_depth, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
+    share = min(0.25, min(SAMPLE, max(4096, per_shard << depth)) / max(1, n))
     near, all_masks = radius // blocks, masks(blocks)
     sample = np.empty(0, np.uint64)
     if depth:
-        some = fps.where(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20))).toPandas()
+        some = fps.where(F.expr(f"pmod({KEY}, 1048576) < {int(share * (1 << 20)) + 1}")).toPandas()
         sample = np.sort(some["fp"].to_numpy(np.int64)).view(np.uint64)
     forest = [grow(sample, m, depth) if len(sample) else [] for m in all_masks]
 
+    def batch(shard: int, fp: np.ndarray, lives: np.ndarray | bool) -> pa.RecordBatch:
+        cols = [np.full(len(fp), shard, np.int64), fp, np.full(len(fp), lives)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shard", "fp", "lives"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for k, (nodes, m) in enumerate(zip(forest, all_masks)):
                 for shard, idx, lives in route(fp.view(np.uint64), nodes, m, near):
                     if len(idx):
-                        cols = [np.full(len(idx), (k << 40) | shard, np.int64), fp[idx], np.full(len(idx), lives)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["shard", "fp", "lives"])
+                        yield batch(k | shard << 4, fp[idx], lives)
 
     def search(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:  # key: shard and two of its blocks
         fp = pdf["fp"].to_numpy(np.int64)
-        labels = link_shard(fp.view(np.uint64), pdf["lives"].to_numpy(bool), all_masks[key[0] >> 40], radius, near)
+        labels = link_shard(fp.view(np.uint64), pdf["lives"].to_numpy(bool), all_masks[key[0] & 15], radius, near)
         has = np.flatnonzero(labels != np.arange(len(labels)))
         return pd.DataFrame({"u": fp[has], "v": fp[labels[has]]})
 
-    dealt = materialize(fps.select("fp").mapInArrow(deal, "shard long, fp long, lives boolean"), "dealt")
-    dense = dealt.groupBy("shard").count().where(F.col("count") > most_rows).select(F.col("shard").alias("of"), F.ceil(2 * F.col("count") / most_rows).alias("k"))
-    dense = materialize(dense, "dense")
-    rows = dealt.withColumns({"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")})
-    if dense.limit(1).count():
-        many = dealt.join(dense, dealt["shard"] == dense["of"]).withColumn("mine", F.pmod(F.xxhash64("fp"), "k"))
+    rows, dense = _divided(materialize(fps.select("fp").mapInArrow(deal, "shard long, fp long, lives boolean"), "dealt"), all_masks, near, most_rows, batch)
+    rows = rows.withColumns({"a": F.lit(0).cast("long"), "b": F.lit(0).cast("long")})
+    if dense is not None:
+        many = dense.withColumn("mine", F.expr(f"pmod({KEY}, k)"))
         many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-        many = many.select("shard", "fp", "lives", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-        rows = rows.join(dense, rows["shard"] == dense["of"], "left_anti").unionByName(many)
+        rows = rows.unionByName(many.select("shard", "fp", "lives", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b")))
     return rows.groupBy("shard", "a", "b").applyInPandas(search, "u long, v long")
 
 
+def _divided(dealt: DataFrame, all_masks: list[int], near: int, most_rows: int, batch) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of shards that are small enough, and, with their number of blocks k, those of dense shards that no tree cuts.
+
+    A shard's number has its group of bits in the lowest 4 and a level's place in 12 more for each level.
+    """
+
+    def tree(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = np.sort(pdf["fp"].to_numpy(np.int64)).view(np.uint64)
+        levels = min(SUB_DEPTH, max(1, int(np.ceil(np.log2(pdf["count"].iloc[0] / most_rows))) + 1))
+        nodes = grow(fp, all_masks[key[0] & 15], levels)
+        return pd.DataFrame({"of": [key[0]], "tree": [[str(x) for node in nodes for x in node]]})  # vantage points are unsigned
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shard, fp = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+            lives = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for one in np.unique(shard).tolist():
+                at = np.flatnonzero(shard == one)
+                flat = [int(x) for x in b.column(3)[int(at[0])].as_py()]
+                nodes = [tuple(flat[i : i + 4]) for i in range(0, len(flat), 4)]
+                for sub, idx, there in route(fp[at].view(np.uint64), nodes, all_masks[one & 15], near, lives[at]):
+                    if len(idx):
+                        yield batch((one & 15) | ((one >> 4 << 12 | sub + 1) << 4), fp[at[idx]], there)
+
+    small, stuck = [], []
+    for _ in range(4):
+        counts = dealt.groupBy("shard").agg(F.count("*").alias("count"), F.count_if("lives").alias("own"))
+        dense = materialize(counts.where(F.col("count") > most_rows).withColumnRenamed("shard", "of"), "dense")
+        if not dense.limit(1).count():
+            return reduce(DataFrame.unionByName, [*small, dealt]), reduce(DataFrame.unionByName, stuck) if stuck else None
+        small.append(dealt.join(dense, dealt["shard"] == dense["of"], "left_anti"))
+        large = dealt.join(dense, dealt["shard"] == dense["of"])
+        some = large.where("lives").where(F.expr(f"pmod(xxhash64(fp, 13), 1048576) < 1048576.0 * {SUB_SAMPLE} / own"))
+        trees = materialize(some.groupBy("of").applyInPandas(tree, "of long, tree array<string>"), "trees")
+        cut = trees.where(F.size("tree") > 0)
+        left = dense.join(cut, "of", "left_anti").select("of", F.ceil(2 * F.col("count") / most_rows).alias("k"))
+        stuck.append(dealt.join(left, dealt["shard"] == left["of"]).select("shard", "fp", "lives", "k"))
+        parts = dealt.join(cut, dealt["shard"] == cut["of"]).select("shard", "fp", "lives", "tree")
+        dealt = materialize(parts.mapInArrow(again, "shard long, fp long, lives boolean"), "dealt")
+    counts = dealt.groupBy("shard").count().select(F.col("shard").alias("of"), F.ceil(2 * F.col("count") / most_rows).alias("k"))
+    stuck.append(dealt.join(counts.where("k > 2"), F.col("shard") == F.col("of")).select("shard", "fp", "lives", "k"))
+    small.append(dealt.join(counts.where("k > 2"), F.col("shard") == F.col("of"), "left_anti"))
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, stuck)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``.
 
@@ -268,13 +323,14 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     stay = named.groupBy(F.coalesce("root", "fp").alias("root"), "no_id").agg(F.min("least").alias("least"))
     stay = materialize(stay.select(F.col("least.doc_id").alias("i"), F.col("least.text_key").alias("k")), "stay")
     same = lambda x, y: x["doc_id"].eqNullSafe(y["i"]) & (x["text_key"] == y["k"])
-    # both lists are written first, so that the planner knows their sizes: texts move only where they are long
+    # both lists are written and counted first: texts move only where the lists are long
     counted = ids.groupBy("doc_id", "text_key").count()
     counted = materialize(counted.join(stay.withColumn("stays", F.lit(True)), same(counted, stay), "left").select(F.col("doc_id").alias("i"), F.col("text_key").alias("k"), "count", F.coalesce("stays", F.lit(False)).alias("stays")), "found")
     gone = materialize(counted.where("NOT stays").select("i", "k"), "gone")
     twice = materialize(counted.where("stays AND count > 1").select("i", "k"), "twice")
     key = free_name(docs.columns, "text_key")
     rows = docs.withColumn(key, F.xxhash64("text"))
+    gone, twice = listed(gone), listed(twice)
     match = lambda y: rows["doc_id"].eqNullSafe(y["i"]) & (rows[key] == y["k"])
     known = rows.join(gone, match(gone), "left_anti")
     if twice.limit(1).count():
