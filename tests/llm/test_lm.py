@@ -57,11 +57,12 @@ def corpus(seed, n=120):
     return [" ".join(rng.choices(vocabulary, weights=[1 / (k + 1) for k in range(len(vocabulary))], k=rng.randint(0, 25))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("part_bytes", [10**9, 2000])
-def test_equals_brute_force(spark, part_bytes):
+@pytest.mark.parametrize(("part_bytes", "radix", "maps"), [(10**9, 1024, 4096), (2000, 1024, 4096), (2000, 3, 2)])
+def test_equals_brute_force(spark, monkeypatch, part_bytes, radix, maps):
+    monkeypatch.setattr(lm, "MOST_MAPS", maps)
     train = [*corpus(1), None, "", "The THE the\tthe", "x " * 3000]
     test = [*corpus(2, 30), None, "", "never seen words", "x x x y"]
-    model = lm.train(spark.createDataFrame([(t, 1) for t in train], "text string, score int"), part_bytes=part_bytes)
+    model = lm.train(spark.createDataFrame([(t, 1) for t in train], "text string, score int"), part_bytes=part_bytes, radix=radix)
     assert model.parts == 1 if part_bytes > 10**8 else model.parts > 5
     brute = Brute(train)
     assert (model.tokens, model.types, model.pairs) == (sum(brute.words.values()), len(brute.words), len(brute.pairs))
@@ -99,6 +100,16 @@ def test_query(spark, sf_dir):
     assert held["score"].sum() > held["base_score"].sum() and np.isfinite(got["score"]).all()
 
 
+def test_totals_of_many_parts_come_as_a_few_rows(spark, monkeypatch):
+    """More parts than one group adds up: the model is that of one part."""
+    monkeypatch.setattr(lm, "GATHER", 16)
+    df = spark.createDataFrame([(t,) for t in corpus(3, 200)], "text string")
+    one, many = lm.train(df), lm.train(df, part_bytes=100, radix=20)
+    assert many.parts > 60 and one.common_first == {k: v for k, v in many.common_first.items() if k in one.common_first}
+    assert (one.tokens, one.types, one.pairs) == (many.tokens, many.types, many.pairs)
+    assert np.array_equal(one.pair_discounts, many.pair_discounts) and np.array_equal(one.word_discounts, many.word_discounts)
+
+
 def test_packed_numbers_are_narrow_and_whole():
     for top in (0, 200, 70_000, 5_000_000_000):
         x = np.array([0, 1, top], np.int64)

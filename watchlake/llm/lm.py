@@ -15,6 +15,7 @@ from __future__ import annotations
 import mmap
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -111,6 +112,9 @@ def _unpack(blob) -> list[np.ndarray]:
 #: Files of sorted hashes, and how many numbers they hold of each: a pair's count; a first word's total and how many
 #: of its pairs have the counts 1, 2 and more; a word's number of words before it and its count.
 FAMILIES = {"pair": 1, "first": 4, "word": 2}
+MOST_MAPS = 4096  # files that a worker has mapped at once
+RADIX = 1024  # parts that a run of text is dealt to at once
+GATHER = 256  # parts whose common words' totals are added up in one group
 
 
 def _cuts(part: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -152,13 +156,18 @@ class Model:
         self.common_first: dict[int, tuple] = totals["common_first"]
         self.pair_discounts, self.word_discounts = discounts(totals["pair_counts"]), discounts(totals["word_counts"])
         self.word_open = float(np.dot(self.word_discounts[1:], totals["word_up_to"]))
-        self._maps: dict[tuple, list[np.ndarray] | None] = {}
+        self._maps: OrderedDict[tuple, list[np.ndarray] | None] = OrderedDict()
 
     def __getstate__(self):
-        return self.__dict__ | {"_maps": {}}
+        return self.__dict__ | {"_maps": OrderedDict()}
 
     def _arrays(self, family: str, part: int) -> list[np.ndarray] | None:
-        if (family, part) not in self._maps:
+        """The arrays of a file. Those used last stay mapped, ``MOST_MAPS`` of them."""
+        if (family, part) in self._maps:
+            self._maps.move_to_end((family, part))
+        else:
+            if len(self._maps) >= MOST_MAPS:
+                self._maps.popitem(last=False)
             got = None
             try:
                 with open(f"{self.folder}/{family}-{part}", "rb") as f:
@@ -238,11 +247,12 @@ def common_words(docs: DataFrame, text: str, n: int, sample_docs: int = 1000, sh
     return np.unique(np.append(top.view(np.uint64), np.uint64(_hash(BEGIN_WORD))))
 
 
-def train(docs: DataFrame, text: str = "text", part_bytes: int = 12_000_000) -> Model:
+def train(docs: DataFrame, text: str = "text", part_bytes: int = 12_000_000, radix: int = RADIX) -> Model:
     """Count ``docs`` and write the model's arrays below ``spark.checkpoint.dir``, which must be mounted as files.
 
     The number of parts grows with the text: a part gets the pairs of ``part_bytes`` of it or so (about two million
-    tokens), whatever the session's settings are. Null and empty texts are one end each; texts of any length are counted
+    tokens), whatever the session's settings are. A run of text is dealt to ``radix`` parts or so at once; where there are more,
+    pairs are dealt in two rounds, so the number of blobs follows the text and not its square. Null and empty texts are one end each; texts of any length are counted
     whole, and every row counts, repeated ones too. An empty table gives a model of nothing. Columns besides ``text``
     aren't read.
     """
@@ -254,6 +264,7 @@ def train(docs: DataFrame, text: str = "text", part_bytes: int = 12_000_000) ->
     os.makedirs(folder)
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     parts = 1 + (size + n) // part_bytes
+    wide = -(-parts // radix)  # neighbouring parts that a run is dealt to as one, and that are told apart in a second round
     common = common_words(docs, text, n)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,9 +273,32 @@ def train(docs: DataFrame, text: str = "text", part_bytes: int = 12_000_000) ->
             prev = before(h, sizes)
             _, one, n = np.unique(mix(prev, h), return_index=True, return_counts=True)
             a, b = prev[one], h[one]
-            dealt = list(_deal_pairs(pair_part(a, b, common, parts), a, b, n))
+            dealt = list(_deal_pairs(pair_part(a, b, common, parts) // wide, a, b, n))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int64()), pa.array([x for _, x in dealt], pa.binary())], names=["part", "blob"])
 
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of neighbouring parts, of many runs at a time, dealt to their own parts."""
+        held: dict[int, list] = {}
+        size: dict[int, int] = {}
+
+        def flush(part: int) -> pa.RecordBatch:
+            got = [(np.repeat(heads, counts), b, n) for heads, counts, b, n in map(_unpack, held.pop(part))]
+            a, b, n = (np.concatenate(x) for x in zip(*got))
+            size.pop(part)
+            _, one, at = np.unique(mix(a, b), return_index=True, return_inverse=True)
+            total = np.bincount(at, n.astype(np.float64)).astype(np.int64)  # exact below 2 ** 53
+            dealt = list(_deal_pairs(pair_part(a[one], b[one], common, parts), a[one], b[one], total))
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in dealt], pa.int64()), pa.array([x for _, x in dealt], pa.binary())], names=["part", "blob"])
+
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.setdefault(part, []).append(blob)
+                size[part] = size.get(part, 0) + len(blob)
+                if size[part] >= part_bytes:
+                    yield flush(part)
+        for part in list(held):
+            yield flush(part)
+
     def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         got = [(np.repeat(heads, counts), b, n) for heads, counts, b, n in map(_unpack, pdf["blob"])]
         a, b, n = (np.concatenate(x) for x in zip(*got))
@@ -282,35 +316,34 @@ def train(docs: DataFrame, text: str = "text", part_bytes: int = 12_000_000) ->
         stats = np.array([len(k), *((n == i).sum() for i in (1, 2, 3, 4))], np.uint64)
         words = _sum_by(b, np.ones(len(b), np.int64), n)
         rows = list(_deal((words[0] % np.uint64(parts)).astype(np.int64), *words))
-        rows.append((-1, _pack(stats, *(x[shared].astype(np.uint64) for x in first))))
+        rows.append((-1 - key[0] // GATHER, _pack(stats, *(x[shared].astype(np.uint64) for x in first))))
         return pd.DataFrame(rows, columns=["part", "blob"])
 
     def words_(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if key[0] < 0:
-            stats, firsts = np.zeros(5, np.int64), {}
-            for blob in pdf["blob"]:
-                some, words, *more = _unpack(blob)
-                stats += some.astype(np.int64)
-                for word, *values in zip(words.tolist(), *(x.tolist() for x in more)):
-                    firsts[word] = [x + y for x, y in zip(firsts.get(word, [0] * 4), values)]
-            out = [stats.tolist()] + [[int(np.uint64(w).view(np.int64)), *v] for w, v in firsts.items()]
-            return pd.DataFrame({"pairs": [True] * len(out), "stats": out})
+            got = [_unpack(blob) for blob in pdf["blob"]]
+            stats = np.sum([x[0].astype(np.int64) for x in got], axis=0)
+            firsts = _sum_by(*(np.concatenate(x) if k == 0 else np.concatenate(x).astype(np.int64) for k, x in enumerate(zip(*(x[1:] for x in got)))))
+            rows = [("pairs", 0, *stats.tolist(), 0, 0)] + [("first", w, *v, 0, 0, 0) for w, *v in zip(firsts[0].view(np.int64).tolist(), *(x.tolist() for x in firsts[1:]))]
+            return pd.DataFrame(rows, columns=names)
         w, left, n = (np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"])))
         w, left, n = _sum_by(w, left.astype(np.int64), n.astype(np.int64))
         _write(folder, "word", key[0], w, left, n)
         stats = [len(w), n.sum(), *((left == i).sum() for i in (1, 2, 3, 4)), (left >= 3).sum()]
-        return pd.DataFrame({"pairs": [False], "stats": [[int(x) for x in stats]]})
+        return pd.DataFrame([("words", 0, *(int(x) for x in stats))], columns=names)
 
+    names = ["kind", "word", *(f"s{k}" for k in range(7))]
     blobs = docs.select(F.col(text).cast("binary")).mapInArrow(count, "part long, blob binary")
+    if wide > 1:
+        blobs = blobs.repartition(min(radix, parts), "part").mapInArrow(again, "part long, blob binary")
     # as many tasks as parts, whatever the session's settings are
     dealt = blobs.repartition(parts, "part").groupBy("part").applyInPandas(pairs, "part long, blob binary")
-    done = dealt.repartition(parts, "part").groupBy("part").applyInPandas(words_, "pairs boolean, stats array<long>")
-    rows = done.collect()  # a row of seven numbers for each part, and five for each common word
-    mine = [r["stats"] for r in rows if r["pairs"]]
-    word = np.sum([r["stats"] for r in rows if not r["pairs"]], axis=0, dtype=np.int64).tolist() if any(not r["pairs"] for r in rows) else [0] * 7
-    stats = mine[0] if mine else [0] * 5
-    totals = {"tokens": word[1], "types": word[0], "pairs": stats[0], "pair_counts": stats[1:], "word_counts": word[2:6], "word_up_to": [word[2], word[3], word[6]]}
-    totals["common_first"] = {int(np.int64(r[0]).view(np.uint64)): tuple(r[1:]) for r in mine[1:]}
+    done = dealt.repartition(parts, "part").groupBy("part").applyInPandas(words_, "kind string, word long, " + ", ".join(f"s{k} long" for k in range(7)))
+    rows = done.groupBy("kind", "word").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(7))).collect()  # two rows and one a common word
+    sums = {r["kind"]: list(r)[2:] for r in rows if r["kind"] != "first"}
+    word, stats = sums.get("words", [0] * 7), sums.get("pairs", [0] * 5)
+    totals = {"tokens": word[1], "types": word[0], "pairs": stats[0], "pair_counts": stats[1:5], "word_counts": word[2:6], "word_up_to": [word[2], word[3], word[6]]}
+    totals["common_first"] = {int(np.int64(r["word"]).view(np.uint64)): tuple(r)[2:6] for r in rows if r["kind"] == "first"}
     return Model(folder, parts, common, totals)
 
 
