@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,45 @@ def test_score_replaces_a_column_of_its_name(spark):
     for model in (toxicity.fit_toxicity(docs, labels), quality.fit_quality(docs, labels), toxicity.fit_toxicity(docs, labels.limit(0))):
         got = model.score(docs)
         assert sorted(got.columns) == sorted(docs.columns) and got.count() == docs.count() and got.where("score = 1.0 AND doc_id = 0").count() == 0
+
+
+def plain_statistics(text):
+    """The statistics by walking over characters and words one by one."""
+    text = text or ""
+    words, word = [], ""
+    for c in text + " ":
+        if c.isspace():
+            words, word = words + [word] * bool(word), ""
+        else:
+            word += c
+    if not words:
+        return [0.0] * 18
+    n, chars = len(words), len(text)
+    times = {w: words.count(w) for w in words}
+    mean = sum(len(w) for w in words) / n
+    deviation = (sum((len(w) - mean) ** 2 for w in words) / n) ** 0.5
+    share = lambda test: sum(map(test, text)) / chars
+    letter = lambda c: c.isalnum() and not c.isdecimal()
+    lines = [x for x in text.split("\n") if x.strip()]
+    odd = sum(w[-1] in "%&$#*|@~^=<>" for w in words)
+    stops = sum(text[i] == "." and text[i + 1] in " \n" for i in range(chars - 1))
+    entropy = -sum(k / n * math.log(k / n) for k in times.values())
+    return [
+        math.log(1 + n), math.log(1 + mean), math.log(1 + deviation), len(times) / n, max(times.values()) / n, sum(words[i] == words[i - 1] for i in range(1, n)) / n,
+        share(letter), share(str.isdecimal), share(lambda c: not (c.isalnum() or c == "_" or c.isspace())), share(lambda c: "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×"),
+        odd / n, sum(c == "!" for c in text) / n, sum(c == "|" for c in text) / n, math.log(1 + len(lines)), math.log(1 + n / max(1, len(lines))),
+        1 - len(set(lines)) / max(1, len(lines)), entropy / math.log(n + 1), stops / n,
+    ]
+
+
+def test_statistics_against_plain_ones(spark, sf_dir):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").limit(60).collect()]
+    texts = [t[:4000] if t else t for t in texts] + [None, "", " \n\t", "A", "One. Two.\nTwo.\nÄrger & Öl_9 99% <b> x|y!! a_b ×", "same same same", "é" * 50 + "\n\n\n"]
+    for t in texts:
+        assert quality.statistics(t) == pytest.approx(plain_statistics(t), abs=1e-12), t
+
+
+def test_the_reach_of_statistics_is_a_parameter():
+    model = [quality.QualityModel(np.zeros(2), np.ones(2), np.eye(2), np.zeros(2), np.ones(3), None, reach=r) for r in (6.0, np.inf)]
+    x = np.array([[7.0, 0.5]])
+    assert np.allclose(model[0].features(x), model[0].features(np.array([[6.0, 0.5]]))) and np.allclose(model[1].features(x)[0, :2], np.cos(x[0]))
