@@ -9,7 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a temporary folder stands in only where Spark runs on one machine."""
+    """A new path below ``spark.checkpoint.dir``, deleted when the driver ends.
+
+    A temporary folder stands in only where Spark runs on one machine.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
@@ -18,4 +21,7 @@ def shared_path(spark: SparkSession, tag: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="watchlake-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
