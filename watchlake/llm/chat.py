@@ -101,7 +101,7 @@ def _with_text(rendered: DataFrame) -> DataFrame:
 
 
 def render_short(messages: DataFrame, trained: str = "assistant") -> DataFrame:
-    """As ``render``, for conversations of bounded length: one aggregation by conversation."""
+    """As ``render``, for conversations of bounded length: one aggregation by conversation; nulls, ties and empty tables as there."""
     rows = messages.select("conv_id", F.struct("msg", _turn(trained).alias("turn")).alias("row"))
     return _with_text(rows.groupBy("conv_id").agg(_in_order("row", "turn").alias("segments")))
 
@@ -124,7 +124,11 @@ def replayed(rows: DataFrame, trained: str = "assistant", chunk: int = CHUNK) ->
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text, formatted): turns (role, text) parsed from ``formatted``; the text under the loss mask."""
+    """(conv_id, turns, loss_text, formatted): turns (role, text) parsed from ``formatted``; the text under the loss mask.
+
+    A conversation without messages has no turns and an empty loss text; empty roles and texts, ties, repeated messages and texts
+    of any length come back as they went in; an empty table stays empty. Columns of other names aren't kept.
+    """
     cut = F.split("formatted", r"<\|im_end\|>\n", -1)
     bodies = F.transform(F.slice(cut, 1, F.size(cut) - 1), lambda t: F.substr(t, F.lit(len(START) + 1)))
 
@@ -162,6 +166,12 @@ def events_of(conversations: DataFrame) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of conversation -1, read back from what was rendered.
+
+    Null texts are empty; rows that share a turn, also repeated ones, are messages of their own by role and text; rows without
+    a conv_id are one conversation of that id. Texts of any length are rendered whole, and of an empty table
+    conversation -1 is left. Other columns aren't read.
+    """
     hard = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),

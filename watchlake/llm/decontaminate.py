@@ -165,6 +165,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it contains; nulls, repeats, ties, long texts and empty tables as in ``contained_items``."""
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

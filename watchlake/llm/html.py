@@ -337,5 +337,6 @@ def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
 
 
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its length in code points; null, broken, long and repeated pages and empty tables as in ``extract``."""
     found = extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -238,6 +238,7 @@ def scan_licenses(
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases, labels and score of every document; nulls, repeats, long texts and empty tables as in ``scan_licenses``."""
     found = scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
     return found.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",

@@ -202,7 +202,11 @@ def padded(text: bytes | None) -> bytes:
 
 
 def with_media(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The kept columns, n_bytes (of the text) and media, the padded text as a transport stream. A null text is empty."""
+    """The kept columns, n_bytes (of the text) and media, the padded text as a transport stream.
+
+    A null or empty text is a payload of 64 bytes 0; texts of any length are stored whole. Equal texts have equal streams, repeated
+    rows stay repeated, and an empty table stays empty. Of the kept columns none may be called n_bytes or media.
+    """
     body = free_name([*keep, "n_bytes", "media"], "body")
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("media", "binary")
 
@@ -265,6 +269,7 @@ def stream_index(df: DataFrame, keep: list[str], media: str = "media") -> DataFr
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document, read back from its stored stream; nulls, repeats, long texts and empty tables as in ``with_media``."""
     stored = materialize(with_media(table(spark, sf_dir, "documents"), ["doc_id"]), "media")
     x = stream_index(stored, ["doc_id", "n_bytes"])
     total = lambda field: F.aggregate("streams", F.lit(0).cast("long"), lambda a, s: a + s[field])

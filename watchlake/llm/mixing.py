@@ -211,4 +211,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; nulls, ties, repeats and empty tables as in ``mix``."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -103,7 +103,8 @@ def normal_equations(rows: DataFrame, model: QualityModel, fan_in: int = 8, part
     """The sums of z z' and z y over ``rows``: one packed matrix for each partition that has rows, added in a tree.
 
     ``rows`` is a bounded sample, however many files it lies in; it is read in ``parts`` partitions (as many as there are
-    cores). A task adds ``fan_in`` matrices at most, and the driver the last ``fan_in``.
+    cores). A task adds ``fan_in`` matrices at most, and the driver the last ``fan_in``. Rows need x and label, without nulls; repeated
+    ones count each; without rows the sums are zero.
     """
     size = model.omega.shape[1] + 1
     parts = parts or max(1, rows.sparkSession.sparkContext.defaultParallelism)
@@ -170,6 +171,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document; null and empty texts are scored too, repeated rows each on its own, an empty table stays empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = fit_quality(docs, table(spark, sf_dir, "labels")).score(docs)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -48,7 +48,11 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None, width: int = 4) -> DataFrame:
-    """The kept columns of ``docs`` and ``fp``, the fingerprint as a signed long. Null and empty texts have 0."""
+    """The kept columns of ``docs`` and ``fp``, the fingerprint as a signed long.
+
+    Null and empty texts have 0; texts of any length are read whole. Equal texts have equal fingerprints, repeated rows stay
+    repeated, and an empty table stays empty. Other columns may have any names; of the kept ones none may be called fp.
+    """
     keep = ["doc_id"] if keep is None else keep
     schema = docs.select(*keep).schema.add("fp", "long")
     body = free_name(keep, "body")
@@ -315,7 +319,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Near copies share at least 0.8 of their five-word shingles (Jaccard, compared exactly); groups are what such
     pairs connect. op1's fingerprints and radius are its query's own. Rows that repeat id and text count as one
     document; other texts of a repeated id are documents of their own. Rows without a doc_id are held against each
-    other alone: one of each group stays.
+    other alone: one of each group stays. Null and empty texts are copies of each other. An empty table stays empty, and further
+    columns may have any names.
     """
     ids, roots = similar_rows(docs)
     by_fp = ids.groupBy("fp", F.isnull("doc_id").alias("no_id")).agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
