@@ -181,10 +181,11 @@ def test_sketches_never_lose_similar_sets():
         assert all(np.array_equal(x, y) for x, y in zip(got, want))
 
 
-@pytest.mark.parametrize("many", [2, 16])
-def test_stage_with_passages_that_many_texts_share(spark, monkeypatch, many):
+@pytest.mark.parametrize(("many", "crowd", "block", "large"), [(2, 64, 4000, 1000), (16, 1, 5, 1000), (16, 3, 9, 60)])
+def test_stage_with_passages_that_many_texts_share(spark, monkeypatch, many, crowd, block, large):
     """Shared passages make no duplicates, near copies among such texts are found, and hot shingles change no result."""
-    monkeypatch.setattr(jaccard, "MANY", many)
+    for name, value in (("MANY", many), ("CROWD", crowd), ("BLOCK", block), ("LARGE", large)):
+        monkeypatch.setattr(jaccard, name, value)
     monkeypatch.setattr(jaccard, "common_shingles", lambda docs: np.empty(0, np.uint64))
     rng = np.random.default_rng(12)
     word = lambda: f"v{rng.integers(0, 5000)}"
@@ -198,5 +199,7 @@ def test_stage_with_passages_that_many_texts_share(spark, monkeypatch, many):
                 text[at] = word()
             rows.append((len(rows), " ".join(text[:10]) + f" {passages[g % 3]} " + " ".join(text[10:])))
     rows += [(len(rows) + k, passages[0] + f" end {k}") for k in range(20)]
+    wide = [word() for _ in range(40)]  # a group of copies near the threshold: some are similar to a few others only
+    rows += [(len(rows) + k, " ".join(w if rng.random() > 0.03 else word() for w in wide)) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == {d for d, _ in brute_stage(rows)}
