@@ -22,10 +22,11 @@ from watchlake.streaming import streams as S
 CHUNKS = 4
 
 
-def write_chunks(rows: DataFrame, path: str, order: str, by: str, turns: tuple[int, ...] = (0, 1, 2, 3), closing: DataFrame | None = None) -> None:
-    """``rows`` as files that appear one after the other: ranges of ``order``, in the given turns, a key's rows of a range in one file.
+def write_chunks(rows: DataFrame, path: str, order: str, turns: tuple[int, ...] = (0, 1, 2, 3), closing: DataFrame | None = None) -> Iterator[None]:
+    """``rows`` as chunks that appear one after the other, in the given turns: ranges of ``order``. Goes on after each of them.
 
-    ``closing`` rows come last, twice: the first move the watermark, and the batch of the second sees that.
+    A chunk has as many files as tasks wrote it. ``closing`` rows come last, twice: the first move the watermark, and the
+    batch of the second sees that.
     """
     x = F.col(order).cast("double")
     rows = written(rows, "stream-rows")
@@ -35,9 +36,11 @@ def write_chunks(rows: DataFrame, path: str, order: str, by: str, turns: tuple[i
         lo, hi = ends[k]
         part = rows if lo is None else rows.where(x > lo)
         part = part if hi is None else part.where(x <= hi)
-        part.repartition(by).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
+        yield
     for _ in range(2 if closing is not None else 0):
         closing.coalesce(1).write.mode("append").parquet(path)
+        yield
 
 
 @contextmanager
@@ -55,25 +58,27 @@ def rocks(spark: SparkSession) -> Iterator[None]:
 SHUFFLED = (2, 0, 3, 1)
 
 
-def streamed(spark: SparkSession, rows: DataFrame, run, mode: str, order: str, by: str, key: str | None = None, **files) -> DataFrame:
-    """Write ``rows`` as files, as ``write_chunks`` does, stream them through ``run``, a file a trigger, and return what the sink holds.
+def streamed(spark: SparkSession, rows: DataFrame, run, mode: str, order: str, key: str | None = None, **chunks) -> DataFrame:
+    """Write ``rows`` in chunks, as ``write_chunks`` does, stream each through ``run`` once it is there, and return what the sink holds.
 
+    A chunk is one batch, however many files it has: so the number of batches doesn't grow with the rows, and the rows of one
+    of its files can't move the watermark past those of another. The stream goes on from its checkpoint.
     In update mode each batch's rows are kept with the batch's number, and the last row of a key counts.
     """
     root = DayStore.temporary(spark).path
     source, out, at = f"{root}/in", f"{root}/out", f"{root}/checkpoint"
-    write_chunks(rows, source, order, by, **files)
-    stream = run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source))
-    schema, writer = stream.schema, stream.writeStream.option("checkpointLocation", at).trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
-        return spark.read.schema(schema).parquet(out)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
 
-    writer.foreachBatch(keep).outputMode(mode).start().awaitTermination()
-    got = spark.read.schema(schema.add("batch", "integer")).parquet(out)
+    for _ in write_chunks(rows, source, order, **chunks):
+        stream = run(spark.readStream.schema(rows.schema).parquet(source))
+        writer = stream.writeStream.option("checkpointLocation", at).trigger(availableNow=True).outputMode(mode)
+        writer = writer.format("parquet").option("path", out) if mode == "append" else writer.foreachBatch(keep)
+        writer.start().awaitTermination()
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    got = spark.read.schema(stream.schema.add("batch", "integer")).parquet(out)
     names = [c for c in got.columns if c not in ("batch", *key.split(","))]
     last = got.groupBy(*key.split(",")).agg(F.max_by(F.struct(*names), "batch").alias("r"))
     return last.select(*key.split(","), "r.*")
@@ -85,7 +90,7 @@ def st03(spark: SparkSession, d: str) -> DataFrame:
     """Sessions that the watermark has passed by the end of the stream."""
     m = view(spark, d, "fx_motion").distinct()
     rows = m.select("video", F.timestamp_millis(F.col("frame") * 40).alias("ts"))
-    got = streamed(spark, rows, lambda s: S.motion_sessions(s, "3 seconds", "10 seconds"), "append", "ts", "video")
+    got = streamed(spark, rows, lambda s: S.motion_sessions(s, "3 seconds", "10 seconds"), "append", "ts")
     frame = lambda c: F.floor(F.unix_millis(c) / 40).cast("long")
     last = m.agg(F.max("frame").alias("m"))
     found = got.select("video", frame("start").alias("start_frame"), frame("end").alias("end_frame"))
@@ -95,10 +100,10 @@ def st03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ST02_streaming_ledger", q_ops._STATE + " SELECT path, status, CAST(end_ts AS DOUBLE) AS end_ts, CAST(start_ts AS DOUBLE) AS start_ts FROM st")
 def st02s(spark: SparkSession, d: str) -> DataFrame:
-    """Updates with extras, in files that come out of order."""
+    """Updates with extras, in chunks that come out of order."""
     rows = q_ops.ledger_rows(spark, d)
     with rocks(spark):
-        return streamed(spark, rows, lambda s: S.ledger_updates(s, ("end_ts", "start_ts")), "update", "seq", "path", "path", turns=SHUFFLED)
+        return streamed(spark, rows, lambda s: S.ledger_updates(s, ("end_ts", "start_ts")), "update", "seq", "path", turns=SHUFFLED)
 
 
 @query("ST07_streaming_throttle", "WITH RECURSIVE " + cte("fx_burst").replace(" AS at ", " AS tm ") + """, q AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tm, n) AS i FROM fx_burst),
@@ -106,22 +111,22 @@ f AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS i, CAST(NULL AS B
 UNION ALL SELECT q.key, q.n, q.i, CASE WHEN f.l IS NULL OR q.tm - f.l >= 3600 THEN q.tm ELSE f.l END, CASE WHEN f.l IS NULL OR q.tm - f.l >= 3600 THEN 0 ELSE f.held + 1 END, CASE WHEN f.l IS NULL OR q.tm - f.l >= 3600 THEN f.held END FROM f JOIN q ON q.key = f.key AND q.i = f.i + 1)
 SELECT key, n, o AS suppressed FROM f WHERE o IS NOT NULL""")
 def st07s(spark: SparkSession, d: str) -> DataFrame:
-    """Rows in files that come out of order, late by the whole table; a row from 2100 moves the watermark past all."""
+    """Rows in chunks that come out of order, late by the whole table; a row from 2100 moves the watermark past all."""
     rows = view(spark, d, "fx_burst").select("key", F.timestamp_seconds("at").alias("ts"), "at", "n")
     closing = spark.sql("SELECT 'closing' AS key, TIMESTAMP '2100-01-01 00:00:00' AS ts, 4102444800L AS at, -1L AS n").select(*(F.col(c).cast(t) for c, t in rows.dtypes))
     with rocks(spark):
-        return streamed(spark, rows, lambda s: S.throttled_stream(s, 3600, "7000 days"), "append", "at", "key", turns=SHUFFLED, closing=closing)
+        return streamed(spark, rows, lambda s: S.throttled_stream(s, 3600, "7000 days"), "append", "at", turns=SHUFFLED, closing=closing)
 
 
 @query("ST08_live_summary", q_logs._VID + " SELECT CAST(day AS VARCHAR) AS day, video, status, pipeline_error, full_s, reaction, gate_dir FROM vid")
 def st08(spark: SparkSession, d: str) -> DataFrame:
-    got = streamed(spark, view(spark, d, "fx_log"), S.live_video_summary, "update", "n", "day", "day,video")
+    got = streamed(spark, view(spark, d, "fx_log"), S.live_video_summary, "update", "n", "day,video")
     return got.select(F.col("day").cast("string").alias("day"), "video", "status", "pipeline_error", "full_s", "reaction", "gate_dir")
 
 
 @query("ST06_live_state", q_logs._PTS + " SELECT CAST(day AS VARCHAR) AS day, arg_max(type, (minute, ts, n)) AS state, max(minute) AS at_minute, count(*) AS events FROM pts GROUP BY day")
 def st06s(spark: SparkSession, d: str) -> DataFrame:
-    got = streamed(spark, q_logs.pts(spark, d), S.live_state, "update", "n", "day", "day")
+    got = streamed(spark, q_logs.pts(spark, d), S.live_state, "update", "n", "day")
     return got.withColumn("day", F.col("day").cast("string"))
 
 
@@ -129,7 +134,7 @@ def st06s(spark: SparkSession, d: str) -> DataFrame:
 def s09(spark: SparkSession, d: str) -> DataFrame:
     """The file source over files as they lie there, exact repeats dropped within the watermark."""
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n"), F.col("ts").cast("timestamp").alias("ts"))
-    return streamed(spark, e.unionAll(e), lambda s: S.once(s, "n", late="400 days"), "append", "ts", "n").select("n")
+    return streamed(spark, e.unionAll(e), lambda s: S.once(s, "n", late="400 days"), "append", "ts").select("n")
 
 
 @query("S09_mp4_stream", "SELECT 'cam_' || CAST(user_id AS VARCHAR) || '.mp4' AS name, count(*) AS length FROM events GROUP BY user_id")
@@ -156,10 +161,10 @@ def st08d(spark: SparkSession, d: str) -> DataFrame:
     Half of the days are closed at the end, so statistics come from the kept ones and from states.
     """
     root, store, rows = DayStore.temporary(spark).path, LiveDayStore.temporary(spark), view(spark, d, "fx_log")
-    write_chunks(rows, f"{root}/in", "n", "day", turns=SHUFFLED)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    writer = stream.writeStream.foreachBatch(S.day_store_sink(store)).option("checkpointLocation", f"{root}/checkpoint")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    for _ in write_chunks(rows, f"{root}/in", "n", turns=SHUFFLED):
+        stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+        writer = stream.writeStream.foreachBatch(S.day_store_sink(store)).option("checkpointLocation", f"{root}/checkpoint")
+        writer.trigger(availableNow=True).start().awaitTermination()
     first, last = store.videos().agg(F.min("day"), F.max("day")).first()
     if first is not None:
         store.close(F.lit(first + (last - first) / 2))
@@ -182,11 +187,11 @@ def st04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("ST04_streaming_resolver")
 def st04x(spark: SparkSession, d: str) -> DataFrame:
-    """The resolver over a stream of files that come out of order: the tests hold it against the batch resolver."""
+    """The resolver over a stream of chunks that come out of order: the tests hold it against the batch resolver."""
     rows = _people(spark, d).select("video", "clip_index", F.timestamp_millis(F.col("frame") * 40 + 86_400_000).alias("ts"), "frame", "track_id", "conf", "x1", "y1", "x2", "y2")
     closing = rows.limit(1).withColumns({"video": F.lit(-1).cast(rows.schema["video"].dataType), "ts": F.lit("2100-01-01 00:00:00").cast("timestamp")})
     with rocks(spark):
-        return streamed(spark, rows, lambda s: S.resolved_stream(s, 25.0, trust=_TRUST, late="7000 days"), "append", "frame", "video", turns=SHUFFLED, closing=closing)
+        return streamed(spark, rows, lambda s: S.resolved_stream(s, 25.0, trust=_TRUST, late="7000 days"), "append", "frame", turns=SHUFFLED, closing=closing)
 
 
 @query("ST04_entity_states")
