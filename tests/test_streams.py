@@ -17,3 +17,11 @@ def test_the_files_of_a_chunk_are_one_batch(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_ledger_state_is_an_aggregation(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, "queued", None)], "path long, seq long, status string, end_ts double")
+    rows.write.parquet(f"file://{tmp_path}/in")
+    live = streams.ledger_updates(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), ("end_ts",))
+    plan = live._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "TransformWithState" not in plan

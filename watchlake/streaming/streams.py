@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from watchlake.operators import entities
 from watchlake.operators import logs as L
+from watchlake.operators import ops as O
 from watchlake.params import MatchParams, TrustParams
 from watchlake.sources.store import LiveDayStore
 
@@ -41,54 +42,13 @@ def once(rows: DataFrame, *key: str, late: str = "1 hour") -> DataFrame:
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(key))
 
 
-class _Ledger(StatefulProcessor):
-    """What decides a path's status, and its fields' last values, each with its place: so rows may come in any order."""
-
-    def __init__(self, extras: tuple[str, ...]):
-        self.extras = extras
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.status = handle.getValueState("status", "completed boolean, last_at bigint, last string, other_at bigint, other string")
-        self.fields = handle.getMapState("fields", "name string", "at bigint, value double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done, last_at, last, other_at, other = self.status.get() if self.status.exists() else (False, None, None, None, None)
-        for pdf in rows:  # a chunk at a time
-            at = pdf["seq"].to_numpy()
-            done = bool(done or (pdf["status"] == "completed").any())
-            k = int(at.argmax())
-            if last_at is None or at[k] >= last_at:
-                last_at, last = int(at[k]), pdf["status"].iloc[k]
-            rest = pdf[pdf["status"] != "queued"]
-            if len(rest):
-                k = int(rest["seq"].to_numpy().argmax())
-                if other_at is None or rest["seq"].iloc[k] >= other_at:
-                    other_at, other = int(rest["seq"].iloc[k]), rest["status"].iloc[k]
-            for name in self.extras:
-                some = pdf[pdf[name].notna()]
-                if len(some):
-                    k = int(some["seq"].to_numpy().argmax())
-                    new = (int(some["seq"].iloc[k]), float(some[name].iloc[k]))
-                    if not self.fields.containsKey((name,)) or new[0] >= self.fields.getValue((name,))[0]:
-                        self.fields.updateValue((name,), new)
-        self.status.update((done, last_at, last, other_at, other))
-        now = "completed" if done else last if last != "queued" else "started" if other == "started" else "queued"
-        more = {name: [self.fields.getValue((name,))[1] if self.fields.containsKey((name,)) else None] for name in self.extras}
-        yield pd.DataFrame({"path": [key[0]], "status": [now], **{k: pd.array(v, "Float64") for k, v in more.items()}})
-
-    def close(self) -> None:
-        pass
-
-
 def ledger_updates(updates: DataFrame, extras: tuple[str, ...] = ()) -> DataFrame:
     """(path, status, extras) after each batch of ledger updates (path, seq, status, extras), update mode.
 
-    As ``ops.ledger_state``: rows may come in any order, as only their seq counts. Extras are numbers; one keeps its last value
-    that isn't null.
+    ``ops.ledger_state`` as a streaming aggregation: a path's state is what decides its status, and its fields' last values,
+    each with its place, so rows may come in any order. Extras are numbers; one keeps its last value that isn't null.
     """
-    schema = "path long, status string" + "".join(f", {c} double" for c in extras)
-    rows = updates.select("path", "seq", "status", *(F.col(c).cast("double").alias(c) for c in extras))
-    return rows.groupBy("path").transformWithStateInPandas(_Ledger(tuple(extras)), schema, "Update", "None")
+    return O.ledger_state(updates.select("path", "seq", "status", *(F.col(c).cast("double").alias(c) for c in extras)), extras)
 
 
 class _Waiting(StatefulProcessor):
