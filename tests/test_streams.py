@@ -1,5 +1,6 @@
 """Streams: batches don't depend on how many files a chunk has, and states that take few calls."""
 
+from watchlake.operators import entities
 from watchlake.plans import q_streams
 from watchlake.streaming import streams
 
@@ -25,3 +26,16 @@ def test_ledger_state_is_an_aggregation(spark, tmp_path):
     live = streams.ledger_updates(spark.readStream.schema(rows.schema).parquet(f"file://{tmp_path}/in"), ("end_ts",))
     plan = live._jdf.queryExecution().analyzed().toString()
     assert "Aggregate" in plan and "TransformWithState" not in plan
+
+
+def test_events_of_a_task_go_through_one_after_the_other(spark):
+    """No call an event; and where events change within a task, nothing of the one before is left."""
+    people = q_streams._people(spark, SF).select("video", "clip_index", "frame", "track_id", "conf", "x1", "y1", "x2", "y2")
+    got = entities.resolve(people, 25.0, trust=q_streams._TRUST)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    want = []
+    for (video, clip), pdf in people.toPandas().groupby(["video", "clip_index"]):
+        rows = entities.followed(entities.Resolver(25.0, 1, 810.0, trust=q_streams._TRUST), pdf)
+        want += [(video, clip, *r) for r in rows.itertuples(index=False)]
+    assert sorted(map(tuple, got.coalesce(1).collect())) == sorted(want)

@@ -10,8 +10,10 @@ trusted entities are accepted and can make others duplicates.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,7 @@ class Resolver:
     def __init__(self, fps: float, stride: int, line_y: float, p: MatchParams = MatchParams(), trust: TrustParams = TrustParams()):
         self.p, self.trusts, self.line_y, self.most_gap = p, trust, line_y, int(p.gap_s * fps * stride)
         self.boxes: list[tuple] = []
+        self.sizes: list[tuple[float, bool]] = []  # of each box: its diagonal, 1 at least, and whether it is above the line
         self.frames: list[int] = []
         self.trust: list[Trust] = []
         self.of_track: dict[int, int] = {}
@@ -76,41 +79,55 @@ class Resolver:
         """Take over what ``dump`` gave."""
         for _, x1, y1, x2, y2, frame, x, y, far, total, n, state in sorted(entities):
             self.boxes.append((x1, y1, x2, y2))
+            self.sizes.append(self._size(self.boxes[-1]))
             self.frames.append(frame)
             t = Trust(x, y)
             t.far, t.total, t.n, t.state = far, total, n, state
             self.trust.append(t)
         self.of_track = dict(tracks)
 
-    def _recent(self, frame: int) -> Iterator[tuple[int, float]]:
-        """Entities seen within the largest gap, with the gap's share of it."""
-        for e, last in enumerate(self.frames):
-            if frame - last <= self.most_gap:
-                yield e, min(1.0, max(0.0, (frame - last) / max(1.0, self.most_gap)))
+    def _size(self, box: tuple) -> tuple[float, bool]:
+        return max(1.0, _diagonal(box)), self._above(box)
+
+    def _share(self, gap: int) -> float:
+        """A gap's share of the largest."""
+        return min(1.0, max(0.0, gap / max(1.0, self.most_gap)))
 
     def _overlapping(self, frame: int, box: tuple) -> int | None:
-        best = max(self._recent(frame), key=lambda x: (_iou(box, self.boxes[x[0]]), -x[0]), default=None)
-        if best is None:
+        """Of the entities seen within the largest gap, the first that overlaps most, if it does so enough."""
+        x1, y1, x2, y2 = box
+        oldest, e, over = frame - self.most_gap, None, -1.0
+        for k, (last, (u1, v1, u2, v2)) in enumerate(zip(self.frames, self.boxes)):
+            if last >= oldest:
+                got = _iou(box, (u1, v1, u2, v2)) if x1 < u2 and u1 < x2 and y1 < v2 and v1 < y2 else 0.0
+                if got > over:
+                    e, over = k, got
+        if e is None:
             return None
-        e, g = best
-        other = self.boxes[e]
-        over, allowed = _iou(box, other), max(1.0, _diagonal(other))
-        ratio = max(_area(box), _area(other)) / min(_area(box), _area(other))
-        near = _apart(box, other) <= max(0.15, self.p.distance * (1 - 0.5 * g)) * allowed
+        g, other = self._share(frame - self.frames[e]), self.boxes[e]
         if over >= min(0.9, self.p.iou + 0.2 * g):
             return e
-        if over >= min(0.8, self.p.iou_near + 0.2 * g) and near and ratio <= max(1.3, self.p.size_ratio - 0.3 * g):
-            return e
+        if over >= min(0.8, self.p.iou_near + 0.2 * g):
+            ratio = max(_area(box), _area(other)) / min(_area(box), _area(other))
+            near = _apart(box, other) <= max(0.15, self.p.distance * (1 - 0.5 * g)) * max(1.0, _diagonal(other))
+            if near and ratio <= max(1.3, self.p.size_ratio - 0.3 * g):
+                return e
         return None
 
     def _above(self, box: tuple) -> bool:
         return int((box[1] + box[3]) / 2) < self.line_y
 
     def _across(self, frame: int, box: tuple) -> int | None:
-        for e, g in self._recent(frame):
-            other = self.boxes[e]
-            allowed, gone = max(1.0, _diagonal(other)), _apart(box, other)
-            if self._above(box) != self._above(other):
+        """The first of the entities seen within the largest gap that is near on the other side of the line, or nearer on this one."""
+        oldest, above = frame - self.most_gap, self._above(box)
+        for e, (last, (allowed, side)) in enumerate(zip(self.frames, self.sizes)):
+            if last < oldest:
+                continue
+            other, most = self.boxes[e], 0.61 * allowed  # nothing further away than that counts
+            if abs(box[0] + box[2] - other[0] - other[2]) > 2 * most or abs(box[1] + box[3] - other[1] - other[3]) > 2 * most:
+                continue
+            g, gone = self._share(frame - last), _apart(box, other)
+            if above != side:
                 if gone <= 0.6 * (1 - 0.5 * g) * allowed:
                     return e
             elif g <= 0.3 and gone <= 0.4 * allowed:
@@ -142,10 +159,11 @@ class Resolver:
                 if e is None or e in used:
                     e, refresh = len(self.boxes), True
                     self.boxes.append(box)
+                    self.sizes.append(self._size(box))
                     self.frames.append(frame)
                     self.trust.append(Trust((box[0] + box[2]) * 0.5, (box[1] + box[3]) * 0.5))
             if refresh:
-                self.boxes[e], self.frames[e] = box, frame
+                self.boxes[e], self.frames[e], self.sizes[e] = box, frame, self._size(box)
             self.of_track[track] = e
             used.add(e)
             state = self.trust[e].update((box[0] + box[2]) * 0.5, (box[1] + box[3]) * 0.5, conf, self.trusts)
@@ -155,14 +173,19 @@ class Resolver:
         return out
 
 
+def _go_through(state: Resolver, frame: int, people: list[tuple[int, float, tuple]]) -> Iterator[tuple]:
+    """What the resolver makes of a frame: (frame, track, entity, state, middle) of those that aren't duplicates."""
+    for (t, _, b), got in zip(people, state.frame(frame, people)):
+        if got:
+            yield frame, t, *got, (b[0] + b[2]) / 2, (b[1] + b[3]) / 2
+
+
 def followed(state: Resolver, pdf: pd.DataFrame) -> pd.DataFrame:
     """What the resolver makes of some detections, which it goes through by frame and falling confidence."""
     pdf, rows = pdf.sort_values(["frame", "conf", "track_id", "x1", "y1", "x2", "y2"], ascending=[True, False, True, True, True, True, True]), []
-    for frame, part in pdf.groupby("frame", sort=True):
-        found = [(int(t), float(c), tuple(map(float, b))) for t, c, *b in part[["track_id", "conf", "x1", "y1", "x2", "y2"]].itertuples(index=False)]
-        for (t, _, b), got in zip(found, state.frame(int(frame), found)):
-            if got:
-                rows.append((int(frame), t, *got, (b[0] + b[2]) / 2, (b[1] + b[3]) / 2))
+    columns = (pdf[c].tolist() for c in ["frame", "track_id", "conf", "x1", "y1", "x2", "y2"])
+    for frame, part in groupby(zip(*columns), key=lambda r: r[0]):
+        rows += _go_through(state, int(frame), [(int(t), float(c), tuple(map(float, b))) for _, t, c, *b in part])
     return pd.DataFrame(rows, columns=["frame", "track_id", "entity_id", "state", "cx", "cy"])
 
 
@@ -174,16 +197,28 @@ def resolve(
 ) -> DataFrame:
     """The columns of ``RESOLVED`` of people's detections that aren't duplicates; needs conf and x1, y1, x2, y2.
 
-    Entities are numbered from 0 in each event. Equal confidences go by track id, then by box. An event is a bounded stretch of
-    one clip, so it is one group; events go to different tasks.
+    Entities are numbered from 0 in each event. Equal confidences go by track id, then by box. Events go to different tasks,
+    sorted; a task goes through its rows as they come and holds the state of one event.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = followed(Resolver(fps, stride, line_y, p, trust), pdf)
-        return rows.assign(video=pdf["video"].iloc[0], clip_index=pdf["clip_index"].iloc[0])[["video", "clip_index", *rows.columns]]
-
-    cols = ["video", "clip_index", "frame", "track_id", "conf", "x1", "y1", "x2", "y2"]
-    return people.select(*cols).groupBy("video", "clip_index").applyInPandas(run, RESOLVED)
+    kind = pa.schema([(c, {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[t]) for c, t in (x.split() for x in RESOLVED.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple] = []
+        for event, mine in groupby(rows, key=lambda r: r[:2]):
+            state = Resolver(fps, stride, line_y, p, trust)
+            for frame, part in groupby(mine, key=lambda r: r[2]):
+                out += ((*event, *r) for r in _go_through(state, frame, [(t, c, tuple(b)) for _, _, _, t, c, *b in part]))
+                if len(out) >= 10_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind)
+
+    event, boxes = ["video", "clip_index"], ["x1", "y1", "x2", "y2"]
+    rows = people.select(*event, "frame", "track_id", *(F.col(c).cast("double").alias(c) for c in ["conf", *boxes]))
+    rows = rows.repartition(*event).sortWithinPartitions(*event, "frame", F.desc("conf"), "track_id", *boxes)
+    return rows.mapInArrow(run, RESOLVED)
 
 
 def suppressed_tracks(resolved: DataFrame) -> DataFrame:
