@@ -1,5 +1,9 @@
 """Streams: batches don't depend on how many files a chunk has, and states that take few calls."""
 
+import random
+
+import numpy as np
+import pandas as pd
 from watchlake.operators import entities
 from watchlake.plans import q_streams
 from watchlake.streaming import streams
@@ -39,3 +43,40 @@ def test_events_of_a_task_go_through_one_after_the_other(spark):
         rows = entities.followed(entities.Resolver(25.0, 1, 810.0, trust=q_streams._TRUST), pdf)
         want += [(video, clip, *r) for r in rows.itertuples(index=False)]
     assert sorted(map(tuple, got.coalesce(1).collect())) == sorted(want)
+
+
+def test_passing_goes_on_from_what_passed_last():
+    rng = random.Random(2)
+    for cooldown in (0, 1, 7, 400):
+        last, held, rows, state = None, 0, sorted(rng.randrange(900) for _ in range(300)), (None, 0)
+        for part in (rows[:90], rows[90:91], rows[91:]):
+            want = []
+            for i, at in enumerate(part):
+                if last is None or at - last >= cooldown:
+                    want.append((i, held))
+                    last, held = at, 0
+                else:
+                    held += 1
+            out, *state = streams.passing(np.array(part), cooldown, *state)
+            assert out == want and tuple(state) == (last, held)
+
+
+def test_a_chunk_of_waiting_rows_is_one_entry():
+    class Handle:
+        def getListState(self, name, schema):
+            self.waiting = Lists()
+            return self.waiting
+
+        def getValueState(self, name, schema):
+            return None
+
+        def registerTimer(self, at):
+            self.timer = at
+
+    class Lists(list):
+        appendList = list.extend
+
+    handle, state = Handle(), streams._Throttle(1)
+    state.init(handle)
+    list(state.handleInputRows(("k",), iter([pd.DataFrame({"ms": [5, 9], "at": [1, 2], "n": [3, 4]})]), None))
+    assert len(handle.waiting) == 1 and handle.timer == 9

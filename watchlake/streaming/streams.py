@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,37 +56,45 @@ class _Waiting(StatefulProcessor):
     """Rows of a key that wait until the watermark has passed them, and then go on in their order.
 
     A timer at the last row of each batch lets go what the watermark covers by then. ``columns`` are the names and types of
-    what a row keeps, time in milliseconds first.
+    what a row keeps, time in milliseconds first. The rows of a chunk lie in the state as one record array, so that a
+    chunk is one call, however many rows it has.
     """
 
     columns = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.columns)
-        self.names = [c.split()[0] for c in self.columns.split(", ")]
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.kind = np.dtype([(c.split()[0], {"bigint": "<i8", "double": "<f8"}[c.split()[1]]) for c in self.columns.split(", ")])
+        self.names = list(self.kind.names)
+
+    def _packed(self, pdf: pd.DataFrame) -> tuple[bytes]:
+        rows = np.empty(len(pdf), self.kind)
+        for c in self.names:
+            rows[c] = pdf[c].to_numpy()
+        return (rows.tobytes(),)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        latest, chunks = None, []
         for pdf in rows:
-            kept = pdf[self.names]
-            self.waiting.appendList([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in kept.itertuples(index=False)])
-            latest = max(latest or 0, int(kept[self.names[0]].max()))
+            chunks.append(self._packed(pdf))
+            latest = max(latest or 0, int(pdf[self.names[0]].max()))
         if latest is not None:
+            self.waiting.appendList(chunks)
             self.handle.registerTimer(latest)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()), columns=self.names)
-        stay = rows[rows[self.names[0]] > passed]
-        if len(stay):
-            self.waiting.put([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in stay.itertuples(index=False)])
+        rows = np.concatenate([np.empty(0, self.kind), *(np.frombuffer(r[0], self.kind) for r in self.waiting.get())])
+        rows = pd.DataFrame({c: rows[c] for c in self.names})
+        late = rows[self.names[0]] > passed
+        if late.any():
+            self.waiting.put([self._packed(rows[late])])
         else:
             self.waiting.clear()
-        ready = rows[rows[self.names[0]] <= passed]
-        if len(ready):
-            yield from self.go_on(key, ready, not len(stay), passed)
+        if len(rows) and not late.all():
+            yield from self.go_on(key, rows[~late], not late.any(), passed)
 
     def go_on(self, key, rows: pd.DataFrame, all_: bool, passed: int) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
@@ -94,6 +103,21 @@ class _Waiting(StatefulProcessor):
         pass
 
 
+def passing(at: np.ndarray, cooldown: int, last: int | None, held: int) -> tuple[list[tuple[int, int]], int | None, int]:
+    """(place, rows held before it) of the sorted times that pass, then the last that did and how many were held since.
+
+    From one that passes the next is looked up, so the steps are as many as pass.
+    """
+    out, i, n = [], 0 if last is None else int(np.searchsorted(at, last + cooldown)), len(at)
+    if i >= n:
+        return [], last, held + n
+    out.append((i, held + i))
+    while (j := max(i + 1, int(np.searchsorted(at, at[i] + cooldown)))) < n:
+        out.append((j, j - i - 1))
+        i = j
+    return out, int(at[i]), n - i - 1
+
+
 class _Throttle(_Waiting):
     """When a key last passed, and how many rows were held since."""
 
@@ -108,15 +132,12 @@ class _Throttle(_Waiting):
 
     def go_on(self, key, rows: pd.DataFrame, all_: bool, passed: int) -> Iterator[pd.DataFrame]:
         last, held = self.passed.get() if self.passed.exists() else (None, 0)
-        out = []
-        for at, n in rows.sort_values(["at", "n"])[["at", "n"]].itertuples(index=False):
-            if last is None or at - last >= self.cooldown:
-                out.append((key[0], int(n), held))
-                last, held = int(at), 0
-            else:
-                held += 1
+        at, n = rows["at"].to_numpy(), rows["n"].to_numpy()
+        order = np.lexsort((n, at))
+        out, last, held = passing(at[order], self.cooldown, last, held)
         self.passed.update((last, held))
-        yield pd.DataFrame(out, columns=["key", "n", "suppressed"])
+        n = n[order]
+        yield pd.DataFrame([(key[0], int(n[i]), h) for i, h in out], columns=["key", "n", "suppressed"])
 
 
 def throttled_stream(rows: DataFrame, cooldown: int, late: str = "10 minutes") -> DataFrame:
@@ -130,7 +151,7 @@ def throttled_stream(rows: DataFrame, cooldown: int, late: str = "10 minutes") -
 
 
 class _Entities(_Waiting):
-    """The resolver of one event, whose entities and tracks lie in map states between batches."""
+    """The resolver of one event, whose entities and tracks lie in list states between batches."""
 
     columns = "ms bigint, frame bigint, track_id bigint, conf double, x1 double, y1 double, x2 double, y2 double"
 
@@ -139,8 +160,8 @@ class _Entities(_Waiting):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.entities = handle.getMapState("entities", "id bigint", "x1 double, y1 double, x2 double, y2 double, frame bigint, x double, y double, far double, total double, n bigint, state string")
-        self.tracks = handle.getMapState("tracks", "track bigint", "entity bigint")
+        self.entities = handle.getListState("entities", "id bigint, x1 double, y1 double, x2 double, y2 double, frame bigint, x double, y double, far double, total double, n bigint, state string")
+        self.tracks = handle.getListState("tracks", "track bigint, entity bigint")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
@@ -151,13 +172,11 @@ class _Entities(_Waiting):
 
     def go_on(self, key, rows: pd.DataFrame, all_: bool, passed: int) -> Iterator[pd.DataFrame]:
         state = entities.Resolver(*self.settings)
-        state.load([(k[0], *v) for k, v in self.entities.iterator()], [(k[0], v[0]) for k, v in self.tracks.iterator()])
+        state.load(map(tuple, self.entities.get()), map(tuple, self.tracks.get()))
         out = entities.followed(state, rows)
         found, tracks = state.dump()
-        for e, *rest in found:
-            self.entities.updateValue((e,), tuple(rest))
-        for t, e in tracks:
-            self.tracks.updateValue((t,), (e,))
+        self.entities.put(found)
+        self.tracks.put(tracks)
         if all_:
             self.handle.registerTimer(passed + self.idle_ms)
         yield out.assign(video=key[0], clip_index=key[1])[["video", "clip_index", *out.columns]]
@@ -169,7 +188,7 @@ def resolved_stream(
     """``entities.resolve`` over a stream of people's detections with their time ts, append mode.
 
     Detections of an event (video, clip_index) may come in any order within ``late``; they go through the resolver by frame
-    once the watermark has passed them. Its entities and tracks are kept as map states until the event has been quiet
+    once the watermark has passed them. Its entities and tracks are kept as list states until the event has been quiet
     for ``idle`` seconds of event time. (A watermark starts at 1970; times until then are late.)
     """
     timed = people.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))
