@@ -29,3 +29,9 @@ def repeated_ids(tmp_path_factory):
 @pytest.mark.parametrize("name", ["J07_probe_gallery_match", "A29_clip_decision", "J09_matched_direction", "T04_diverse_crops"])
 def test_ids_that_repeat(spark, repeated_ids, name):
     held_against_sql(spark, repeated_ids, name)
+
+
+def test_times_to_the_nearest_second(spark, tmp_path):
+    duckdb.sql(f"""copy (select event_id, timestamp '2024-01-01' + interval (event_id * 101) millisecond as ts, event_id % 3 as user_id, event_type, value, props
+      from '{SF}/events.parquet') to '{tmp_path}/events.parquet'""")
+    held_against_sql(spark, tmp_path, "J11_as_of_reading")

@@ -254,7 +254,8 @@ def a30(spark: SparkSession, d: str) -> DataFrame:
 @query("J11_as_of_reading", """WITH e AS (SELECT event_id AS n, user_id AS host, CAST(epoch(ts) AS BIGINT) AS t, value AS v, event_type FROM events), r AS (SELECT host, t, max(v) AS v FROM e WHERE event_type = 'purchase' GROUP BY host, t)
 SELECT e.n, CASE WHEN e.t - r.t <= 172800 THEN r.v END AS value FROM e ASOF LEFT JOIN r ON e.host = r.host AND e.t >= r.t WHERE e.event_type <> 'purchase'""")
 def j11(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n"), F.col("user_id").alias("host"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), "value", "event_type")
+    """Times to the nearest second."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n"), F.col("user_id").alias("host"), F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("at"), "value", "event_type")
     return O.as_of(e.where("event_type <> 'purchase'"), e.where("event_type = 'purchase'"), 172_800, "host").select("n", "value")
 
 
