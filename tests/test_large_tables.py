@@ -1,7 +1,9 @@
 """What only large tables have: ids that repeat, ties of means, times within one second."""
 
 import duckdb
+import numpy as np
 import pytest
+from watchlake.operators import tracks
 from watchlake.plans import all_queries
 
 from tests.test_queries import rows
@@ -35,3 +37,16 @@ def test_times_to_the_nearest_second(spark, tmp_path):
     duckdb.sql(f"""copy (select event_id, timestamp '2024-01-01' + interval (event_id * 101) millisecond as ts, event_id % 3 as user_id, event_type, value, props
       from '{SF}/events.parquet') to '{tmp_path}/events.parquet'""")
     held_against_sql(spark, tmp_path, "J11_as_of_reading")
+
+
+def test_means_at_the_limit_in_any_order(spark):
+    conf = [0.35, 0.94, 0.51, 0.62, 0.77, 0.63, 0.66, 0.55, 0.73]
+    seen = list(enumerate(conf))
+    total = 0.0
+    for c in conf:
+        total += c
+    mean = total / len(conf)
+    for order in (seen, seen[::-1], sorted(seen, key=lambda x: x[1]), seen[4:] + seen[:4]):
+        df = spark.createDataFrame([(1, 0, 7, f, c) for f, c in order], "video long, clip_index long, track_id long, frame long, conf double").coalesce(1)
+        assert tracks.low_confidence(df, mean).count() == 0
+        assert tracks.low_confidence(df, np.nextafter(mean, 1)).count() == 1

@@ -151,6 +151,17 @@ def person_frames(det: DataFrame, polygon: Column, least: int = CrossingParams.p
     return found.where(F.col("frames") >= least)
 
 
+def low_confidence(det: DataFrame, least: float) -> DataFrame:
+    """(video, clip_index, track_id) of tracks whose mean confidence in an event is below ``least``.
+
+    Confidences are added up by frame, so that a mean at the limit doesn't depend on the order in which rows come. A track
+    has a row or a few for each of an event's frames, so its list is short.
+    """
+    rows = det.groupBy("video", "clip_index", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame", "conf"))).alias("seen"))
+    mean = F.aggregate("seen", F.lit(0.0), lambda s, x: s + x["conf"]) / F.size("seen")
+    return rows.where(mean < least).select("video", "clip_index", "track_id")
+
+
 def without_suppressed(rows: DataFrame, suppressed: DataFrame) -> DataFrame:
     """Rows whose track of that event isn't suppressed."""
     return rows.join(suppressed.select("video", "clip_index", "track_id"), ["video", "clip_index", "track_id"], "left_anti")

@@ -312,7 +312,7 @@ _ROI = [(200, 780), (1500, 780), (1500, 830), (200, 830)]
 def _events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = det(spark, d).withColumn("clip_index", F.floor(F.col("frame") / 30))
     kept = K.person_frames(rows, F.array(*(F.array(F.lit(x), F.lit(y)) for x, y in _ROI)))
-    return rows, kept, rows.groupBy("video", "clip_index", "track_id").agg(F.avg("conf").alias("m")).where("m < 0.64")
+    return rows, kept, K.low_confidence(rows, 0.64)
 
 
 @query("A25_unique_objects", _EVENTS + """, p AS (SELECT video, track_id, cls FROM ev SEMI JOIN kept USING (video, clip_index) WHERE cls = 'car' UNION ALL
