@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
-from watchlake.operators import tracks
+from watchlake.operators import reid, tracks
 from watchlake.plans import all_queries
 
 from tests.test_queries import rows
@@ -50,3 +50,10 @@ def test_means_at_the_limit_in_any_order(spark):
         df = spark.createDataFrame([(1, 0, 7, f, c) for f, c in order], "video long, clip_index long, track_id long, frame long, conf double").coalesce(1)
         assert tracks.low_confidence(df, mean).count() == 0
         assert tracks.low_confidence(df, np.nextafter(mean, 1)).count() == 1
+
+
+def test_blocks_grow_with_the_table():
+    """Rows are sent to as many blocks whatever the table's size, up to a limit of a task's rows."""
+    for total in (10, 4096, 100_000, 144_000, 700_000):
+        assert -(-total // reid.grown_block(total, 4096)) <= reid.BLOCKS
+    assert reid.grown_block(10**9, 4096) == reid.GROWN * 4096
