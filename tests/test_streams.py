@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 from watchlake.operators import entities
-from watchlake.plans import q_streams
+from watchlake.plans import fixtures, q_streams
 from watchlake.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,14 @@ def test_a_chunk_of_waiting_rows_is_one_entry():
     state.init(handle)
     list(state.handleInputRows(("k",), iter([pd.DataFrame({"ms": [5, 9], "at": [1, 2], "n": [3, 4]})]), None))
     assert len(handle.waiting) == 1 and handle.timer == 9
+
+
+def test_files_of_tasks(spark, tmp_path):
+    """Written by tasks under their names where the folder is mounted, and staged and moved elsewhere; no folder is left out."""
+    df = spark.createDataFrame([(f"cam_{k}.mp4", "x" * k) for k in range(30)], "name string, value string")
+    fixtures.write_files(spark, df, f"file://{tmp_path}/in")
+    want = {f"cam_{k}.mp4": "x" * k + "\n" for k in range(30)}
+    assert {f.name: f.read_text() for f in (tmp_path / "in").iterdir() if not f.name.startswith(".")} == want
+    df.where("name < 'cam_12'").repartition("name").write.partitionBy("name").text(f"file://{tmp_path}/staged")
+    fixtures.place_files(spark, f"file://{tmp_path}/staged", f"file://{tmp_path}/moved", lambda name: "new_" + name)
+    assert {f.name: f.read_text() for f in (tmp_path / "moved").iterdir() if not f.name.startswith(".")} == {"new_" + k: v for k, v in want.items() if k < "cam_12"}

@@ -14,7 +14,7 @@ from watchlake.operators import tracks as K
 from watchlake.operators.graph import written
 from watchlake.params import CrossingParams, TrustParams
 from watchlake.plans import q_logs, q_ops
-from watchlake.plans.fixtures import cte, place_files, view
+from watchlake.plans.fixtures import cte, view, write_files
 from watchlake.plans.registry import query
 from watchlake.sources.store import DayStore, LiveDayStore
 from watchlake.streaming import streams as S
@@ -44,17 +44,21 @@ def write_chunks(rows: DataFrame, path: str, order: str, turns: tuple[int, ...]
 
 
 @contextmanager
-def rocks(spark: SparkSession) -> Iterator[None]:
-    """State in RocksDB, as state processors need it, for as long as a query runs; the session's own setting comes back."""
-    name = "spark.sql.streaming.stateStore.providerClass"
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session's setting for as long as a query runs; its own comes back."""
     old = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, old) if old else spark.conf.unset(name)
 
 
+def rocks(spark: SparkSession):
+    """State in RocksDB, as state processors need it."""
+    return setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 SHUFFLED = (2, 0, 3, 1)
 
 
@@ -139,18 +143,22 @@ def s09(spark: SparkSession, d: str) -> DataFrame:
 
 @query("S09_mp4_stream", "SELECT 'cam_' || CAST(user_id AS VARCHAR) || '.mp4' AS name, count(*) AS length FROM events GROUP BY user_id")
 def s09m(spark: SparkSession, d: str) -> DataFrame:
-    """New .mp4 files below a folder, whatever else lies there: a file for each user, with a byte for each event."""
+    """New .mp4 files below a folder, whatever else lies there: a file for each user, with a byte for each event.
+
+    All of them are there already, so a batch takes many.
+    """
     from watchlake.sources.listing import new_files
 
     e = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.count("*").alias("n"))
     root = DayStore.temporary(spark).path
     rows = e.select(F.explode(F.array(F.lit("mp4"), F.lit("tmp"))).alias("ending"), "user_id", F.repeat(F.lit("x"), F.col("n").cast("int") - 1).alias("value"))
     rows = rows.select(F.concat(F.lit("cam_"), F.col("user_id").cast("string"), F.lit("."), F.col("ending")).alias("name"), "value")
-    rows.repartition("name").write.partitionBy("name").text(f"{root}/staged")
-    place_files(spark, f"{root}/staged", f"{root}/in/2024", lambda name: name)
-    stream = new_files(spark, f"{root}/in").select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-    writer = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    write_files(spark, rows, f"{root}/in/2024")
+    stream = new_files(spark, f"{root}/in", 20_000).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    tasks = spark.sparkContext.defaultParallelism  # a batch's many small files are looked up and read by a few tasks, not one each
+    writer = stream.coalesce(tasks).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * tasks)):
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
