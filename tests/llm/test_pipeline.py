@@ -44,3 +44,27 @@ def test_clashing_columns_nulls_and_no_rows(spark, sf_dir):
             out = stage(spark, rows, sf_dir)
             assert out.columns[: len(docs.columns)] == docs.columns, name
             assert out.count() <= (2 * docs.count() if rows is docs else 0), name
+
+
+def test_large_texts_reach_python_in_small_batches(spark):
+    """Before, a batch had up to 64 MB in each task, outside the executor's heap, whatever memory the executor has."""
+    from watchlake.llm.common import arrow_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 400, 1, 1).select(F.expr("repeat('x', 50000)").alias("text"))
+    sizes = lambda: [r["n"] for r in docs.mapInArrow(lambda bs: (b.from_pydict({"n": [b.nbytes]}) for b in bs), "n long").collect()]
+    with arrow_batches(spark, 1 << 20):
+        assert sum(small := sizes()) >= 400 * 50_000 and max(small) < 2 << 20
+    assert max(sizes()) > 2 << 20 and spark.conf.get(key) == before
+
+
+def test_near_duplicates_uses_small_batches_and_leaves_the_session_as_it_was(spark, monkeypatch):
+    from watchlake.llm import jaccard
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), []
+    real = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda df, tag: (seen.append(spark.conf.get(key)), real(df, tag))[1])
+    jaccard.similar_rows(table(spark, "/root/testdata/sf0.001", "documents").limit(50))
+    assert seen and {int(x) for x in seen} == {4 << 20} and spark.conf.get(key) == before

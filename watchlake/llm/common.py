@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,22 @@ def listed(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """What is written inside sends rows to Python in batches of ``most`` bytes, or of one row; the session's limit holds again after.
+
+    A batch is held twice, by the executor outside its heap and by the worker, for each of its tasks. A lower limit of the session stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    spark.conf.set(key, str(min(most, now) if now > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

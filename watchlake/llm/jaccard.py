@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import listed, materialize
+from watchlake.llm.common import arrow_batches, listed, materialize
 from watchlake.llm.graph import components
 
 WIDTH = 5
@@ -330,6 +330,11 @@ def similar_rows(docs: DataFrame, bucket_postings: int = 500_000) -> tuple[DataF
     aren't read. A text of any length is one set in one task. ``bucket_postings``: prefix shingles a task looks through
     at once; the number of tasks grows with the input.
     """
+    with arrow_batches(docs.sparkSession):  # all steps are written here
+        return _similar_rows(docs, bucket_postings)
+
+
+def _similar_rows(docs: DataFrame, bucket_postings: int) -> tuple[DataFrame, DataFrame]:
     common = common_shingles(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
