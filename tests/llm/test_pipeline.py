@@ -60,11 +60,11 @@ def test_large_texts_reach_python_in_small_batches(spark):
 
 
 def test_near_duplicates_uses_small_batches_and_leaves_the_session_as_it_was(spark, monkeypatch):
-    from watchlake.llm import jaccard
+    from watchlake.llm import jaccard, simhash
 
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before, seen = spark.conf.get(key), []
     real = jaccard.materialize
     monkeypatch.setattr(jaccard, "materialize", lambda df, tag: (seen.append(spark.conf.get(key)), real(df, tag))[1])
-    jaccard.similar_rows(table(spark, "/root/testdata/sf0.001", "documents").limit(50))
+    jaccard.similar_rows(table(spark, "/root/testdata/sf0.001", "documents").limit(50), simhash.links)
     assert seen and {int(x) for x in seen} == {4 << 20} and spark.conf.get(key) == before

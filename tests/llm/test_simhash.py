@@ -203,3 +203,27 @@ def test_stage_with_passages_that_many_texts_share(spark, monkeypatch, many, cro
     rows += [(len(rows) + k, " ".join(w if rng.random() > 0.03 else word() for w in wide)) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == {d for d, _ in brute_stage(rows)}
+
+
+def test_stage_gets_close_copies_from_the_trees(spark, monkeypatch):
+    """Without the filter that follows, groups are what the trees link; whatever they link, texts are compared exactly."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for _ in range(12):
+        words = [f"t{x}" for x in rng.integers(0, 50_000, 3000)]
+        for k in range(2):
+            rows.append((len(rows), " ".join([*words[:1500], f"changed{k}", *words[1501:]])))
+    rows += [(len(rows), None), (len(rows) + 1, "")]
+    want = {d for d, _ in brute_stage(rows)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    stage = lambda: {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    real, seen = simhash.links, []
+    monkeypatch.setattr(simhash, "links", lambda fps: (seen.append(fps.count()), real(fps))[1])
+    assert len(want) == 13 and stage() == want and seen[0] >= 12
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "_without_hot", lambda docs, *a: spark.createDataFrame([], "s long, fp long, n int, at int"))
+        assert stage() == want
+    pairs = lambda fps: fps.select(fps["fp"].alias("u")).crossJoin(fps.select(fps["fp"].alias("v")))
+    for linked in (pairs, lambda fps: pairs(fps).limit(0)):
+        monkeypatch.setattr(simhash, "links", linked)
+        assert stage() == want

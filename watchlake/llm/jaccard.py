@@ -7,7 +7,8 @@ that many first ones share, as those of a passage that many texts hold: texts th
 others instead. The order decides how many candidates there are and nothing else. Candidates are first compared on the leading bits of
 their shingles, which bound what they share from above and take an eighth or a quarter of the bytes; those that pass
 are compared on their full sets.
-Texts of equal sets are one node. A shingle's first text leads it. Each text is compared with one leader first, the one
+Texts of equal sets are one node. Pairs that the caller finds by the sets' fingerprints are compared first, and what they
+connect isn't looked for again. A shingle's first text leads it. Each text is then compared with one leader, the one
 of most of its shingles, then with all leaders and at last with all candidates that still lie in another component;
 so a large group of near copies costs about one comparison a member. At last a shingle's texts meet by size class, the
 smaller partner only if the shingle is in the first ninth of its set, and never within the shingle's largest component;
@@ -56,6 +57,15 @@ def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(h)
 
 
+def majority(h: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes: the bits set in over half of them; 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        part = h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
 def set_key(s: np.ndarray) -> int:
     """64 bits that tell sets apart; 0 for the empty set."""
     from xxhash import xxh64_intdigest
@@ -322,31 +332,45 @@ def _texts(docs: DataFrame, ids: DataFrame, fps: DataFrame) -> DataFrame:
     return keyed(docs).join(listed(materialize(chosen, "chosen")), "text_key", "left_semi").select(F.col("text").cast("binary"))
 
 
-def similar_rows(docs: DataFrame, bucket_postings: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def _fingerprint_pairs(rows: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(u, v), u > v: sets (fp) of one fingerprint (sim) with the least of them, and the least ones of fingerprints that ``near`` links."""
+    sims = materialize(rows.where("n > 0").select("fp", "sim").distinct(), "sims")
+    least = materialize(sims.groupBy("sim").agg(F.min("fp").alias("least")), "least")
+    found = materialize(near(least.select(F.col("sim").alias("fp"))), "near")
+    same = sims.join(least, "sim").select(F.col("fp").alias("x"), F.col("least").alias("y"))
+    side = lambda k, name: least.select(F.col("sim").alias(k), F.col("least").alias(name))
+    linked = found.join(side("u", "x"), "u").join(side("v", "y"), "v").select("x", "y")
+    pairs = same.unionAll(linked).where("x <> y")
+    return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+
+
+def similar_rows(docs: DataFrame, near: Callable[[DataFrame], DataFrame], bucket_postings: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, fp) of every row of ``docs``, and (node, root) of the fps that are similar to others.
 
     ``docs`` needs doc_id and text. Null and empty texts have fp 0, which is similar to nothing else. Rows that repeat an id or
     a text are told apart by (doc_id, text_key); null ids are kept. An empty table gives two empty ones, and other columns
-    aren't read. A text of any length is one set in one task. ``bucket_postings``: prefix shingles a task looks through
+    aren't read. A text of any length is one set in one task. ``near`` links distinct fingerprints (fp) as (u, v): what it finds
+    is compared first, and what it doesn't find is found by the prefix filter. ``bucket_postings``: prefix shingles a task looks through
     at once; the number of tasks grows with the input.
     """
     with arrow_batches(docs.sparkSession):  # all steps are written here
-        return _similar_rows(docs, bucket_postings)
+        return _similar_rows(docs, near, bucket_postings)
 
 
-def _similar_rows(docs: DataFrame, bucket_postings: int) -> tuple[DataFrame, DataFrame]:
+def _similar_rows(docs: DataFrame, near: Callable[[DataFrame], DataFrame], bucket_postings: int) -> tuple[DataFrame, DataFrame]:
     common = common_shingles(docs)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             sets = [shingle_set(x.as_py()) for x in b.column(2)]
             keys = np.fromiter(map(set_key, sets), np.uint64, len(sets)).view(np.int64)
-            made = [pa.array(keys), pa.array([len(s) for s in sets], pa.int32())]
+            sims = np.fromiter(map(majority, sets), np.uint64, len(sets)).view(np.int64)
+            made = [pa.array(keys), pa.array(sims), pa.array([len(s) for s in sets], pa.int32())]
             made += [pa.array([f(s) for s in sets], pa.binary()) for f in (lambda s: prefix(s, common).tobytes(), sketch)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "text_key", "fp", "n", "prefix", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made], names=["doc_id", "text_key", "fp", "sim", "n", "prefix", "sketch"])
 
     source = keyed(docs).select("doc_id", "text_key", F.col("text").cast("binary").alias("body"))
-    schema = source.select("doc_id", "text_key").schema.add("fp", "long").add("n", "integer").add("prefix", "binary").add("sketch", "binary")
+    schema = source.select("doc_id", "text_key").schema.add("fp", "long").add("sim", "long").add("n", "integer").add("prefix", "binary").add("sketch", "binary")
     rows = materialize(source.mapInArrow(scan, schema), "prefixes")
     ids = rows.select("doc_id", "text_key", "fp")
     shared = _without_hot(docs, ids, rows.select("fp", "n", "prefix"), common, bucket_postings)
@@ -361,20 +385,19 @@ def _similar_rows(docs: DataFrame, bucket_postings: int) -> tuple[DataFrame, Dat
     # positions as the prefix filter has them: the first shared shingle leaves room for enough others
     room = lambda x, y: F.expr(f"{OVER + UNDER} * least({x}.n - {x}.at, {y}.n - {y}.at) >= {OVER} * ({x}.n + {y}.n)")
     named = lambda rows: rows.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    lead = shared.groupBy("s").agg(F.min(F.struct("fp", "n", "at")).alias("l")).selectExpr("s", "l.fp", "l.n", "l.at").alias("b")
-    near = named(shared.alias("a").join(lead, "s").where(F.expr("a.fp > b.fp")).where(room("a", "b"))).groupBy("u", "v")
-    near = near.agg(F.count("*").alias("c")).groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
-    tried = materialize(near, "pairs")
+    tried = materialize(_fingerprint_pairs(rows, near), "pairs")
     links = check(tried)
     roots = materialize(components(links), "roots")
     left = shared
-    for all_pairs in (False, True):
+    for kind in ("one leader", "leaders", "all"):
         left = _open(left, roots)
-        if all_pairs:
+        if kind == "all":
             pairs = _across(left, room, rows.select("fp", "sketch"))
         else:
             lead = left.groupBy("s").agg(F.min(F.struct("fp", "n", "at", "root")).alias("l")).selectExpr("s", "l.fp", "l.n", "l.at", "l.root").alias("b")
             pairs = named(left.alias("a").join(lead, "s").where(F.expr("a.fp > b.fp AND a.root <> b.root")).where(room("a", "b")))
+        if kind == "one leader":
+            pairs = pairs.groupBy("u", "v").agg(F.count("*").alias("c")).groupBy("u").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("v"))
         pairs = materialize(pairs.distinct(), "pairs")
         pairs = materialize(pairs.join(tried, ["u", "v"], "left_anti"), "untried")
         if pairs.limit(1).count():

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from watchlake.llm.common import free_name, listed, materialize
 from watchlake.llm.graph import components
-from watchlake.llm.jaccard import similar_rows
+from watchlake.llm.jaccard import majority, similar_rows
 
 BITS = 64
 
@@ -39,12 +39,7 @@ def fingerprint(text: bytes | None, width: int = 4, seed: int = 42) -> int:
         return 0
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
     n = max(1, len(words) - width + 1)
-    h = np.fromiter((xxh64_intdigest(x, seed) for x in shingles), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 14):
-        part = h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((xxh64_intdigest(x, seed) for x in shingles), np.uint64, n))
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None, width: int = 4) -> DataFrame:
@@ -317,12 +312,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the least doc_id, then text hash.
 
     Near copies share at least 0.8 of their five-word shingles (Jaccard, compared exactly); groups are what such
-    pairs connect. op1's fingerprints and radius are its query's own. Rows that repeat id and text count as one
+    pairs connect. Fingerprints of these shingles are linked by the vantage-point trees, and linked texts are compared; as texts
+    that share 0.8 may differ in more bits than the trees can look for, an exact filter then finds the pairs that are left. Rows that repeat id and text count as one
     document; other texts of a repeated id are documents of their own. Rows without a doc_id are held against each
     other alone: one of each group stays. Null and empty texts are copies of each other. An empty table stays empty, and further
     columns may have any names.
     """
-    ids, roots = similar_rows(docs)
+    ids, roots = similar_rows(docs, links)
     by_fp = ids.groupBy("fp", F.isnull("doc_id").alias("no_id")).agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
     named = by_fp.join(roots, by_fp["fp"] == roots["node"], "left")
     stay = named.groupBy(F.coalesce("root", "fp").alias("root"), "no_id").agg(F.min("least").alias("least"))
