@@ -68,3 +68,42 @@ def test_near_duplicates_uses_small_batches_and_leaves_the_session_as_it_was(spa
     monkeypatch.setattr(jaccard, "materialize", lambda df, tag: (seen.append(spark.conf.get(key)), real(df, tag))[1])
     jaccard.similar_rows(table(spark, "/root/testdata/sf0.001", "documents").limit(50), simhash.links)
     assert seen and {int(x) for x in seen} == {4 << 20} and spark.conf.get(key) == before
+
+
+def test_reading_in_small_parts_leaves_the_session_as_it_was(spark):
+    """Before, 4096 texts were read at a time, in arrays of the executor's heap."""
+    from watchlake.llm.common import arrow_batches
+
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    with arrow_batches(spark):
+        assert int(spark.conf.get(key)) == 1024
+        with arrow_batches(spark, rows=4096):
+            assert int(spark.conf.get(key)) == 1024
+    assert spark.conf.get(key) == before
+
+
+def test_idle_workers_give_their_memory_back():
+    """Before, a worker kept what its largest task had freed. In a process of its own, as a task has one."""
+    import subprocess
+    import sys
+
+    code = """
+import re, sys
+from watchlake.llm.common import lean
+
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+def run(batches):
+    many = [bytes(60_000) for _ in range(2000)]
+    kept.append(many[-1])  # it lies above the others, which the allocator then keeps
+    yield len(many)
+
+for f in (run, lean(run)):
+    kept, before = [], held()
+    list(f([]))
+    print(held() - before)
+"""
+    plain, given = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert plain > 80 and given < 0  # what the first left is given back, too

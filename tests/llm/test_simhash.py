@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from watchlake.llm import jaccard, simhash
@@ -227,3 +228,29 @@ def test_stage_gets_close_copies_from_the_trees(spark, monkeypatch):
     for linked in (pairs, lambda fps: pairs(fps).limit(0)):
         monkeypatch.setattr(simhash, "links", linked)
         assert stage() == want
+
+
+def test_postings_of_a_bucket_are_sorted_in_parts(monkeypatch):
+    """Before, a task expanded and sorted a bucket's postings at once, which took over 100 bytes a posting."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    own, both = rng.integers(0, 1 << 63, 200_000, np.int64).view(np.uint64), rng.integers(0, 1 << 63, 400, np.int64).view(np.uint64)
+    both = np.concatenate([both, np.full(1, 7, np.uint64)])
+    blobs, want, left = [], [], {}
+    for at in range(0, 200):
+        mine = np.concatenate([own[at * 1000 : at * 1000 + 1000], both[at // 2 * 4 : at // 2 * 4 + 4], both[-1:], both[-1:]])  # the last one is held by all, and twice
+        place = np.arange(len(mine))
+        blobs.append(jaccard._pack(np.array([at]), np.array([9 * len(mine)]), np.array([len(mine)]), mine, place))
+        left[at] = len(mine)
+        want += [(int(s.view(np.int64)), at, 9 * len(mine), 1000 + k) for k, s in enumerate(mine[1000:1005])]
+    whole = jaccard._several([pa.py_buffer(b) for b in blobs]).to_pylist()
+    assert sorted(tuple(r.values()) for r in whole) == sorted(want)
+    monkeypatch.setattr(jaccard, "SLICE", 1000)
+    assert sorted(tuple(r.values()) for r in jaccard._several(blobs).to_pylist()) == sorted(want)
+    monkeypatch.setattr(jaccard, "SLICE", 1 << 14)
+    tracemalloc.start()
+    jaccard._several(blobs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * 200_000  # all at once take more than twice that

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,19 +66,47 @@ def listed(rows: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+def arrow_batches(spark: SparkSession, most: int = 4 << 20, rows: int = 1024) -> Iterator[None]:
     """What is written inside sends rows to Python in batches of ``most`` bytes, or of one row; the session's limit holds again after.
 
     A batch is held twice, by the executor outside its heap and by the worker, for each of its tasks. A lower limit of the session stays.
+    Parquet files are read ``rows`` rows at a time, which the heap holds, long texts and all, in arrays that double as they fill.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
-    spark.conf.set(key, str(min(most, now) if now > 0 else most))
+    conf = spark._jsparkSession.sessionState().conf()
+    now = conf.arrowMaxBytesPerBatch()
+    wanted = {
+        "spark.sql.execution.arrow.maxBytesPerBatch": min(most, now) if now > 0 else most,
+        "spark.sql.parquet.columnarReaderBatchSize": min(rows, conf.parquetVectorizedReaderBatchSize()),
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; the worker gives back what it has freed after the last batch.
+
+    Spark keeps workers for later tasks, and idle ones would hold the memory of their largest task beside an executor that needs it.
+    """
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return whole
 
 
 def ascii_lower(text: Column) -> Column:

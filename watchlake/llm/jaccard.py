@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import arrow_batches, listed, materialize
+from watchlake.llm.common import arrow_batches, give_back, lean, listed, materialize
 from watchlake.llm.graph import components
 
 WIDTH = 5
@@ -34,6 +34,7 @@ OVER, UNDER = 4, 5  # similar: shared * UNDER >= union * OVER
 SEED = 11
 MANY = 16  # texts that may share a first shingle before it goes last
 CROWD, BLOCK = 64, 2000  # texts of a shingle that are joined; postings of a shingle that a task looks at
+SLICE = 1 << 16  # postings of a bucket that are sorted at once
 LARGE = 1000  # shingles of a set whose sketch has sixteen bits of each
 
 
@@ -120,6 +121,39 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return s, np.repeat(fp, counts), np.repeat(n, counts), place.astype(np.int32)
 
 
+def _several(blobs: list[pa.Buffer]) -> pa.Table:
+    """(s, fp, n, at) of the postings whose shingle several texts have, of packed ones that hold all of their shingles.
+
+    Shingles are dealt into parts of about ``SLICE`` postings, and one part is unpacked and sorted after the other.
+    """
+    parts = sum(int(np.frombuffer(b, np.int64, 2)[1]) for b in blobs) // SLICE + 1
+    made = []
+    for part in range(parts):
+        columns: tuple[list[np.ndarray], ...] = ([], [], [], [])
+        for blob in blobs:
+            found = _unpack(blob)
+            mine = (found[0] >> np.uint64(44)) % np.uint64(parts) == part
+            for c, x in zip(columns, found):
+                c.append(x[mine])
+        s, fp, n, at = map(np.concatenate, columns)
+        if not len(s):
+            continue
+        order = np.lexsort((fp, s))
+        s, fp = s[order], fp[order]
+        new = np.ones(len(s), bool)
+        new[1:] = (s[1:] != s[:-1]) | (fp[1:] != fp[:-1])
+        order, s, fp = order[new], s[new], fp[new]
+        same = s[1:] == s[:-1]
+        has = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        # of two similar texts the smaller has its first shared shingle in the first ninth: others lead to no pair
+        group = np.cumsum(np.concatenate([[True], ~same])) - 1
+        near = at[order] * (OVER + UNDER) <= n[order]
+        has &= np.bincount(group, near)[group] > 0
+        order = order[has]
+        made.append(pa.RecordBatch.from_arrays([pa.array(x) for x in (s[has].view(np.int64), fp[has], n[order], at[order])], names=["s", "fp", "n", "at"]))
+    return pa.Table.from_batches(made, pa.schema([("s", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("at", pa.int32())]))
+
+
 def common_shingles(docs: DataFrame, sample_docs: int = 2000, times: int = 4) -> np.ndarray:
     """Shingles that several documents of a sample have; only the order of shingles hangs on them."""
     n = max(1, docs.count())
@@ -130,7 +164,7 @@ def common_shingles(docs: DataFrame, sample_docs: int = 2000, times: int = 4) ->
             sets = [shingle_set(x.as_py()) for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["s"])
 
-    found = some.select(F.col("text").cast("binary")).mapInArrow(run, "s long").groupBy("s").count().where(F.col("count") >= times)
+    found = some.select(F.col("text").cast("binary")).mapInArrow(lean(run), "s long").groupBy("s").count().where(F.col("count") >= times)
     return np.sort(found.select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -143,7 +177,7 @@ def _sets(texts: DataFrame) -> DataFrame:
             keys = np.fromiter(map(set_key, sets), np.uint64, len(sets)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary())], names=["fp", "body"])
 
-    return texts.mapInArrow(run, "fp long, body binary")
+    return texts.mapInArrow(lean(run), "fp long, body binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -156,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield b.select(["u", "v"]).filter(pa.array([similar(get(x), get(y)) for x, y in zip(a, c)], pa.bool_()))
 
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("body").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("body").alias("b")), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "a", "b").mapInArrow(lean(run), "u long, v long")
 
 
 def _plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -172,7 +206,7 @@ def _plausible(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     own = materialize(rows.join(listed(members), "fp", "left_semi").groupBy("fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
     side = lambda k, n, x: own.select(F.col("fp").alias(k), F.col("n").alias(n), F.col("sketch").alias(x))
     both = pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v")
-    return both.select("u", "v", "n", "a", "m", "b").mapInArrow(run, "u long, v long")
+    return both.select("u", "v", "n", "a", "m", "b").mapInArrow(lean(run), "u long, v long")
 
 
 def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -253,7 +287,7 @@ def _shared(prefixes: DataFrame, bucket_postings: int) -> DataFrame:
     buckets = int(total // (8 * bucket_postings)) + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches, 2048):
             fp, one = np.unique(b.column(0).to_numpy(zero_copy_only=False), return_index=True)
             sizes = b.column(1).to_numpy(zero_copy_only=False)[one].astype(np.int64)
             firsts = [np.frombuffer(b.column(2)[int(i)].as_buffer(), np.uint64) for i in one]
@@ -272,25 +306,13 @@ def _shared(prefixes: DataFrame, bucket_postings: int) -> DataFrame:
                 out.append((int(part[x]), _pack(fp[texts], sizes[texts], counts, s[mine], at[mine])))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "blob"])
 
-    def shared_of(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.concatenate(x) for x in zip(*map(_unpack, pdf["blob"]))]
-        t = np.rec.fromarrays(parts, names="s,fp,n,at")
-        order = np.lexsort((t["fp"], t["s"]))
-        s, fp = t["s"][order], t["fp"][order]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (fp[1:] != fp[:-1])
-        order, s = order[new], s[new]
-        same = s[1:] == s[:-1]
-        has = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        # of two similar texts the smaller has its first shared shingle in the first ninth: others lead to no pair
-        group = np.cumsum(np.concatenate([[True], ~same])) - 1 if len(s) else np.zeros(0, np.int64)
-        near = t["at"][order] * (OVER + UNDER) <= t["n"][order]
-        has &= np.bincount(group, near, minlength=int(group.max()) + 1 if len(group) else 0)[group] > 0
-        t = t[order[has]]
-        return pd.DataFrame({"s": t["s"].copy().view(np.int64), **{c: t[c].copy() for c in ("fp", "n", "at")}})
+    def shared_of(found: pa.Table) -> pa.Table:
+        made = _several([x.as_buffer() for x in found.column("blob")])
+        give_back()
+        return made
 
-    dealt = prefixes.mapInArrow(deal, "bucket int, blob binary")
-    return materialize(dealt.groupBy("bucket").applyInPandas(shared_of, "s long, fp long, n int, at int"), "shared")
+    dealt = prefixes.mapInArrow(lean(deal), "bucket int, blob binary")
+    return materialize(dealt.groupBy("bucket").applyInArrow(shared_of, "s long, fp long, n int, at int"), "shared")
 
 
 def _without_hot(docs: DataFrame, ids: DataFrame, prefixes: DataFrame, common: np.ndarray, bucket_postings: int, most_hot: int = 1_000_000) -> DataFrame:
@@ -315,7 +337,7 @@ def _without_hot(docs: DataFrame, ids: DataFrame, prefixes: DataFrame, common: n
             made = pa.array([prefix(x, late).tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(x) for x in sets], pa.int32()), made], names=["fp", "n", "prefix"])
 
-    changed = materialize(_texts(docs, ids, touched).mapInArrow(again, "fp long, n int, prefix binary"), "changed")
+    changed = materialize(_texts(docs, ids, touched).mapInArrow(lean(again), "fp long, n int, prefix binary"), "changed")
     return _shared(prefixes.join(listed(touched), "fp", "left_anti").unionByName(changed), bucket_postings)
 
 
@@ -371,7 +393,7 @@ def _similar_rows(docs: DataFrame, near: Callable[[DataFrame], DataFrame], bucke
 
     source = keyed(docs).select("doc_id", "text_key", F.col("text").cast("binary").alias("body"))
     schema = source.select("doc_id", "text_key").schema.add("fp", "long").add("sim", "long").add("n", "integer").add("prefix", "binary").add("sketch", "binary")
-    rows = materialize(source.mapInArrow(scan, schema), "prefixes")
+    rows = materialize(source.mapInArrow(lean(scan), schema), "prefixes")
     ids = rows.select("doc_id", "text_key", "fp")
     shared = _without_hot(docs, ids, rows.select("fp", "n", "prefix"), common, bucket_postings)
 

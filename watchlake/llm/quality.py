@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import fold, free_name, materialize, table
+from watchlake.llm.common import fold, free_name, lean, materialize, table
 from watchlake.llm.labelled import BOUND, Isotonic, labelled_sample
 
 LETTER = re.compile(r"[^\W\d_]+")
@@ -88,7 +88,7 @@ class QualityModel:
                         made = self.isotonic(self.margin(np.array([statistics(t.as_py()) for t in b.column(at)])))
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.float64())], names=names)
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(lean(run), schema)
 
 
 def with_statistics(sample: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from watchlake.llm.common import fold, free_name, materialize, table
+from watchlake.llm.common import fold, free_name, lean, materialize, table
 from watchlake.llm.labelled import BOUND, Isotonic, labelled_sample
 
 # Common insults of English.
@@ -181,7 +181,7 @@ def lexicon_counts(sample: DataFrame, flush: int = 500_000) -> DataFrame:
                     known.clear()
         yield rows(counts)
 
-    some = sample.select("text", "label", "lot").mapInArrow(run, "unit string, pos0 long, neg0 long, pos1 long, neg1 long")
+    some = sample.select("text", "label", "lot").mapInArrow(lean(run), "unit string, pos0 long, neg0 long, pos1 long, neg1 long")
     return some.groupBy("unit").agg(*(F.sum(c).alias(c) for c in names))
 
 
@@ -219,7 +219,7 @@ def with_features(docs: DataFrame, extractor: Extractor, name: str, text: str =
                 made = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, made], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 class ToxicityModel:
