@@ -107,3 +107,16 @@ for f in (run, lean(run)):
 """
     plain, given = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
     assert plain > 80 and given < 0  # what the first left is given back, too
+
+
+def test_classifier_stages_send_small_batches(spark, monkeypatch):
+    """Before, their scores were computed outside, with batches as large as the session allows."""
+    from watchlake.llm import quality, toxicity
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), {}
+    for module, stage in ((toxicity, corpus_pipeline.toxicity), (quality, corpus_pipeline.quality)):
+        real = module.materialize
+        monkeypatch.setattr(module, "materialize", lambda df, tag, real=real: (seen.update({tag: spark.conf.get(key)}), real(df, tag))[1])
+        stage(spark, table(spark, SF, "documents"), SF)
+    assert {"not-toxic", "good"} <= set(seen) and {int(x) for x in seen.values()} == {4 << 20} and spark.conf.get(key) == before

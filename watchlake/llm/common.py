@@ -95,14 +95,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``; the worker gives back what it has freed after the last batch.
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for ``mapInArrow`` or ``mapInPandas``; the worker gives back what it has freed after the last batch.
 
     Spark keeps workers for later tasks, and idle ones would hold the memory of their largest task beside an executor that needs it.
     """
 
     @wraps(run)
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator) -> Iterator:
         yield from run(batches)
         give_back()
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchlake.llm.common import fold, free_name, lean, materialize, table
+from watchlake.llm.common import arrow_batches, fold, free_name, lean, materialize, table
 from watchlake.llm.labelled import BOUND, Isotonic, labelled_sample
 
 LETTER = re.compile(r"[^\W\d_]+")
@@ -96,7 +96,7 @@ def with_statistics(sample: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"x": [statistics(t) for t in pdf["text"]], "label": pdf["label"], "lot": pdf["lot"]})
 
-    return sample.select("text", "label", "lot").mapInPandas(run, "x array<double>, label double, lot int")
+    return sample.select("text", "label", "lot").mapInPandas(lean(run), "x array<double>, label double, lot int")
 
 
 def normal_equations(rows: DataFrame, model: QualityModel, fan_in: int = 8, parts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +123,7 @@ def normal_equations(rows: DataFrame, model: QualityModel, fan_in: int = 8, part
         total = np.sum([np.frombuffer(x, float) for x in pdf["total"]], axis=0)
         return pd.DataFrame({"part": [key[0]], "total": [total.tobytes()]})
 
-    sums = rows.select("x", "label").coalesce(parts).mapInPandas(per_partition, "total binary").select(F.spark_partition_id().cast("long").alias("part"), "total")
+    sums = rows.select("x", "label").coalesce(parts).mapInPandas(lean(per_partition), "total binary").select(F.spark_partition_id().cast("long").alias("part"), "total")
     while parts > fan_in:
         sums = sums.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("part").applyInPandas(add, "part long, total binary")
         parts = -(-parts // fan_in)
@@ -164,10 +164,14 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
 
     Rows of null or repeated ids are judged by their own texts; null and empty texts score as texts without words. An
     empty table gives an empty result. Without labels of both classes nothing can be told apart, and every row stays.
+    The rows that stay are written here, as only so long texts reach Python in small batches.
     """
     name = free_name(docs.columns, "quality_score")
-    model = fit_quality(docs, labels)
-    return docs if model.constant is not None else model.score(docs, name).where(F.col(name) >= threshold).select(*docs.columns)
+    with arrow_batches(docs.sparkSession):
+        model = fit_quality(docs, labels)
+        if model.constant is not None:
+            return docs
+        return materialize(model.score(docs, name).where(F.col(name) >= threshold).select(*docs.columns), "good")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from watchlake.llm.common import fold, free_name, lean, materialize, table
+from watchlake.llm.common import arrow_batches, fold, free_name, lean, materialize, table
 from watchlake.llm.labelled import BOUND, Isotonic, labelled_sample
 
 # Common insults of English.
@@ -118,7 +118,7 @@ class Extractor:
         full = np.flatnonzero([len(ws) > 0 for ws in split])
         if not len(full):
             return out
-        if len(self.tokens) > 200_000:  # bounds memory; tokens come back as they are seen
+        if len(self.tokens) > 50_000:  # bounds memory; tokens come back as they are seen
             self.tokens = Tokens(self.lexicon)
         sizes = np.array([len(split[i]) for i in full], np.int64)
         at = np.fromiter(map(self.tokens.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
@@ -154,7 +154,7 @@ SIGNS = re.compile(r"[!-/:-@\[-`{-~]+")
 LONG_RUN = re.compile(r"([^\W\d_])\1{3,}")
 
 
-def lexicon_counts(sample: DataFrame, flush: int = 500_000) -> DataFrame:
+def lexicon_counts(sample: DataFrame, flush: int = 100_000) -> DataFrame:
     """(unit, pos0, neg0, pos1, neg1): documents of either half of the sample that hold a unit, by label."""
     names = ("pos0", "neg0", "pos1", "neg1")
 
@@ -291,10 +291,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
 
     Rows of null or repeated ids are judged by their own texts; null and empty texts score as texts without words. An
     empty table gives an empty result. Without labels of both classes nothing can be told apart, and every row stays.
+    The rows that stay are written here, as only so long texts reach Python in small batches.
     """
     name = free_name(docs.columns, "toxicity_score")
-    model = fit_toxicity(docs, labels)
-    return docs if model.constant is not None else model.score(docs, name).where(F.col(name) < threshold).select(*docs.columns)
+    with arrow_batches(docs.sparkSession):
+        model = fit_toxicity(docs, labels)
+        if model.constant is not None:
+            return docs
+        return materialize(model.score(docs, name).where(F.col(name) < threshold).select(*docs.columns), "not-toxic")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
